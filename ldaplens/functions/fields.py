@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ldaplens.functions.timestamps import RFC3339_STAMP, normalize_ts, ts_from_text, ts_text
+from ldaplens.functions.timestamps import RFC3339_STAMP, normalize_frame, ts_from_text, ts_text
 
 # Field patterns (Java regex); group 1 is the stored value.
 FIELD_PATTERNS = {
@@ -79,7 +79,7 @@ def parse_logs(
     ``conn_n``, ``err_n``) are added with ``try_cast`` for analytics; filters
     compare the string columns, as the viewer does.
     """
-    with_raw = df.withColumn("raw", normalize_ts(F.col("value"), fmt, as_of, tz))
+    with_raw = normalize_frame(df, fmt, as_of, tz)
     stamp = ts_text(F.col("raw"))
     out = with_raw.select("*", stamp.alias("ts_text"), *[field(n) for n in fields])
     out = out.withColumn("ts", ts_from_text(F.col("ts_text")))

@@ -41,9 +41,24 @@ def _col(c) -> Column:
 
 
 def epoch_to_text(seconds: Column) -> Column:
-    """Epoch seconds (BIGINT) -> ``yyyy-MM-ddTHH:mm:ss`` in UTC, zone independent."""
-    ntz = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_NTZ))
-    return F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss")
+    """Epoch seconds (BIGINT) -> ``yyyy-MM-ddTHH:mm:ss`` (UTC).
+
+    Built from the day number and the second of the day, so neither the
+    session time zone nor its DST gaps can shift the text.
+    """
+    days = F.floor(seconds / F.lit(86400))
+    sod = seconds - days * 86400
+    date = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("string")
+
+    def two(x):
+        return F.lpad(x.cast("int").cast("string"), 2, "0")
+
+    return F.concat(date, F.lit("T"), two(F.floor(sod / 3600)), F.lit(":"),
+                    two(F.floor((sod % 3600) / 60)), F.lit(":"), two(sod % 60))
+
+
+def _ntz_seconds(ntz: Column) -> Column:
+    return F.timestamp_diff("SECOND", F.expr(_EPOCH_NTZ), ntz)
 
 
 def is_debug_head(value) -> Column:
@@ -131,7 +146,7 @@ def decode_syslog(value, as_of=None, tz: str | None = None) -> Column:
     v = _col(value)
     wall, rest = _syslog_wall_ntz(v, as_of)
     utc = wall if tz is None else F.convert_timezone(F.lit(tz), F.lit("UTC"), wall)
-    text = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000000000Z "), rest)
+    text = F.concat(epoch_to_text(_ntz_seconds(utc)), F.lit(".000000000Z "), rest)
     return F.when(wall.isNotNull(), text).otherwise(v)
 
 
@@ -169,3 +184,83 @@ def ts_from_text(stamp) -> Column:
     frac = F.regexp_extract(s, r"\.(\d+)Z$", 1)
     six = F.rpad(F.substring(frac, 1, 6), 6, "0")
     return F.try_to_timestamp(F.concat(head, six, F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"))
+
+
+def normalize_frame(df, fmt: str = "auto", as_of=None, tz: str | None = None,
+                    value: str = "value", out: str = "raw"):
+    """``normalize_ts`` as staged projections: each head regex runs once per line.
+
+    Stage 1 extracts the debug and syslog heads (anchored, fail fast);
+    stage 2 cuts their parts with plain string functions; stage 3 formats.
+    Each stage's columns are read several times by the next, so Catalyst
+    keeps the stages apart instead of re-inlining the regexes.
+    """
+    if fmt not in LOG_FORMATS:
+        raise ValueError(f"unknown log format {fmt!r}; expected one of {LOG_FORMATS}")
+    v = F.col(value)
+    if fmt == "rfc3339":
+        return df.withColumn(out, v)
+    cols = df.columns
+    want_debug = fmt in ("auto", "debug")
+    want_syslog = fmt in ("auto", "syslog-utc", "syslog-local")
+    s1 = []
+    if want_debug:
+        s1.append(F.regexp_extract(v, DEBUG_HEAD, 0).alias("_dh"))
+    if want_syslog:
+        s1.append(F.regexp_extract(v, SYSLOG_HEAD, 0).alias("_sh"))
+    st = df.select("*", *s1)
+    s2 = []
+    if want_debug:
+        dh = F.col("_dh")
+        sec_hex = F.substring_index(dh, ".", 1)
+        sig = F.regexp_replace(sec_hex, "^0+", "")
+        dec = F.conv(F.when((dh != "") & (F.length(sig) <= 16), sec_hex), 16, 10)
+        s2 += [
+            F.when(dec.cast("decimal(20,0)") <= F.lit(_MAX_EPOCH_SECONDS), dec.cast("bigint")).alias("_dsec"),
+            F.translate(F.substring_index(dh, ".", -1), " \t", "").alias("_dfrac"),
+            v.substr(F.length(dh) + 1, F.lit(1 << 30)).alias("_dafter"),
+            dh,
+        ]
+    if want_syslog:
+        sh = F.col("_sh")
+        parts = F.filter(F.split(F.trim(sh), " "), lambda x: x != "")
+        s2 += [
+            F.when(sh != "", parts).alias("_sparts"),
+            v.substr(F.length(sh) + 1, F.lit(1 << 30)).alias("_srest"),
+        ]
+    st = st.select(*cols, *s2)
+    s3 = []
+    raw = v
+    if want_syslog:
+        year_now, month_now = _as_of_parts(as_of)
+        month_map = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
+        p = F.col("_sparts")
+        mon = F.element_at(month_map, F.lower(F.element_at(p, 1)))
+        day = F.element_at(p, 2).cast("int")
+        hms = F.element_at(p, 3)
+        secs_of_day = (F.substring(hms, 1, 2).cast("int") * 3600 + F.substring(hms, 4, 2).cast("int") * 60
+                       + F.substring(hms, 7, 2).cast("int"))
+        year = F.greatest(F.when(mon > month_now, year_now - 1).otherwise(year_now), F.lit(1970))
+        seconds = (F.unix_date(F.make_date(year, mon, F.lit(1))).cast("bigint") * 86400
+                   + (day - 1).cast("bigint") * 86400 + secs_of_day)
+        wall = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_NTZ))
+        utc = wall if fmt != "syslog-local" else F.convert_timezone(F.lit(tz or "UTC"), F.lit("UTC"), wall)
+        syslog_raw = F.concat(epoch_to_text(_ntz_seconds(utc)), F.lit(".000000000Z "), F.col("_srest"))
+        raw = F.when(p.isNotNull() & mon.isNotNull(), syslog_raw).otherwise(raw)
+    if want_debug:
+        frac_hex = F.col("_dfrac")
+        frac_dec = F.conv(frac_hex, 16, 10)
+        width = F.when(F.length(frac_hex) <= 5, F.lit(6)).otherwise(F.lit(9))
+        frac = F.lpad(frac_dec, F.greatest(width, F.length(frac_dec)), F.lit("0"))
+        after = F.col("_dafter")
+        thread = F.regexp_extract(after, "^[^ \t]*", 0)
+        rest = F.regexp_replace(after.substr(F.length(thread) + 1, F.lit(1 << 30)), "^[ \t]+", "")
+        debug_raw = F.concat(
+            epoch_to_text(F.col("_dsec")), F.lit("."), frac, F.lit("Z"),
+            F.when(thread != "", F.concat(F.lit(" "), thread)).otherwise(F.lit("")),
+            F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(F.lit("")),
+        )
+        raw = F.when(F.col("_dsec").isNotNull(), debug_raw).otherwise(
+            F.when(F.col("_dh") != "", v).otherwise(raw) if want_syslog else raw)
+    s3.append(raw.alias(out))
+    return st.select(*cols, *s3)

@@ -1,10 +1,12 @@
 """Located tokens (K1-K5, E18) as array expressions.
 
-Each pattern's matches come from ``regexp_extract_all``; their byte offsets
-come from the pieces between matches (``split`` on the same pattern walks
-the same non-overlapping, left-to-right match sequence), summed with
-``octet_length`` so offsets are bytes of the UTF-8 line, not characters.
-Everything stays inside Catalyst's higher-order functions: no Python UDF.
+Each pattern's matches and the gaps before them come from one anchored
+``regexp_extract_all`` walk (see ``match_spans``); gap and match lengths are
+summed with ``octet_length``, so offsets are bytes of the UTF-8 line, not
+characters. Everything stays inside Catalyst's higher-order functions: no
+Python UDF. ``with_tokens`` computes the non-keyword tokens in one projection
+and the keyword overlap test in the next, so the ~20 regex walks run once
+per line.
 
 Tokens are heavy (~20 regex passes per line); compute them only when a
 query selects them. The field columns of ``parse_logs`` are the fast path.
@@ -58,24 +60,24 @@ def _col(c) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """``array<struct<s:int, m:string>>``: byte start and text of every match."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    init = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<s:int,m:string>>").alias("out"),
+    r"""``array<struct<s:int, m:string>>``: byte start and text of every match.
+
+    ``\G(?s:.*?)(P)`` walks the same leftmost, non-overlapping match sequence
+    as a plain find loop over ``P``, and group 0 also carries the gap before
+    each match; ``\G`` pins every attempt to the end of the previous match,
+    so a failing tail search is linear, not quadratic. ``P`` must have no
+    capturing group. The patterns are literals, compiled once per task.
+    """
+    walk = "\\G(?s:.*?)(" + pattern + ")"
+    whole = F.regexp_extract_all(text, F.lit(walk), 0)
+    hits = F.regexp_extract_all(text, F.lit(walk), 1)
+    ends = F.transform(
+        whole,
+        lambda _, i: F.aggregate(F.slice(whole, 1, i + 1), F.lit(0), lambda acc, x: acc + F.octet_length(x)),
+    )
+    return F.zip_with(
+        hits, ends, lambda m, e: F.struct((e - F.octet_length(m)).alias("s"), m.alias("m"))
     )
-
-    def step(acc, x):
-        s = acc["pos"] + F.octet_length(x["p"])
-        grown = F.struct(
-            (s + F.octet_length(x["m"])).alias("pos"),
-            F.array_append(acc["out"], F.struct(s.alias("s"), x["m"].alias("m"))).alias("out"),
-        )
-        return F.when(x["m"].isNull(), acc).otherwise(grown)
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
 
 
 def _tok(start: Column, end: Column, kind: str, value: Column) -> Column:
@@ -93,8 +95,8 @@ def _whole(raw: Column, kind: str, pattern: str) -> Column:
     )
 
 
-def tokens_col(raw="raw") -> Column:
-    """K1-K3: every token of the normalised line, sorted by start (then end, type)."""
+def token_parts(raw="raw") -> tuple[Column, Column]:
+    """(non-keyword tokens, keyword candidates) of the normalised line."""
     r = _col(raw)
     stamp = F.slice(
         F.transform(
@@ -118,9 +120,15 @@ def tokens_col(raw="raw") -> Column:
         lambda x: _tok(x["s"] + 5, x["s"] + F.octet_length(x["m"]), "ATTR_LIST", F.substring(x["m"], 6, 1 << 30)),
     )
     others = F.concat(stamp, threads, *[_whole(r, k, p) for k, p in WHOLE_MATCH_TOKENS], attrs, attr_lists)
-    candidates = _whole(r, "KEYWORD", KEYWORD_PATTERN)
-    # K2: a bare keyword overlapping any other token is dropped; keyword matches
-    # never overlap each other (one non-overlapping scan)
+    return others, _whole(r, "KEYWORD", KEYWORD_PATTERN)
+
+
+def combine_tokens(others: Column, candidates: Column) -> Column:
+    """K2 + K3: drop keywords overlapping any other token, sort by start.
+
+    Keyword matches never overlap each other (one non-overlapping scan), so
+    only the other tokens need testing.
+    """
     kept = F.filter(
         candidates,
         lambda k: ~F.exists(others, lambda o: (k["start_pos"] < o["end_pos"]) & (o["start_pos"] < k["end_pos"])),
@@ -128,6 +136,12 @@ def tokens_col(raw="raw") -> Column:
     return F.array_sort(F.concat(others, kept))
 
 
+def tokens_col(raw="raw") -> Column:
+    """K1-K3 as one expression (prefer ``with_tokens`` on DataFrames)."""
+    others, candidates = token_parts(raw)
+    return combine_tokens(others, candidates)
+
+
 def keywords_col(tokens="tokens") -> Column:
     """Keyword texts in line order (after overlap suppression)."""
     t = _col(tokens)
@@ -135,7 +149,11 @@ def keywords_col(tokens="tokens") -> Column:
 
 
 def with_tokens(df: DataFrame, raw: str = "raw", keywords: bool = True) -> DataFrame:
-    out = df.withColumn("tokens", tokens_col(raw))
+    """Add ``tokens`` (and ``keywords``) in two projections: the regex walks
+    materialise once, then the overlap test reads them as columns."""
+    others, candidates = token_parts(raw)
+    staged = df.select("*", others.alias("_tok_others"), candidates.alias("_tok_kw"))
+    out = staged.select(*df.columns, combine_tokens(F.col("_tok_others"), F.col("_tok_kw")).alias("tokens"))
     if keywords:
         out = out.withColumn("keywords", keywords_col("tokens"))
     return out

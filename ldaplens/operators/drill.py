@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ldaplens.functions.tokens import token_at, tokens_col
+from ldaplens.functions.tokens import token_at, with_tokens
 from ldaplens.operators.filters import FilterStack
 from ldaplens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
 
@@ -108,8 +108,9 @@ def drill_keys(logs: DataFrame, seeds: DataFrame) -> DataFrame:
     broadcast when it is below the row bound.
     """
     seed_side = broadcast_if_small(seeds.select("seed_id", "file", "line_no", "pos"), DEFAULT_MAX_BROADCAST_ROWS)
-    lines = logs.select("file", "line_no", "raw", "conn_id").join(seed_side, ["file", "line_no"])
-    tok = token_at(tokens_col(F.col("raw")), F.col("pos"))
+    lines = with_tokens(logs.select("file", "line_no", "raw", "conn_id").join(seed_side, ["file", "line_no"]),
+                        keywords=False)
+    tok = token_at(F.col("tokens"), F.col("pos"))
     with_tok = lines.select("seed_id", "file", "line_no", "conn_id", tok.alias("tok"))
     kind, key_conn, key_value = key_of_token(F.col("tok"), F.col("conn_id"))
     return with_tok.select(
@@ -221,7 +222,7 @@ def drill(logs: DataFrame, seeds: DataFrame, kinds=None, stack: FilterStack | No
     existing filters. Seeds on tokens without a drill (D9) contribute nothing.
     Result: ``(kind, key_conn, key_value, <log columns>)``.
     """
-    keys = drill_keys(logs, seeds)
+    keys = drill_keys(logs, seeds).persist()
     target = logs if stack is None or stack.empty else logs.where(stack.predicate())
     kinds = kinds or list(_KIND_DRILLS)
     parts = [_KIND_DRILLS[k](target, keys) for k in kinds]
