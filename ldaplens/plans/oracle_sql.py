@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ldaplens.plans import oracle as O
-from ldaplens.plans.queries import BASE, CONN, DN, DOC_QUERY, ERR, LABELLED, OP, SPAN_QUERY, TEXT, THREAD
+from ldaplens.plans.queries import EMPTY_FILE, FILE_CODECS, UNTERMINATED_FILE, BASE, CONN, DN, DOC_QUERY, ERR, LABELLED, OP, SPAN_QUERY, TEXT, THREAD
 
 P = O.parsed("mixed", "auto")
 
@@ -186,3 +186,20 @@ r AS (SELECT file, conn_id, min(line_no) AS first_line, max(line_no) AS last_lin
       FROM {P} q WHERE conn_id IS NOT NULL GROUP BY file, conn_id)
 SELECT p.file, p.conn_id, p.line_no, r.first_line, r.last_line, r.n_lines, p.value
 FROM {P} p JOIN k ON p.file = k.file AND p.conn_id = k.c JOIN r ON r.file = p.file AND r.conn_id = p.conn_id"""
+
+_L = O.lines("mixed")
+_CODEC_CASE = "CASE file " + " ".join(f"WHEN '{f}' THEN '{c}'" for f, c in FILE_CODECS.items()) + " END"
+
+ORACLE.update({
+    "scan_text": f"SELECT file, line_no, value FROM {_L} l",
+    "line_counts": (f"SELECT file, count(*) AS n_lines FROM {_L} l GROUP BY file "
+                    f"UNION ALL SELECT '{EMPTY_FILE}' AS file, CAST(0 AS BIGINT) AS n_lines"),
+    "slice_lines": f"SELECT file, line_no, value FROM {_L} l WHERE line_no >= 100 AND line_no < 150",
+    "tail_lines": f"""SELECT file, line_no, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS back FROM {_L} l) z
+WHERE (file <> '{UNTERMINATED_FILE}' AND back <= 10) OR (file = '{UNTERMINATED_FILE}' AND back BETWEEN 2 AND 11)""",
+    "codec_detect": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}')" for f, c in FILE_CODECS.items())
+                    + ") AS t(file, codec)",
+    "scan_compressed": f"SELECT file, line_no, value, {_CODEC_CASE} AS codec FROM {_L} l",
+    "ingest_roundtrip": f"SELECT file, line_no, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
+})

@@ -21,7 +21,9 @@ from ldaplens.operators.paging import first_last, goto, line_status, page, with_
 from ldaplens.operators.search import first_match_pos, query_from_token, search, search_numbered, search_spans
 from ldaplens.plans import oracle as O
 from ldaplens.session import ensure_utc, scratch_path
-from ldaplens.sources.derived import SYSLOG_AS_OF, doc_logs, event_logs
+from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed
+from ldaplens.sources.derived import SYSLOG_AS_OF, basename, doc_logs, event_logs, write_log_files
+from ldaplens.sources.text import line_counts, read_logs, slice_lines, tail_lines
 
 LOCAL_TZ = O.LOCAL_TZ
 
@@ -387,3 +389,77 @@ def q_failed_connections(spark, sf):
 
 
 QUERIES["failed_connections"] = q_failed_connections
+
+
+# ----------------------------------------------------------------- S (files)
+# Fixed layout of the written fixtures: which file gets which content codec
+# (all named .log, so the compressed ones are misnamed on purpose), which one
+# has CR LF line ends and which one lacks its final newline.
+FILE_CODECS = {"slapd-0.log": "none", "slapd-1.log": "gzip", "slapd-2.log": "bzip2", "slapd-3.log": "xz"}
+CRLF_FILE = "slapd-1.log"
+UNTERMINATED_FILE = "slapd-2.log"
+EMPTY_FILE = "slapd-empty.log"
+_WRITTEN: dict = {}
+
+
+def _files(spark: SparkSession, sf: str, kind: str) -> str:
+    """Folder of log files written by Spark from the derived lines (once per session)."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _WRITTEN:
+        out = scratch_path(spark, f"files-{kind}")
+        lines = event_logs(spark, sf, "mixed")
+        if kind == "text":
+            write_log_files(lines, out, crlf=[CRLF_FILE], unterminated=[UNTERMINATED_FILE])
+            if "://" not in out or out.startswith("file:"):
+                import os
+
+                open(os.path.join(out.replace("file:", "", 1), EMPTY_FILE), "wb").close()
+        else:
+            write_log_files(lines, out, codecs=FILE_CODECS)
+        _WRITTEN[key] = out
+    return _WRITTEN[key]
+
+
+def q_scan_text(spark, sf):
+    logs = read_logs(spark, _files(spark, sf, "text"))
+    return logs.select(basename("file").alias("file"), "line_no", "value")
+
+
+def q_line_counts(spark, sf):
+    return line_counts(spark, _files(spark, sf, "text")).select(basename("file").alias("file"), "n_lines")
+
+
+def q_slice_lines(spark, sf):
+    logs = read_logs(spark, _files(spark, sf, "text"))
+    return slice_lines(logs, 100, 50).select(basename("file").alias("file"), "line_no", "value")
+
+
+def q_tail_lines(spark, sf):
+    return tail_lines(spark, _files(spark, sf, "text"), 10).select(basename("file").alias("file"), "line_no", "value")
+
+
+def q_codec_detect(spark, sf):
+    return detect_codec(spark, _files(spark, sf, "compressed")).select(basename("file").alias("file"), "codec")
+
+
+def q_scan_compressed(spark, sf):
+    return read_compressed(spark, _files(spark, sf, "compressed")).select(
+        basename("file").alias("file"), "line_no", "value", "codec")
+
+
+def q_ingest_roundtrip(spark, sf):
+    ensure_utc(spark)
+    out = scratch_path(spark, "ingest")
+    t = ingest_logs(spark, _files(spark, sf, "compressed"), out, fmt="auto", as_of=SYSLOG_AS_OF)
+    return t.select(basename("file").alias("file"), "line_no", "ts_text", "conn_id", "op_id", "error_code", "raw")
+
+
+QUERIES.update({
+    "scan_text": q_scan_text,
+    "line_counts": q_line_counts,
+    "slice_lines": q_slice_lines,
+    "tail_lines": q_tail_lines,
+    "codec_detect": q_codec_detect,
+    "scan_compressed": q_scan_compressed,
+    "ingest_roundtrip": q_ingest_roundtrip,
+})

@@ -104,3 +104,113 @@ def event_logs(spark: SparkSession, sf_dir: str, head: str = "debug") -> DataFra
 
 def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(load(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ file fixtures
+def _create(path: str):
+    """Writable binary stream for a local or pyarrow-reachable path."""
+    if path.startswith("file:"):
+        path = path[5:]
+    if "://" not in path:
+        import os
+
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
+    from pyarrow import fs as pafs
+
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return filesystem.open_output_stream(inner)
+
+
+class _MemberWriter:
+    """Streams lines into ``codec`` members of at most ``member_lines`` lines each."""
+
+    def __init__(self, raw, codec: str, member_lines: int):
+        self.raw, self.codec, self.member_lines = raw, codec, member_lines
+        self.enc, self.in_member = None, 0
+
+    def _encoder(self):
+        import bz2
+        import zlib
+        import lzma
+
+        if self.codec == "gzip":
+            return zlib.compressobj(6, zlib.DEFLATED, 31)
+        if self.codec == "bzip2":
+            return bz2.BZ2Compressor()
+        return lzma.LZMACompressor(format=lzma.FORMAT_XZ)
+
+    def write(self, data: bytes) -> None:
+        if self.codec == "none":
+            self.raw.write(data)
+            return
+        if self.enc is None:
+            self.enc, self.in_member = self._encoder(), 0
+        self.raw.write(self.enc.compress(data))
+        self.in_member += 1
+        if self.in_member >= self.member_lines:
+            self.close_member()
+
+    def close_member(self) -> None:
+        if self.enc is not None:
+            self.raw.write(self.enc.flush())
+            self.enc = None
+
+
+def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None, crlf=(), unterminated=(),
+                    member_lines: int = 1000) -> DataFrame:
+    """Write ``(file, line_no, value)`` as real log files under ``out_dir``.
+
+    One task writes each file (a file is one ordered byte stream), streaming
+    line by line; files are spread over tasks by hash. ``codecs`` maps a file
+    name to ``none``, ``gzip``, ``bzip2`` or ``xz`` (content only: names are
+    kept as given, so a compressed file can be misnamed on purpose);
+    compressed files are written as concatenated members of ``member_lines``
+    lines (multi-member gzip, multi-stream bzip2, concatenated xz). Files in
+    ``crlf`` end lines with CR LF; files in ``unterminated`` have no final
+    newline. Returns ``(file, path, n_lines)``.
+    """
+    codecs = dict(codecs or {})
+    crlf, unterminated = set(crlf), set(unterminated)
+    base = out_dir.rstrip("/")
+    n_files = max(1, lines.select("file").distinct().count())
+
+    def write(batches):
+        import pandas as pd
+
+        done = []
+        state = {"name": None, "out": None, "writer": None, "count": 0, "pending": None}
+
+        def close():
+            if state["name"] is None:
+                return
+            name, w = state["name"], state["writer"]
+            if state["pending"] is not None:  # the last line: newline unless unterminated
+                eol = b"" if name in unterminated else (b"\r\n" if name in crlf else b"\n")
+                w.write(state["pending"] + eol)
+            w.close_member()
+            state["out"].close()
+            done.append((name, f"{base}/{name}", state["count"]))
+
+        for pdf in batches:
+            for name, value in zip(pdf["file"], pdf["value"]):
+                if name != state["name"]:
+                    close()
+                    out = _create(f"{base}/{name}")
+                    state.update(name=name, out=out, count=0, pending=None,
+                                 writer=_MemberWriter(out, codecs.get(name, "none"), member_lines))
+                if state["pending"] is not None:
+                    state["writer"].write(state["pending"] + (b"\r\n" if name in crlf else b"\n"))
+                state["pending"] = value.encode("utf-8")
+                state["count"] += 1
+        close()
+        yield pd.DataFrame(done, columns=["file", "path", "n_lines"])
+
+    written = (lines.repartition(n_files, "file").sortWithinPartitions("file", "line_no")
+               .mapInPandas(write, "file string, path string, n_lines long"))
+    rows = written.collect()  # one small row per written file
+    return lines.sparkSession.createDataFrame(rows, "file string, path string, n_lines long")
+
+
+def basename(col: str = "file") -> Column:
+    return F.element_at(F.split(F.col(col), "/"), -1)

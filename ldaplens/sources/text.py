@@ -68,18 +68,21 @@ def with_line_no(df: DataFrame) -> DataFrame:
     return joined.select("file", line_no, *rest)
 
 
+def _canonical(uri: str) -> str:
+    """File-index URIs spell local files ``file:///p``; row metadata says ``file:/p``."""
+    return "file:/" + uri[len("file:///"):] if uri.startswith("file:///") else uri
+
+
 def line_counts(spark: SparkSession, paths) -> DataFrame:
     """``(file, n_lines)``; empty files are listed with 0.
 
-    The file list comes from ``binaryFile`` with only ``path`` selected, so no
-    content is read for it.
+    Lines are counted with a partial aggregate per file. Empty files produce
+    no split (and so no row) in any file scan, so the file list comes from the
+    scan's file index (metadata only, one entry per file).
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"))
-    counts = _scan(spark, paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.count(F.lit(1)).alias("n_lines")
-    )
+    scan = _scan(spark, paths)
+    files = spark.createDataFrame([(_canonical(f),) for f in scan.inputFiles()], "file string")
+    counts = scan.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_lines"))
     return files.join(counts, "file", "left").select(
         "file", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines")
     )
