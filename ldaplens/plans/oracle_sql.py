@@ -203,3 +203,42 @@ WHERE (file <> '{UNTERMINATED_FILE}' AND back <= 10) OR (file = '{UNTERMINATED_F
     "scan_compressed": f"SELECT file, line_no, value, {_CODEC_CASE} AS codec FROM {_L} l",
     "ingest_roundtrip": f"SELECT file, line_no, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
 })
+
+
+def _bytes_before(src: str) -> str:
+    return (f"coalesce(sum(strlen(value) + 1) OVER (PARTITION BY file ORDER BY line_no "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+
+
+def _follow_sql(phases: list[tuple[str, int, str, bool]]) -> str:
+    """Union of follow outputs: (line predicate, generation, content predicate, tail only)."""
+    parts = []
+    for pred, gen, content, tail_only in phases:
+        seg = (f"SELECT file, line_no, value, {_bytes_before('x')} AS byte_pos, "
+               f"row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS back "
+               f"FROM (SELECT * FROM {P} p WHERE {content}) x")
+        keep = "back <= 10" if tail_only else "true"
+        parts.append(f"SELECT file, CAST({gen} AS INTEGER) AS generation, byte_pos, value, conn_id FROM "
+                     f"(SELECT s.*, p2.conn_id FROM ({seg}) s JOIN {P} p2 USING (file, line_no)) y "
+                     f"WHERE {keep} AND {pred}")
+    return "\nUNION ALL\n".join(parts)
+
+
+_N = "(SELECT max(line_no) + 1 FROM " + O.lines("mixed") + " q)"
+
+ORACLE.update({
+    # phase 1 = first half; its last 10 lines, then every line of the second half
+    "follow_append": _follow_sql([
+        ("true", 0, f"line_no < {_N} // 2", True),
+        (f"line_no >= {_N} // 2", 0, "true", False),
+    ]),
+    # generation 0: last 10 lines of the first 3/5; generation 1 (file rewritten
+    # with the 4th fifth, then the last fifth appended): its last 10 lines, then the appends
+    "follow_rotate": _follow_sql([
+        ("true", 0, f"line_no < {_N} * 3 // 5", True),
+        (f"line_no >= {_N} * 4 // 5 - 10", 1, f"line_no >= {_N} * 3 // 5", False),
+    ]),
+    "stream_parse": f"SELECT file, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
+    "stream_filter": (f"SELECT file, conn_id, raw FROM {P} p WHERE error_code = '{ERR}' "
+                      f"AND contains(raw, 'SEARCH')"),
+})

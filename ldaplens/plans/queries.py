@@ -24,6 +24,8 @@ from ldaplens.session import ensure_utc, scratch_path
 from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed
 from ldaplens.sources.derived import SYSLOG_AS_OF, basename, doc_logs, event_logs, write_log_files
 from ldaplens.sources.text import line_counts, read_logs, slice_lines, tail_lines
+from ldaplens.streaming.follow import follow_logs
+from ldaplens.streaming.stream import drain, parse_stream, run_to_parquet, stream_lines
 
 LOCAL_TZ = O.LOCAL_TZ
 
@@ -463,3 +465,84 @@ QUERIES.update({
     "scan_compressed": q_scan_compressed,
     "ingest_roundtrip": q_ingest_roundtrip,
 })
+
+
+# ----------------------------------------------------------------- S (streams)
+def _phase_bounds(lines: DataFrame, *fifths: int) -> list[int]:
+    """Line-number cut points at the given fifths of the longest file (integer math)."""
+    n = lines.agg(F.max("line_no")).first()[0] + 1
+    return [n * k // 5 for k in fifths]
+
+
+def _follow_run(spark, folder: str, sink: str, ckpt: str, state: str):
+    stream = follow_logs(spark, folder, tail=10, state=state)
+    parsed = parse_logs(stream, fmt="auto", as_of=SYSLOG_AS_OF)
+    drain(run_to_parquet(parsed.select("file", "generation", "byte_pos", "value", "conn_id"), sink, ckpt))
+
+
+def q_follow_append(spark, sf):
+    """S9 + S12: follow a growing log; the first batch is each file's last 10
+    lines, later batches exactly the appended lines (the query restarts from
+    its checkpoint between the two writes)."""
+    ensure_utc(spark)
+    lines = event_logs(spark, sf, "mixed")
+    n = lines.agg(F.max("line_no")).first()[0] + 1
+    half = n // 2
+    folder, sink, ckpt = (scratch_path(spark, x) for x in ("follow-logs", "follow-sink", "follow-ckpt"))
+    state = ckpt + "-state.json"
+    write_log_files(lines.where(F.col("line_no") < half), folder)
+    _follow_run(spark, folder, sink, ckpt, state)
+    write_log_files(lines.where(F.col("line_no") >= half), folder, append=True)
+    _follow_run(spark, folder, sink, ckpt, state)
+    return spark.read.parquet(sink).select(basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id")
+
+
+def q_follow_rotate(spark, sf):
+    """The followed files are truncated and rewritten (copy-truncate
+    rotation), then grow again: the new generation replays its last 10 lines,
+    then follows the appends."""
+    ensure_utc(spark)
+    lines = event_logs(spark, sf, "mixed")
+    a, b = _phase_bounds(lines, 3, 4)
+    folder, sink, ckpt = (scratch_path(spark, x) for x in ("rotate-logs", "rotate-sink", "rotate-ckpt"))
+    state = ckpt + "-state.json"
+    write_log_files(lines.where(F.col("line_no") < a), folder)
+    _follow_run(spark, folder, sink, ckpt, state)
+    write_log_files(lines.where((F.col("line_no") >= a) & (F.col("line_no") < b)), folder)
+    _follow_run(spark, folder, sink, ckpt, state)
+    write_log_files(lines.where(F.col("line_no") >= b), folder, append=True)
+    _follow_run(spark, folder, sink, ckpt, state)
+    return spark.read.parquet(sink).select(basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id")
+
+
+def _stream_folder(spark, sf) -> str:
+    return _files(spark, sf, "text")
+
+
+def q_stream_parse(spark, sf):
+    """S11 + S13: a stock file stream of new log files, parsed, to a parquet sink."""
+    ensure_utc(spark)
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    parsed = parse_stream(stream_lines(spark, _stream_folder(spark, sf), max_files_per_trigger=2),
+                          as_of=SYSLOG_AS_OF)
+    drain(run_to_parquet(parsed.select("file", "ts_text", "conn_id", "op_id", "error_code", "raw"), sink, ckpt))
+    return spark.read.parquet(sink).select(basename("file").alias("file"), "ts_text", "conn_id", "op_id",
+                                           "error_code", "raw")
+
+
+def q_stream_filter(spark, sf):
+    """the stack on the stream (line ranges do not apply to streams)."""
+    ensure_utc(spark)
+    sink, ckpt = scratch_path(spark, "sfilter-sink"), scratch_path(spark, "sfilter-ckpt")
+    stack = FilterStack().push(Filter("err", ERR, 0, 10)).push(Filter("text", "SEARCH"))
+    parsed = parse_stream(stream_lines(spark, _stream_folder(spark, sf)), as_of=SYSLOG_AS_OF, stack=stack)
+    drain(run_to_parquet(parsed.select("file", "conn_id", "raw"), sink, ckpt))
+    return spark.read.parquet(sink).select(basename("file").alias("file"), "conn_id", "raw")
+
+
+QUERIES.update({
+    "follow_append": q_follow_append,
+    "follow_rotate": q_follow_rotate,
+    "stream_parse": q_stream_parse,
+    "stream_filter": q_stream_filter,
+})

@@ -107,18 +107,20 @@ def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ file fixtures
-def _create(path: str):
-    """Writable binary stream for a local or pyarrow-reachable path."""
+def _create(path: str, mode: str = "wb"):
+    """Writable binary stream for a local or pyarrow-reachable path (``ab`` appends)."""
     if path.startswith("file:"):
         path = path[5:]
     if "://" not in path:
         import os
 
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        return open(path, "wb")
+        return open(path, mode)
     from pyarrow import fs as pafs
 
     filesystem, inner = pafs.FileSystem.from_uri(path)
+    if mode == "ab":
+        return filesystem.open_append_stream(inner)
     return filesystem.open_output_stream(inner)
 
 
@@ -158,7 +160,7 @@ class _MemberWriter:
 
 
 def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None, crlf=(), unterminated=(),
-                    member_lines: int = 1000) -> DataFrame:
+                    member_lines: int = 1000, append: bool = False) -> DataFrame:
     """Write ``(file, line_no, value)`` as real log files under ``out_dir``.
 
     One task writes each file (a file is one ordered byte stream), streaming
@@ -168,7 +170,8 @@ def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None,
     compressed files are written as concatenated members of ``member_lines``
     lines (multi-member gzip, multi-stream bzip2, concatenated xz). Files in
     ``crlf`` end lines with CR LF; files in ``unterminated`` have no final
-    newline. Returns ``(file, path, n_lines)``.
+    newline. ``append`` adds to existing files (a growing log) instead of
+    replacing them. Returns ``(file, path, n_lines)``.
     """
     codecs = dict(codecs or {})
     crlf, unterminated = set(crlf), set(unterminated)
@@ -196,7 +199,7 @@ def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None,
             for name, value in zip(pdf["file"], pdf["value"]):
                 if name != state["name"]:
                     close()
-                    out = _create(f"{base}/{name}")
+                    out = _create(f"{base}/{name}", "ab" if append else "wb")
                     state.update(name=name, out=out, count=0, pending=None,
                                  writer=_MemberWriter(out, codecs.get(name, "none"), member_lines))
                 if state["pending"] is not None:
