@@ -37,6 +37,14 @@ FIELD_PATTERNS = {
     "nentries": r"nentries=(\d+)",
 }
 
+# A literal every match of the field's pattern contains; lines
+# without it skip the regex (a substring test is far cheaper than a regex scan).
+FIELD_ANCHORS = {
+    "thread_id": "0x", "conn_id": "conn=", "op_id": "op=", "dn": 'dn="', "ldap_filter": 'filter="',
+    "base": 'base="', "error_code": "err=", "ip": "IP=", "fd": "fd=", "tag": "tag=", "etime": "etime=",
+    "qtime": "qtime=", "scope": "scope=", "deref": "deref=", "attrs": "attr=", "nentries": "nentries=",
+}
+
 # The seven fields a viewer stores per line; the rest are token-only there.
 CORE_FIELDS = ("thread_id", "conn_id", "op_id", "dn", "ldap_filter", "base", "error_code")
 EXTRA_FIELDS = ("ip", "fd", "tag", "etime", "qtime", "scope", "deref", "attrs", "nentries")
@@ -50,7 +58,7 @@ def last_match(raw: Column, pattern: str) -> Column:
 
 def field(name: str, raw="raw") -> Column:
     r = F.col(raw) if isinstance(raw, str) else raw
-    return last_match(r, FIELD_PATTERNS[name]).alias(name)
+    return F.when(r.contains(FIELD_ANCHORS[name]), last_match(r, FIELD_PATTERNS[name])).alias(name)
 
 
 def strip_cr(value="value") -> Column:
@@ -64,6 +72,19 @@ def with_fields(df: DataFrame, fields=ALL_FIELDS, raw: str = "raw") -> DataFrame
     return df.select("*", *[field(n, raw) for n in fields])
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """An optimizer barrier: later filters stay above the parse.
+
+    Catalyst pushes a filter below a projection by substituting each parsed
+    column with the expression that computes it; through the staged parse
+    that multiplies the regex expressions in the predicate (planning time
+    and per-row work both explode). Re-emitting the rows through ``inline``
+    (a generator) stops the substitution: every field is computed once per
+    row and the filter reads the columns.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def parse_logs(
     df: DataFrame,
     fmt: str = "auto",
@@ -71,6 +92,7 @@ def parse_logs(
     tz: str | None = None,
     fields=ALL_FIELDS,
     typed: bool = True,
+    fenced: bool = True,
 ) -> DataFrame:
     """Lines (``value`` column, plus any keys) -> parsed rows.
 
@@ -78,6 +100,10 @@ def parse_logs(
     projection. Typed companions (``etime_s``, ``qtime_s``, ``nentries_n``,
     ``conn_n``, ``err_n``) are added with ``try_cast`` for analytics; filters
     compare the string columns, as the viewer does.
+
+    The result is ``fence``d (see there), so every selected field is
+    computed once per row even under filters; pass only the ``fields`` a
+    query needs to keep the work small.
     """
     with_raw = normalize_frame(df, fmt, as_of, tz)
     stamp = ts_text(F.col("raw"))
@@ -93,4 +119,4 @@ def parse_logs(
             extras.append(F.col("nentries").try_cast("bigint").alias("nentries_n"))
         if extras:
             out = out.select("*", *extras)
-    return out
+    return fence(out) if fenced else out

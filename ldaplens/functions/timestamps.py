@@ -213,19 +213,25 @@ def normalize_frame(df, fmt: str = "auto", as_of=None, tz: str | None = None,
     if want_debug:
         dh = F.col("_dh")
         sec_hex = F.substring_index(dh, ".", 1)
-        sig = F.regexp_replace(sec_hex, "^0+", "")
-        dec = F.conv(F.when((dh != "") & (F.length(sig) <= 16), sec_hex), 16, 10)
+        sig = F.lower(F.expr("trim(LEADING '0' FROM substring_index(_dh, '.', 1))"))
+        # seconds up to 9999-12-31T23:59:59 (0x3afff4417f): compare equal-length hex as text
+        fits = (F.length(sig) < 10) | ((F.length(sig) == 10) & (sig <= F.lit(format(_MAX_EPOCH_SECONDS, "x"))))
         s2 += [
-            F.when(dec.cast("decimal(20,0)") <= F.lit(_MAX_EPOCH_SECONDS), dec.cast("bigint")).alias("_dsec"),
+            F.when((dh != "") & fits, F.conv(sec_hex, 16, 10).cast("bigint")).alias("_dsec"),
             F.translate(F.substring_index(dh, ".", -1), " \t", "").alias("_dfrac"),
             v.substr(F.length(dh) + 1, F.lit(1 << 30)).alias("_dafter"),
             dh,
         ]
     if want_syslog:
         sh = F.col("_sh")
-        parts = F.filter(F.split(F.trim(sh), " "), lambda x: x != "")
+        core = F.rtrim(sh)  # "Mon dd HH:MM:SS" with any run of blanks between the parts
+        # Month abbreviations, "|"-delimited so only whole names match
+        months = "|" + "|".join(MONTHS) + "|"
+        pos = F.instr(F.lit(months), F.concat(F.lit("|"), F.lower(F.substring(core, 1, 3)), F.lit("|")))
         s2 += [
-            F.when(sh != "", parts).alias("_sparts"),
+            F.when((sh != "") & (pos > 0), ((pos + 3) / 4).cast("int")).alias("_smon"),
+            F.when(sh != "", F.trim(core.substr(F.lit(4), F.length(core) - 11))).try_cast("int").alias("_sday"),
+            F.substring(core, -8, 8).alias("_shms"),
             v.substr(F.length(sh) + 1, F.lit(1 << 30)).alias("_srest"),
         ]
     st = st.select(*cols, *s2)
@@ -233,20 +239,17 @@ def normalize_frame(df, fmt: str = "auto", as_of=None, tz: str | None = None,
     raw = v
     if want_syslog:
         year_now, month_now = _as_of_parts(as_of)
-        month_map = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
-        p = F.col("_sparts")
-        mon = F.element_at(month_map, F.lower(F.element_at(p, 1)))
-        day = F.element_at(p, 2).cast("int")
-        hms = F.element_at(p, 3)
-        secs_of_day = (F.substring(hms, 1, 2).cast("int") * 3600 + F.substring(hms, 4, 2).cast("int") * 60
-                       + F.substring(hms, 7, 2).cast("int"))
+        mon, day, hms = F.col("_smon"), F.col("_sday"), F.col("_shms")
+        secs_of_day = (F.substring(hms, 1, 2).try_cast("int") * 3600 + F.substring(hms, 4, 2).try_cast("int") * 60
+                       + F.substring(hms, 7, 2).try_cast("int"))
         year = F.greatest(F.when(mon > month_now, year_now - 1).otherwise(year_now), F.lit(1970))
         seconds = (F.unix_date(F.make_date(year, mon, F.lit(1))).cast("bigint") * 86400
                    + (day - 1).cast("bigint") * 86400 + secs_of_day)
-        wall = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_NTZ))
-        utc = wall if fmt != "syslog-local" else F.convert_timezone(F.lit(tz or "UTC"), F.lit("UTC"), wall)
-        syslog_raw = F.concat(epoch_to_text(_ntz_seconds(utc)), F.lit(".000000000Z "), F.col("_srest"))
-        raw = F.when(p.isNotNull() & mon.isNotNull(), syslog_raw).otherwise(raw)
+        if fmt == "syslog-local":
+            wall = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_NTZ))
+            seconds = _ntz_seconds(F.convert_timezone(F.lit(tz or "UTC"), F.lit("UTC"), wall))
+        syslog_raw = F.concat(epoch_to_text(seconds), F.lit(".000000000Z "), F.col("_srest"))
+        raw = F.when(mon.isNotNull(), syslog_raw).otherwise(raw)
     if want_debug:
         frac_hex = F.col("_dfrac")
         frac_dec = F.conv(frac_hex, 16, 10)

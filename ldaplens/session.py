@@ -64,3 +64,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/ldaplens-{name}-{uuid.uuid4().hex}"
+
+
+def ensure_parallelism(df):
+    """Spread a scan that came back in fewer partitions than the cluster has cores.
+
+    A small single-file table is one split (one task) however many cores
+    exist; a round-robin repartition then costs one small shuffle and buys
+    full parallelism for the per-line regex work. Large inputs already have
+    more splits than cores and are returned untouched (no shuffle).
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import strip_cr
+from ldaplens.session import ensure_parallelism
 
 N_FILES = 4
 # Fixed "now" for syslog year inference, so derived syslog lines are reproducible.
@@ -99,11 +100,11 @@ def document_lines(documents: DataFrame) -> DataFrame:
 
 
 def event_logs(spark: SparkSession, sf_dir: str, head: str = "debug") -> DataFrame:
-    return event_log_lines(load(spark, sf_dir, "events"), head)
+    return ensure_parallelism(event_log_lines(load(spark, sf_dir, "events"), head))
 
 
 def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines(load(spark, sf_dir, "documents"))
+    return ensure_parallelism(document_lines(load(spark, sf_dir, "documents")))
 
 
 # ------------------------------------------------------------ file fixtures

@@ -40,15 +40,29 @@ def _local(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-def _identity(path: str) -> str | None:
-    """Device, inode and a digest of the first bytes (inode numbers get reused)."""
+def _identity(path: str, head_len: int | None = None) -> str | None:
+    """``dev:ino:n:digest`` -- device, inode and a digest of the first ``n`` bytes
+    (inode numbers get reused). ``n`` is fixed when a file is first seen, so
+    appends to a short file do not look like a new file."""
     try:
         st = os.stat(path)
+        n = min(_HEAD_BYTES, st.st_size) if head_len is None else head_len
         with open(path, "rb") as f:
-            head = f.read(_HEAD_BYTES)
+            head = f.read(n)
     except OSError:
         return None
-    return f"{st.st_dev}:{st.st_ino}:{hashlib.sha1(head).hexdigest()[:12]}"
+    if len(head) < n:  # shorter than when first seen: not the same content
+        return f"{st.st_dev}:{st.st_ino}:{n}:truncated"
+    return f"{st.st_dev}:{st.st_ino}:{n}:{hashlib.sha1(head).hexdigest()[:12]}"
+
+
+def _same_file(path: str, ident: str) -> str | None:
+    """Identity of ``path`` measured like ``ident`` (same head length)."""
+    try:
+        n = int(ident.split(":")[2])
+    except (IndexError, ValueError):
+        n = None
+    return _identity(path, n)
 
 
 def _last_newline_end(path: str, size: int, floor: int) -> int:
@@ -151,15 +165,15 @@ class FollowReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         files = dict(self._base()["files"])
         for f in self._files():
-            ident = _identity(f)
+            old = files.get(f)
+            ident = _identity(f) if old is None else _same_file(f, old["id"])
             if ident is None:  # missing for now: keep the offset
                 continue
-            old = files.get(f)
             size = os.path.getsize(f)
             if old is None:  # appeared later: read it from its start
                 files[f] = {"id": ident, "gen": 0, "pos": _last_newline_end(f, size, 0), "from": 0}
             elif ident != old["id"] or size < old["pos"]:  # rotated, replaced or truncated
-                files[f] = self._generation(f, ident, old["gen"] + 1)
+                files[f] = self._generation(f, _identity(f), old["gen"] + 1)
             else:
                 files[f] = {**old, "pos": _last_newline_end(f, size, old["pos"])}
         latest = {"files": files}
