@@ -15,6 +15,7 @@ join, where AQE splits a hot key (one connection may hold a third of a file).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +114,13 @@ def drill_keys(logs: DataFrame, seeds: DataFrame) -> DataFrame:
     tok = token_at(F.col("tokens"), F.col("pos"))
     with_tok = lines.select("seed_id", "file", "line_no", "conn_id", tok.alias("tok"))
     kind, key_conn, key_value = key_of_token(F.col("tok"), F.col("conn_id"))
-    return with_tok.select(
+    keys = with_tok.select(
         "seed_id", "file", "line_no",
         F.col("tok.type").alias("token_type"),
         kind.alias("kind"), key_conn.alias("key_conn"), key_value.alias("key_value"),
     )
+    # one row per seed; read once per drill kind and per size check, so keep it
+    return keys.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # ------------------------------------------------------------- keys -> lines
@@ -222,7 +225,7 @@ def drill(logs: DataFrame, seeds: DataFrame, kinds=None, stack: FilterStack | No
     existing filters. Seeds on tokens without a drill (D9) contribute nothing.
     Result: ``(kind, key_conn, key_value, <log columns>)``.
     """
-    keys = drill_keys(logs, seeds).persist()
+    keys = drill_keys(logs, seeds)
     target = logs if stack is None or stack.empty else logs.where(stack.predicate())
     kinds = kinds or list(_KIND_DRILLS)
     parts = [_KIND_DRILLS[k](target, keys) for k in kinds]
