@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ldaplens.operators.joins import broadcast_if_small
+
 DEFAULT_BUCKET = 1 << 20
 
 
@@ -59,9 +61,9 @@ def line_status(df: DataFrame, totals: DataFrame) -> DataFrame:
     """V5: 1-based line number, file total, connection and DN of each row.
 
     ``totals`` is ``(file, n_lines)`` (``line_counts`` or a count of the
-    log); one row per file, joined with a broadcast hash join.
+    log): one row per file, broadcast when the file count is under the bound.
     """
-    return df.join(F.broadcast(totals.select("file", "n_lines")), "file").select(
+    return df.join(broadcast_if_small(totals.select("file", "n_lines")), "file").select(
         "file",
         "line_no",
         (F.col("line_no") + 1).alias("line_number"),

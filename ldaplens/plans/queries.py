@@ -17,6 +17,7 @@ from ldaplens.operators.drill import (
     drill_thread, undo, visible_counts,
 )
 from ldaplens.operators.filters import Filter, FilterStack, apply_filters
+from ldaplens.operators.joins import broadcast_if_small
 from ldaplens.operators.paging import first_last, goto, line_status, page, with_ordinal
 from ldaplens.operators.search import first_match_pos, query_from_token, search, search_numbered, search_spans
 from ldaplens.plans import oracle as O
@@ -381,12 +382,16 @@ QUERIES = {
 # ----------------------------------------------------------------- flagship
 def q_failed_connections(spark, sf):
     """A1 + D1: every line of every connection that had a failed result, with
-    the connection's first line, last line and size."""
+    the connection's first line, last line and size.
+
+    The ranges are aggregated from the drilled lines only (one row per keyed
+    connection, so the same bound as the key table) instead of from the whole
+    log, and joined back under that bound."""
     p = _parsed(spark, sf)
     keys = drill_keys(p, _seeds(p, F.col("error_code") == ERR, "conn="))
     lines = drill_conn(p, keys).select("file", "conn_id", "line_no", "value")
-    ranges = conn_ranges(p.select("file", "line_no", "conn_id"))
-    return lines.join(ranges, ["file", "conn_id"]).select(
+    ranges = conn_ranges(lines)
+    return lines.join(broadcast_if_small(ranges), ["file", "conn_id"]).select(
         "file", "conn_id", "line_no", "first_line", "last_line", "n_lines", "value")
 
 
