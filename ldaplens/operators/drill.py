@@ -23,8 +23,11 @@ from ldaplens.functions.tokens import token_at, with_tokens
 from ldaplens.operators.filters import FilterStack
 from ldaplens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
 
-# Needles per broadcast chunk for substring drills.
+# Needle-set size up to which substring drills (D7, D8) use a broadcast
+# contains-join in the JVM; above it, Aho-Corasick over chunks of at most
+# AUTOMATON_NEEDLES needles (each chunk one broadcast).
 MAX_NEEDLES_PER_CHUNK = 256
+AUTOMATON_NEEDLES = 200_000
 
 KEY_SCHEMA = "file string, kind string, key_conn string, key_value string"
 
@@ -172,36 +175,96 @@ def drill_base(logs: DataFrame, keys: DataFrame) -> DataFrame:
     return _drill_eq(logs, keys, "base", "base")
 
 
-def drill_text(logs: DataFrame, keys: DataFrame, max_needles: int = MAX_NEEDLES_PER_CHUNK) -> DataFrame:
+def drill_text(logs: DataFrame, keys: DataFrame, max_needles: int = MAX_NEEDLES_PER_CHUNK,
+               automaton_chunk: int = AUTOMATON_NEEDLES) -> DataFrame:
     """Lines of the seed's file whose normalised text contains the needle.
 
-    The needles (distinct per file) are counted; each chunk of at most
-    ``max_needles`` is broadcast and joined on ``file`` with a ``contains``
-    residual, so no task ever holds more than a chunk of needles and the
-    log is never paired with an unbounded needle set. Chunks are hash
-    buckets of the needle; a line that holds several needles yields one row
-    per needle, which is the result, not a blow-up.
+    The distinct ``(file, needle)`` pairs are counted first:
+
+    * up to ``max_needles``: one broadcast of the needles and a join on
+      ``file`` with a ``contains`` residual, all in the JVM;
+    * more: Aho-Corasick. Needles are cut into hash chunks of at most
+      ``automaton_chunk``; each chunk is broadcast once and every task builds
+      one automaton per file from it and scans each line once (linear in the
+      line, whatever the needle count) inside ``mapInPandas``. Without the
+      ``ahocorasick`` module the chunks use the ``contains`` join instead.
+
+    No task ever holds more than one bounded chunk, and the log is never
+    paired with every needle. A line holding several needles yields one row
+    per needle -- that is the result, not a blow-up.
     """
     needles = _distinct_keys(keys, "text", ["file", F.col("key_value").alias("_needle")])
-    needles = needles.where(F.col("_needle") != "")
+    needles = needles.where(F.col("_needle") != "").persist(StorageLevel.MEMORY_AND_DISK)
     n = needles.count()
     if n == 0:
         return _empty_drill(logs)
-    n_chunks = max(1, -(-n // max_needles))
-    parts = []
+    if n <= max_needles:
+        return _contains_join(logs, needles, max_needles)
+    try:
+        import ahocorasick  # noqa: F401
+        chunk_size, joiner = automaton_chunk, _automaton_scan
+    except ImportError:
+        chunk_size, joiner = max_needles, _contains_join
+    n_chunks = -(-n // chunk_size)
     bucket = F.pmod(F.xxhash64("file", "_needle"), F.lit(n_chunks))
+    out = None
     for i in range(n_chunks):
-        chunk = needles.where(bucket == i) if n_chunks > 1 else needles
-        chunk = broadcast_if_small(chunk.withColumnRenamed("file", "_nfile"), 4 * max_needles)
-        joined = logs.join(chunk, (F.col("file") == F.col("_nfile")) & F.col("raw").contains(F.col("_needle")))
-        parts.append(joined.select(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("key_conn"),
-                                   F.col("_needle").alias("key_value"), *logs.columns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = joiner(logs, needles.where(bucket == i) if n_chunks > 1 else needles, 2 * chunk_size)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _tag_text(df: DataFrame, logs: DataFrame) -> DataFrame:
+    return df.select(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("key_conn"),
+                     F.col("_needle").alias("key_value"), *logs.columns)
+
+
+def _contains_join(logs: DataFrame, needles: DataFrame, bound: int) -> DataFrame:
+    side = broadcast_if_small(needles.withColumnRenamed("file", "_nfile"), bound)
+    joined = logs.join(side, (F.col("file") == F.col("_nfile")) & F.col("raw").contains(F.col("_needle")))
+    return _tag_text(joined, logs)
+
+
+def _automaton_scan(logs: DataFrame, needles: DataFrame, bound: int) -> DataFrame:
+    rows = needles.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError("needle chunk exceeds its bound")
+    by_file: dict = {}
+    for r in rows:
+        by_file.setdefault(r["file"], []).append(r["_needle"])
+    shared = logs.sparkSession.sparkContext.broadcast(by_file)
+    schema = logs.schema.add("_needle", "string")
+
+    def scan(batches):
+        import ahocorasick
+        import pandas as pd
+
+        automata = {}
+        for pdf in batches:
+            out = []
+            for rec in pdf.itertuples(index=False):
+                f = rec.file
+                if f not in automata:
+                    words = shared.value.get(f)
+                    a = None
+                    if words:
+                        a = ahocorasick.Automaton()
+                        for w in words:
+                            a.add_word(w, w)
+                        a.make_automaton()
+                    automata[f] = a
+                a = automata[f]
+                if a is None or rec.raw is None:
+                    continue
+                for needle in {w for _, w in a.iter(rec.raw)}:
+                    out.append((*rec, needle))
+            if out:
+                yield pd.DataFrame(out, columns=[*pdf.columns, "_needle"])
+
+    candidates = logs.where(F.col("file").isin(list(by_file)))
+    return _tag_text(candidates.mapInPandas(scan, schema), logs)
+
+
 def _empty_drill(logs: DataFrame) -> DataFrame:
     return logs.where(F.lit(False)).select(
         F.lit("text").alias("kind"), F.lit(None).cast("string").alias("key_conn"),

@@ -70,7 +70,9 @@ def test_drill_text_chunks_equal_single_chunk(spark, lines):
     keys = drill_keys(logs, seeds)
     one = sorted((r.key_value, r.line_no) for r in drill_text(logs, keys, max_needles=100).collect())
     many = sorted((r.key_value, r.line_no) for r in drill_text(logs, keys, max_needles=1).collect())
-    assert one == many == [("(uid=a)", 3), ("(uid=b)", 6), ("cn uid", 8)]
+    chunks = sorted((r.key_value, r.line_no)
+                    for r in drill_text(logs, keys, max_needles=1, automaton_chunk=1).collect())
+    assert one == many == chunks == [("(uid=a)", 3), ("(uid=b)", 6), ("cn uid", 8)]
 
 
 def test_ordinals_dense_across_buckets(spark):
