@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ldaplens.functions.tokens import token_at, with_tokens
 from ldaplens.operators.filters import FilterStack
@@ -233,7 +234,7 @@ def _automaton_scan(logs: DataFrame, needles: DataFrame, bound: int) -> DataFram
     for r in rows:
         by_file.setdefault(r["file"], []).append(r["_needle"])
     shared = logs.sparkSession.sparkContext.broadcast(by_file)
-    schema = logs.schema.add("_needle", "string")
+    schema = StructType(list(logs.schema.fields) + [StructField("_needle", StringType())])
 
     def scan(batches):
         import ahocorasick
