@@ -41,6 +41,19 @@ WHOLE_MATCH_TOKENS = (
     ("NENTRIES", r"nentries=\d+"),
     ("KEYWORD", r"SEARCH RESULT"),
 )
+# The key of each "key=<digits|dots|address>" token type.
+KEYED_TOKENS = {
+    "conn": "CONN_ID", "op": "OP_ID", "IP": "IP_ADDRESS", "err": "ERROR_CODE", "fd": "FD_NUM",
+    "tag": "TAG", "etime": "ETIME_VAL", "qtime": "QTIME_VAL", "scope": "SCOPE", "deref": "DEREF",
+    "nentries": "NENTRIES",
+}
+# A match of one of these never contains or overlaps a match of another (each
+# is its key, "=", then digits, dots or ':'; no key occurs inside another key
+# or after "="), so one alternation walk finds exactly the matches the
+# separate walks would. Quoted bodies can hold other tokens and stay separate.
+_KEYED = dict(WHOLE_MATCH_TOKENS)
+KEYED_PATTERN = "|".join(_KEYED[t] for t in KEYED_TOKENS.values())
+SEPARATE_TOKENS = tuple((t, p) for t, p in WHOLE_MATCH_TOKENS if t not in KEYED_TOKENS.values())
 THREAD_TOKEN = RFC3339_STAMP + r"\s+0x[0-9a-fA-F]{8,16}"
 ATTR_TOKEN = r"attr=\S+(?:\s\S+)*"
 # Single-word keywords. Word edges are ASCII ([A-Za-z0-9_]):
@@ -80,11 +93,11 @@ def match_spans(text: Column, pattern: str) -> Column:
     )
 
 
-def _tok(start: Column, end: Column, kind: str, value: Column) -> Column:
+def _tok(start: Column, end: Column, kind, value: Column, type_col: Column | None = None) -> Column:
     return F.struct(
         start.cast("int").alias("start_pos"),
         end.cast("int").alias("end_pos"),
-        F.lit(kind).alias("type"),
+        (type_col if type_col is not None else F.lit(kind)).alias("type"),
         value.alias("value"),
     )
 
@@ -119,7 +132,13 @@ def token_parts(raw="raw") -> tuple[Column, Column]:
         attr_spans,
         lambda x: _tok(x["s"] + 5, x["s"] + F.octet_length(x["m"]), "ATTR_LIST", F.substring(x["m"], 6, 1 << 30)),
     )
-    others = F.concat(stamp, threads, *[_whole(r, k, p) for k, p in WHOLE_MATCH_TOKENS], attrs, attr_lists)
+    key_type = F.create_map(*[x for k, t in KEYED_TOKENS.items() for x in (F.lit(k), F.lit(t))])
+    keyed = F.transform(
+        match_spans(r, KEYED_PATTERN),
+        lambda x: _tok(x["s"], x["s"] + F.octet_length(x["m"]),
+                       None, x["m"], type_col=F.element_at(key_type, F.substring_index(x["m"], "=", 1))),
+    )
+    others = F.concat(stamp, threads, keyed, *[_whole(r, k, p) for k, p in SEPARATE_TOKENS], attrs, attr_lists)
     return others, _whole(r, "KEYWORD", KEYWORD_PATTERN)
 
 
