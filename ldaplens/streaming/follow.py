@@ -252,3 +252,25 @@ def new_line_count(query) -> int:
 
 def offsets_json(offset: dict) -> str:
     return json.dumps(offset, sort_keys=True)
+
+
+def follow_into_table(spark: SparkSession, path: str, table: str, checkpoint: str, fmt: str = "auto",
+                      as_of=None, tz=None, tail: int = DEFAULT_TAIL, trigger_seconds: float | None = None):
+    """Keep a parsed Parquet table up to date with the followed files.
+
+    Each micro-batch is parsed and written to ``table/batch_id=<id>`` with
+    overwrite, so a batch retried after a failure replaces its own output
+    instead of duplicating lines (exactly-once on top of the logged offsets).
+    ``new_line_count(query)`` gives the lines the last refresh added.
+    """
+    from ldaplens.functions.fields import parse_logs
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        parse_logs(batch, fmt=fmt, as_of=as_of, tz=tz).write.mode("overwrite").parquet(
+            f"{table.rstrip('/')}/batch_id={batch_id}")
+
+    stream = follow_logs(spark, path, tail=tail, state=checkpoint.rstrip("/") + "-follow-state.json")
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    if trigger_seconds:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.start()

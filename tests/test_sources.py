@@ -87,3 +87,18 @@ def test_follow_append_partial_and_truncate(spark):
     got = [(r.generation, r.value) for r in spark.read.parquet(sink).orderBy("generation", "byte_pos").collect()]
     assert got == ([(0, f"a{i}") for i in range(5, 15)] + [(0, "partial"), (0, "b1")]
                    + [(1, "c0"), (1, "c1")])
+
+
+def test_follow_into_table_counts_new_lines(spark):
+    from ldaplens.streaming.follow import follow_into_table, new_line_count
+
+    d = _dir()
+    os.makedirs(f"{d}/logs")
+    open(f"{d}/logs/s.log", "w").write("conn=1 op=0 BIND\nconn=1 op=1 SRCH\n")
+    q = follow_into_table(spark, f"{d}/logs", f"{d}/table", f"{d}/ck", fmt="rfc3339")
+    q.processAllAvailable()
+    assert new_line_count(q) == 2
+    open(f"{d}/logs/s.log", "a").write("conn=2 op=0 BIND\n")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.conn_id for r in spark.read.parquet(f"{d}/table").collect()) == ["1", "1", "2"]
