@@ -33,6 +33,7 @@ def get_spark(master: str | None = None, app: str = "ldaplens", shuffle_partitio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +80,44 @@ def ensure_parallelism(df):
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ldaplens`` importable on every executor (once per SparkContext).
+
+    Python tasks (file writer, decoder and follow sources, Aho-Corasick
+    drill) unpickle functions by module name, so the package must be on the
+    executors' path. It is zipped into the shared checkpoint folder and
+    registered with ``addPyFile``, which distributes it with the job; its
+    functions and classes are also pickled by value.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    # Python data sources are planned in a separate driver-side Python process
+    # that does not see addPyFile; pickling the package's functions and classes
+    # by value makes them self-contained wherever they are unpickled.
+    import ldaplens
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(ldaplens)
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles") + "/ldaplens.zip"
+    local = target[5:] if target.startswith("file:") else target
+    if "://" in local:  # remote shared folder: build locally, then copy through Hadoop FS
+        local = os.path.join(tempfile.mkdtemp(prefix="ldaplens-zip-"), "ldaplens.zip")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("ldaplens", os.path.relpath(full, pkg)))
+    sc.addPyFile(local)
+    _SHIPPED.add(key)
