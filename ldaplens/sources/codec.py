@@ -178,16 +178,19 @@ def ingest_logs(spark: SparkSession, paths, out: str, fmt: str = "auto", as_of=N
     Range partitioning on ``(file, line_no)`` spreads one huge file over many
     output files, and sorting within them gives tight per-row-group min/max
     statistics, so later ``line_no`` ranges and ``conn_id`` lookups prune.
-    The output gets at least as many range partitions as the input has read
-    partitions (one per file for compressed input), and never fewer than
-    ``spark.sql.shuffle.partitions``, so partition size tracks input size.
+    When the input has more read partitions (one per file here) than
+    ``spark.sql.shuffle.partitions``, the output gets that many range
+    partitions, so partition size tracks input size; otherwise the shuffle
+    default applies and AQE coalesces small partitions.
     Returns the written table, read back.
     """
     from ldaplens.functions.fields import parse_logs
 
     lines = read_compressed(spark, paths)
     parsed = parse_logs(lines, fmt=fmt, as_of=as_of, tz=tz)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.rdd.getNumPartitions())
-    (parsed.repartitionByRange(n, "file", "line_no").sortWithinPartitions("file", "line_no")
-     .write.mode("overwrite").parquet(out))
+    n = partitions
+    if n is None and lines.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        n = lines.rdd.getNumPartitions()
+    ranged = parsed.repartitionByRange(n, "file", "line_no") if n else parsed.repartitionByRange("file", "line_no")
+    ranged.sortWithinPartitions("file", "line_no").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
