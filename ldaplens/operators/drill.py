@@ -108,13 +108,19 @@ def key_of_token(tok: Column, line_conn: Column) -> tuple[Column, Column, Column
 def drill_keys(logs: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(seed_id, file, line_no, token_type, kind, key_conn, key_value)`` per seed.
 
-    Tokens are computed only for the seed lines. ``(file, line_no)`` is
-    unique in the log, so this join has no hot key; the seed side is
-    broadcast when it is below the row bound.
+    Tokens are computed only for the seed lines. Seeds picked from the parsed
+    log itself can carry its ``raw`` and ``conn_id`` columns: then no join is
+    needed at all (a large seed set -- every failed result of a 100 TB log --
+    never re-shuffles the log). Otherwise the seeds are joined to the log on
+    ``(file, line_no)``, which is unique, so that join has no hot key; the
+    seed side is broadcast when it is below the row bound.
     """
-    seed_side = broadcast_if_small(seeds.select("seed_id", "file", "line_no", "pos"), DEFAULT_MAX_BROADCAST_ROWS)
-    lines = with_tokens(logs.select("file", "line_no", "raw", "conn_id").join(seed_side, ["file", "line_no"]),
-                        keywords=False)
+    if {"raw", "conn_id"} <= set(seeds.columns):
+        lines = seeds.select("seed_id", "file", "line_no", "pos", "raw", "conn_id")
+    else:
+        seed_side = broadcast_if_small(seeds.select("seed_id", "file", "line_no", "pos"), DEFAULT_MAX_BROADCAST_ROWS)
+        lines = logs.select("file", "line_no", "raw", "conn_id").join(seed_side, ["file", "line_no"])
+    lines = with_tokens(lines, keywords=False)
     tok = token_at(F.col("tokens"), F.col("pos"))
     with_tok = lines.select("seed_id", "file", "line_no", "conn_id", tok.alias("tok"))
     kind, key_conn, key_value = key_of_token(F.col("tok"), F.col("conn_id"))

@@ -71,8 +71,11 @@ def _pos_of(literal: str) -> F.Column:
 
 
 def _seeds(p: DataFrame, where, literal: str) -> DataFrame:
+    """Seeds picked from the parsed log: they carry ``raw`` and ``conn_id``, so
+    resolving them needs no join back to the log."""
     return p.where(where & F.col("raw").contains(literal)).select(
-        F.xxhash64("file", "line_no").alias("seed_id"), "file", "line_no", _pos_of(literal).alias("pos"))
+        F.xxhash64("file", "line_no").alias("seed_id"), "file", "line_no", _pos_of(literal).alias("pos"),
+        "raw", "conn_id")
 
 
 # ----------------------------------------------------------------- T
