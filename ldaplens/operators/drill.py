@@ -201,12 +201,23 @@ def drill_text(logs: DataFrame, keys: DataFrame, max_needles: int = MAX_NEEDLES_
     per needle -- that is the result, not a blow-up.
     """
     needles = _distinct_keys(keys, "text", ["file", F.col("key_value").alias("_needle")])
-    needles = needles.where(F.col("_needle") != "").persist(StorageLevel.MEMORY_AND_DISK)
+    found = substring_join(logs, needles, "raw", max_needles, automaton_chunk)
+    if found is None:
+        return _empty_drill(logs)
+    return _tag_text(found, logs)
+
+
+def substring_join(logs: DataFrame, needles: DataFrame, column: str, max_needles: int = MAX_NEEDLES_PER_CHUNK,
+                   automaton_chunk: int = AUTOMATON_NEEDLES):
+    """Rows of ``logs`` (plus ``_needle``) whose ``column`` contains a needle of the
+    same file; ``needles`` is ``(file, _needle)``. None when there are no needles.
+    See ``drill_text`` for the two strategies and their bounds."""
+    needles = needles.where(F.col("_needle") != "").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     n = needles.count()
     if n == 0:
-        return _empty_drill(logs)
+        return None
     if n <= max_needles:
-        return _contains_join(logs, needles, max_needles)
+        return _contains_join(logs, needles, max_needles, column, tag=False)
     try:
         import ahocorasick  # noqa: F401
         chunk_size, joiner = automaton_chunk, _automaton_scan
@@ -216,7 +227,7 @@ def drill_text(logs: DataFrame, keys: DataFrame, max_needles: int = MAX_NEEDLES_
     bucket = F.pmod(F.xxhash64("file", "_needle"), F.lit(n_chunks))
     out = None
     for i in range(n_chunks):
-        part = joiner(logs, needles.where(bucket == i) if n_chunks > 1 else needles, 2 * chunk_size)
+        part = joiner(logs, needles.where(bucket == i) if n_chunks > 1 else needles, 2 * chunk_size, column, False)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -226,13 +237,15 @@ def _tag_text(df: DataFrame, logs: DataFrame) -> DataFrame:
                      F.col("_needle").alias("key_value"), *logs.columns)
 
 
-def _contains_join(logs: DataFrame, needles: DataFrame, bound: int) -> DataFrame:
+def _contains_join(logs: DataFrame, needles: DataFrame, bound: int, column: str = "raw",
+                   tag: bool = True) -> DataFrame:
     side = broadcast_if_small(needles.withColumnRenamed("file", "_nfile"), bound)
-    joined = logs.join(side, (F.col("file") == F.col("_nfile")) & F.col("raw").contains(F.col("_needle")))
-    return _tag_text(joined, logs)
+    joined = logs.join(side, (F.col("file") == F.col("_nfile")) & F.col(column).contains(F.col("_needle")))
+    return _tag_text(joined, logs) if tag else joined.select(*logs.columns, "_needle")
 
 
-def _automaton_scan(logs: DataFrame, needles: DataFrame, bound: int) -> DataFrame:
+def _automaton_scan(logs: DataFrame, needles: DataFrame, bound: int, column: str = "raw",
+                    tag: bool = True) -> DataFrame:
     rows = needles.limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError("needle chunk exceeds its bound")
@@ -261,15 +274,17 @@ def _automaton_scan(logs: DataFrame, needles: DataFrame, bound: int) -> DataFram
                         a.make_automaton()
                     automata[f] = a
                 a = automata[f]
-                if a is None or rec.raw is None:
+                text = getattr(rec, column)
+                if a is None or text is None:
                     continue
-                for needle in {w for _, w in a.iter(rec.raw)}:
+                for needle in {w for _, w in a.iter(text)}:
                     out.append((*rec, needle))
             if out:
                 yield pd.DataFrame(out, columns=[*pdf.columns, "_needle"])
 
     candidates = logs.where(F.col("file").isin(list(by_file)))
-    return _tag_text(candidates.mapInPandas(scan, schema), logs)
+    found = candidates.mapInPandas(scan, schema)
+    return _tag_text(found, logs) if tag else found
 
 
 def _empty_drill(logs: DataFrame) -> DataFrame:

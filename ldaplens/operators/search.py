@@ -83,3 +83,17 @@ def query_from_token(tok: Column) -> Column:
         .when(t == "THREAD_ID", v)
         .otherwise(F.lit(""))
     )
+
+
+def search_many(visible: DataFrame, queries: DataFrame, value: str = "value") -> DataFrame:
+    """Q6 in bulk: ``queries`` is ``(file, query)`` (e.g. ``query_from_token`` of many
+    seeds); returns the visible lines containing a query of their file, with
+    the ``query``. A substring join with bounded broadcasts (see ``drill_text``),
+    one row per (line, matching query)."""
+    from ldaplens.operators.drill import substring_join
+
+    needles = queries.select("file", F.col("query").alias("_needle"))
+    found = substring_join(visible, needles, value)
+    if found is None:
+        return visible.where(F.lit(False)).select("*", F.lit(None).cast("string").alias("query"))
+    return found.withColumnRenamed("_needle", "query")

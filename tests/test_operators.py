@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ldaplens.functions.fields import parse_logs
 from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_text
 from ldaplens.operators.paging import first_last, goto, page, with_ordinal
-from ldaplens.operators.search import first_match_pos, search, search_numbered, search_spans
+from ldaplens.operators.search import first_match_pos, search, search_many, search_numbered, search_spans
 
 LOG = [
     "conn=1 fd=3 ACCEPT from IP=1.2.3.4:5",
@@ -103,3 +103,19 @@ def test_first_pos_and_spans_in_bytes(lines):
 def test_first_last(lines):
     r = first_last(lines(["a", "b", "c"])).collect()[0]
     assert (r.first_line_no, r.first_value, r.last_line_no, r.last_value) == (0, "a", 2, "c")
+
+
+def test_search_many_matches_single_searches(spark, lines):
+    vis = lines(["a x", "b y", "x c y", "d"])
+    qs = spark.createDataFrame([("t.log", "x"), ("t.log", "y"), ("t.log", "zz"), ("other", "d")], "file string, query string")
+    got = sorted((r.query, r.line_no) for r in search_many(vis, qs).collect())
+    assert got == [("x", 0), ("x", 2), ("y", 1), ("y", 2)]
+    from ldaplens.operators import drill as D
+    old = D.MAX_NEEDLES_PER_CHUNK
+    try:
+        D.MAX_NEEDLES_PER_CHUNK = 1  # force the automaton path
+        got2 = sorted((r.query, r.line_no) for r in D.substring_join(vis, qs.withColumnRenamed("query", "_needle"),
+                                                                     "value", max_needles=1).withColumnRenamed("_needle", "query").collect())
+    finally:
+        D.MAX_NEEDLES_PER_CHUNK = old
+    assert got2 == got
