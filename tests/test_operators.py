@@ -119,3 +119,15 @@ def test_search_many_matches_single_searches(spark, lines):
     finally:
         D.MAX_NEEDLES_PER_CHUNK = old
     assert got2 == got
+
+
+def test_broadcast_only_within_row_and_byte_bounds(spark):
+    from ldaplens.operators.joins import broadcast_if_small
+
+    def hinted(df):
+        return "broadcast" in spark.range(3).join(df, "id")._jdf.queryExecution().analyzed().toString().lower()
+
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS s")
+    assert hinted(broadcast_if_small(wide, max_rows=1000, max_bytes=1 << 20))
+    assert not hinted(broadcast_if_small(wide, max_rows=1000, max_bytes=10_000))
+    assert not hinted(broadcast_if_small(wide, max_rows=50))
