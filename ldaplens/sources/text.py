@@ -102,11 +102,13 @@ def tail_lines(spark: SparkSession, paths, n: int = 10) -> DataFrame:
     """The last ``n`` newline-terminated lines of every file, with line numbers.
 
     An unterminated last line is not part of the tail (a follower has not seen
-    its end yet). Whether the last line is terminated is decided by comparing
-    the summed byte length of the lines (+1 per newline) with the file size;
-    both are per-file partial aggregates, so a huge file is never funnelled
-    through one task. Only the last ``n + 1`` lines of each file survive the
-    broadcast filter before the final pick.
+    its end yet). Two passes over the text, as for ``with_line_no``: pass 1
+    aggregates every file split (rows, smallest row id, bytes incl. one
+    newline per line); the per-file line total and byte total follow from
+    that small table, and a file's last line is terminated exactly when its
+    bytes add up to the file size. Pass 2 numbers the lines and keeps the
+    last ``n`` terminated ones -- no sort, and no file ever goes through one
+    task.
     """
     raw = _scan(spark, paths).select(
         F.col("_metadata.file_path").alias("file"),
@@ -115,18 +117,21 @@ def tail_lines(spark: SparkSession, paths, n: int = 10) -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
         F.col("value").alias("_orig"),
     )
-    numbered = with_line_no(raw)
-    per_file = numbered.groupBy("file").agg(
-        F.max("line_no").alias("_last"),
-        F.sum(F.octet_length("_orig") + 1).alias("_bytes"),
-        F.max("_size").alias("_size"),
-    )
-    per_file = per_file.select(
-        "file",
-        (F.col("_last") - F.when(F.col("_bytes") > F.col("_size"), 1).otherwise(0)).alias("_last_done"),
-    )
-    # one row per file: the bound is the number of input files
-    picked = numbered.join(broadcast_if_small(per_file, MAX_BROADCAST_SPLITS), "file").where(
-        (F.col("line_no") <= F.col("_last_done")) & (F.col("line_no") > F.col("_last_done") - n)
+    splits = raw.groupBy("file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min_mid"),
+        F.sum(F.octet_length("_orig") + 1).alias("_bytes"), F.max("_size").alias("_size"))
+    w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy("file")
+    # one row per ~128 MB split; the window runs over that small table only
+    splits = splits.select(
+        "file", "_block", "_min_mid",
+        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"),
+        (F.sum("_n").over(w_all) - 1
+         - F.when(F.sum("_bytes").over(w_all) > F.max("_size").over(w_all), 1).otherwise(0)).alias("_last_done"),
     )
+    joined = raw.join(broadcast_if_small(splits, MAX_BROADCAST_SPLITS), ["file", "_block"])
+    numbered = joined.select(
+        "file", (F.col("_base") + F.col("_mid") - F.col("_min_mid")).alias("line_no"), "_orig", "_last_done")
+    picked = numbered.where(
+        (F.col("line_no") <= F.col("_last_done")) & (F.col("line_no") > F.col("_last_done") - n))
     return picked.select("file", "line_no", strip_cr(F.col("_orig")).alias("value"))

@@ -102,3 +102,18 @@ def test_follow_into_table_counts_new_lines(spark):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.conn_id for r in spark.read.parquet(f"{d}/table").collect()) == ["1", "1", "2"]
+
+
+def test_tail_over_many_splits(spark):
+    d = _dir()
+    with open(f"{d}/big.log", "w") as f:
+        for i in range(20000):
+            f.write(f"line {i}\n")
+        f.write("unterminated")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        got = sorted((r.line_no, r.value) for r in tail_lines(spark, d, 10).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f"line {i}") for i in range(19990, 20000)]
