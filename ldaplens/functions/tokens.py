@@ -84,9 +84,11 @@ def match_spans(text: Column, pattern: str) -> Column:
     walk = "\\G(?s:.*?)(" + pattern + ")"
     whole = F.regexp_extract_all(text, F.lit(walk), 0)
     hits = F.regexp_extract_all(text, F.lit(walk), 1)
-    ends = F.transform(
+    # running byte total of the walked text: one pass, not a re-sum per match
+    ends = F.aggregate(
         whole,
-        lambda _, i: F.aggregate(F.slice(whole, 1, i + 1), F.lit(0), lambda acc, x: acc + F.octet_length(x)),
+        F.array().cast("array<int>"),
+        lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.octet_length(x)),
     )
     return F.zip_with(
         hits, ends, lambda m, e: F.struct((e - F.octet_length(m)).alias("s"), m.alias("m"))

@@ -7,7 +7,7 @@ same bucketed ordinal as paging, so no file is funnelled through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ldaplens.functions.tokens import match_spans
@@ -71,6 +71,26 @@ def search_spans(query: str, value: str = "value") -> Column:
     )
 
 
+def search_span_rows(df: DataFrame, query: str, keys=("file", "line_no"), value: str = "value") -> DataFrame:
+    """Q5 as rows ``(keys..., span_idx, start_pos, end_pos)``, linear in the hits.
+
+    The anchored walk yields each hit with the gap before it; a running sum
+    of their byte lengths (a window per line, over that line's hits only)
+    gives each hit's end. Prefer this to ``search_spans`` when a line can hold
+    many hits: the array form re-builds its running total per hit.
+    """
+    if not query:
+        return df.where(F.lit(False)).select(*keys, F.lit(0).alias("span_idx"),
+                                             F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
+    q_len = len(query.encode("utf-8"))
+    walk = "\\G(?s:.*?)(" + java_quote(query) + ")"
+    hits = search(df, query, value).select(
+        *keys, F.posexplode(F.regexp_extract_all(F.col(value), F.lit(walk), 0)).alias("span_idx", "_walked"))
+    w = Window.partitionBy(*keys).orderBy("span_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.octet_length("_walked")).over(w).cast("int")
+    return hits.select(*keys, "span_idx", (end - q_len).alias("start_pos"), end.alias("end_pos"))
+
+
 def query_from_token(tok: Column) -> Column:
     """Q6: conn/op/err -> the digits, dn -> the quoted body, thread -> the id, else ''."""
     t = tok["type"]

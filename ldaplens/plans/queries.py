@@ -19,7 +19,9 @@ from ldaplens.operators.drill import (
 from ldaplens.operators.filters import Filter, FilterStack, apply_filters
 from ldaplens.operators.joins import broadcast_if_small
 from ldaplens.operators.paging import first_last, goto, line_status, page, with_ordinal
-from ldaplens.operators.search import first_match_pos, query_from_token, search, search_numbered, search_spans
+from ldaplens.operators.search import (
+    first_match_pos, query_from_token, search, search_numbered, search_span_rows, search_spans,
+)
 from ldaplens.plans import oracle as O
 from ldaplens.session import ensure_utc, scratch_path
 from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed
@@ -291,10 +293,7 @@ def q_search_first_pos(spark, sf):
 
 
 def q_search_spans(spark, sf):
-    d = search(_docs(spark, sf), SPAN_QUERY)
-    s = d.select("file", "line_no", F.posexplode(search_spans(SPAN_QUERY)).alias("span_idx", "span"))
-    return s.select("file", "line_no", "span_idx", F.col("span.start_pos").alias("start_pos"),
-                    F.col("span.end_pos").alias("end_pos"))
+    return search_span_rows(_docs(spark, sf), SPAN_QUERY)
 
 
 def q_search_from_token(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ldaplens.functions.fields import parse_logs
 from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_text
 from ldaplens.operators.paging import first_last, goto, page, with_ordinal
-from ldaplens.operators.search import first_match_pos, search, search_many, search_numbered, search_spans
+from ldaplens.operators.search import first_match_pos, search, search_many, search_numbered, search_span_rows, search_spans
 
 LOG = [
     "conn=1 fd=3 ACCEPT from IP=1.2.3.4:5",
@@ -131,3 +131,11 @@ def test_broadcast_only_within_row_and_byte_bounds(spark):
     assert hinted(broadcast_if_small(wide, max_rows=1000, max_bytes=1 << 20))
     assert not hinted(broadcast_if_small(wide, max_rows=1000, max_bytes=10_000))
     assert not hinted(broadcast_if_small(wide, max_rows=50))
+
+
+def test_span_rows_equal_span_arrays(lines):
+    df = lines(["aé x é", "eee", "none", "é" * 50])
+    arrays = sorted((r.line_no, i, s.start_pos, s.end_pos)
+                    for r in df.select("line_no", search_spans("é").alias("s")).collect() for i, s in enumerate(r.s))
+    rows = sorted((r.line_no, r.span_idx, r.start_pos, r.end_pos) for r in search_span_rows(df, "é").collect())
+    assert rows == arrays and len(rows) == 52
