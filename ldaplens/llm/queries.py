@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ldaplens.llm.byte_bpe import round_trip
 from ldaplens.llm.common import tables
 from ldaplens.llm.packing import pack_documents
+from ldaplens.llm.quality import quality_rules
+from ldaplens.llm.secret_scans import digest, scan_secrets
 from ldaplens.llm.token_counts import token_counts
 
 
@@ -15,6 +17,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(tables(spark, sf_dir, "documents"))[0])
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(tables(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,5 +33,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op5_byte_bpe, op10_packing)}
 ORACLE: dict[str, str] = {}
