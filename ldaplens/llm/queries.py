@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ldaplens.llm.byte_bpe import round_trip
 from ldaplens.llm.common import tables
+from ldaplens.llm.exact_dedup import exact_dedup
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import quality_rules
 from ldaplens.llm.secret_scans import digest, scan_secrets
@@ -29,9 +30,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(tables(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op5_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op5_byte_bpe, op6_exact_dedup, op10_packing)}
 ORACLE: dict[str, str] = {}
