@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ldaplens.llm.byte_bpe import round_trip
 from ldaplens.llm.common import tables
 from ldaplens.llm.exact_dedup import exact_dedup
+from ldaplens.llm.html_text import extract_text
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import quality_rules
 from ldaplens.llm.secret_scans import digest, scan_secrets
 from ldaplens.llm.token_counts import token_counts
+from ldaplens.llm.warc import read_archives, write_archives
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(tables(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(tables(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -34,9 +40,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_archives(tables(spark, sf_dir, "pages"))
+    return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op5_byte_bpe, op6_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op10_packing)}
 ORACLE: dict[str, str] = {}

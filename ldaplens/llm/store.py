@@ -19,6 +19,6 @@ def publish(uri: str, write) -> None:
     place, path = opened(uri)
     place.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.part"
-    with place.open_output_stream(own) as out:
+    with place.open_output_stream(own, compression=None) as out:
         write(out)
     place.move(own, path)
