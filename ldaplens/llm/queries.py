@@ -9,6 +9,7 @@ from ldaplens.llm.byte_bpe import round_trip
 from ldaplens.llm.common import tables
 from ldaplens.llm.exact_dedup import exact_dedup
 from ldaplens.llm.html_text import extract_text
+from ldaplens.llm.jaccard_join import similar_components
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import quality_rules
 from ldaplens.llm.secret_scans import digest, scan_secrets
@@ -45,9 +46,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(tables(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op9_jaccard_join, op10_packing)}
 ORACLE: dict[str, str] = {}
