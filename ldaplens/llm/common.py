@@ -36,3 +36,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files behind a table of ``written`` that nothing reads any more."""
+    from ldaplens.llm.store import opened
+
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place, path = opened(name)
+        place.delete_dir(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner acts once the driver
+    has collected its garbage, which a driver with little to do may put off for half an hour."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -356,3 +356,12 @@ def _across(apart: DataFrame, tried: DataFrame, sets: DataFrame, links: DataFram
     pairs = left.join(right, "key").where(lower).select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
     fresh = common.written(pairs.join(tried, ["a", "b"], "left_anti"), "across")
     return links.union(common.written(_linked(fresh, sets, percent), "links"))
+
+
+def keep_one_of_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with exactly its columns. Rows
+    without an id, and those without words, stay; rows that share an id stay or go together. The
+    ids to drop are written, so the planner broadcasts them only if their size allows."""
+    found = similar_components(docs, words, percent, id_col, text_col)
+    drop = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "similar")
+    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")

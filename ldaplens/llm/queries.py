@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ldaplens.llm.byte_bpe import round_trip
 from ldaplens.llm.common import tables
@@ -13,6 +14,7 @@ from ldaplens.llm.jaccard_join import similar_components
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import quality_rules
 from ldaplens.llm.secret_scans import digest, scan_secrets
+from ldaplens.llm.suffix_dedup import remove_repeats
 from ldaplens.llm.token_counts import token_counts
 from ldaplens.llm.warc import read_archives, write_archives
 
@@ -46,6 +48,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(tables(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(tables(spark, sf_dir, "documents"))
 
@@ -54,5 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op9_jaccard_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op8_suffix_dedup, op9_jaccard_join, op10_packing)}
 ORACLE: dict[str, str] = {}
