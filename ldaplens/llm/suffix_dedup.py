@@ -130,13 +130,13 @@ def _entries(docs: DataFrame, length: int) -> DataFrame:
 def _scan(rows: DataFrame) -> DataFrame:
     """The merge-scan: ``SCANNED`` rows from a batch's entries and those of all levels, which meet
     sorted by gram, body and place. The first entry of a body is new (unless old), the others
-    repeat it; where a gram has several bodies their first entries are edges. A gram's entries
+    repeat it (but for one at the very same place, from a repeated row); where a gram has several bodies their first entries are edges. A gram's entries
     are passed on as they come, one is held back at most."""
 
     def run(batches):
         import numpy as np
 
-        state = None  # gram, body of the last row; whether the gram has several; its first entry if not
+        state = None  # gram, body of the last row; whether the gram has several; its first entry if not; the last place
         names = ["kind", "gram", "body", "doc_id", "first", "last"]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         done = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
@@ -148,7 +148,6 @@ def _scan(rows: DataFrame) -> DataFrame:
             if not len(b):
                 continue
             gram, body, doc, first, last, old = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            n = len(gram)
             new_gram = np.r_[state is None or state[0] != gram[0], gram[1:] != gram[:-1]]
             new_body = new_gram | np.r_[state is None or state[1] != body[0], body[1:] != body[:-1]]
             group = np.cumsum(new_gram) - new_gram[0]  # 0: the gram of the row before, if it goes on
@@ -163,17 +162,18 @@ def _scan(rows: DataFrame) -> DataFrame:
                 if kind:
                     yield done(([kind], [state[0]], [held[0]], [held[1]], [held[2]], [held[3]]))
                 held = None
-            kind = np.where(new_body, np.where(old, 0, NEW) | np.where(several[group], EDGE, 0), np.where(old, 0, REPEAT)).astype(np.int32)
+            place = (int(doc[-1]), int(first[-1]))
+            twice = ~new_body & np.r_[state is not None and state[4] == (doc[0], first[0]), (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])]
+            kind = np.where(new_body, np.where(old, 0, NEW) | np.where(several[group], EDGE, 0), np.where(old | twice, 0, REPEAT)).astype(np.int32)
             end = group[-1]
             if not several[end] and (lone := np.flatnonzero(new_body & (group == end))).size:
                 i = int(lone[0])  # the last gram's only body so far: what it is turns out later
                 held = (int(body[i]), int(doc[i]), int(first[i]), int(last[i]), bool(old[i]))
                 kind[i] = 0
-            state = (int(gram[-1]), int(body[-1]), bool(several[end]), held)
+            state = (int(gram[-1]), int(body[-1]), bool(several[end]), held, place)
             keep = kind > 0
             if keep.any():
                 yield done((kind[keep], gram[keep], body[keep], doc[keep], first[keep], last[keep]))
-            assert n == len(kind)
         if state and state[3] is not None and not state[3][4]:
             held = state[3]
             yield done(([NEW], [state[0]], [held[0]], [held[1]], [held[2]], [held[3]]))
@@ -302,11 +302,16 @@ def _later(windows: DataFrame) -> DataFrame:
 
         state = None
         for b in batches:
-            gram, body = b.column(0).to_numpy(), b.column(1).to_numpy()
-            same = np.r_[state == (gram[0], body[0]) if len(gram) else False, (gram[1:] == gram[:-1]) & (body[1:] == body[:-1])][: len(gram)]
-            if len(gram):
-                state = (gram[-1], body[-1])
-                yield b.filter(pa.array(same)).select([2, 3, 4])
+            gram, body, doc, first = (c.to_numpy() for c in b.columns[:4])
+            if not len(gram):
+                continue
+            start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (body[1:] != body[:-1])])
+            at = np.repeat(start, np.diff(np.r_[start, len(gram)]))
+            least_doc, least_first = doc[at], first[at]  # of the row's group
+            if state and state[:2] == (gram[0], body[0]):
+                least_doc[at == 0], least_first[at == 0] = state[2:]
+            state = (gram[-1], body[-1], least_doc[-1], least_first[-1])
+            yield b.filter(pa.array((doc != least_doc) | (first != least_first))).select([2, 3, 4])
 
     sent = windows.select("gram", "body", "doc_id", "first", "last").repartition("gram", "body").sortWithinPartitions("gram", "body", "doc_id", "first")
     return sent.mapInArrow(run, "doc_id long, first int, last int")
