@@ -6,7 +6,7 @@ stacked filters, drill-down joins from many seed tokens, connection ranges,
 numbered search, paging, and a Structured Streaming follow source.
 """
 
-from ldaplens.functions.timestamps import normalize_ts, LOG_FORMATS
+from ldaplens.functions.timestamps import LOG_FORMATS, normalize_frame
 from ldaplens.functions.fields import parse_logs, with_fields
 from ldaplens.functions.tokens import tokens_col, with_tokens, explode_tokens, token_at, keywords_col
 from ldaplens.operators.filters import Filter, FilterStack, apply_filters
@@ -21,7 +21,7 @@ from ldaplens.streaming.follow import follow_logs, follow_into_table, new_line_c
 from ldaplens.streaming.stream import stream_lines, parse_stream, run_to_parquet
 
 __all__ = [
-    "normalize_ts", "LOG_FORMATS", "parse_logs", "with_fields",
+    "normalize_frame", "LOG_FORMATS", "parse_logs", "with_fields",
     "tokens_col", "with_tokens", "explode_tokens", "token_at", "keywords_col",
     "Filter", "FilterStack", "apply_filters",
     "conn_ranges", "conn_lines", "visible_counts", "drill", "drill_keys",

@@ -6,7 +6,7 @@ slapd writes one of three line heads:
 * syslog:  ``Mon dd HH:MM:SS rest`` (no year, no zone)
 * rfc3339: ``2024-01-15T10:30:00.123Z rest`` (already readable)
 
-``normalize_ts`` rewrites the first two into the third so that every later
+``normalize_frame`` rewrites the first two into the third so that every later
 extraction sees one shape. All arithmetic is on epoch seconds and
 ``TIMESTAMP_NTZ`` values, so the result does not depend on the session zone.
 """
@@ -23,9 +23,7 @@ LOG_FORMATS = ("auto", "debug", "syslog-utc", "syslog-local", "rfc3339")
 
 # Line-head shapes (Java regex).
 DEBUG_HEAD = r"^[0-9a-fA-F]+\.[0-9a-fA-F]{5,8}[ \t]+"
-DEBUG_PARTS = r"(?s)^([0-9a-fA-F]+)\.([0-9a-fA-F]{5,8})[ \t]+([^ \t]*)[ \t]*(.*)$"
 SYSLOG_HEAD = r"^[A-Za-z]{3}[ ]+[0-9]{1,2}[ ]+[0-9]{2}:[0-9]{2}:[0-9]{2}[ ]+"
-SYSLOG_PARTS = r"(?s)^([A-Za-z]{3})[ ]+([0-9]{1,2})[ ]+([0-9]{2}):([0-9]{2}):([0-9]{2})[ ]+(.*)$"
 RFC3339_STAMP = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z"
 
 # English month abbreviations, January first.
@@ -61,47 +59,6 @@ def _ntz_seconds(ntz: Column) -> Column:
     return F.timestamp_diff("SECOND", F.expr(_EPOCH_NTZ), ntz)
 
 
-def is_debug_head(value) -> Column:
-    """The line starts like a debug-format stamp."""
-    return _col(value).rlike(DEBUG_HEAD)
-
-
-def is_syslog_head(value) -> Column:
-    """T4: the line starts like a syslog stamp."""
-    return _col(value).rlike(SYSLOG_HEAD)
-
-
-def decode_debug(value) -> Column:
-    """Hex epoch head -> RFC3339 UTC; anything else is returned unchanged.
-
-    The fraction keeps the writer's unit: five hex digits are microseconds
-    (printed with at least six digits), six to eight are nanoseconds (at least
-    nine). The thread field and the remainder are re-joined by single spaces.
-    Seconds beyond year 9999 (or wider than 64 bits) leave the line unchanged.
-    """
-    v = _col(value)
-    sec_hex = F.regexp_extract(v, DEBUG_PARTS, 1)
-    frac_hex = F.regexp_extract(v, DEBUG_PARTS, 2)
-    thread = F.regexp_extract(v, DEBUG_PARTS, 3)
-    rest = F.regexp_extract(v, DEBUG_PARTS, 4)
-    significant = F.regexp_replace(sec_hex, "^0+", "")
-    fits = F.length(significant) <= 16
-    seconds_dec = F.conv(F.when(fits, sec_hex), 16, 10)
-    # compare as decimal so values above 2^63 do not overflow a BIGINT cast
-    in_range = seconds_dec.cast("decimal(20,0)") <= F.lit(_MAX_EPOCH_SECONDS)
-    seconds = F.when(in_range, seconds_dec.cast("bigint"))
-    frac_dec = F.conv(frac_hex, 16, 10)
-    width = F.when(F.length(frac_hex) <= 5, F.lit(6)).otherwise(F.lit(9))
-    frac = F.lpad(frac_dec, F.greatest(width, F.length(frac_dec)), F.lit("0"))
-    stamp = F.concat(epoch_to_text(seconds), F.lit("."), frac, F.lit("Z"))
-    out = F.concat(
-        stamp,
-        F.when(thread != "", F.concat(F.lit(" "), thread)).otherwise(F.lit("")),
-        F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(F.lit("")),
-    )
-    return F.when(v.rlike(DEBUG_HEAD) & seconds.isNotNull(), out).otherwise(v)
-
-
 def _as_of_parts(as_of) -> tuple[int, int]:
     if as_of is None:
         as_of = _dt.datetime.now(_dt.timezone.utc)
@@ -112,66 +69,6 @@ def _as_of_parts(as_of) -> tuple[int, int]:
     return as_of.year, as_of.month
 
 
-def _syslog_wall_ntz(value, as_of) -> tuple[Column, Column]:
-    """Wall-clock TIMESTAMP_NTZ of a syslog head (with rollover) and the remainder."""
-    v = _col(value)
-    year_now, month_now = _as_of_parts(as_of)
-    month_map = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
-    mon = F.element_at(month_map, F.lower(F.regexp_extract(v, SYSLOG_PARTS, 1)))
-    day = F.regexp_extract(v, SYSLOG_PARTS, 2).cast("int")
-    hh = F.regexp_extract(v, SYSLOG_PARTS, 3).cast("int")
-    mm = F.regexp_extract(v, SYSLOG_PARTS, 4).cast("int")
-    ss = F.regexp_extract(v, SYSLOG_PARTS, 5).cast("int")
-    rest = F.regexp_extract(v, SYSLOG_PARTS, 6)
-    # no year in syslog: a month later than the as-of month belongs to last year
-    year = F.greatest(F.when(mon > month_now, year_now - 1).otherwise(year_now), F.lit(1970))
-    first_of_month = F.make_date(year, mon, F.lit(1))
-    # no range checks: day 0, day 31 of a short month, hour 25 all roll over
-    seconds = (
-        F.unix_date(first_of_month).cast("bigint") * 86400
-        + (day - 1).cast("bigint") * 86400
-        + hh * 3600 + mm * 60 + ss
-    )
-    wall = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_NTZ))
-    matched = v.rlike(SYSLOG_HEAD) & mon.isNotNull()
-    return F.when(matched, wall), rest
-
-
-def decode_syslog(value, as_of=None, tz: str | None = None) -> Column:
-    """Syslog head -> RFC3339 UTC with a nine-zero fraction.
-
-    ``as_of`` fixes "now" (year inference); ``tz`` names the zone the wall
-    time was written in (None = UTC, T5). Unknown month -> unchanged.
-    """
-    v = _col(value)
-    wall, rest = _syslog_wall_ntz(v, as_of)
-    utc = wall if tz is None else F.convert_timezone(F.lit(tz), F.lit("UTC"), wall)
-    text = F.concat(epoch_to_text(_ntz_seconds(utc)), F.lit(".000000000Z "), rest)
-    return F.when(wall.isNotNull(), text).otherwise(v)
-
-
-def normalize_ts(value="value", fmt: str = "auto", as_of=None, tz: str | None = None) -> Column:
-    """Dispatch on the chosen log format.
-
-    ``auto`` tries the debug shape first, then syslog (read as UTC), else
-    leaves the line as is. ``syslog-local`` needs ``tz`` (an IANA zone).
-    """
-    v = _col(value)
-    if fmt == "rfc3339":
-        return v
-    if fmt == "debug":
-        return decode_debug(v)
-    if fmt == "syslog-utc":
-        return decode_syslog(v, as_of)
-    if fmt == "syslog-local":
-        return decode_syslog(v, as_of, tz or "UTC")
-    if fmt == "auto":
-        return F.when(is_debug_head(v), decode_debug(v)).when(
-            is_syslog_head(v), decode_syslog(v, as_of)
-        ).otherwise(v)
-    raise ValueError(f"unknown log format {fmt!r}; expected one of {LOG_FORMATS}")
-
-
 def ts_text(raw="raw") -> Column:
     """The first RFC3339 stamp in the normalised line, NULL when none."""
     return F.nullif(F.regexp_extract(_col(raw), RFC3339_STAMP, 0), F.lit(""))
@@ -188,7 +85,15 @@ def ts_from_text(stamp) -> Column:
 
 def normalize_frame(df, fmt: str = "auto", as_of=None, tz: str | None = None,
                     value: str = "value", out: str = "raw"):
-    """``normalize_ts`` as staged projections: each head regex runs once per line.
+    """Add the line with its head as an RFC3339 UTC stamp, in staged projections that
+    run each head regex once per line.
+
+    ``auto`` tries the debug head first, then syslog (read as UTC), else leaves the
+    line as is. A debug fraction keeps the writer's unit: five hex digits are
+    microseconds (at least six digits), six to eight nanoseconds (at least nine);
+    thread and remainder are re-joined by single spaces; seconds beyond year 9999
+    leave the line unchanged. Syslog heads get the year from ``as_of`` ("now") and a
+    nine-zero fraction; ``syslog-local`` needs ``tz``, the zone they were written in.
 
     Stage 1 extracts the debug and syslog heads (anchored, fail fast);
     stage 2 cuts their parts with plain string functions; stage 3 formats.
@@ -197,6 +102,8 @@ def normalize_frame(df, fmt: str = "auto", as_of=None, tz: str | None = None,
     """
     if fmt not in LOG_FORMATS:
         raise ValueError(f"unknown log format {fmt!r}; expected one of {LOG_FORMATS}")
+    if fmt == "syslog-local" and not tz:
+        raise ValueError("syslog-local needs tz, the IANA zone the stamps were written in")
     v = F.col(value)
     if fmt == "rfc3339":
         return df.withColumn(out, v)
@@ -247,7 +154,7 @@ def normalize_frame(df, fmt: str = "auto", as_of=None, tz: str | None = None,
                    + (day - 1).cast("bigint") * 86400 + secs_of_day)
         if fmt == "syslog-local":
             wall = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_NTZ))
-            seconds = _ntz_seconds(F.convert_timezone(F.lit(tz or "UTC"), F.lit("UTC"), wall))
+            seconds = _ntz_seconds(F.convert_timezone(F.lit(tz), F.lit("UTC"), wall))
         syslog_raw = F.concat(epoch_to_text(seconds), F.lit(".000000000Z "), F.col("_srest"))
         raw = F.when(mon.isNotNull(), syslog_raw).otherwise(raw)
     if want_debug:

@@ -55,7 +55,7 @@ _KEYED = dict(WHOLE_MATCH_TOKENS)
 KEYED_PATTERN = "|".join(_KEYED[t] for t in KEYED_TOKENS.values())
 SEPARATE_TOKENS = tuple((t, p) for t, p in WHOLE_MATCH_TOKENS if t not in KEYED_TOKENS.values())
 THREAD_TOKEN = RFC3339_STAMP + r"\s+0x[0-9a-fA-F]{8,16}"
-ATTR_TOKEN = r"attr=\S+(?:\s\S+)*"
+ATTR_TOKEN = r"attr=\S+(?:\s\S+)*+"
 # Single-word keywords. Word edges are ASCII ([A-Za-z0-9_]):
 # a keyword must not touch a word character on its left; the bare words must
 # not touch one on their right, while the three "x=" forms need one there.
@@ -72,6 +72,10 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Matches whose ends are gathered in one array before the next one is begun.
+SPAN_CHUNK = 128
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     r"""``array<struct<s:int, m:string>>``: byte start and text of every match.
 
@@ -84,12 +88,19 @@ def match_spans(text: Column, pattern: str) -> Column:
     walk = "\\G(?s:.*?)(" + pattern + ")"
     whole = F.regexp_extract_all(text, F.lit(walk), 0)
     hits = F.regexp_extract_all(text, F.lit(walk), 1)
-    # running byte total of the walked text: one pass, not a re-sum per match
-    ends = F.aggregate(
-        whole,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.octet_length(x)),
-    )
+    # running byte total of the walked text, in chunks: an append copies its array, so one
+    # array of all ends would cost the square of the matches
+    start = F.struct(F.lit(0).alias("at"), F.array().alias("part"), F.array().alias("done")).cast(
+        "struct<at:int,part:array<int>,done:array<array<int>>>")
+
+    def step(acc, x):
+        at = acc["at"] + F.octet_length(x)
+        return F.when(
+            F.size(acc["part"]) < SPAN_CHUNK,
+            F.struct(at.alias("at"), F.array_append(acc["part"], at).alias("part"), acc["done"].alias("done")),
+        ).otherwise(F.struct(at.alias("at"), F.array(at).alias("part"), F.array_append(acc["done"], acc["part"]).alias("done")))
+
+    ends = F.aggregate(whole, start, step, lambda acc: F.flatten(F.array_append(acc["done"], acc["part"])))
     return F.zip_with(
         hits, ends, lambda m, e: F.struct((e - F.octet_length(m)).alias("s"), m.alias("m"))
     )

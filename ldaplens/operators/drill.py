@@ -7,28 +7,25 @@ keys are de-duplicated before they meet the log, so the result has one row
 per (matching line, key) -- never one per (line, seed), which would multiply
 a hot connection by its seed count.
 
-Key -> lines is an equi-join for conn / op / thread / err / base (D1-D6) and
-a substring join for filter bodies and attribute lists (D7, D8). The key side
-is broadcast only below a checked row bound; above it the join is a shuffle
-join, where AQE splits a hot key (one connection may hold a third of a file).
+Key -> lines is one equi-join for conn / op / thread / err / base (D1-D6): each
+line gives the keys it answers to. Filter bodies and attribute lists (D7, D8)
+are a substring join, by equal pieces of needle and line. The key side is
+written first, so the planner broadcasts it by its true size; above the limit
+the join is a shuffle join, where AQE splits a hot key (one connection may hold
+a third of a file).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ldaplens.functions.tokens import token_at, with_tokens
 from ldaplens.operators.filters import FilterStack
-from ldaplens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
+from ldaplens.operators.joins import sized
 
-# Needle-set size up to which substring drills (D7, D8) use a broadcast
-# contains-join in the JVM; above it, Aho-Corasick over chunks of at most
-# AUTOMATON_NEEDLES needles (each chunk one broadcast).
-MAX_NEEDLES_PER_CHUNK = 256
-AUTOMATON_NEEDLES = 200_000
+# Characters of the piece of a needle that lines are looked up by.
+GRAM = 8
 
 KEY_SCHEMA = "file string, kind string, key_conn string, key_value string"
 
@@ -112,13 +109,12 @@ def drill_keys(logs: DataFrame, seeds: DataFrame) -> DataFrame:
     log itself can carry its ``raw`` and ``conn_id`` columns: then no join is
     needed at all (a large seed set -- every failed result of a 100 TB log --
     never re-shuffles the log). Otherwise the seeds are joined to the log on
-    ``(file, line_no)``, which is unique, so that join has no hot key; the
-    seed side is broadcast when it is below the row bound.
+    ``(file, line_no)``, which is unique, so that join has no hot key.
     """
     if {"raw", "conn_id"} <= set(seeds.columns):
         lines = seeds.select("seed_id", "file", "line_no", "pos", "raw", "conn_id")
     else:
-        seed_side = broadcast_if_small(seeds.select("seed_id", "file", "line_no", "pos"), DEFAULT_MAX_BROADCAST_ROWS)
+        seed_side = sized(seeds.select("seed_id", "file", "line_no", "pos"), "seeds")
         lines = logs.select("file", "line_no", "raw", "conn_id").join(seed_side, ["file", "line_no"])
     lines = with_tokens(lines, keywords=False)
     tok = token_at(F.col("tokens"), F.col("pos"))
@@ -129,178 +125,108 @@ def drill_keys(logs: DataFrame, seeds: DataFrame) -> DataFrame:
         F.col("tok.type").alias("token_type"),
         kind.alias("kind"), key_conn.alias("key_conn"), key_value.alias("key_value"),
     )
-    # one row per seed; read once per drill kind and per size check, so keep it
-    return keys.persist(StorageLevel.MEMORY_AND_DISK)
+    return sized(keys, "seed-keys")
 
 
 # ------------------------------------------------------------- keys -> lines
-def _distinct_keys(keys: DataFrame, kind: str, cols: list[str]) -> DataFrame:
-    return keys.where(F.col("kind") == kind).select(*cols).distinct()
+EQUAL_KINDS = ("conn", "op", "thread", "err", "base")
+KINDS = (*EQUAL_KINDS, "text")
+
+
+def _line_keys(kinds) -> Column:
+    """The keys a line answers to, as structs: D1/D2 its connection, D3 the operation
+    within the connection and by itself, D4-D6 thread, result code and base."""
+    none = F.lit(None).cast("string")
+    keys = {
+        "conn": [(F.col("conn_id"), none, "conn_id")],
+        "op": [(F.col("conn_id"), F.col("op_id"), "op_id"), (none, F.col("op_id"), "op_id")],
+        "thread": [(none, F.col("thread_id"), "thread_id")],
+        "err": [(none, F.col("error_code"), "error_code")],
+        "base": [(none, F.col("base"), "base")],
+    }
+    structs = []
+    for kind in kinds:
+        for i, (conn, value, needs) in enumerate(keys[kind]):
+            there = F.col(needs).isNotNull() & (F.col("conn_id").isNotNull() if kind == "op" and i == 0 else F.lit(True))
+            structs.append(F.when(there, F.struct(F.lit(kind).alias("kind"), conn.alias("key_conn"), value.alias("key_value"))))
+    return F.array_compact(F.array(*structs))
+
+
+def drill_equal(logs: DataFrame, keys: DataFrame, kinds=EQUAL_KINDS) -> DataFrame:
+    """One read of the log and one equi-join for all ``kinds``. The result is tagged with
+    the key; a line that answers to several keys comes once for each."""
+    wanted = keys.where(F.col("kind").isin(*kinds)).select(
+        F.col("file").alias("_file"), F.col("kind").alias("_kind"), F.col("key_conn").alias("_conn"),
+        F.col("key_value").alias("_value")).distinct()
+    wanted = sized(wanted)
+    each = logs.withColumn("_key", F.explode(_line_keys(kinds)))
+    same = ((F.col("file") == F.col("_file")) & (F.col("_key.kind") == F.col("_kind"))
+            & F.col("_key.key_conn").eqNullSafe(F.col("_conn")) & F.col("_key.key_value").eqNullSafe(F.col("_value")))
+    return each.join(wanted, same).select("_key.kind", "_key.key_conn", "_key.key_value", *logs.columns)
 
 
 def drill_conn(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """Every line of each keyed connection (its range is implied)."""
-    k = _distinct_keys(keys, "conn", ["file", F.col("key_conn").alias("conn_id")])
-    out = logs.join(broadcast_if_small(k), ["file", "conn_id"])
-    return out.select(F.lit("conn").alias("kind"), F.col("conn_id").alias("key_conn"),
-                      F.lit(None).cast("string").alias("key_value"), *logs.columns)
+    return drill_equal(logs, keys, ["conn"])
 
 
 def drill_op(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """D3: the connection of the seed line (when it has one) AND the operation."""
-    ops = keys.where(F.col("kind") == "op")
-    with_conn = ops.where(F.col("key_conn").isNotNull()).select(
-        "file", F.col("key_conn").alias("conn_id"), F.col("key_value").alias("op_id")).distinct()
-    no_conn = ops.where(F.col("key_conn").isNull()).select(
-        "file", F.col("key_value").alias("op_id")).distinct()
-    a = logs.join(broadcast_if_small(with_conn), ["file", "conn_id", "op_id"]).select(
-        F.col("conn_id").alias("key_conn"), F.col("op_id").alias("key_value"), *logs.columns)
-    b = logs.join(broadcast_if_small(no_conn), ["file", "op_id"]).select(
-        F.lit(None).cast("string").alias("key_conn"), F.col("op_id").alias("key_value"), *logs.columns)
-    return a.unionByName(b).select(F.lit("op").alias("kind"), "key_conn", "key_value", *logs.columns)
-
-
-def _drill_eq(logs: DataFrame, keys: DataFrame, kind: str, column: str) -> DataFrame:
-    k = _distinct_keys(keys, kind, ["file", F.col("key_value").alias(column)])
-    out = logs.join(broadcast_if_small(k), ["file", column])
-    return out.select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("key_conn"),
-                      F.col(column).alias("key_value"), *logs.columns)
+    return drill_equal(logs, keys, ["op"])
 
 
 def drill_thread(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """D4."""
-    return _drill_eq(logs, keys, "thread", "thread_id")
+    return drill_equal(logs, keys, ["thread"])
 
 
 def drill_err(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """The result code across the file, no connection."""
-    return _drill_eq(logs, keys, "err", "error_code")
+    return drill_equal(logs, keys, ["err"])
 
 
 def drill_base(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """The search base (empty bases were dropped as no-ops)."""
-    return _drill_eq(logs, keys, "base", "base")
+    return drill_equal(logs, keys, ["base"])
+
+
+def drill_text(logs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Lines of the seed's file whose normalised text contains the needle."""
+    needles = keys.where(F.col("kind") == "text").select("file", F.col("key_value").alias("_needle"))
+    found = substring_join(logs, needles, "raw")
+    return found.select(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("key_conn"),
+                        F.col("_needle").alias("key_value"), *logs.columns)
 
 
-def drill_text(logs: DataFrame, keys: DataFrame, max_needles: int = MAX_NEEDLES_PER_CHUNK,
-               automaton_chunk: int = AUTOMATON_NEEDLES) -> DataFrame:
-    """Lines of the seed's file whose normalised text contains the needle.
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct pieces of ``n`` characters."""
+    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, n)))
 
-    The distinct ``(file, needle)`` pairs are counted first:
 
-    * up to ``max_needles``: one broadcast of the needles and a join on
-      ``file`` with a ``contains`` residual, all in the JVM;
-    * more: Aho-Corasick. Needles are cut into hash chunks of at most
-      ``automaton_chunk``; each chunk is broadcast once and every task builds
-      one automaton per file from it and scans each line once (linear in the
-      line, whatever the needle count) inside ``mapInPandas``. Without the
-      ``ahocorasick`` module the chunks use the ``contains`` join instead.
+def substring_join(logs: DataFrame, needles: DataFrame, column: str) -> DataFrame:
+    """Rows of ``logs`` (plus ``_needle``) whose ``column`` contains a needle of the same file;
+    ``needles`` is ``(file, _needle)``. An empty needle finds nothing.
 
-    No task ever holds more than one bounded chunk, and the log is never
-    paired with every needle. A line holding several needles yields one row
-    per needle -- that is the result, not a blow-up.
+    One equi-join whatever the number of needles: of its pieces of ``GRAM``
+    characters (a shorter needle is its own piece) each needle picks the one that
+    fewest needles have, each line gives its distinct pieces, and ``contains``
+    decides on the pairs that meet. Only the line's key and text take part; the
+    needles are written first, so the planner broadcasts them by their true size.
     """
-    needles = _distinct_keys(keys, "text", ["file", F.col("key_value").alias("_needle")])
-    found = substring_join(logs, needles, "raw", max_needles, automaton_chunk)
-    if found is None:
-        return _empty_drill(logs)
-    return _tag_text(found, logs)
-
-
-def substring_join(logs: DataFrame, needles: DataFrame, column: str, max_needles: int = MAX_NEEDLES_PER_CHUNK,
-                   automaton_chunk: int = AUTOMATON_NEEDLES):
-    """Rows of ``logs`` (plus ``_needle``) whose ``column`` contains a needle of the
-    same file; ``needles`` is ``(file, _needle)``. None when there are no needles.
-    See ``drill_text`` for the two strategies and their bounds."""
-    needles = needles.where(F.col("_needle") != "").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    n = needles.count()
-    if n == 0:
-        return None
-    if n <= max_needles:
-        return _contains_join(logs, needles, max_needles, column, tag=False)
-    try:
-        import ahocorasick  # noqa: F401
-        chunk_size, joiner = automaton_chunk, _automaton_scan
-    except ImportError:
-        chunk_size, joiner = max_needles, _contains_join
-    n_chunks = -(-n // chunk_size)
-    bucket = F.pmod(F.xxhash64("file", "_needle"), F.lit(n_chunks))
-    out = None
-    for i in range(n_chunks):
-        part = joiner(logs, needles.where(bucket == i) if n_chunks > 1 else needles, 2 * chunk_size, column, False)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _tag_text(df: DataFrame, logs: DataFrame) -> DataFrame:
-    return df.select(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("key_conn"),
-                     F.col("_needle").alias("key_value"), *logs.columns)
-
-
-def _contains_join(logs: DataFrame, needles: DataFrame, bound: int, column: str = "raw",
-                   tag: bool = True) -> DataFrame:
-    side = broadcast_if_small(needles.withColumnRenamed("file", "_nfile"), bound)
-    joined = logs.join(side, (F.col("file") == F.col("_nfile")) & F.col(column).contains(F.col("_needle")))
-    return _tag_text(joined, logs) if tag else joined.select(*logs.columns, "_needle")
-
-
-def _automaton_scan(logs: DataFrame, needles: DataFrame, bound: int, column: str = "raw",
-                    tag: bool = True) -> DataFrame:
-    rows = needles.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("needle chunk exceeds its bound")
-    by_file: dict = {}
-    for r in rows:
-        by_file.setdefault(r["file"], []).append(r["_needle"])
-    shared = logs.sparkSession.sparkContext.broadcast(by_file)
-    schema = StructType(list(logs.schema.fields) + [StructField("_needle", StringType())])
-
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-
-        automata = {}
-        for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                f = rec.file
-                if f not in automata:
-                    words = shared.value.get(f)
-                    a = None
-                    if words:
-                        a = ahocorasick.Automaton()
-                        for w in words:
-                            a.add_word(w, w)
-                        a.make_automaton()
-                    automata[f] = a
-                a = automata[f]
-                text = getattr(rec, column)
-                if a is None or text is None:
-                    continue
-                for needle in {w for _, w in a.iter(text)}:
-                    out.append((*rec, needle))
-            if out:
-                yield pd.DataFrame(out, columns=[*pdf.columns, "_needle"])
-
-    candidates = logs.where(F.col("file").isin(list(by_file)))
-    found = candidates.mapInPandas(scan, schema)
-    return _tag_text(found, logs) if tag else found
-
-
-def _empty_drill(logs: DataFrame) -> DataFrame:
-    return logs.where(F.lit(False)).select(
-        F.lit("text").alias("kind"), F.lit(None).cast("string").alias("key_conn"),
-        F.lit(None).cast("string").alias("key_value"), *logs.columns)
-
-
-_KIND_DRILLS = {
-    "conn": drill_conn,
-    "op": drill_op,
-    "thread": drill_thread,
-    "err": drill_err,
-    "base": drill_base,
-    "text": drill_text,
-}
+    needles = needles.where(F.col("_needle") != "").distinct()
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    pieces = needles.select("file", "_needle", F.explode(_grams(F.col("_needle"), size)).alias("_gram"))
+    often = pieces.groupBy("file", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    picked = pieces.join(often, ["file", "_gram"]).groupBy("file", "_needle").agg(
+        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    picked = sized(picked.withColumnsRenamed({"file": "_file", "_gram": "_piece"}), "needles")
+    sizes = sorted(r[0] for r in picked.select(F.length("_piece")).distinct().collect())  # GRAM numbers at most
+    text = F.col(column)
+    grams = F.flatten(F.array(*[_grams(text, F.lit(n)) for n in sizes])) if sizes else F.array().cast("array<string>")
+    each = logs.withColumn("_gram", F.explode(grams))
+    met = each.join(picked, (F.col("file") == F.col("_file")) & (F.col("_gram") == F.col("_piece")))
+    return met.where(text.contains(F.col("_needle"))).select(*logs.columns, "_needle")
 
 
 def drill(logs: DataFrame, seeds: DataFrame, kinds=None, stack: FilterStack | None = None) -> DataFrame:
@@ -308,16 +234,30 @@ def drill(logs: DataFrame, seeds: DataFrame, kinds=None, stack: FilterStack | No
 
     ``stack`` (D10) is applied to the log first, so new keys AND onto the
     existing filters. Seeds on tokens without a drill (D9) contribute nothing.
-    Result: ``(kind, key_conn, key_value, <log columns>)``.
+    Result: ``(kind, key_conn, key_value, <log columns>)``; ``drill_linked`` also
+    tells which seeds each key comes from.
+    """
+    return drill_linked(logs, seeds, kinds, stack)[1]
+
+
+def drill_linked(logs: DataFrame, seeds: DataFrame, kinds=None,
+                 stack: FilterStack | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(keys, lines)``: ``drill_keys`` of the seeds (``seed_id`` -> key) beside the lines of ``drill``.
+
+    The two share ``(file, kind, key_conn, key_value)``; kept apart, a hot connection
+    is not multiplied by its seeds. The log is read once for all kinds of D1-D6
+    and once for D7/D8.
     """
     keys = drill_keys(logs, seeds)
     target = logs if stack is None or stack.empty else logs.where(stack.predicate())
-    kinds = kinds or list(_KIND_DRILLS)
-    parts = [_KIND_DRILLS[k](target, keys) for k in kinds]
+    kinds = list(KINDS) if kinds is None else list(kinds)
+    parts = [drill_equal(target, keys, equal)] if (equal := [k for k in kinds if k in EQUAL_KINDS]) else []
+    if "text" in kinds:
+        parts.append(drill_text(target, keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return keys, out
 
 
 def undo(stack: FilterStack, whole: bool = False) -> FilterStack:

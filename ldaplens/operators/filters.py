@@ -11,6 +11,7 @@ never reach the regex extraction.
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -27,9 +28,20 @@ FILTER_COLUMNS = {
     "err": "error_code",
     "thread": "thread_id",
 }
+NUMERIC_KINDS = ("conn", "op", "err")
 LABEL_SEPARATOR = " > "
 
 
+def between_lines(line_no: str, start: int | None, end: int | None) -> Column:
+    """``start <= line_no <= end``, either end open."""
+    p = F.lit(True)
+    if start is not None:
+        p = p & (F.col(line_no) >= start)
+    if end is not None:
+        p = p & (F.col(line_no) <= end)
+    return p
+
+
 @dataclass(frozen=True)
 class Filter:
     kind: str
@@ -46,9 +58,9 @@ class Filter:
 
     @property
     def has_range(self) -> bool:
-        return self.range_start is not None
+        return self.range_start is not None or self.range_end is not None
 
-    def with_range(self, start: int, end: int) -> "Filter":
+    def with_range(self, start: int | None, end: int | None) -> "Filter":
         return replace(self, range_start=start, range_end=end)
 
     def value_predicate(self) -> Column:
@@ -58,22 +70,27 @@ class Filter:
         return F.coalesce(F.col(FILTER_COLUMNS[self.kind]) == F.lit(self.value), F.lit(False))
 
     def predicate(self, line_no: str = "line_no") -> Column:
-        """F8: the value test AND-ed with the inclusive line range, if any."""
-        p = self.value_predicate()
-        if self.has_range:
-            p = p & F.col(line_no).between(F.lit(self.range_start), F.lit(self.range_end))
-        return p
+        """F8: the value test AND-ed with the inclusive line range; an open end does not limit."""
+        return self.value_predicate() & between_lines(line_no, self.range_start, self.range_end)
 
     def candidate(self, value: str = "value") -> Column:
-        """a necessary condition on the unparsed line (never rejects a match)."""
+        """a necessary condition on the unparsed line (never rejects a match).
+
+        Normalisation may change blanks between words, so only the value's part
+        before its first blank is looked for. The value of a numeric field must
+        not go on with a digit: ``conn=8`` is not found in ``conn=80``.
+        """
         v = F.col(value)
         if self.kind == "text":
             return F.lit(True)
+        word = re.split(r"\s", self.value, maxsplit=1)[0]
         if self.kind == "thread":
-            return v.contains(F.lit(self.value))
-        return v.contains(F.lit(f"{self.key}={self.value}")) | v.contains(
-            F.lit(f'{self.key}="{self.value}"')
-        )
+            return v.contains(F.lit(word))
+        if self.kind in NUMERIC_KINDS:
+            if not re.fullmatch("[0-9]+", self.value):
+                return F.lit(False)  # such a field holds digits only
+            return v.contains(F.lit(f"{self.key}={word}")) & v.rlike(f"{re.escape(self.key)}={word}(?![0-9])")
+        return v.contains(F.lit(f'{self.key}="{word}'))
 
     def label(self) -> str:
         """F13."""
@@ -120,17 +137,17 @@ class FilterStack:
         return any(f.has_range for f in self.filters)
 
     def range_start(self) -> int:
-        return max([f.range_start for f in self.filters if f.has_range], default=0)
+        return max([f.range_start for f in self.filters if f.range_start is not None], default=0)
 
     def range_end(self) -> int | None:
         """Smallest range end; None means unbounded."""
-        ends = [f.range_end for f in self.filters if f.has_range]
+        ends = [f.range_end for f in self.filters if f.range_end is not None]
         return min(ends) if ends else None
 
     def range_predicate(self, line_no: str = "line_no") -> Column:
         if not self.has_range:
             return F.lit(True)
-        return F.col(line_no).between(F.lit(self.range_start()), F.lit(self.range_end()))
+        return between_lines(line_no, self.range_start(), self.range_end())
 
     # F13
     def label(self) -> str:

@@ -1,41 +1,23 @@
-"""Join helpers: broadcast only behind a measured size bound."""
+"""Join helpers: the planner broadcasts by measured size."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Default bound for a broadcast side, in rows. Seeds, key tables and per-file
-# tables are checked against it before they are shipped to every executor.
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+from ldaplens.session import scratch_path
 
 
-# Default bound for a broadcast side, in bytes of its values (strings by their
-# UTF-8 length, other columns at 8 bytes each).
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+def sized(df: DataFrame, name: str = "keys") -> DataFrame:
+    """``df`` as a written table, so that joins with it are planned by its true size.
 
-
-def _row_bytes(df: DataFrame):
-    sizes = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if isinstance(f.dataType, StringType) else F.lit(8)
-             for f in df.schema.fields]
-    return sum(sizes[1:], sizes[0]) if sizes else F.lit(0)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                       max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows and
-    ``max_bytes`` bytes of values, else ``df``.
-
-    ``df`` is persisted first so the measurement and the join read the same
-    materialised rows (one computation, and identical values for inputs with
-    non-deterministic ids). The measurement reads at most ``max_rows + 1``
-    rows. Above either bound the caller's join stays a shuffle join, where
-    AQE's skew handling splits hot keys.
+    A key table's size cannot be told from its plan. Written to the shared folder and
+    read back it is known to the byte: the planner broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``, and otherwise shuffles, where AQE
+    splits hot keys. The table is computed once, by all executors, and outlives any of them.
+    Streams are returned as they are.
     """
     if df.isStreaming:
         return df
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

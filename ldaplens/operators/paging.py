@@ -12,18 +12,21 @@ so the large side is shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ldaplens.operators.joins import broadcast_if_small
+from ldaplens.operators.joins import sized
 
 DEFAULT_BUCKET = 1 << 20
 
 
+def bucket_of(order: str, bucket: int = DEFAULT_BUCKET) -> Column:
+    return F.floor(F.col(order) / F.lit(bucket)).cast("bigint")
+
+
 def with_ordinal(df: DataFrame, name: str = "ord", order: str = "line_no", bucket: int = DEFAULT_BUCKET) -> DataFrame:
     """V1: dense 0-based position of each row within its file, in ``order`` order."""
-    b = F.floor(F.col(order) / F.lit(bucket)).cast("bigint")
-    tagged = df.withColumn("_bucket", b)
+    tagged = df.withColumn("_bucket", bucket_of(order, bucket))
     sizes = tagged.groupBy("file", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_sum = Window.partitionBy("file").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", "_bucket", F.coalesce(F.sum("_n").over(w_sum), F.lit(0)).alias("_first"))
@@ -61,9 +64,9 @@ def line_status(df: DataFrame, totals: DataFrame) -> DataFrame:
     """V5: 1-based line number, file total, connection and DN of each row.
 
     ``totals`` is ``(file, n_lines)`` (``line_counts`` or a count of the
-    log): one row per file, broadcast when the file count is under the bound.
+    log): one row per file, written first so that it is broadcast by its true size.
     """
-    return df.join(broadcast_if_small(totals.select("file", "n_lines")), "file").select(
+    return df.join(sized(totals.select("file", "n_lines"), "totals"), "file").select(
         "file",
         "line_no",
         (F.col("line_no") + 1).alias("line_number"),

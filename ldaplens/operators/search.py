@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ldaplens.functions.tokens import match_spans
-from ldaplens.operators.joins import broadcast_if_small
-from ldaplens.operators.paging import with_ordinal
+from ldaplens.operators.paging import DEFAULT_BUCKET, bucket_of
 
 
 def java_quote(text: str) -> str:
@@ -34,25 +33,47 @@ def match_count(visible: DataFrame, query: str) -> DataFrame:
     return search(visible, query).groupBy("file").agg(F.count(F.lit(1)).alias("n_matches"))
 
 
-def search_numbered(visible: DataFrame, query: str, with_visible_ord: bool = True) -> DataFrame:
-    """Q2/Q3: each match with its visible ordinal, match ordinal, match count and
-    the wrapped next / previous match ordinals.
+def search_numbered(visible: DataFrame, query: str, bucket: int = DEFAULT_BUCKET) -> DataFrame:
+    """Q2/Q3: each match with its visible ordinal ``ord``, ``match_ord``, ``n_matches``, the wrapped
+    ``next_match_ord`` / ``prev_match_ord`` and the lines they are on, ``next_line_no`` /
+    ``prev_line_no``.
 
-    ``visible`` must carry ``ord`` (from ``with_ordinal``) when
-    ``with_visible_ord``; otherwise it is added here.
+    Two reads of ``visible`` and one small table: per ``(file, bucket)`` its visible
+    lines, its matches and its first and last match. Running sums over the
+    buckets give where each bucket's numbers start; row numbers, next and previous
+    match are found inside a bucket, and at its ends taken from the table. ``ord`` is
+    kept if ``visible`` has it.
     """
-    vis = visible if "ord" in visible.columns or not with_visible_ord else with_ordinal(visible)
-    hits = with_ordinal(search(vis, query), name="match_ord")
-    counts = hits.groupBy("file").agg(F.count(F.lit(1)).alias("n_matches"))
-    out = hits.join(broadcast_if_small(counts), "file")
-    n = F.col("n_matches")
-    k = F.col("match_ord")
-    return out.select(
-        *vis.columns,
-        "match_ord",
-        "n_matches",
-        ((k + 1) % n).alias("next_match_ord"),
-        ((k + n - 1) % n).alias("prev_match_ord"),
+    if not query:
+        return visible.where(F.lit(False)).select(*[c for c in visible.columns if c != "ord"], *[
+            F.lit(0).cast("bigint").alias(c) for c in ("ord", "match_ord", "n_matches", "next_match_ord",
+                                                       "prev_match_ord", "next_line_no", "prev_line_no")])
+    hit = F.col("value").contains(F.lit(query))
+    tagged = visible.withColumns({"_bucket": bucket_of("line_no", bucket), "_hit": F.coalesce(hit, F.lit(False)).cast("int")})
+    at_hit = F.when(F.col("_hit") == 1, F.col("line_no"))
+    sizes = tagged.groupBy("file", "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_hits"), F.min(at_hit).alias("_first"), F.max(at_hit).alias("_last"))
+    before = Window.partitionBy("file").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("file").orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy("file")
+    starts = sizes.select(
+        "file", "_bucket",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ord0"),
+        F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_match0"),
+        F.sum("_hits").over(whole).alias("n_matches"),
+        F.coalesce(F.min("_first").over(after), F.min("_first").over(whole)).alias("_next"),
+        F.coalesce(F.max("_last").over(before), F.max("_last").over(whole)).alias("_prev"),
+    )
+    inside = Window.partitionBy("file", "_bucket").orderBy("line_no")
+    ranked = tagged.withColumn("_rn", F.row_number().over(inside)).where(F.col("_hit") == 1)
+    ranked = ranked.withColumns({
+        "_m": F.row_number().over(inside), "_lead": F.lead("line_no").over(inside), "_lag": F.lag("line_no").over(inside)})
+    k, n = F.col("_match0") + F.col("_m") - 1, F.col("n_matches")
+    ord_ = F.col("ord") if "ord" in visible.columns else F.col("_ord0") + F.col("_rn") - 1
+    return ranked.join(starts, ["file", "_bucket"]).select(
+        *[c for c in visible.columns if c != "ord"], ord_.alias("ord"),
+        k.alias("match_ord"), "n_matches", ((k + 1) % n).alias("next_match_ord"), ((k + n - 1) % n).alias("prev_match_ord"),
+        F.coalesce("_lead", "_next").alias("next_line_no"), F.coalesce("_lag", "_prev").alias("prev_line_no"),
     )
 
 
@@ -108,12 +129,8 @@ def query_from_token(tok: Column) -> Column:
 def search_many(visible: DataFrame, queries: DataFrame, value: str = "value") -> DataFrame:
     """Q6 in bulk: ``queries`` is ``(file, query)`` (e.g. ``query_from_token`` of many
     seeds); returns the visible lines containing a query of their file, with
-    the ``query``. A substring join with bounded broadcasts (see ``drill_text``),
-    one row per (line, matching query)."""
+    the ``query``: one row per (line, matching query), see ``substring_join``."""
     from ldaplens.operators.drill import substring_join
 
     needles = queries.select("file", F.col("query").alias("_needle"))
-    found = substring_join(visible, needles, value)
-    if found is None:
-        return visible.where(F.lit(False)).select("*", F.lit(None).cast("string").alias("query"))
-    return found.withColumnRenamed("_needle", "query")
+    return substring_join(visible, needles, value).withColumnRenamed("_needle", "query")

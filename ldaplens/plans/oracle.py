@@ -35,7 +35,7 @@ def lines(head: str = "mixed") -> str:
         "mixed": f"CASE e % 3 WHEN 0 THEN {debug} WHEN 1 THEN {syslog} ELSE {rfc} END",
     }[head]
     return f"""(
-  SELECT 'slapd-' || (e % 4) || '.log' AS file, e // 4 AS line_no, {value} AS value
+  SELECT 'slapd-' || (e // 2500) || '.log' AS file, e % 2500 AS line_no, {value} AS value
   FROM (
     SELECT e, u, ts, us, '0x7f' || lpad(lower(hex(u)), 10, '0') AS thread,
            ' conn=' || u || ' ' || {_BODY} AS tail
@@ -54,6 +54,8 @@ def doc_lines() -> str:
 )"""
 
 
+# The line heads and, below, the stamp, field, token and keyword patterns of the
+# log format (RE2 here), as the Spark side states them for Java.
 _DEBUG_RE = r"^([0-9a-fA-F]+)\.([0-9a-fA-F]{5,8})[ \t]+([^ \t]*)[ \t]*(.*)$"
 _SYSLOG_RE = r"^([A-Za-z]{3})[ ]+([0-9]{1,2})[ ]+([0-9]{2}):([0-9]{2}):([0-9]{2})[ ]+(.*)$"
 

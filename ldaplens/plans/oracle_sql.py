@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ldaplens.plans import oracle as O
-from ldaplens.plans.queries import EMPTY_FILE, FILE_CODECS, UNTERMINATED_FILE, BASE, CONN, DN, DOC_QUERY, ERR, LABELLED, OP, SPAN_QUERY, TEXT, THREAD
+from ldaplens.plans.queries import BASE, CONN, DN, DOC_QUERY, ERR, OP, SPAN_QUERY, TEXT, THREAD
 
 P = O.parsed("mixed", "auto")
 
@@ -51,10 +51,11 @@ def _ordinal(src: str, extra: str = "") -> str:
             f"FROM {src} x {extra})")
 
 
-_LABEL_SQL = {
-    0: f"coalesce(error_code = '{ERR}', false) AND contains(raw, 'SEARCH')",
-    1: f"coalesce(base = {_q(BASE)}, false)",
-    2: f"coalesce(conn_id = '{CONN}', false) AND coalesce(op_id = '{OP}', false)",
+# label as printed -> condition
+_LABELLED_SQL = {
+    "err=49 > text:SEARCH": "coalesce(error_code = '49', false) AND contains(raw, 'SEARCH')",
+    "base=ou=g3,dc=example": "coalesce(base = 'ou=g3,dc=example', false)",
+    "conn=8 > op=4": "coalesce(conn_id = '8', false) AND coalesce(op_id = '4', false)",
 }
 
 _DOCS = O.doc_lines()
@@ -91,17 +92,16 @@ ORACLE: dict[str, str] = {
     "filter_thread": f"SELECT file, line_no, raw FROM {P} p WHERE thread_id = '{THREAD}'",
     "filter_text": f"SELECT file, line_no, raw FROM {P} p WHERE contains(raw, {_q(TEXT)})",
     "filter_range": f"SELECT file, line_no, raw FROM {P} p WHERE conn_id = '{CONN}' AND line_no BETWEEN 100 AND 2000",
+    "filter_range_open": (f"SELECT 'start' AS open, file, line_no FROM {P} p WHERE conn_id = '{CONN}' AND line_no <= 700 "
+                          f"UNION ALL SELECT 'end' AS open, file, line_no FROM {P} p WHERE conn_id = '{CONN}' AND line_no >= 700"),
     "filter_stack": (f"SELECT file, line_no, raw FROM {P} p WHERE contains(raw, 'SRCH') AND base = {_q(BASE)} "
                      f"AND line_no BETWEEN 500 AND 1500"),
-    "filter_candidates": f"""SELECT * FROM (
-  SELECT file, line_no,
-    (contains(value, 'conn={CONN}') OR contains(value, 'conn="{CONN}"'))
-      AND contains(value, '{THREAD}') AS candidate,
+    "filter_candidates": f"""SELECT file, line_no,
+    regexp_matches(value, 'conn={CONN}([^0-9]|$)') AND contains(value, '{THREAD}') AS candidate,
     coalesce(conn_id = '{CONN}', false) AND coalesce(thread_id = '{THREAD}', false) AS exact
-  FROM {P} p) z WHERE candidate OR exact""",
+  FROM {P} p""",
     "filter_labels": "\nUNION ALL\n".join(
-        f"SELECT file, line_no, {_q(s.label())} AS filter_label FROM {P} p WHERE {_LABEL_SQL[i]}"
-        for i, s in enumerate(LABELLED)),
+        f"SELECT file, line_no, {_q(label)} AS filter_label FROM {P} p WHERE {where}" for label, where in _LABELLED_SQL.items()),
     "conn_ranges": (f"SELECT file, conn_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines "
                     f"FROM {P} p WHERE conn_id IS NOT NULL GROUP BY file, conn_id"),
     "conn_lines": f"SELECT file, line_no, value FROM {P} p WHERE conn_id = '{CONN}'",
@@ -137,13 +137,27 @@ ORACLE: dict[str, str] = {
     "drill_attrs": _drill_lines(
         f"SELECT DISTINCT file, attrs AS n FROM {P} s WHERE attrs IS NOT NULL AND contains(raw, 'cn uid')",
         "contains(p.raw, k.n)", "text", "CAST(NULL AS VARCHAR)", "k.n"),
-    "drill_noop": (f"SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS key_conn, "
-                   f"CAST(NULL AS VARCHAR) AS key_value, file, line_no FROM {P} p WHERE false"),
+    "drill_noop": _drill_lines(
+        f"SELECT DISTINCT file, {_first_digits('err=')} AS e FROM {P} s WHERE error_code = '{ERR}' AND contains(raw, 'err=')",
+        "p.error_code = k.e", "err", "CAST(NULL AS VARCHAR)", "p.error_code"),
+    "drill_linked": f"""
+SELECT s.file, s.line_no, 'op' AS kind, s.conn_id AS key_conn, s.o AS key_value, count(*) AS n_lines
+FROM (SELECT file, line_no, conn_id, {_first_digits('op=')} AS o FROM {P} x
+      WHERE error_code = '{ERR}' AND contains(raw, 'op=')) s
+JOIN {P} p ON p.file = s.file AND p.conn_id = s.conn_id AND p.op_id = s.o GROUP BY ALL
+UNION ALL
+SELECT s.file, s.line_no, 'base', NULL, s.b, n FROM (
+  SELECT file, line_no, regexp_extract(raw, 'base="([^"]*)"', 1) AS b FROM {P} x WHERE base IS NOT NULL AND contains(raw, 'base="')) s
+JOIN (SELECT file, base, count(*) AS n FROM {P} p GROUP BY ALL) t ON t.file = s.file AND t.base = s.b WHERE s.b <> ''
+UNION ALL
+SELECT s.file, s.line_no, 'thread', NULL, s.thread_id, n FROM (
+  SELECT file, line_no, thread_id FROM {P} x WHERE contains(raw, 'ACCEPT') AND thread_id IS NOT NULL AND contains(raw, '0x7f')) s
+JOIN (SELECT file, thread_id, count(*) AS n FROM {P} p GROUP BY ALL) t ON t.file = s.file AND t.thread_id = s.thread_id""",
     "drill_chain": _drill_lines(
         f"SELECT DISTINCT file, {_first_digits('conn=')} AS c FROM {P} s WHERE error_code = '{ERR}' AND contains(raw, 'conn=')",
         "p.conn_id = k.c AND contains(p.raw, 'SRCH')", "conn", "p.conn_id", "CAST(NULL AS VARCHAR)"),
     "stack_undo": (f"SELECT 'pop' AS undo, file, line_no FROM {P} p WHERE conn_id = '{CONN}' "
-                   f"UNION ALL SELECT 'clear' AS undo, file, line_no FROM {P} p WHERE conn_id = '9'"),
+                   f"UNION ALL SELECT 'clear' AS undo, file, line_no FROM {P} p"),
     "search_lines": (f"SELECT file, count(*) AS n_matches, min(line_no) AS first_line FROM {_DOCS} d "
                      f"WHERE contains(value, '{DOC_QUERY}') GROUP BY file"),
     "search_numbered": f"""SELECT file, line_no, ord, match_ord, n AS n_matches,
@@ -156,6 +170,8 @@ FROM (SELECT file, line_no, ord, row_number() OVER (PARTITION BY file ORDER BY l
 SELECT a.file, a.line_no, a.match_ord, nx.line_no AS next_line_no, pv.line_no AS prev_line_no
 FROM h a JOIN h nx ON nx.file = a.file AND nx.match_ord = (a.match_ord + 1) % a.n
          JOIN h pv ON pv.file = a.file AND pv.match_ord = (a.match_ord + a.n - 1) % a.n""",
+    "search_many": (f"SELECT p.file, p.line_no, k.q AS query FROM {P} p JOIN (SELECT DISTINCT file, concat('conn=', conn_id, ' ') AS q "
+                    f"FROM {P} s WHERE error_code = '{ERR}') k ON p.file = k.file AND contains(p.value, k.q)"),
     "search_first_pos": (f"SELECT file, line_no, CAST(strlen(split_part(value, '{SPAN_QUERY}', 1)) AS INTEGER) AS first_pos "
                          f"FROM {_DOCS} d WHERE contains(value, '{SPAN_QUERY}')"),
     "search_spans": f"""SELECT file, line_no, CAST(i AS INTEGER) AS span_idx,
@@ -164,12 +180,11 @@ FROM h a JOIN h nx ON nx.file = a.file AND nx.match_ord = (a.match_ord + 1) % a.
 FROM (SELECT file, line_no, pcs, unnest(range(0, len(pcs) - 1)) AS i
       FROM (SELECT file, line_no, string_split(value, '{SPAN_QUERY}') AS pcs FROM {_DOCS} d
             WHERE contains(value, '{SPAN_QUERY}')) a) b""",
-    "search_from_token": f"""SELECT file, line_no, query FROM (
+    "search_from_token": f"""SELECT file, line_no, coalesce(query, '') AS query FROM (
   SELECT file, line_no, CASE type
     WHEN 'CONN_ID' THEN value[6:] WHEN 'OP_ID' THEN value[4:] WHEN 'ERROR_CODE' THEN value[5:]
     WHEN 'DN_VALUE' THEN value[5:length(value) - 1] WHEN 'THREAD_ID' THEN value ELSE '' END AS query
-  FROM {_token_at(f"(SELECT file, line_no, raw FROM {P} p)", '(line_no * 7) % 80')} z) y
-WHERE query IS NOT NULL AND query <> ''""",
+  FROM {_token_at(f"(SELECT file, line_no, raw FROM {P} p)", '(line_no * 7) % 80')} z) y""",
     "ordinals": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v",
     "page": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v WHERE ord >= 20 AND ord < 45",
     "goto": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v WHERE ord = 14",
@@ -188,18 +203,30 @@ SELECT p.file, p.conn_id, p.line_no, r.first_line, r.last_line, r.n_lines, p.val
 FROM {P} p JOIN k ON p.file = k.file AND p.conn_id = k.c JOIN r ON r.file = p.file AND r.conn_id = p.conn_id"""
 
 _L = O.lines("mixed")
-_CODEC_CASE = "CASE file " + " ".join(f"WHEN '{f}' THEN '{c}'" for f, c in FILE_CODECS.items()) + " END"
+# Layout of the written files by number modulo 4: codec; 1 has CR LF line ends, 2 no final newline.
+_NUMBER = "CAST(regexp_extract(file, '([0-9]+)', 1) AS BIGINT) % 4"
+_CODEC_CASE = f"CASE {_NUMBER} WHEN 0 THEN 'none' WHEN 1 THEN 'gzip' WHEN 2 THEN 'bzip2' ELSE 'xz' END"
+
+
+def _tail_sql(kind: str, eol: str, skip: str) -> str:
+    """The last 10 terminated lines of each file; ``eol``: bytes of a line's end, ``skip``: last lines that have none."""
+    return f"""SELECT '{kind}' AS kind, file, b - {skip} AS back, byte_pos, value FROM (
+  SELECT file, value, row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS b,
+    CAST(coalesce(sum(strlen(value) + {eol}) OVER (PARTITION BY file ORDER BY line_no
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_pos
+  FROM {_L} l) z WHERE b - {skip} BETWEEN 1 AND 10"""
+
 
 ORACLE.update({
     "scan_text": f"SELECT file, line_no, value FROM {_L} l",
+    "scan_splits": f"SELECT file, line_no, value FROM {_L} l",
+    "scan_auto": f"SELECT file, line_no, value FROM {_L} l",
     "line_counts": (f"SELECT file, count(*) AS n_lines FROM {_L} l GROUP BY file "
-                    f"UNION ALL SELECT '{EMPTY_FILE}' AS file, CAST(0 AS BIGINT) AS n_lines"),
+                    f"UNION ALL SELECT 'slapd-empty.log' AS file, CAST(0 AS BIGINT) AS n_lines"),
     "slice_lines": f"SELECT file, line_no, value FROM {_L} l WHERE line_no >= 100 AND line_no < 150",
-    "tail_lines": f"""SELECT file, line_no, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS back FROM {_L} l) z
-WHERE (file <> '{UNTERMINATED_FILE}' AND back <= 10) OR (file = '{UNTERMINATED_FILE}' AND back BETWEEN 2 AND 11)""",
-    "codec_detect": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}')" for f, c in FILE_CODECS.items())
-                    + ") AS t(file, codec)",
+    "tail_lines": _tail_sql("text", f"(CASE WHEN {_NUMBER} = 1 THEN 2 ELSE 1 END)", f"(CASE WHEN {_NUMBER} = 2 THEN 1 ELSE 0 END)")
+                  + "\nUNION ALL\n" + _tail_sql("compressed", "1", "0"),
+    "codec_detect": f"SELECT DISTINCT file, {_CODEC_CASE} AS codec FROM {_L} l",
     "scan_compressed": f"SELECT file, line_no, value, {_CODEC_CASE} AS codec FROM {_L} l",
     "ingest_roundtrip": f"SELECT file, line_no, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
 })
@@ -233,12 +260,21 @@ ORACLE.update({
         (f"line_no >= {_N} // 2", 0, "true", False),
     ]),
     # generation 0: last 10 lines of the first 3/5; generation 1 (file rewritten
-    # with the 4th fifth, then the last fifth appended): its last 10 lines, then the appends
+    # with the 4th fifth, then the last fifth appended): every line
     "follow_rotate": _follow_sql([
         ("true", 0, f"line_no < {_N} * 3 // 5", True),
-        (f"line_no >= {_N} * 4 // 5 - 10", 1, f"line_no >= {_N} * 3 // 5", False),
+        ("true", 1, f"line_no >= {_N} * 3 // 5", False),
+    ]),
+    # generation 0: last 10 lines of the first 3/5, and the 4th fifth, appended and then
+    # renamed away before it was read; generation 1: the last fifth in new files
+    "follow_rename": _follow_sql([
+        ("true", 0, f"line_no < {_N} * 3 // 5", True),
+        (f"line_no >= {_N} * 3 // 5", 0, f"line_no < {_N} * 4 // 5", False),
+        ("true", 1, f"line_no >= {_N} * 4 // 5", False),
     ]),
     "stream_parse": f"SELECT file, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
     "stream_filter": (f"SELECT file, conn_id, raw FROM {P} p WHERE error_code = '{ERR}' "
                       f"AND contains(raw, 'SEARCH')"),
 })
+ORACLE["follow_table"] = (f"SELECT f.*, (SELECT count(*) FROM {_L} l WHERE line_no >= {_N} // 2) AS n_added "
+                          f"FROM ({ORACLE['follow_append']}) f")

@@ -11,23 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import CORE_FIELDS, EXTRA_FIELDS, parse_logs
-from ldaplens.functions.tokens import explode_tokens, keywords_col, token_at, tokens_col, with_tokens
+from ldaplens.functions.tokens import explode_tokens, token_at, with_tokens
 from ldaplens.operators.drill import (
-    conn_lines, conn_ranges, drill, drill_base, drill_conn, drill_err, drill_keys, drill_op, drill_text,
+    conn_lines, conn_ranges, drill, drill_base, drill_conn, drill_err, drill_keys, drill_linked, drill_op, drill_text,
     drill_thread, undo, visible_counts,
 )
 from ldaplens.operators.filters import Filter, FilterStack, apply_filters
-from ldaplens.operators.joins import broadcast_if_small
+from ldaplens.operators.joins import sized
 from ldaplens.operators.paging import first_last, goto, line_status, page, with_ordinal
 from ldaplens.operators.search import (
-    first_match_pos, query_from_token, search, search_numbered, search_span_rows, search_spans,
+    first_match_pos, match_count, query_from_token, search, search_many, search_numbered, search_span_rows,
 )
 from ldaplens.plans import oracle as O
 from ldaplens.session import ensure_utc, scratch_path
-from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed
-from ldaplens.sources.derived import SYSLOG_AS_OF, basename, doc_logs, event_logs, write_log_files
+from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed, write_clustered
+from ldaplens.sources.derived import SYSLOG_AS_OF, _create, basename, doc_logs, event_logs, write_log_files
 from ldaplens.sources.text import line_counts, read_logs, slice_lines, tail_lines
-from ldaplens.streaming.follow import follow_logs
+from ldaplens.streaming.follow import follow_into_table, follow_logs, new_line_count
 from ldaplens.streaming.stream import drain, parse_stream, run_to_parquet, stream_lines
 
 LOCAL_TZ = O.LOCAL_TZ
@@ -61,8 +61,7 @@ def _parsed(spark: SparkSession, sf: str, head: str = "mixed", fmt: str = "auto"
     path = _INGESTED.get(key)
     if path is None:
         path = scratch_path(spark, f"parsed-{head}-{fmt}")
-        (parse_events(spark, sf, head, fmt, tz).sortWithinPartitions("file", "line_no")
-         .write.mode("overwrite").parquet(path))
+        write_clustered(parse_events(spark, sf, head, fmt, tz), path)
         _INGESTED[key] = path
     return spark.read.parquet(path)
 
@@ -144,6 +143,15 @@ q_filter_thread = _filter_query(Filter("thread", THREAD))
 q_filter_text = _filter_query(Filter("text", TEXT))
 q_filter_range = _filter_query(Filter("conn", CONN, 100, 2000))
 
+
+def q_filter_range_open(spark, sf):
+    """F8 with one open end each way."""
+    p = _parsed(spark, sf)
+    parts = [apply_filters(p, FilterStack().push(f)).select(F.lit(name).alias("open"), "file", "line_no")
+             for name, f in (("start", Filter("conn", CONN, None, 700)), ("end", Filter("conn", CONN, 700, None)))]
+    return parts[0].unionByName(parts[1])
+
+
 STACK = FilterStack().push(Filter("text", "SRCH", 500, 2400)).push(Filter("base", BASE, 0, 1500))
 
 
@@ -154,8 +162,7 @@ def q_filter_stack(spark, sf):
 def q_filter_candidates(spark, sf):
     stack = FilterStack().push(Filter("conn", CONN)).push(Filter("thread", THREAD))
     p = _parsed(spark, sf)
-    out = p.select("file", "line_no", stack.candidate().alias("candidate"), stack.predicate().alias("exact"))
-    return out.where(F.col("candidate") | F.col("exact"))
+    return p.select("file", "line_no", stack.candidate().alias("candidate"), stack.predicate().alias("exact"))
 
 
 LABELLED = [
@@ -237,13 +244,30 @@ def q_drill_attrs(spark, sf):
 
 
 def q_drill_noop(spark, sf):
-    # seeds on fd= and ACCEPT tokens: no drill exists for them
+    """Seeds on fd= and ACCEPT tokens have no drill; those on the result code of the same
+    call do, and theirs are all the lines that come back."""
     p = _parsed(spark, sf)
     seeds = _seeds(p, F.col("raw").contains("ACCEPT"), "fd=").unionByName(
-        _seeds(p, F.col("raw").contains("fd="), "ACCEPT"))
+        _seeds(p, F.col("raw").contains("fd="), "ACCEPT")).unionByName(
+        _seeds(p, F.col("error_code") == ERR, "err="))
     return _drill_out(drill(p, seeds))
 
 
+def q_drill_linked(spark, sf):
+    """D1-D6 at once: per seed, how many lines its key has (the seed -> key table beside the lines)."""
+    p = _parsed(spark, sf)
+    seeds = _seeds(p, F.col("error_code") == ERR, "op=").unionByName(
+        _seeds(p, F.col("base").isNotNull(), 'base="')).unionByName(
+        _seeds(p, F.col("raw").contains("ACCEPT") & F.col("thread_id").isNotNull(), "0x7f"))
+    keys, lines = drill_linked(p, seeds, kinds=["conn", "op", "thread", "err", "base"])
+    key = ["file", "kind", "key_conn", "key_value"]
+    n = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n_lines")).withColumnsRenamed({c: f"_{c}" for c in key})
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return keys.where(F.col("kind").isNotNull()).join(n, same).select("file", "line_no", "kind", "key_conn", "key_value", "n_lines")
+
+
 def q_drill_chain(spark, sf):
     p = _parsed(spark, sf)
     stack = FilterStack().push(Filter("text", "SRCH"))
@@ -255,8 +279,7 @@ def q_stack_undo(spark, sf):
     stack = FilterStack().push(Filter("conn", CONN)).push(Filter("err", ERR))
     p = _parsed(spark, sf)
     a = apply_filters(p, undo(stack)).select(F.lit("pop").alias("undo"), "file", "line_no")
-    b = apply_filters(p, undo(stack, whole=True)).where(F.col("conn_id") == "9").select(
-        F.lit("clear").alias("undo"), "file", "line_no")
+    b = apply_filters(p, undo(stack, whole=True)).select(F.lit("clear").alias("undo"), "file", "line_no")
     return a.unionByName(b)
 
 
@@ -267,26 +290,30 @@ def _docs(spark, sf):
 
 
 def q_search_lines(spark, sf):
-    hits = search(_docs(spark, sf), DOC_QUERY)
-    return hits.groupBy("file").agg(F.count(F.lit(1)).alias("n_matches"), F.min("line_no").alias("first_line"))
+    d = _docs(spark, sf)
+    first = search(d, DOC_QUERY).groupBy("file").agg(F.min("line_no").alias("first_line"))
+    return match_count(d, DOC_QUERY).join(first, "file").select("file", "n_matches", "first_line")
 
 
 def q_search_numbered(spark, sf):
     p = _parsed(spark, sf)
-    visible = with_ordinal(apply_filters(p, FilterStack().push(Filter("text", "SRCH"))).select("file", "line_no", "value"))
-    out = search_numbered(visible, "attr=")
-    return out.select("file", "line_no", "ord", "match_ord", "n_matches", "next_match_ord", "prev_match_ord")
+    visible = apply_filters(p, FilterStack().push(Filter("text", "SRCH"))).select("file", "line_no", "value")
+    return search_numbered(visible, "attr=").select(
+        "file", "line_no", "ord", "match_ord", "n_matches", "next_match_ord", "prev_match_ord")
 
 
 def q_search_next_prev(spark, sf):
-    hits = search_numbered(with_ordinal(_docs(spark, sf)), DOC_QUERY).select(
-        "file", "line_no", "match_ord", "next_match_ord", "prev_match_ord")
-    nxt = hits.select("file", F.col("match_ord").alias("next_match_ord"), F.col("line_no").alias("next_line_no"))
-    prv = hits.select("file", F.col("match_ord").alias("prev_match_ord"), F.col("line_no").alias("prev_line_no"))
-    return hits.join(nxt, ["file", "next_match_ord"]).join(prv, ["file", "prev_match_ord"]).select(
+    return search_numbered(_docs(spark, sf), DOC_QUERY).select(
         "file", "line_no", "match_ord", "next_line_no", "prev_line_no")
 
 
+def q_search_many(spark, sf):
+    """Q6 in bulk: every failed connection's number, searched for in its file."""
+    p = _parsed(spark, sf)
+    queries = p.where(F.col("error_code") == ERR).select("file", F.concat(F.lit("conn="), "conn_id", F.lit(" ")).alias("query"))
+    return search_many(p.select("file", "line_no", "value"), queries).select("file", "line_no", "query")
+
+
 def q_search_first_pos(spark, sf):
     d = search(_docs(spark, sf), SPAN_QUERY)
     return d.select("file", "line_no", first_match_pos(SPAN_QUERY).alias("first_pos"))
@@ -301,7 +328,7 @@ def q_search_from_token(spark, sf):
     pos = (F.col("line_no") * 7) % 80
     tok = token_at("tokens", pos)
     q = query_from_token(tok)
-    return p.select("file", "line_no", F.coalesce(q, F.lit("")).alias("query")).where(F.col("query") != "")
+    return p.select("file", "line_no", F.coalesce(q, F.lit("")).alias("query"))
 
 
 # ----------------------------------------------------------------- V
@@ -350,6 +377,7 @@ QUERIES = {
     "filter_thread": q_filter_thread,
     "filter_text": q_filter_text,
     "filter_range": q_filter_range,
+    "filter_range_open": q_filter_range_open,
     "filter_stack": q_filter_stack,
     "filter_candidates": q_filter_candidates,
     "filter_labels": q_filter_labels,
@@ -365,11 +393,13 @@ QUERIES = {
     "drill_filter": q_drill_filter,
     "drill_attrs": q_drill_attrs,
     "drill_noop": q_drill_noop,
+    "drill_linked": q_drill_linked,
     "drill_chain": q_drill_chain,
     "stack_undo": q_stack_undo,
     "search_lines": q_search_lines,
     "search_numbered": q_search_numbered,
     "search_next_prev": q_search_next_prev,
+    "search_many": q_search_many,
     "search_first_pos": q_search_first_pos,
     "search_spans": q_search_spans,
     "search_from_token": q_search_from_token,
@@ -387,13 +417,12 @@ def q_failed_connections(spark, sf):
     the connection's first line, last line and size.
 
     The ranges are aggregated from the drilled lines only (one row per keyed
-    connection, so the same bound as the key table) instead of from the whole
-    log, and joined back under that bound."""
+    connection) instead of from the whole log, and joined back by their size."""
     p = _parsed(spark, sf)
     keys = drill_keys(p, _seeds(p, F.col("error_code") == ERR, "conn="))
     lines = drill_conn(p, keys).select("file", "conn_id", "line_no", "value")
     ranges = conn_ranges(lines)
-    return lines.join(broadcast_if_small(ranges), ["file", "conn_id"]).select(
+    return lines.join(sized(ranges, "ranges"), ["file", "conn_id"]).select(
         "file", "conn_id", "line_no", "first_line", "last_line", "n_lines", "value")
 
 
@@ -401,16 +430,18 @@ QUERIES["failed_connections"] = q_failed_connections
 
 
 # ----------------------------------------------------------------- S (files)
-# Fixed layout of the written fixtures: which file gets which content codec
-# (all named .log, so the compressed ones are misnamed on purpose), which one
-# has CR LF line ends and which one lacks its final newline.
-FILE_CODECS = {"slapd-0.log": "none", "slapd-1.log": "gzip", "slapd-2.log": "bzip2", "slapd-3.log": "xz"}
-CRLF_FILE = "slapd-1.log"
-UNTERMINATED_FILE = "slapd-2.log"
+# Fixed layout of the written fixtures, by a file's number modulo 4: content codec (all named
+# .log, so the compressed ones are misnamed on purpose), CR LF line ends, no final newline.
+CODEC_ORDER = ("none", "gzip", "bzip2", "xz")
+CRLF_REST, UNTERMINATED_REST = 1, 2
 EMPTY_FILE = "slapd-empty.log"
 _WRITTEN: dict = {}
 
 
+def _rest(name: str) -> int:
+    return int(name[len("slapd-"):-len(".log")]) % 4
+
+
 def _files(spark: SparkSession, sf: str, kind: str) -> str:
     """Folder of log files written by Spark from the derived lines (once per session)."""
     key = (spark.sparkContext.applicationId, sf, kind)
@@ -418,17 +449,18 @@ def _files(spark: SparkSession, sf: str, kind: str) -> str:
         out = scratch_path(spark, f"files-{kind}")
         lines = event_logs(spark, sf, "mixed")
         if kind == "text":
-            write_log_files(lines, out, crlf=[CRLF_FILE], unterminated=[UNTERMINATED_FILE])
-            if "://" not in out or out.startswith("file:"):
-                import os
-
-                open(os.path.join(out.replace("file:", "", 1), EMPTY_FILE), "wb").close()
+            write_log_files(lines, out, crlf=lambda f: _rest(f) == CRLF_REST, unterminated=lambda f: _rest(f) == UNTERMINATED_REST)
+            _create(f"{out}/{EMPTY_FILE}").close()
         else:
-            write_log_files(lines, out, codecs=FILE_CODECS)
+            write_log_files(lines, out, codec=lambda f: CODEC_ORDER[_rest(f)])
         _WRITTEN[key] = out
     return _WRITTEN[key]
 
 
+# Bytes of a split in the scan of many splits.
+SMALL_SPLIT = 16 << 10
+
+
 def q_scan_text(spark, sf):
     logs = read_logs(spark, _files(spark, sf, "text"))
     return logs.select(basename("file").alias("file"), "line_no", "value")
@@ -438,13 +470,28 @@ def q_line_counts(spark, sf):
     return line_counts(spark, _files(spark, sf, "text")).select(basename("file").alias("file"), "n_lines")
 
 
-def q_slice_lines(spark, sf):
+def q_scan_splits(spark, sf):
+    """S5 over files of many splits, which get smaller between definition and action."""
     logs = read_logs(spark, _files(spark, sf, "text"))
-    return slice_lines(logs, 100, 50).select(basename("file").alias("file"), "line_no", "value")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SMALL_SPLIT))
+        out = sized(logs, "split-scan")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return out.select(basename("file").alias("file"), "line_no", "value")
+
+
+def q_slice_lines(spark, sf):
+    """S7 on the ingested table: the range reaches the scan and prunes row groups."""
+    return slice_lines(_ingested_files(spark, sf), 100, 50).select(basename("file").alias("file"), "line_no", "value")
 
 
 def q_tail_lines(spark, sf):
-    return tail_lines(spark, _files(spark, sf, "text"), 10).select(basename("file").alias("file"), "line_no", "value")
+    """S8 on plain and on compressed files."""
+    parts = [tail_lines(spark, _files(spark, sf, kind), 10).select(
+        F.lit(kind).alias("kind"), basename("file").alias("file"), "back", "byte_pos", "value") for kind in ("text", "compressed")]
+    return parts[0].unionByName(parts[1])
 
 
 def q_codec_detect(spark, sf):
@@ -456,15 +503,31 @@ def q_scan_compressed(spark, sf):
         basename("file").alias("file"), "line_no", "value", "codec")
 
 
-def q_ingest_roundtrip(spark, sf):
+def _ingested_files(spark, sf):
     ensure_utc(spark)
-    out = scratch_path(spark, "ingest")
-    t = ingest_logs(spark, _files(spark, sf, "compressed"), out, fmt="auto", as_of=SYSLOG_AS_OF)
+    key = (spark.sparkContext.applicationId, sf, "ingested")
+    if key not in _INGESTED:
+        out = scratch_path(spark, "ingest")
+        ingest_logs(spark, _files(spark, sf, "compressed"), out, fmt="auto", as_of=SYSLOG_AS_OF)
+        _INGESTED[key] = out
+    return spark.read.parquet(_INGESTED[key])
+
+
+def q_scan_auto(spark, sf):
+    """S3: one scan that opens any file by content; plain files in splits."""
+    logs = read_logs(spark, _files(spark, sf, "compressed"), codec="auto")
+    return logs.select(basename("file").alias("file"), "line_no", "value")
+
+
+def q_ingest_roundtrip(spark, sf):
+    t = _ingested_files(spark, sf)
     return t.select(basename("file").alias("file"), "line_no", "ts_text", "conn_id", "op_id", "error_code", "raw")
 
 
 QUERIES.update({
     "scan_text": q_scan_text,
+    "scan_splits": q_scan_splits,
+    "scan_auto": q_scan_auto,
     "line_counts": q_line_counts,
     "slice_lines": q_slice_lines,
     "tail_lines": q_tail_lines,
@@ -481,45 +544,87 @@ def _phase_bounds(lines: DataFrame, *fifths: int) -> list[int]:
     return [n * k // 5 for k in fifths]
 
 
-def _follow_run(spark, folder: str, sink: str, ckpt: str, state: str):
-    stream = follow_logs(spark, folder, tail=10, state=state)
+def _follow_run(spark, folder: str, sink: str, ckpt: str):
+    stream = follow_logs(spark, folder, tail=10, checkpoint=ckpt)
     parsed = parse_logs(stream, fmt="auto", as_of=SYSLOG_AS_OF)
     drain(run_to_parquet(parsed.select("file", "generation", "byte_pos", "value", "conn_id"), sink, ckpt))
 
 
+def _follow_paths(spark, name: str):
+    return tuple(scratch_path(spark, f"{name}-{x}") for x in ("logs", "sink", "ckpt"))
+
+
+def _followed(spark, sink: str) -> DataFrame:
+    return spark.read.parquet(sink).select(basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id")
+
+
 def q_follow_append(spark, sf):
-    """S9 + S12: follow a growing log; the first batch is each file's last 10
-    lines, later batches exactly the appended lines (the query restarts from
-    its checkpoint between the two writes)."""
+    """Follow a growing log; the first batch is each file's last 10 lines, later
+    batches exactly the appended lines (the query restarts from its checkpoint
+    between the two writes)."""
     ensure_utc(spark)
     lines = event_logs(spark, sf, "mixed")
     n = lines.agg(F.max("line_no")).first()[0] + 1
     half = n // 2
-    folder, sink, ckpt = (scratch_path(spark, x) for x in ("follow-logs", "follow-sink", "follow-ckpt"))
-    state = ckpt + "-state.json"
+    folder, sink, ckpt = _follow_paths(spark, "follow")
     write_log_files(lines.where(F.col("line_no") < half), folder)
-    _follow_run(spark, folder, sink, ckpt, state)
+    _follow_run(spark, folder, sink, ckpt)
     write_log_files(lines.where(F.col("line_no") >= half), folder, append=True)
-    _follow_run(spark, folder, sink, ckpt, state)
-    return spark.read.parquet(sink).select(basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id")
+    _follow_run(spark, folder, sink, ckpt)
+    return _followed(spark, sink)
 
 
 def q_follow_rotate(spark, sf):
-    """The followed files are truncated and rewritten (copy-truncate
-    rotation), then grow again: the new generation replays its last 10 lines,
-    then follows the appends."""
+    """The followed files are truncated and rewritten, then grow again: every line
+    of the new generation comes, from its first."""
     ensure_utc(spark)
     lines = event_logs(spark, sf, "mixed")
     a, b = _phase_bounds(lines, 3, 4)
-    folder, sink, ckpt = (scratch_path(spark, x) for x in ("rotate-logs", "rotate-sink", "rotate-ckpt"))
-    state = ckpt + "-state.json"
+    folder, sink, ckpt = _follow_paths(spark, "rotate")
     write_log_files(lines.where(F.col("line_no") < a), folder)
-    _follow_run(spark, folder, sink, ckpt, state)
+    _follow_run(spark, folder, sink, ckpt)
     write_log_files(lines.where((F.col("line_no") >= a) & (F.col("line_no") < b)), folder)
-    _follow_run(spark, folder, sink, ckpt, state)
+    _follow_run(spark, folder, sink, ckpt)
     write_log_files(lines.where(F.col("line_no") >= b), folder, append=True)
-    _follow_run(spark, folder, sink, ckpt, state)
-    return spark.read.parquet(sink).select(basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id")
+    _follow_run(spark, folder, sink, ckpt)
+    return _followed(spark, sink)
+
+
+def q_follow_rename(spark, sf):
+    """Between two looks the files grow, are renamed inside the followed folder, and new
+    ones take their names: the unread lines come from the renamed files, once."""
+    from pyarrow import fs as pafs
+
+    ensure_utc(spark)
+    lines = event_logs(spark, sf, "mixed")
+    a, b = _phase_bounds(lines, 3, 4)
+    folder, sink, ckpt = _follow_paths(spark, "rename")
+    write_log_files(lines.where(F.col("line_no") < a), folder)
+    _follow_run(spark, folder, sink, ckpt)
+    write_log_files(lines.where((F.col("line_no") >= a) & (F.col("line_no") < b)), folder, append=True)
+    place, root = pafs.FileSystem.from_uri("file:///" + folder.removeprefix("file:").lstrip("/"))
+    for f in place.get_file_info(pafs.FileSelector(root)):
+        if f.base_name.endswith(".log"):
+            place.move(f.path, f.path + ".1")
+    write_log_files(lines.where(F.col("line_no") >= b), folder)
+    _follow_run(spark, folder, sink, ckpt)
+    return _followed(spark, sink)
+
+
+def q_follow_table(spark, sf):
+    """A parsed table kept up to date; the last refresh tells how many lines it added."""
+    ensure_utc(spark)
+    lines = event_logs(spark, sf, "mixed")
+    n = lines.agg(F.max("line_no")).first()[0] + 1
+    folder, table, ckpt = _follow_paths(spark, "table")
+    added = []
+    for part, append in ((F.col("line_no") < n // 2, False), (F.col("line_no") >= n // 2, True)):
+        write_log_files(lines.where(part), folder, append=append)
+        query = follow_into_table(spark, folder, table, ckpt, as_of=SYSLOG_AS_OF)
+        drain(query)
+        added.append(max([int(p["numInputRows"]) for p in query.recentProgress], default=new_line_count(query)))
+    return spark.read.parquet(table).select(
+        basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id", F.lit(added[1]).cast("bigint").alias("n_added"))
 
 
 def _stream_folder(spark, sf) -> str:
@@ -550,6 +655,8 @@ def q_stream_filter(spark, sf):
 QUERIES.update({
     "follow_append": q_follow_append,
     "follow_rotate": q_follow_rotate,
+    "follow_rename": q_follow_rename,
+    "follow_table": q_follow_table,
     "stream_parse": q_stream_parse,
     "stream_filter": q_stream_filter,
 })

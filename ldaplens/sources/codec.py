@@ -7,22 +7,24 @@ The codec is decided by the leading bytes, never by the file name:
 * xz    -- the 6-byte magic ``fd 37 7a 58 5a 00``
 * anything else, or fewer than 2 bytes -> ``none``
 
-Spark's text reader picks a codec by extension and cannot read xz, so
-decoding runs in a Python data source with one input partition per file
-(compressed streams are not splittable anyway). Each task streams its file
-through the stdlib decoder -- whole multi-member gzip, multi-stream bzip2
-and concatenated xz -- and emits Arrow batches of ``(file, line_no, value)``;
-nothing is buffered beyond one batch.
+Spark's text reader picks a codec by extension and cannot read xz, so files
+whose content does not match their name are decoded in Python tasks: Spark's
+binary file scan (metadata only) lists the files and packs small ones into one
+task, and each task streams its files through the stdlib decoder -- whole
+multi-member gzip, multi-stream bzip2 and concatenated xz -- and emits Arrow
+batches of ``(file, line_no, value)``; nothing is held beyond one batch. All
+other files, plain ones above all, are read by Spark's own reader in splits.
 """
 
 from __future__ import annotations
 
 import io
-import json
+from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ldaplens.session import ship_package
 
 # Codec names and magic numbers.
 CODECS = ("none", "gzip", "bzip2", "xz")
@@ -46,18 +48,15 @@ def codec_of(head: bytes) -> str:
 
 
 def _open(path: str):
-    """Binary stream for a Spark path (local ``file:`` or any pyarrow filesystem)."""
+    """Binary, seekable stream for a Spark path (local ``file:`` or any pyarrow filesystem)."""
     if path.startswith("file:"):
-        local = path[5:]
-        while local.startswith("//"):
-            local = local[1:]
-        return open(local, "rb")
+        return open("/" + path[5:].lstrip("/"), "rb")
     if "://" not in path:
         return open(path, "rb")
     from pyarrow import fs as pafs
 
     filesystem, inner = pafs.FileSystem.from_uri(path)
-    return filesystem.open_input_stream(inner)
+    return filesystem.open_input_file(inner)
 
 
 def _decoded(raw, codec: str):
@@ -81,116 +80,155 @@ def _peek(path: str) -> bytes:
         return b""
 
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
+def list_files(spark: SparkSession, paths) -> DataFrame:
+    """``(path, length)`` of every file under ``paths``; Spark's binary scan without its content."""
+    if isinstance(paths, str):
+        paths = [paths]
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "length")
 
-class _LogFileReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = json.loads(options["paths"])
-        self.mode = options.get("mode", "lines")
 
-    def partitions(self):
-        return [_FilePartition(p) for p in self.paths]
+def detect_codec(spark: SparkSession, paths) -> DataFrame:
+    """``(file, codec)`` from the first six bytes of every file, read in tasks."""
+    ship_package(spark)
 
-    def read(self, partition):
+    def peek(batches):
         import pyarrow as pa
 
-        path = partition.path
-        codec = codec_of(_peek(path))
-        if self.mode == "detect":
-            yield (path, codec)
-            return
-        files, nos, values = [], [], []
-        line_no = 0
-        with _open(path) as raw:
-            stream = io.BufferedReader(_decoded(raw, codec), buffer_size=1 << 20)
-            for line in stream:  # binary iteration splits on b"\n" only
-                if line.endswith(b"\n"):
-                    line = line[:-1]
-                if line.endswith(b"\r"):
-                    line = line[:-1]
-                files.append(path)
-                nos.append(line_no)
-                values.append(line.decode("utf-8", errors="replace"))
-                line_no += 1
-                if len(values) >= BATCH_LINES:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(files, pa.string()), pa.array(nos, pa.int64()),
-                         pa.array(values, pa.string()), pa.array([codec] * len(values), pa.string())],
-                        names=["file", "line_no", "value", "codec"])
-                    files, nos, values = [], [], []
-        if values:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(files, pa.string()), pa.array(nos, pa.int64()),
-                 pa.array(values, pa.string()), pa.array([codec] * len(values), pa.string())],
-                names=["file", "line_no", "value", "codec"])
+        for b in batches:
+            codecs = [codec_of(_peek(p)) for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codecs, pa.string())], names=["file", "codec"])
 
+    return list_files(spark, paths).select("path").mapInArrow(peek, "file string, codec string")
 
-class LogFileSource(DataSource):
-    """Batch source ``ldaplens_logfiles``: options ``paths`` (JSON list), ``mode``."""
 
-    @classmethod
-    def name(cls):
-        return "ldaplens_logfiles"
+def read_compressed(spark: SparkSession, paths) -> DataFrame:
+    """S3: ``(file, line_no, value, codec)`` from files of any codec, by content. Each file is one
+    stream for one task; ``read_logs(codec="auto")`` reads what it can in splits."""
+    ship_package(spark)
 
-    def schema(self):
-        if self.options.get("mode", "lines") == "detect":
-            return "file string, codec string"
-        return "file string, line_no bigint, value string, codec string"
+    def decode(batches):
+        import pyarrow as pa
 
-    def reader(self, schema):
-        return _LogFileReader(self.options)
+        def batch(path, codec, first, values):
+            n = len(values)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([path] * n, pa.string()), pa.array(range(first, first + n), pa.int64()),
+                 pa.array(values, pa.string()), pa.array([codec] * n, pa.string())],
+                names=["file", "line_no", "value", "codec"])
 
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                codec = codec_of(_peek(path))
+                values, first = [], 0
+                with _open(path) as raw:
+                    for line in io.BufferedReader(_decoded(raw, codec), buffer_size=1 << 20):  # splits on b"\n" only
+                        values.append(_text(line))
+                        if len(values) >= BATCH_LINES:
+                            yield batch(path, codec, first, values)
+                            first, values = first + len(values), []
+                if values:
+                    yield batch(path, codec, first, values)
+
+    return list_files(spark, paths).select("path").mapInArrow(decode, "file string, line_no bigint, value string, codec string")
+
+
+def _text(line: bytes) -> str:
+    """A line without its newline and one CR before it."""
+    if line.endswith(b"\n"):
+        line = line[:-1]
+    if line.endswith(b"\r"):
+        line = line[:-1]
+    return line.decode("utf-8", errors="replace")
+
+
+def tail_scan(spark: SparkSession, paths, n: int) -> DataFrame:
+    """``(file, back, byte_pos, value)`` of the last ``n`` terminated lines; see ``tail_lines``."""
+    ship_package(spark)
+    chunk = 1 << 16
+
+    def from_end(f, size):
+        """``(byte_pos, line)`` of the last terminated lines, reading backwards."""
+        data, at = b"", size
+        while at > 0 and data.count(b"\n") <= n:  # one more newline ends the line before
+            step = min(chunk, at)
+            at -= step
+            f.seek(at)
+            data = f.read(step) + data
+        lines = data.split(b"\n")[:-1]  # what follows the last newline is not a line yet
+        out, pos = [], at
+        for line in lines:
+            out.append((pos, line))
+            pos += len(line) + 1
+        return (out if at == 0 else out[1:])[-n:]
+
+    def from_start(stream):
+        held, pos = deque(maxlen=n), 0
+        for line in stream:
+            if line.endswith(b"\n"):
+                held.append((pos, line[:-1]))
+            pos += len(line)
+        return list(held)
+
+    def tail(batches):
+        import pyarrow as pa
 
-def _register(spark: SparkSession) -> None:
-    spark.dataSource.register(LogFileSource)
+        for b in batches:
+            files, backs, places, values = [], [], [], []
+            for path, size in zip(*(c.to_pylist() for c in b.columns)):
+                codec = codec_of(_peek(path))
+                with _open(path) as raw:
+                    found = from_end(raw, size) if codec == "none" else from_start(io.BufferedReader(_decoded(raw, codec)))
+                for i, (pos, line) in enumerate(found):
+                    files.append(path)
+                    backs.append(len(found) - i)
+                    places.append(pos)
+                    values.append(_text(line))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(files, pa.string()), pa.array(backs, pa.int64()), pa.array(places, pa.int64()),
+                 pa.array(values, pa.string())], names=["file", "back", "byte_pos", "value"])
 
+    found = list_files(spark, paths)
+    return (found if n > 0 else found.where(F.lit(False))).mapInArrow(
+        tail, "file string, back bigint, byte_pos bigint, value string")
 
-def list_files(spark: SparkSession, paths) -> list[str]:
-    """Expand globs / folders with Spark's own file index (metadata only, no content)."""
-    if isinstance(paths, str):
-        paths = [paths]
-    rows = spark.read.format("binaryFile").load(list(paths)).select("path").collect()
-    return sorted(r.path for r in rows)
 
+def named_codec(path: Column) -> Column:
+    """The codec that Spark's reader takes a file's name for."""
+    return F.when(path.endswith(".gz"), "gzip").when(path.endswith(".bz2"), "bzip2").otherwise("none")
 
-def detect_codec(spark: SparkSession, paths) -> DataFrame:
-    """``(file, codec)`` from the first six bytes of every file."""
-    _register(spark)
-    files = list_files(spark, paths)
-    return spark.read.format("ldaplens_logfiles").option("mode", "detect").option("paths", json.dumps(files)).load()
 
+# Bytes of input per output partition, and lines of one file that stay together in it.
+INGEST_BYTES = 128 << 20
+INGEST_LINES = 1 << 18
 
-def read_compressed(spark: SparkSession, paths) -> DataFrame:
-    """S3: ``(file, line_no, value, codec)`` from files of any supported codec."""
-    _register(spark)
-    files = list_files(spark, paths)
-    return spark.read.format("ldaplens_logfiles").option("paths", json.dumps(files)).load()
+
+def write_clustered(parsed: DataFrame, out: str, partitions: int | None = None) -> DataFrame:
+    """Write parsed lines as Parquet clustered by ``(file, line_no)`` and read them back.
+
+    Runs of ``INGEST_LINES`` lines of a file go to one output file and are sorted
+    there: a huge file is spread over many, and the row groups' line ranges are
+    narrow. The runs are a rule on the line number, so no sampling pass is needed.
+    """
+    run = F.floor(F.col("line_no") / INGEST_LINES)
+    spread = parsed.repartition(partitions, "file", run) if partitions else parsed.repartition("file", run)
+    spread.sortWithinPartitions("file", "line_no").write.mode("overwrite").parquet(out)
+    return parsed.sparkSession.read.parquet(out)
 
 
 def ingest_logs(spark: SparkSession, paths, out: str, fmt: str = "auto", as_of=None, tz=None,
                 partitions: int | None = None) -> DataFrame:
-    """Decode, parse and write the log as Parquet clustered by ``(file, line_no)``.
-
-    Range partitioning on ``(file, line_no)`` spreads one huge file over many
-    output files, and sorting within them gives tight per-row-group min/max
-    statistics, so later ``line_no`` ranges and ``conn_id`` lookups prune.
-    When the input has more read partitions (one per file here) than
-    ``spark.sql.shuffle.partitions``, the output gets that many range
-    partitions, so partition size tracks input size; otherwise the shuffle
-    default applies and AQE coalesces small partitions.
-    Returns the written table, read back.
+    """Read, parse and write the log as Parquet clustered by ``(file, line_no)``.
+
+    Files are read as by ``read_logs(codec="auto")``: plain ones in splits. The
+    output has a partition for each ``INGEST_BYTES`` of input, or the session's
+    number of shuffle partitions where that is more. Returns the written table.
     """
     from ldaplens.functions.fields import parse_logs
-
-    lines = read_compressed(spark, paths)
-    parsed = parse_logs(lines, fmt=fmt, as_of=as_of, tz=tz)
-    n = partitions
-    if n is None and lines.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        n = lines.rdd.getNumPartitions()
-    ranged = parsed.repartitionByRange(n, "file", "line_no") if n else parsed.repartitionByRange("file", "line_no")
-    ranged.sortWithinPartitions("file", "line_no").write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    from ldaplens.sources.text import read_logs
+
+    if partitions is None:
+        size = list_files(spark, paths).agg(F.sum("length")).first()[0] or 0
+        wanted = -(-size // INGEST_BYTES)
+        partitions = wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    parsed = parse_logs(read_logs(spark, paths, codec="auto"), fmt=fmt, as_of=as_of, tz=tz)
+    return write_clustered(parsed, out, partitions)

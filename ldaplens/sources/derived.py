@@ -6,8 +6,8 @@ connection) and literal-search text from ``documents`` (one line per text
 line). The derivation is a pure projection, so it scales with the tables and
 an independent SQL engine can derive the very same rows for an oracle.
 
-Layout: four log files (``slapd-<event_id % 4>.log``) with a dense
-``line_no = event_id div 4`` inside each.
+Layout: log files of ``FILE_LINES`` lines each (``slapd-<event_id div FILE_LINES>.log``),
+``line_no = event_id % FILE_LINES``: more events make more files, not longer ones.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import strip_cr
+from ldaplens.operators.joins import sized
 from ldaplens.session import ensure_parallelism
 
-N_FILES = 4
+FILE_LINES = 2500
 # Fixed "now" for syslog year inference, so derived syslog lines are reproducible.
 SYSLOG_AS_OF = "2024-06-30T00:00:00+00:00"
 HEADS = ("debug", "syslog", "rfc3339", "mixed")
@@ -81,8 +82,8 @@ def event_log_lines(events: DataFrame, head: str = "debug") -> DataFrame:
     if value is None:
         value = F.when(e % 3 == 0, debug).when(e % 3 == 1, syslog).otherwise(rfc)
     return events.select(
-        F.concat(F.lit("slapd-"), (e % N_FILES).cast("string"), F.lit(".log")).alias("file"),
-        F.floor(e / N_FILES).cast("bigint").alias("line_no"),
+        F.concat(F.lit("slapd-"), F.floor(e / FILE_LINES).cast("string"), F.lit(".log")).alias("file"),
+        (e % FILE_LINES).cast("bigint").alias("line_no"),
         value.alias("value"),
     )
 
@@ -160,24 +161,21 @@ class _MemberWriter:
             self.enc = None
 
 
-def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None, crlf=(), unterminated=(),
-                    member_lines: int = 1000, append: bool = False) -> DataFrame:
+def write_log_files(lines: DataFrame, out_dir: str, codec=lambda name: "none", crlf=lambda name: False,
+                    unterminated=lambda name: False, member_lines: int = 1000, append: bool = False) -> DataFrame:
     """Write ``(file, line_no, value)`` as real log files under ``out_dir``.
 
     One task writes each file (a file is one ordered byte stream), streaming
-    line by line; files are spread over tasks by hash. ``codecs`` maps a file
-    name to ``none``, ``gzip``, ``bzip2`` or ``xz`` (content only: names are
+    line by line; files are spread over tasks by hash. ``codec`` gives for a file
+    name ``none``, ``gzip``, ``bzip2`` or ``xz`` (content only: names are
     kept as given, so a compressed file can be misnamed on purpose);
     compressed files are written as concatenated members of ``member_lines``
-    lines (multi-member gzip, multi-stream bzip2, concatenated xz). Files in
-    ``crlf`` end lines with CR LF; files in ``unterminated`` have no final
-    newline. ``append`` adds to existing files (a growing log) instead of
+    lines (multi-member gzip, multi-stream bzip2, concatenated xz). Files for which
+    ``crlf`` holds end lines with CR LF; those for which ``unterminated`` holds have no
+    final newline. ``append`` adds to existing files (a growing log) instead of
     replacing them. Returns ``(file, path, n_lines)``.
     """
-    codecs = dict(codecs or {})
-    crlf, unterminated = set(crlf), set(unterminated)
     base = out_dir.rstrip("/")
-    n_files = max(1, lines.select("file").distinct().count())
 
     def write(batches):
         import pandas as pd
@@ -190,7 +188,7 @@ def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None,
                 return
             name, w = state["name"], state["writer"]
             if state["pending"] is not None:  # the last line: newline unless unterminated
-                eol = b"" if name in unterminated else (b"\r\n" if name in crlf else b"\n")
+                eol = b"" if unterminated(name) else (b"\r\n" if crlf(name) else b"\n")
                 w.write(state["pending"] + eol)
             w.close_member()
             state["out"].close()
@@ -202,18 +200,17 @@ def write_log_files(lines: DataFrame, out_dir: str, codecs: dict | None = None,
                     close()
                     out = _create(f"{base}/{name}", "ab" if append else "wb")
                     state.update(name=name, out=out, count=0, pending=None,
-                                 writer=_MemberWriter(out, codecs.get(name, "none"), member_lines))
+                                 writer=_MemberWriter(out, codec(name), member_lines))
                 if state["pending"] is not None:
-                    state["writer"].write(state["pending"] + (b"\r\n" if name in crlf else b"\n"))
+                    state["writer"].write(state["pending"] + (b"\r\n" if crlf(name) else b"\n"))
                 state["pending"] = value.encode("utf-8")
                 state["count"] += 1
         close()
         yield pd.DataFrame(done, columns=["file", "path", "n_lines"])
 
-    written = (lines.repartition(n_files, "file").sortWithinPartitions("file", "line_no")
+    written = (lines.repartition("file").sortWithinPartitions("file", "line_no")
                .mapInPandas(write, "file string, path string, n_lines long"))
-    rows = written.collect()  # one small row per written file
-    return lines.sparkSession.createDataFrame(rows, "file string, path string, n_lines long")
+    return sized(written, "written")
 
 
 def basename(col: str = "file") -> Column:

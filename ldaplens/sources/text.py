@@ -8,12 +8,10 @@ splits instead of one task per file (see ``with_line_no``).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import strip_cr
-from ldaplens.operators.joins import broadcast_if_small
 
 # Split tables above this many rows are joined back with a shuffle instead of a broadcast.
 MAX_BROADCAST_SPLITS = 2_000_000
@@ -26,14 +24,21 @@ def _scan(spark: SparkSession, paths) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(list(paths))
 
 
-def read_logs(spark: SparkSession, paths, line_numbers: bool = True) -> DataFrame:
-    """``(file, line_no, value)`` from plain (or ``.gz``/``.bz2``-named) files.
+def read_logs(spark: SparkSession, paths, line_numbers: bool = True, codec: str = "name") -> DataFrame:
+    """``(file, line_no, value)`` from log files.
 
     One trailing CR is dropped per line; blank lines are kept; an unterminated
-    last line is a line; an empty file has no lines. Files whose content does
-    not match their name, and xz, go through ``read_compressed``.
+    last line is a line; an empty file has no lines. ``codec="name"`` trusts the
+    files' extensions (plain, ``.gz``, ``.bz2``), as Spark's reader does;
+    ``codec="auto"`` looks at their first bytes and gives the files whose content
+    does not match their name, and xz, to ``read_compressed``.
     """
-    df = _scan(spark, paths).select(
+    if codec == "auto":
+        return _read_by_content(spark, paths, line_numbers)
+    if codec != "name":
+        raise ValueError(f"codec is 'name' or 'auto', not {codec!r}")
+    scan = _scan(spark, paths)
+    df = scan.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mid"),
@@ -41,31 +46,53 @@ def read_logs(spark: SparkSession, paths, line_numbers: bool = True) -> DataFram
     )
     if not line_numbers:
         return df.drop("_block", "_mid")
-    return with_line_no(df)
+    return with_line_no(df, _split_bound(scan) <= MAX_BROADCAST_SPLITS)
+
+
+def _read_by_content(spark: SparkSession, paths, line_numbers: bool) -> DataFrame:
+    from ldaplens.sources.codec import detect_codec, named_codec, read_compressed
+
+    found = detect_codec(spark, paths).where(F.col("codec") != named_codec(F.col("file")))
+    odd = {r["file"] for r in found.select("file").collect()}  # the exceptions; all names are in the scan's index anyway
+    if not odd:
+        return read_logs(spark, paths, line_numbers)
+    columns = ["file", "line_no", "value"] if line_numbers else ["file", "value"]
+    decoded = read_compressed(spark, sorted(odd)).select(*columns)
+    rest = [f for f in map(_canonical, _scan(spark, paths).inputFiles()) if f not in odd]
+    return read_logs(spark, rest, line_numbers).select(*columns).union(decoded) if rest else decoded
 
 
-def with_line_no(df: DataFrame) -> DataFrame:
+def _split_bound(scan: DataFrame) -> int:
+    """Upper bound on the splits of a text scan: every partition adds one cut at most to its files."""
+    return len(scan.inputFiles()) + 2 * scan.rdd.getNumPartitions()
+
+
+def with_line_no(df: DataFrame, few_splits: bool = False) -> DataFrame:
     """Dense 0-based ``line_no`` per file over split files.
 
     Pass 1 counts the rows of every file split ``(file, _block)`` and keeps
     the smallest row id seen in it; a running sum over the splits of one file
     gives each split's first line number. Pass 2 joins that small table back:
     ``line_no = base + (_mid - min_mid)``. Rows of one split are consecutive
-    within a task, so their ids are contiguous. The split table has one row per
-    ~128 MB of input; it is persisted (both passes must see the same ids) and
-    broadcast only when its row count is below ``MAX_BROADCAST_SPLITS``.
+    within a task, so their ids are contiguous. Nothing is computed here: both
+    passes are scans of one query, planned together, so they see the same
+    splits whatever the split size is by then. A line whose split is unknown
+    to pass 1, or that lies past its end, is an error, never dropped.
+
+    The split table has one row per ~128 MB of input; ``few_splits`` (a bound
+    the caller has checked) broadcasts it.
     """
     splits = df.groupBy("file", "_block").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min_mid")
     )
     w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        "file", "_block", "_min_mid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    joined = df.join(broadcast_if_small(splits, MAX_BROADCAST_SPLITS), ["file", "_block"])
-    line_no = (F.col("_base") + F.col("_mid") - F.col("_min_mid")).alias("line_no")
+    splits = splits.select("file", "_block", "_min_mid", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    joined = df.join(F.broadcast(splits) if few_splits else splits, ["file", "_block"], "left")
+    at = F.col("_mid") - F.col("_min_mid")
+    line_no = F.when((at >= 0) & (at < F.col("_n")), F.col("_base") + at).otherwise(
+        F.raise_error(F.concat(F.lit("the splits of "), "file", F.lit(" changed while its lines were numbered"))).cast("bigint"))
     rest = [c for c in df.columns if c not in ("file", "_block", "_mid")]
-    return joined.select("file", line_no, *rest)
+    return joined.select("file", line_no.alias("line_no"), *rest)
 
 
 def _canonical(uri: str) -> str:
@@ -99,39 +126,15 @@ def slice_lines(df: DataFrame, start: int, count: int) -> DataFrame:
 
 
 def tail_lines(spark: SparkSession, paths, n: int = 10) -> DataFrame:
-    """The last ``n`` newline-terminated lines of every file, with line numbers.
+    """``(file, back, byte_pos, value)`` -- the last ``n`` newline-terminated lines of
+    every file; ``back`` counts from 1 at the last one.
 
     An unterminated last line is not part of the tail (a follower has not seen
-    its end yet). Two passes over the text, as for ``with_line_no``: pass 1
-    aggregates every file split (rows, smallest row id, bytes incl. one
-    newline per line); the per-file line total and byte total follow from
-    that small table, and a file's last line is terminated exactly when its
-    bytes add up to the file size. Pass 2 numbers the lines and keeps the
-    last ``n`` terminated ones -- no sort, and no file ever goes through one
-    task.
+    its end yet). One task per file reads backwards from its end and stops
+    after ``n`` lines; only a compressed file, by its content, has to be decoded from
+    the start, with the last ``n`` lines held. ``byte_pos`` is the line's
+    place in the (decoded) file.
     """
-    raw = _scan(spark, paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.col("_metadata.file_size").alias("_size"),
-        F.monotonically_increasing_id().alias("_mid"),
-        F.col("value").alias("_orig"),
-    )
-    splits = raw.groupBy("file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min_mid"),
-        F.sum(F.octet_length("_orig") + 1).alias("_bytes"), F.max("_size").alias("_size"))
-    w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy("file")
-    # one row per ~128 MB split; the window runs over that small table only
-    splits = splits.select(
-        "file", "_block", "_min_mid",
-        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"),
-        (F.sum("_n").over(w_all) - 1
-         - F.when(F.sum("_bytes").over(w_all) > F.max("_size").over(w_all), 1).otherwise(0)).alias("_last_done"),
-    )
-    joined = raw.join(broadcast_if_small(splits, MAX_BROADCAST_SPLITS), ["file", "_block"])
-    numbered = joined.select(
-        "file", (F.col("_base") + F.col("_mid") - F.col("_min_mid")).alias("line_no"), "_orig", "_last_done")
-    picked = numbered.where(
-        (F.col("line_no") <= F.col("_last_done")) & (F.col("line_no") > F.col("_last_done") - n))
-    return picked.select("file", "line_no", strip_cr(F.col("_orig")).alias("value"))
+    from ldaplens.sources.codec import tail_scan
+
+    return tail_scan(spark, paths, n)

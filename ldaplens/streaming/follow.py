@@ -4,19 +4,23 @@ Spark's stock file stream tracks files by name and never re-reads a file
 that grows, so following a live log needs its own source. ``ldaplens_follow``
 is a Python streaming data source:
 
-* the offset of every followed file is ``{"id": identity, "gen": generation,
-  "pos": byte position}``, where ``pos`` is always just after a newline --
-  a partial last line is held back until its newline arrives;
+* the offset holds one entry per followed stream of lines, keyed
+  ``<name>#<generation>``: where its bytes are now, their identity, and ``pos``,
+  always just after a newline -- a partial last line is held back until its
+  newline arrives;
 * the first offset starts ``tail`` complete lines before the end (a viewer
   shows the last lines first), every later batch reads
   ``[previous pos, latest pos)`` -- each completed line exactly once, also
   across restarts, since Spark logs both offsets before the batch runs;
-* a file whose identity changed (rotated, replaced) or that shrank
-  (truncated) starts a new generation: its last ``tail`` lines are replayed,
-  then it is followed again; a missing file keeps its offset until it is back.
-
-Each batch has one input partition per file with new bytes; executors read
-the byte range and emit ``(file, generation, byte_pos, value)`` with one
+* an entry is found again by identity (device and inode, and a digest of its
+  first bytes, which covers more of them as the file grows). A renamed file is
+  read on where it is now, and its new name is not taken for a new file; a
+  file that was copied and truncated is read on in the copy;
+* what then stands under the name starts a new generation, read from byte 0;
+  a missing file keeps its offset until it is back.
+
+Each batch has input partitions of at most ``SPLIT_BYTES`` new bytes; executors
+read them as Arrow batches of ``(file, generation, byte_pos, value)`` with one
 trailing CR removed per line.
 """
 
@@ -30,39 +34,42 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ldaplens.sources.codec import codec_of
+
 SCHEMA = "file string, generation int, byte_pos bigint, value string"
 DEFAULT_TAIL = 10
-_HEAD_BYTES = 64
+# Bytes of a file's head that its identity covers at most.
+_HEAD_BYTES = 1 << 16
 _CHUNK = 1 << 16
+BATCH_LINES = 8192
 
 
 def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
+    """The local form of a path or ``file:`` URI; other URIs cannot be followed."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"only paths of a mounted file system can be followed, not {path}")
+    return path
 
 
-def _identity(path: str, head_len: int | None = None) -> str | None:
-    """``dev:ino:n:digest`` -- device, inode and a digest of the first ``n`` bytes
-    (inode numbers get reused). ``n`` is fixed when a file is first seen, so
-    appends to a short file do not look like a new file."""
+def _stat(path: str):
+    """``(identity, size)`` of a regular file, None when it is not there."""
     try:
         st = os.stat(path)
-        n = min(_HEAD_BYTES, st.st_size) if head_len is None else head_len
-        with open(path, "rb") as f:
-            head = f.read(n)
     except OSError:
         return None
-    if len(head) < n:  # shorter than when first seen: not the same content
-        return f"{st.st_dev}:{st.st_ino}:{n}:truncated"
-    return f"{st.st_dev}:{st.st_ino}:{n}:{hashlib.sha1(head).hexdigest()[:12]}"
+    return (f"{st.st_dev}:{st.st_ino}", st.st_size) if os.path.isfile(path) else None
 
 
-def _same_file(path: str, ident: str) -> str | None:
-    """Identity of ``path`` measured like ``ident`` (same head length)."""
+def _head(path: str, n: int) -> str | None:
+    """Digest of the first ``n`` bytes; None when there are fewer."""
     try:
-        n = int(ident.split(":")[2])
-    except (IndexError, ValueError):
-        n = None
-    return _identity(path, n)
+        with open(path, "rb") as f:
+            data = f.read(n)
+    except OSError:
+        return None
+    return hashlib.sha1(data).hexdigest() if len(data) == n else None
 
 
 def _last_newline_end(path: str, size: int, floor: int) -> int:
@@ -112,104 +119,157 @@ class _Range(InputPartition):
     """Lines starting in ``[start, end)`` of one file; ``first`` is where the batch
     range begins (a line start), ``last`` where it ends (after a newline)."""
 
-    def __init__(self, file: str, generation: int, first: int, start: int, end: int, last: int):
-        super().__init__((file, generation, start, end))
-        self.file, self.generation = file, generation
+    def __init__(self, entry: dict, first: int, start: int, end: int, last: int):
+        super().__init__((entry["name"], entry["gen"], start, end))
+        self.name, self.generation, self.at, self.id = entry["name"], entry["gen"], entry["at"], entry["id"]
         self.first, self.start, self.end, self.last = first, start, end, last
 
 
+def _logged_offset(checkpoint: str | None) -> dict | None:
+    """This source's part of the last offset that Spark logged in ``checkpoint``."""
+    if not checkpoint:
+        return None
+    from pyarrow import fs as pafs
+
+    place, root = pafs.FileSystem.from_uri(checkpoint if "://" in checkpoint else "file://" + _local(checkpoint))
+    logged = place.get_file_info(pafs.FileSelector(f"{root.rstrip('/')}/offsets", allow_not_found=True))
+    batches = sorted((int(f.base_name), f.path) for f in logged if f.base_name.isdigit())
+    if not batches:
+        return None
+    with place.open_input_stream(batches[-1][1]) as f:
+        for line in f.read().decode().splitlines():
+            if line.startswith("{") and "files" in (offset := json.loads(line)):
+                return offset
+    return None
+
+
 class FollowReader(DataSourceStreamReader):
-    """Offsets: ``{"files": {path: {"id", "gen", "pos", "from"}}}``; ``from`` is
-    where the current generation's output begins (its replayed tail)."""
+    """Offsets: ``{"files": {"<name>#<gen>": {"name", "gen", "at", "id", "n", "head", "pos",
+    "from"}}}``; ``n`` and ``head`` are length and digest of the identified head,
+    ``from`` is where the entry's output begins."""
 
     def __init__(self, options):
-        self.pattern = options.get("path")
+        self.pattern = _local(options["path"])
         self.tail = int(options.get("tail", DEFAULT_TAIL))
-        self.state = options.get("state")
+        self.checkpoint = options.get("checkpoint")
+        self._last = None
 
     def _files(self) -> list[str]:
-        p = _local(self.pattern)
-        if os.path.isdir(p):
-            p = os.path.join(p, "*")
+        p = os.path.join(self.pattern, "*") if os.path.isdir(self.pattern) else self.pattern
         return sorted(f for f in glob.glob(p) if os.path.isfile(f))
 
-    def _generation(self, path: str, ident: str, gen: int) -> dict:
-        end = _last_newline_end(path, os.path.getsize(path), 0)
-        start = _tail_start(path, end, self.tail)
-        return {"id": ident, "gen": gen, "pos": end, "from": start}
+    @staticmethod
+    def _plain(path: str) -> bool:
+        """Rotated files that were compressed hold nothing new to follow."""
+        try:
+            with open(path, "rb") as f:
+                return codec_of(f.read(6)) == "none"
+        except OSError:
+            return False
 
     def initialOffset(self) -> dict:
         out = {}
         for f in self._files():
-            ident = _identity(f)
-            if ident is not None:
-                g = self._generation(f, ident, 0)
-                out[f] = {**g, "pos": g["from"]}  # the first batch reads the tail
+            found = _stat(f)
+            if found and self._plain(f):
+                end = _last_newline_end(f, found[1], 0)
+                start = _tail_start(f, end, self.tail)  # the first batch reads the tail
+                n = min(end, _HEAD_BYTES)
+                out[f"{f}#0"] = {"name": f, "gen": 0, "at": f, "id": found[0], "n": n, "head": _head(f, n),
+                                 "pos": start, "from": start}
         return {"files": out}
 
-    def _base(self) -> dict:
-        last = getattr(self, "_last", None)
-        if last is None and self.state and os.path.exists(_local(self.state)):
-            with open(_local(self.state)) as fh:
-                last = json.load(fh)
-        return last or self.initialOffset()
-
-    def _remember(self, offset: dict) -> None:
-        self._last = offset
-        if self.state:
-            tmp = _local(self.state) + ".tmp"
-            with open(tmp, "w") as fh:
-                json.dump(offset, fh)
-            os.replace(tmp, _local(self.state))
-
     def latestOffset(self) -> dict:
-        files = dict(self._base()["files"])
-        for f in self._files():
-            old = files.get(f)
-            ident = _identity(f) if old is None else _same_file(f, old["id"])
-            if ident is None:  # missing for now: keep the offset
-                continue
-            size = os.path.getsize(f)
-            if old is None:  # appeared later: read it from its start
-                files[f] = {"id": ident, "gen": 0, "pos": _last_newline_end(f, size, 0), "from": 0}
-            elif ident != old["id"] or size < old["pos"]:  # rotated, replaced or truncated
-                files[f] = self._generation(f, _identity(f), old["gen"] + 1)
-            else:
-                files[f] = {**old, "pos": _last_newline_end(f, size, old["pos"])}
-        latest = {"files": files}
-        self._remember(latest)
-        return latest
+        base = self._last or _logged_offset(self.checkpoint) or self.initialOffset()
+        entries = {k: dict(e) for k, e in base["files"].items()}
+        followed = self._files()
+        folders = {os.path.dirname(p) for p in [*followed, *(e["at"] for e in entries.values())]}
+        paths = sorted({*followed, *(f for d in folders for f in glob.glob(os.path.join(glob.escape(d), "*")))})
+        stats = {p: s for p in paths if (s := _stat(p))}
+        by_id = {s[0]: p for p, s in stats.items()}
+        claimed: dict[str, str] = {}
+
+        def holds(path: str, e: dict) -> bool:
+            return stats[path][1] >= e["pos"] and _head(path, e["n"]) == e["head"]
+
+        for key, e in entries.items():  # the same file, wherever it is now
+            p = by_id.get(e["id"])
+            if p is not None and holds(p, e):
+                claimed[p] = key
+        for key, e in entries.items():  # else a copy of it
+            if key not in claimed.values() and e["n"] > 0:
+                p = next((p for p in stats if p not in claimed and stats[p][0] != e["id"] and holds(p, e)), None)
+                if p is not None:
+                    claimed[p] = key
+        for p in followed:
+            if p in stats and p not in claimed and self._plain(p):
+                gens = [e["gen"] for e in entries.values() if e["name"] == p]
+                gen = max(gens) + 1 if gens else 0
+                key = f"{p}#{gen}"
+                entries[key] = {"name": p, "gen": gen, "at": p, "id": stats[p][0], "n": 0, "head": _head(p, 0),
+                                "pos": 0, "from": 0}
+                claimed[p] = key
+        for p, key in claimed.items():
+            e = entries[key]
+            e["at"], e["id"] = p, stats[p][0]
+            e["pos"] = _last_newline_end(p, stats[p][1], e["pos"])
+            n = min(e["pos"], _HEAD_BYTES)
+            if n > e["n"]:
+                e["n"], e["head"] = n, _head(p, n)
+        newest = {}
+        for e in entries.values():
+            newest[e["name"]] = max(e["gen"], newest.get(e["name"], 0))
+        # a generation that is gone and has a successor will not come back
+        kept = {k: e for k, e in entries.items() if k in claimed.values() or e["gen"] == newest[e["name"]]}
+        self._last = {"files": kept}
+        return self._last
 
     def partitions(self, start: dict, end: dict):
         parts = []
         before = start.get("files", {})
-        for f, e in end.get("files", {}).items():
-            s = before.get(f)
-            lo = e["from"] if s is None or s["gen"] != e["gen"] else s["pos"]
-            hi = e["pos"]
+        for key, e in end.get("files", {}).items():
+            lo, hi = before[key]["pos"] if key in before else e["from"], e["pos"]
             for a in range(lo, hi, SPLIT_BYTES):
-                parts.append(_Range(f, e["gen"], lo, a, min(a + SPLIT_BYTES, hi), hi))
+                parts.append(_Range(e, lo, a, min(a + SPLIT_BYTES, hi), hi))
         return parts
 
     def read(self, partition):
+        import pyarrow as pa
+
         r = partition
-        with open(r.file, "rb") as fh:
+        path = r.at
+        if (_stat(path) or ("",))[0] != r.id:  # renamed since the batch was planned
+            near = glob.glob(os.path.join(glob.escape(os.path.dirname(path)), "*"))
+            path = next((p for p in near if (_stat(p) or ("",))[0] == r.id), None)
+            if path is None:
+                raise FileNotFoundError(f"{r.at} is gone before it was read")
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(["file:" + r.name] * len(rows), pa.string()), pa.array([r.generation] * len(rows), pa.int32()),
+                 pa.array([p for p, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.string())],
+                names=["file", "generation", "byte_pos", "value"])
+
+        with open(path, "rb") as fh:
             pos = r.start
             if r.start > r.first:  # skip the line that began in the previous split
                 fh.seek(r.start - 1)
-                skipped = fh.readline()
-                pos = r.start - 1 + len(skipped)
+                pos = r.start - 1 + len(fh.readline())
             else:
                 fh.seek(pos)
+            rows = []
             while pos < r.end and pos < r.last:
                 line = fh.readline()  # the batch range ends just after a newline
                 if not line.endswith(b"\n"):
-                    break
-                body = line[:-1]
-                if body.endswith(b"\r"):
-                    body = body[:-1]
-                yield ("file:" + r.file, r.generation, pos, body.decode("utf-8", errors="replace"))
+                    raise EOFError(f"{path} ends at {pos + len(line)}, before {r.last}")
+                body = line[:-2] if line.endswith(b"\r\n") else line[:-1]
+                rows.append((pos, body.decode("utf-8", errors="replace")))
                 pos += len(line)
+                if len(rows) >= BATCH_LINES:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
     def commit(self, end: dict) -> None:
         pass
@@ -229,18 +289,19 @@ class FollowSource(DataSource):
         return FollowReader(self.options)
 
 
-def follow_logs(spark: SparkSession, path: str, tail: int = DEFAULT_TAIL, state: str | None = None) -> DataFrame:
+def follow_logs(spark: SparkSession, path: str, tail: int = DEFAULT_TAIL, checkpoint: str | None = None) -> DataFrame:
     """An unbounded ``(file, generation, byte_pos, value)`` stream of new lines.
 
-    The path must be visible to the executors (a shared mount on a cluster).
-    ``state`` names a small JSON file (next to the query checkpoint) where the
-    source keeps its last planned offsets, so a restarted query resumes the
-    generation count and file positions.
+    The path must be a file, folder or glob on a mounted file system that the
+    executors see too. ``checkpoint`` names the query's checkpoint folder: a
+    restarted query takes up the entries of the last offset that Spark logged
+    there. Without it, a restart takes the files it finds for the same ones.
     """
+    _local(path)
     spark.dataSource.register(FollowSource)
     reader = spark.readStream.format("ldaplens_follow").option("path", path).option("tail", str(tail))
-    if state:
-        reader = reader.option("state", state)
+    if checkpoint:
+        reader = reader.option("checkpoint", checkpoint)
     return reader.load()
 
 
@@ -250,10 +311,6 @@ def new_line_count(query) -> int:
     return int(progress["numInputRows"]) if progress else 0
 
 
-def offsets_json(offset: dict) -> str:
-    return json.dumps(offset, sort_keys=True)
-
-
 def follow_into_table(spark: SparkSession, path: str, table: str, checkpoint: str, fmt: str = "auto",
                       as_of=None, tz=None, tail: int = DEFAULT_TAIL, trigger_seconds: float | None = None):
     """Keep a parsed Parquet table up to date with the followed files.
@@ -269,7 +326,7 @@ def follow_into_table(spark: SparkSession, path: str, table: str, checkpoint: st
         parse_logs(batch, fmt=fmt, as_of=as_of, tz=tz).write.mode("overwrite").parquet(
             f"{table.rstrip('/')}/batch_id={batch_id}")
 
-    stream = follow_logs(spark, path, tail=tail, state=checkpoint.rstrip("/") + "-follow-state.json")
+    stream = follow_logs(spark, path, tail=tail, checkpoint=checkpoint)
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if trigger_seconds:
         writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
