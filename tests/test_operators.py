@@ -1,11 +1,12 @@
 """Drill-down, connection ranges, search and paging against brute force."""
 
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import parse_logs
-from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_text
+from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_linked, drill_text, substring_join
 from ldaplens.operators.paging import first_last, goto, page, with_ordinal
 from ldaplens.operators.search import first_match_pos, search, search_many, search_numbered, search_span_rows, search_spans
 
@@ -63,16 +64,47 @@ def test_drill_filter_and_attrs_are_substring(spark, lines):
     assert sorted(r.line_no for r in drill(logs, _seed(spark, 8, 22)).collect()) == [8]
 
 
-def test_drill_text_chunks_equal_single_chunk(spark, lines):
+def test_drill_text_of_many_needles(spark, lines):
     logs = _logs(lines)
     seeds = spark.createDataFrame([(i, "t.log", n, p) for i, (n, p) in enumerate([(3, 45), (6, 45), (8, 22)])],
                                   "seed_id long, file string, line_no long, pos int")
     keys = drill_keys(logs, seeds)
-    one = sorted((r.key_value, r.line_no) for r in drill_text(logs, keys, max_needles=100).collect())
-    many = sorted((r.key_value, r.line_no) for r in drill_text(logs, keys, max_needles=1).collect())
-    chunks = sorted((r.key_value, r.line_no)
-                    for r in drill_text(logs, keys, max_needles=1, automaton_chunk=1).collect())
-    assert one == many == chunks == [("(uid=a)", 3), ("(uid=b)", 6), ("cn uid", 8)]
+    got = sorted((r.key_value, r.line_no) for r in drill_text(logs, keys).collect())
+    assert got == [("(uid=a)", 3), ("(uid=b)", 6), ("cn uid", 8)]
+
+
+def test_substring_join_against_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("ab é", k=n))
+    logs = [(f"f{i % 2}", i, text(rng.randint(0, 40)) if i % 9 else None) for i in range(200)]
+    needles = [(f"f{i % 2}", text(rng.choice([0, 1, 2, 3, 7, 8, 9, 12]))) for i in range(120)] + [("f0", None)]
+    got = sorted((r.line_no, r._needle) for r in substring_join(
+        spark.createDataFrame(logs, "file string, line_no long, value string"),
+        spark.createDataFrame(needles, "file string, _needle string"), "value").collect())
+    assert got == sorted((i, n) for f, i, v in logs if v for g, n in {*needles} if f == g and n and n in v)
+    none = spark.createDataFrame([], "file string, _needle string")
+    assert substring_join(spark.createDataFrame(logs, "file string, line_no long, value string"), none, "value").count() == 0
+
+
+def test_drill_op_of_a_line_without_connection(spark, lines):
+    logs = parse_logs(lines(["op=5 a", "conn=1 op=5 b", "conn=2 op=5 c", "op=6"]), fmt="rfc3339")
+    got = {r.key_conn for r in drill(logs, _seed(spark, 0, 1)).collect()}
+    assert got == {None}
+    assert sorted(r.line_no for r in drill(logs, _seed(spark, 0, 1)).collect()) == [0, 1, 2]
+    assert sorted(r.line_no for r in drill(logs, _seed(spark, 1, 8)).collect()) == [1]
+
+
+def test_drill_reads_the_log_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    parse_logs(spark.createDataFrame([("t", i, v) for i, v in enumerate(LOG)], "file string, line_no long, value string"), fmt="rfc3339").write.parquet(path)
+    logs = spark.read.parquet(path)
+    keys, out = drill_linked(logs, spark.createDataFrame([(4, "t", 7, 2), (5, "t", 7, 37)], "seed_id long, file string, line_no long, pos int"),
+                             kinds=["conn", "op", "thread", "err", "base"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("raw#") > 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"Location: InMemoryFileIndex(1 paths)[file:{path}]") == 1 or plan.count("FileScan parquet") == 2
+    assert sorted((r.seed_id, r.kind, r.key_value) for r in keys.collect()) == [(4, "conn", None), (5, "err", "32")]
+    assert sorted((r.kind, r.line_no) for r in out.collect()) == [("conn", 2), ("conn", 4), ("conn", 6), ("conn", 7), ("err", 7)]
 
 
 def test_ordinals_dense_across_buckets(spark):
@@ -85,11 +117,25 @@ def test_ordinals_dense_across_buckets(spark):
 
 
 def test_search_numbering_and_wrap(lines):
-    vis = with_ordinal(lines(["a x", "b", "x c", "d x x"]))
-    got = [(r.line_no, r.match_ord, r.n_matches, r.next_match_ord, r.prev_match_ord)
-           for r in search_numbered(vis, "x").orderBy("line_no").collect()]
-    assert got == [(0, 0, 3, 1, 2), (2, 1, 3, 2, 0), (3, 2, 3, 0, 1)]
-    assert search(vis, "").count() == 0
+    vis = lines(["a x", "b", "x c", "d x x"])
+    got = [tuple(r) for r in search_numbered(vis, "x").select(
+        "line_no", "ord", "match_ord", "n_matches", "next_match_ord", "prev_match_ord", "next_line_no", "prev_line_no").orderBy("line_no").collect()]
+    assert got == [(0, 0, 0, 3, 1, 2, 2, 3), (2, 2, 1, 3, 2, 0, 3, 0), (3, 3, 2, 3, 0, 1, 0, 2)]
+    assert search(vis, "").count() == 0 and search_numbered(vis, "").count() == 0
+
+
+def test_numbered_search_over_buckets(spark):
+    rng = random.Random(6)
+    rows = [(f"f{k}", i * 3, rng.choice(["hit", "miss"])) for k in range(3) for i in range(300)]
+    df = spark.createDataFrame(rows, "file string, line_no long, value string").repartition(5)
+    got = {(r.file, r.line_no): (r.ord, r.match_ord, r.n_matches, r.next_line_no, r.prev_line_no) for r in search_numbered(df, "hit", bucket=16).collect()}
+    expected = {}
+    for k in range(3):
+        mine = [(n, v) for f, n, v in rows if f == f"f{k}"]
+        hits = [n for n, v in mine if v == "hit"]
+        for m, n in enumerate(hits):
+            expected[f"f{k}", n] = (n // 3, m, len(hits), hits[(m + 1) % len(hits)], hits[m - 1])
+    assert got == expected
 
 
 def test_first_pos_and_spans_in_bytes(lines):
@@ -110,27 +156,21 @@ def test_search_many_matches_single_searches(spark, lines):
     qs = spark.createDataFrame([("t.log", "x"), ("t.log", "y"), ("t.log", "zz"), ("other", "d")], "file string, query string")
     got = sorted((r.query, r.line_no) for r in search_many(vis, qs).collect())
     assert got == [("x", 0), ("x", 2), ("y", 1), ("y", 2)]
-    from ldaplens.operators import drill as D
-    old = D.MAX_NEEDLES_PER_CHUNK
-    try:
-        D.MAX_NEEDLES_PER_CHUNK = 1  # force the automaton path
-        got2 = sorted((r.query, r.line_no) for r in D.substring_join(vis, qs.withColumnRenamed("query", "_needle"),
-                                                                     "value", max_needles=1).withColumnRenamed("_needle", "query").collect())
-    finally:
-        D.MAX_NEEDLES_PER_CHUNK = old
-    assert got2 == got
-
 
-def test_broadcast_only_within_row_and_byte_bounds(spark):
-    from ldaplens.operators.joins import broadcast_if_small
 
-    def hinted(df):
-        return "broadcast" in spark.range(3).join(df, "id")._jdf.queryExecution().analyzed().toString().lower()
+def test_sized_tables_are_planned_by_their_size(spark):
+    from ldaplens.operators.joins import sized
 
-    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS s")
-    assert hinted(broadcast_if_small(wide, max_rows=1000, max_bytes=1 << 20))
-    assert not hinted(broadcast_if_small(wide, max_rows=1000, max_bytes=10_000))
-    assert not hinted(broadcast_if_small(wide, max_rows=50))
+    small = sized(spark.range(100).selectExpr("id", "repeat('x', 10) AS s"))
+    assert small.count() == 100
+    plan = lambda df: spark.range(10**6).join(df, "id")._jdf.queryExecution().sparkPlan().toString()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        assert "BroadcastHashJoin" in plan(small)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+        assert "SortMergeJoin" in plan(small)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_span_rows_equal_span_arrays(lines):
