@@ -11,6 +11,7 @@ from ldaplens.llm.common import tables
 from ldaplens.llm.exact_dedup import exact_dedup
 from ldaplens.llm.html_text import extract_text
 from ldaplens.llm.jaccard_join import similar_components
+from ldaplens.llm.oracles import ORACLE
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import quality_rules
 from ldaplens.llm.secret_scans import digest, scan_secrets
@@ -61,4 +62,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op8_suffix_dedup, op9_jaccard_join, op10_packing)}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
