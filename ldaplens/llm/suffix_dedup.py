@@ -27,13 +27,26 @@ BATCHES = 4
 #: Windows of a text that are sampled at a time.
 CHUNK = 1 << 22
 #: Entries a task remembers, to keep repeats of its own documents out of the shuffle.
-SEEN = 200_000
+SEEN = 100_000
+#: Entries after which a task hands on what it has.
+FLUSH = 30_000
+#: Rows in an Arrow batch of entries.
+SCAN_ROWS = 2000
 #: Segments with the same gram whose windows one task compares; those of larger groups are shuffled.
 GROUP = 256
 
-ROWS = "gram long, body long, doc_id long, first int, last int, old boolean"
-SCANNED = "kind int, gram long, body long, doc_id long, first int, last int"
+#: ``place`` holds a run of windows in a document: the first one, then how many follow it.
+ROWS = "gram long, body long, doc_id long, place long"
+SCANNED = "kind int, gram long, body long, doc_id long, place long"
 NEW, REPEAT, EDGE = 1, 2, 4  # kinds, as bits
+MORE = 31  # bits of a place for the windows that follow
+ORDER = ("gram", "body", "doc_id", "place")
+
+
+def run_of(df: DataFrame) -> DataFrame:
+    """``place`` as ``first, last``."""
+    first = F.shiftright("place", MORE)
+    return df.withColumns({"first": first.cast("int"), "last": (first + F.col("place").bitwiseAND(F.lit((1 << MORE) - 1))).cast("int")}).drop("place")
 
 
 @cache
@@ -86,15 +99,21 @@ def _entries(docs: DataFrame, length: int) -> DataFrame:
     as a finished repeat (``body`` null), and a whole copy as one: hot groups cost a row a task."""
 
     def run(batches):
-        import numpy as np
         from xxhash import xxh3_64_intdigest
 
         from ldaplens.llm.suffix_dedup import segments
 
         seen: dict = {}
         copies: dict = {}
+        out: tuple[list, ...] = ([], [], [], [])
+
+        def flush():
+            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=list(ORDER))
+            for column in out:
+                column.clear()
+            return b
+
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = text.encode()
                 if doc is None or len(data) < length:
@@ -102,52 +121,56 @@ def _entries(docs: DataFrame, length: int) -> DataFrame:
                 whole = (xxh3_64_intdigest(data), len(data), data[:32])
                 before = copies.setdefault(whole, doc)
                 if before < doc:
-                    rows = [(doc, None, doc, 0, len(data) - length)]
+                    rows = [(doc, None, doc, len(data) - length)]
                 else:
                     copies[whole] = doc
                     rows = []
                     for gram, first, last in zip(*(x.tolist() for x in segments(data, length))):
                         body = xxh3_64_intdigest(data[first : last + length]) - (1 << 63)
-                        place = seen.setdefault((gram, body), (doc, first))
-                        if place < (doc, first):
-                            rows.append((doc, None, doc, first, last))
+                        place = first << MORE | last - first
+                        if seen.setdefault((gram, body), (doc, place)) < (doc, place):
+                            rows.append((doc, None, doc, place))
                         else:
-                            seen[gram, body] = (doc, first)
-                            rows.append((gram, body, doc, first, last))
+                            seen[gram, body] = (doc, place)
+                            rows.append((gram, body, doc, place))
                 for column, values in zip(out, zip(*rows)):
                     column += values
                 if len(seen) > SEEN:
                     seen.clear()
                 if len(copies) > SEEN:
                     copies.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            cols = [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(out[0]), bool))], names=["gram", "body", "doc_id", "first", "last", "old"])
+                if len(out[0]) >= FLUSH:
+                    yield flush()
+        if out[0]:
+            yield flush()
 
     return docs.mapInArrow(run, ROWS)
 
 
-def _scan(rows: DataFrame) -> DataFrame:
-    """The merge-scan: ``SCANNED`` rows from a batch's entries and those of all levels, which meet
-    sorted by gram, body and place. The first entry of a body is new (unless old), the others
-    repeat it (but for one at the very same place, from a repeated row); where a gram has several bodies their first entries are edges. A gram's entries
-    are passed on as they come, one is held back at most."""
+def _scan(rows: DataFrame, low: int | None, keep_new: bool) -> DataFrame:
+    """The merge-scan: ``SCANNED`` rows from a batch's entries and those of all levels (ids up to
+    ``low``), which meet sorted by gram, body and place. The first entry of a body is new unless it
+    is a level's, the others repeat it (but for one at the very same place, from a repeated row);
+    where a gram has several bodies their first entries are edges. A gram's entries are passed on as
+    they come, one is held back at most. Entries that are only new go out if ``keep_new``."""
+    new = NEW if keep_new else 0
 
     def run(batches):
         import numpy as np
 
         state = None  # gram, body of the last row; whether the gram has several; its first entry if not; the last place
-        names = ["kind", "gram", "body", "doc_id", "first", "last"]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        names = ["kind", *ORDER]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         done = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
         for b in batches:
             repeat = b.filter(b.column(1).is_null())
             if len(repeat):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(repeat), REPEAT, np.int32)), *repeat.columns[:5]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(repeat), REPEAT, np.int32)), *repeat.columns], names=names)
             b = b.filter(b.column(1).is_valid())
             if not len(b):
                 continue
-            gram, body, doc, first, last, old = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            gram, body, doc, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            old = doc <= low if low is not None else np.zeros(len(doc), bool)
             new_gram = np.r_[state is None or state[0] != gram[0], gram[1:] != gram[:-1]]
             new_body = new_gram | np.r_[state is None or state[1] != body[0], body[1:] != body[:-1]]
             group = np.cumsum(new_gram) - new_gram[0]  # 0: the gram of the row before, if it goes on
@@ -158,54 +181,73 @@ def _scan(rows: DataFrame) -> DataFrame:
                 several[0] = state[2] or state[3] is not None and bodies[0] > 0
             held = state[3] if state else None
             if held is not None and (not goes_on or several[0]):
-                kind = (0 if held[4] else NEW) | (EDGE if goes_on else 0)
+                kind = (0 if held[3] else new) | (EDGE if goes_on else 0)
                 if kind:
-                    yield done(([kind], [state[0]], [held[0]], [held[1]], [held[2]], [held[3]]))
+                    yield done(([kind], [state[0]], [held[0]], [held[1]], [held[2]]))
                 held = None
-            place = (int(doc[-1]), int(first[-1]))
-            twice = ~new_body & np.r_[state is not None and state[4] == (doc[0], first[0]), (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])]
-            kind = np.where(new_body, np.where(old, 0, NEW) | np.where(several[group], EDGE, 0), np.where(old | twice, 0, REPEAT)).astype(np.int32)
+            at = (int(doc[-1]), int(place[-1]))
+            twice = ~new_body & np.r_[state is not None and state[4] == (doc[0], place[0]), (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]
+            kind = np.where(new_body, np.where(old, 0, new) | np.where(several[group], EDGE, 0), np.where(old | twice, 0, REPEAT)).astype(np.int32)
             end = group[-1]
             if not several[end] and (lone := np.flatnonzero(new_body & (group == end))).size:
                 i = int(lone[0])  # the last gram's only body so far: what it is turns out later
-                held = (int(body[i]), int(doc[i]), int(first[i]), int(last[i]), bool(old[i]))
+                held = (int(body[i]), int(doc[i]), int(place[i]), bool(old[i]))
                 kind[i] = 0
-            state = (int(gram[-1]), int(body[-1]), bool(several[end]), held, place)
+            state = (int(gram[-1]), int(body[-1]), bool(several[end]), held, at)
             keep = kind > 0
             if keep.any():
-                yield done((kind[keep], gram[keep], body[keep], doc[keep], first[keep], last[keep]))
-        if state and state[3] is not None and not state[3][4]:
+                yield done((kind[keep], gram[keep], body[keep], doc[keep], place[keep]))
+        if new and state and state[3] is not None and not state[3][3]:
             held = state[3]
-            yield done(([NEW], [state[0]], [held[0]], [held[1]], [held[2]], [held[3]]))
+            yield done(([NEW], [state[0]], [held[0]], [held[1]], [held[2]]))
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "body", "doc_id", "first").mapInArrow(run, SCANNED)
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SCAN_ROWS))
+    return rows.repartition("gram").sortWithinPartitions(*ORDER).mapInArrow(run, SCANNED)
+
+
+def _has(df: DataFrame, bits: int) -> DataFrame:
+    return df.where(F.col("kind").bitwiseAND(F.lit(bits)) > 0)
 
 
 class Family:
     """Levels of entries in the shared folder, each with the number of batches that it holds."""
 
     def __init__(self, spark):
-        self.spark, self.levels = spark, []  # (batches, table, whether the table is the level's alone)
+        self.spark, self.levels = spark, []  # (batches, entries, the table they are in)
 
     def merge(self) -> None:
-        """Merge levels of equal size, smallest first. Tables that only a level used are deleted."""
+        """Merge levels of equal size, smallest first; their tables are deleted."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             parts = self.levels[-2:]
-            both = parts[0][1].union(parts[1][1]).repartition("gram").sortWithinPartitions("gram", "body", "doc_id", "first")
-            self.levels[-2:] = [(2 * parts[0][0], common.written(both, "suffix-level"), True)]
-            for _, old, own in parts:
-                if own:
-                    common.remove(old)
+            both = parts[0][1].union(parts[1][1]).repartition("gram").sortWithinPartitions(*ORDER)
+            whole = common.written(both, "suffix-level")
+            self.levels[-2:] = [(2 * parts[0][0], whole, whole)]
+            for _, _, table in parts:
+                common.remove(table)
             common.forget(self.spark)
 
-    def scan(self, entries: DataFrame) -> DataFrame:
-        """Merge-scan a batch's entries and keep its new ones as a level; its ``SCANNED`` rows."""
+    def scan(self, entries: DataFrame, low: int | None, keep: bool = True) -> DataFrame:
+        """Merge-scan a batch's entries, whose ids lie above ``low``, and keep its new ones as a level
+        if more batches are to come; its repeats and edges."""
         self.merge()
-        rows = reduce(DataFrame.union, [t.withColumn("old", F.lit(True)) for _, t, _ in self.levels], entries)
-        found = common.written(_scan(rows), "suffix-scan")
-        self.levels.append((1, found.where(F.col("kind").bitwiseAND(NEW) > 0).drop("kind"), False))
+        rows = reduce(DataFrame.union, [t for _, t, _ in self.levels], entries)
+        found = common.written(_scan(rows, low, keep), "suffix-scan")
+        common.python_ready(self.spark)
+        del rows
+        if not keep:
+            common.forget(self.spark)
+            return found
+        self.levels.append((1, _has(found, NEW).drop("kind"), found))
+        told = common.written(_has(found, REPEAT | EDGE), "suffix-told")
         common.forget(self.spark)
-        return found
+        return told
+
+    def drop(self) -> None:
+        """Delete the levels."""
+        for _, _, table in self.levels:
+            common.remove(table)
+        self.levels.clear()
 
 
 def _edge_rows(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
@@ -326,10 +368,11 @@ def repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES) -> DataF
     for low, high in zip(bounds, bounds[1:]):
         part = docs if low is None else docs.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        scans.append(family.scan(_entries(part, length)))
-    kind = lambda t, bit: t.where(F.col("kind").bitwiseAND(bit) > 0)
-    found = reduce(DataFrame.union, [kind(t, REPEAT).select("doc_id", "first", "last") for t in scans])
-    edges = reduce(DataFrame.union, [kind(t, EDGE).select("gram", "doc_id", "first", "last") for t in scans]).distinct()
+        scans.append(family.scan(_entries(part, length), low, keep=high is not None))
+    family.drop()
+    told = reduce(DataFrame.union, scans)
+    found = run_of(_has(told, REPEAT)).select("doc_id", "first", "last")
+    edges = run_of(_has(told, EDGE).select("gram", "doc_id", "place").distinct())
     content = common.written(_edge_rows(docs, edges, length), "suffix-edges")
     common.forget(spark)
     windows = common.written(_windows(content, length), "suffix-windows")
