@@ -29,7 +29,7 @@ FEW = 4
 #: Bits of a part of the sketch.
 PART_BITS = 1 << 16
 #: Rows in an Arrow batch of keys.
-KEY_ROWS = 20_000
+KEY_ROWS = 2000
 
 
 @cache
@@ -170,8 +170,8 @@ def _part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _groups(rows: DataFrame, name: str) -> DataFrame:
-    """``a, b, spare`` from ``key, sig, spare``: all pairs ``a < b`` (spare null) of the groups of
-    two to ``FEW`` sets, and of larger groups the members: ``a`` the key, ``b`` the set. Each
+    """``pair, key, a, b, spare`` from ``key, sig, spare``: all pairs ``a < b`` of the groups of two to
+    ``FEW`` sets, with the larger spare of the two; and of larger groups the members ``a``. Each
     group is a run of sorted rows and never held whole."""
     spark = rows.sparkSession
 
@@ -189,7 +189,7 @@ def _groups(rows: DataFrame, name: str) -> DataFrame:
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.r_[first, len(key)])
             done = len(first) if last else max(0, len(first) - 1)
-            out_a, out_b, out_s = [], [], []
+            out_k, out_a, out_b, out_s = [], [], [], []
             big = size > FEW
             if large is not None and len(first):
                 big[0] |= key[0] == large
@@ -197,9 +197,11 @@ def _groups(rows: DataFrame, name: str) -> DataFrame:
                 at = first[:done][(size[:done] == m) & ~big[:done]]
                 for i in range(m):
                     for j in range(i + 1, m):
+                        out_k.append(key[at])
                         out_a.append(sig[at + i])
                         out_b.append(sig[at + j])
-                        out_s.append(np.full(len(at), -2, np.int32))
+                        out_s.append(np.maximum(spare[at + i], spare[at + j]))
+            pairs = sum(map(len, out_k))
             member = np.repeat(big, size)
             if not last and len(first):
                 if not big[-1]:
@@ -208,11 +210,10 @@ def _groups(rows: DataFrame, name: str) -> DataFrame:
                 else:  # rows of a large group go out at once; its last one stays, to tell repeats
                     member[-1] = False
                     carry, large = [key[-1:], sig[-1:], spare[-1:]], int(key[-1])
-            out_a.append(key[member])
-            out_b.append(sig[member])
-            out_s.append(spare[member])
-            a, b, s = map(np.concatenate, (out_a, out_b, out_s))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s, pa.int32(), mask=s == -2)], names=["a", "b", "spare"])
+            for out, column in ((out_k, key), (out_a, sig), (out_b, sig), (out_s, spare)):
+                out.append(column[member])
+            k, a, b, s = map(np.concatenate, (out_k, out_a, out_b, out_s))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(k)) < pairs), pa.array(k), pa.array(a), pa.array(b), pa.array(s, pa.int32())], names=["pair", "key", "a", "b", "spare"])
 
         for batch in batches:
             key, sig, spare = (np.concatenate([c, x.to_numpy(zero_copy_only=False)]) for c, x in zip(carry, batch.columns))
@@ -224,8 +225,9 @@ def _groups(rows: DataFrame, name: str) -> DataFrame:
             yield cut(*carry, True)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(KEY_ROWS))
-    out = common.written(rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "a long, b long, spare int"), name)
+    out = common.written(rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "pair boolean, key long, a long, b long, spare int"), name)
     common.python_ready(spark)
+    common.forget(spark)
     return out
 
 
@@ -249,8 +251,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _token_rows(sets: DataFrame, unsettled: DataFrame) -> DataFrame:
-    """``key, sig, spare``: every shingle of the unsettled sets. A set whose own shingles outnumber
+def _token_rows(sets: DataFrame) -> DataFrame:
+    """``key, sig, spare``: every shingle of ``sets``, the unsettled ones. A set whose own shingles outnumber
     those that a partner may lack, ``size - ceil(percent * size)``, is settled."""
 
     def run(batches):
@@ -262,7 +264,7 @@ def _token_rows(sets: DataFrame, unsettled: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(np.array(size, np.int32), size))], names=["key", "sig", "spare"])
 
-    return sets.join(unsettled, "sig", "left_semi").select("sig", "tokens").mapInArrow(run, "key long, sig long, spare int")
+    return sets.select("sig", "tokens").mapInArrow(run, "key long, sig long, spare int")
 
 
 def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,33 +284,50 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     # 1: parts of parity sketches
     first = _groups(_part_rows(slim, words, percent), "parts")
-    pairs = first.where("spare is null").select("a", "b").distinct()
-    common_parts = first.where("spare is not null")
-    band, full = F.shiftright(F.col("a").bitwiseAND(F.lit(0xFF)), 1), F.col("a").bitwiseAND(F.lit(1))
-    counted = common_parts.groupBy("b", band.alias("band")).agg(F.sum(full).alias("n"), F.max("spare").alias("spare"))
-    unsettled = common.written(counted.where("n > spare").select(F.col("b").alias("sig")).distinct(), "unsettled")
-    pairs = common.written(pairs, "pairs")
+    band, full = F.shiftright(F.col("key").bitwiseAND(F.lit(0xFF)), 1), F.col("key").bitwiseAND(F.lit(1))
+    counted = first.where("not pair").groupBy(F.col("a").alias("sig"), band.alias("band")).agg(F.sum(full).alias("n"), F.max("spare").alias("spare"))
+    counted = common.written(counted, "common-parts")
+    unsettled = common.written(counted.where("n > spare").select("sig").distinct(), "unsettled")
+    # a linked pair shares more full parts than either set can spare; where both have common parts,
+    # which make no pairs, any shared part will do
+    met = first.where("pair").groupBy("a", "b", band.alias("band")).agg(F.sum(full).alias("n"), F.max("spare").alias("spare"))
+    for side in ("a", "b"):
+        met = met.join(counted.select(F.col("sig").alias(side), "band", F.col("n").alias(f"common_{side}")), [side, "band"], "left")
+    likely = met.where("n > spare or (common_a is not null and common_b is not null)")
+    pairs = common.written(likely.select("a", "b").distinct(), "pairs")
+    common.forget(spark)
 
     # the exact sets of those that take part in pairs or are unsettled
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(unsettled).distinct()
-    chosen = common.written(wanted.join(nodes, "sig"), "wanted")
+    partners = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).select("sig", F.lit(False).alias("open"))
+    wanted = partners.union(unsettled.select("sig", F.lit(True))).groupBy("sig").agg(F.max("open").alias("open"))
+    chosen = common.written(wanted.join(nodes, "sig").select(F.col("node").alias("doc_id"), "sig", "open"), "wanted")
 
     def tokens(batches):
         from ldaplens.llm.jaccard_join import shingles, signature
 
+        seen = set()
         for b in batches:
-            found = [shingles(t, words) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "tokens"])
-
-    texts = slim.join(chosen.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(tokens, "sig long, tokens binary")
-    # rows that share an id with a wanted one may hold other sets, and equal sets come once
-    sets = common.written(sets.join(chosen.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+            out: tuple[list, ...] = ([], [], [])
+            for text, sig, open_ in zip(*(c.to_pylist() for c in b.columns)):
+                found = shingles(text, words)
+                # another row with the same id may hold another set; of repeated rows a task gives one
+                if sig not in seen and len(found) and signature(found) == sig:
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(sig)
+                    for column, v in zip(out, (sig, found.tobytes(), open_)):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.bool_()))], names=["sig", "tokens", "open"])
+
+    # the wanted ids grow with the corpus: a shuffle join at every size, no broadcast of the small ones
+    texts = slim.join(chosen.hint("merge"), "doc_id").select("text", "sig", "open")
+    sets = common.written(texts.mapInArrow(tokens, "sig long, tokens binary, open boolean"), "sets")
+    common.forget(spark)
 
     # 2: single shingles of the unsettled
-    second = _groups(_token_rows(sets, unsettled), "tokens")
-    more = second.where("spare is null").select("a", "b").distinct()
-    members = second.where("spare is not null").select(F.col("a").alias("key"), F.col("b").alias("sig"), F.col("spare").alias("size"))
+    second = _groups(_token_rows(sets.where("open")), "tokens")
+    more = second.where("pair").select("a", "b").distinct()
+    members = second.where("not pair").select("key", F.col("a").alias("sig"), F.col("spare").alias("size"))
     lacks = F.col("size") - F.ceil(F.col("size") * percent / 100)
     shared = members.groupBy("sig").agg(F.count("*").alias("common"), F.max("size").alias("size"))
     hot = common.written(shared.where(F.col("size") - F.col("common") <= lacks).select("sig", (F.col("common") / F.col("size")).alias("near")), "hot")
@@ -321,6 +340,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     stars = stars.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
     tried = common.written(more.union(stars).distinct().join(pairs, ["a", "b"], "left_anti").union(pairs), "tried")
     links = common.written(_linked(tried, sets, percent), "links")
+    common.forget(spark)
     roots = components(links, "a", "b")
 
     # 4: pairs across what is still apart, by the rarest shingles of the smaller side
@@ -340,20 +360,27 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
 
 def _across(apart: DataFrame, tried: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """``links`` and those between sets of different components. A partner shares one of any
-    ``size - ceil(percent * size) + 1`` shingles of a set; the set of the smaller component gives its
-    rarest ones (its shingles outside ``apart`` are shared with its own component or few sets, whose
-    pairs are tried already)."""
+    """``links`` and those between sets of different components.
+
+    Such a pair shares shingles of ``apart`` only: one that shares another is tried already, or of one
+    component. So what a set can share is at most its ``count`` shingles there, which has to reach
+    ``percent`` of its size, and in a pair ``percent / (100 + percent)`` of the sum of both sizes. A
+    partner lacks ``count - ceil(percent * size)`` of them at most: by one order for all, rarest first,
+    the two share one of the first ones of either, so these alone are joined; where they share
+    their first one, what follows in both has to be enough still."""
     from pyspark.sql import Window as W
 
     weight = apart.select("sig", "root").distinct().groupBy("root").agg(F.count("*").alias("weight"))
-    rows = apart.join(weight, "root")
-    need = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    probe = rows.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("n", "key"))).where(F.col("rank") <= need)
-    left = probe.select("key", F.col("sig").alias("s1"), F.col("root").alias("r1"), F.col("weight").alias("w1"))
-    right = rows.select("key", F.col("sig").alias("s2"), F.col("root").alias("r2"), F.col("weight").alias("w2"))
-    lower = (F.col("w1") < F.col("w2")) | ((F.col("w1") == F.col("w2")) & (F.col("r1") < F.col("r2")))
-    pairs = left.join(right, "key").where(lower).select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
+    least = F.ceil(F.col("size") * percent / 100)
+    rows = apart.withColumn("count", F.count("*").over(W.partitionBy("sig"))).where(F.col("count") >= least).join(weight, "root")
+    probe = rows.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("n", "key"))).where(F.col("rank") <= F.col("count") - least + 1)
+    side = lambda df, i: df.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("sig", "root", "weight", "size", "count", "rank")])
+    lower = (F.col("weight1") < F.col("weight2")) | ((F.col("weight1") == F.col("weight2")) & (F.col("root1") < F.col("root2")))
+    rest = F.least(F.col("count1") - F.col("rank1"), F.col("count2") - F.col("rank2")) + 1
+    enough = rest * (100 + percent) >= percent * (F.col("size1") + F.col("size2"))
+    left, right = side(probe, 1), side(probe, 2).withColumnRenamed("key", "key2")
+    met = left.join(right, (F.col("key") == F.col("key2")) & lower & enough)
+    pairs = met.select(F.least("sig1", "sig2").alias("a"), F.greatest("sig1", "sig2").alias("b")).distinct()
     fresh = common.written(pairs.join(tried, ["a", "b"], "left_anti"), "across")
     return links.union(common.written(_linked(fresh, sets, percent), "links"))
 
