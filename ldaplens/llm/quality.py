@@ -9,7 +9,7 @@ lower spread, which junk above the median does not move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,15 +26,18 @@ LEAST_GROUP = 100
 WINDOW = 5
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words in windows found twice or more, from the windows' hashes: sort (hash, position), keep
-    positions whose hash equals a neighbour's, and add up what each adds to the covered words."""
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # one struct per neighbour pair of the sorted list; equal hashes mark both ends
-    same = F.zip_with(pairs, F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-    steps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), b - a))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+def _with_repeat_words(df: DataFrame) -> DataFrame:
+    """Adds ``n_repeat_words``, words in windows found twice or more, from the windows' hashes: sort
+    (hash, position), keep positions whose hash equals a neighbour's, and add up what each adds to
+    the covered words. Texts without a repeated window are told by their distinct hashes."""
+    next_of = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
+    pairs = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("__pairs", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), pairs)).drop("__windows")
+    same = F.zip_with("__pairs", next_of("__pairs"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = df.withColumn("__at", F.sort_array(F.array_distinct(F.flatten(F.array_compact(same))))).drop("__pairs")
+    steps = F.zip_with("__at", next_of("__at"), lambda a, b: F.least(F.lit(WINDOW), b - a))
+    total = F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("__at")
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -48,19 +51,18 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumns({
         "__words": F.array_remove(F.split(text, common.GAP, -1), ""),
         "__lines": lines,
-        "__chars": F.length(F.regexp_replace(text, common.GAP, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "__capitals": F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long"),
     })
     n = F.size("__words")
     out = out.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.col("__chars"),
+        "word_chars": F.aggregate("__words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)),
         "__n_lines": F.size("__lines").cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "__windows": F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(WINDOW)]))),
-    }).drop("__words", "__lines", "__chars")
-    out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), _repeat_words(F.col("__windows"))).otherwise(F.lit(0)).cast("long")).drop("__windows")
+    }).drop("__words", "__lines")
+    out = _with_repeat_words(out)
     share = lambda part, of: F.floor(F.col(part) * 1000 / F.greatest(F.col(of), F.lit(1))).cast("long")
     return out.withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
