@@ -32,8 +32,9 @@ SEEN = 100_000
 FLUSH = 30_000
 #: Rows in an Arrow batch of entries.
 SCAN_ROWS = 2000
-#: Segments with the same gram whose windows one task compares; those of larger groups are shuffled.
-GROUP = 256
+#: Segments with the same gram whose windows one task compares, about 100 MB of windows at most;
+#: those of larger groups are shuffled one by one.
+GROUP = 8192
 
 #: ``place`` holds a run of windows in a document: the first one, then how many follow it.
 ROWS = "gram long, body long, doc_id long, place long"
