@@ -105,13 +105,14 @@ class Directory:
         return out
 
 
-def new_index(docs: DataFrame, text_col: str = "text", capacity: int = BUCKET, range_bytes: int = RANGE_BYTES) -> dict:
+def new_index(docs: DataFrame, text_col: str = "text", capacity: int = BUCKET, range_bytes: int = RANGE_BYTES, keep: bool = True) -> dict:
     """An empty index: a folder in the shared folder, and as many ranges as the texts of ``docs``
-    need for ``range_bytes`` each, at least two for each core."""
+    need for ``range_bytes`` each, at least two for each core. Without ``keep`` its files are not
+    written: it serves one batch."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-size // range_bytes))
-    return {"root": scratch_path(spark, "index"), "bits": (ranges - 1).bit_length(), "capacity": capacity, "version": 0}
+    return {"root": scratch_path(spark, "index") if keep else None, "bits": (ranges - 1).bit_length(), "capacity": capacity, "version": 0}
 
 
 def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str = "text", key=F.xxhash64) -> tuple[DataFrame, dict]:
@@ -124,9 +125,8 @@ def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     common.python_ready(spark)
-    bits, capacity = index["bits"], index["capacity"]
-    before = f"{index['root']}/v{index['version']}"
-    after = f"{index['root']}/v{index['version'] + 1}"
+    bits, capacity, root = index["bits"], index["capacity"], index["root"]
+    before, after = f"{root}/v{index['version']}", f"{root}/v{index['version'] + 1}"
     key_of: Column = key(F.col("text"))
     rest = [c for c in docs.columns if c != text_col]
     slim = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", key_of)
@@ -150,11 +150,12 @@ def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str =
 
         def finish(number, parts):
             uri = f"{number:08x}.parquet"
-            index = Directory.load(f"{before}/{uri}", capacity)
+            index = Directory.load(f"{before}/{uri}", capacity) if root else Directory(capacity)
             for p, b in enumerate(parts):
                 for i, (one, text, k, n) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 5)))):
                     index.put(k, text, one, n, (p, i))
-            index.save(f"{after}/{uri}")
+            if root:
+                index.save(f"{after}/{uri}")
             stay: dict[int, list] = {}
             for bucket in index.buckets():
                 for chain in bucket[1].values():
@@ -207,5 +208,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of ``docs`` for each distinct text (the largest id), with exactly its columns. The
     surviving rows come from the owner tasks, so the texts are shuffled once. A null text that
     stays comes back empty."""
-    survivors, _ = insert(docs, new_index(docs, text_col), id_col, text_col)
+    survivors, _ = insert(docs, new_index(docs, text_col, keep=False), id_col, text_col)
     return survivors.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

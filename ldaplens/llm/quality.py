@@ -105,8 +105,9 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """``docs`` with the rules' counts, ``base_failed`` and ``kept``.
 
-    The measured table is written once (without the text unless ``keep_text``) and the sketches are
-    read from there. The table of thresholds is written too, so the planner broadcasts it only if
+    The measures are written without the text, and the sketches are read from there; with
+    ``keep_text`` the rows are measured again for the result, so that no copy of the texts is ever
+    written. The table of thresholds is written too, so the planner broadcasts it only if
     its true size is under the session's broadcast limit and otherwise joins by language and source
     with skew splitting. Null text: no words, base failed. A null language or source is a group of
     its own. Ids are not used: null or repeated ids and repeated rows are judged row by row. An
@@ -114,12 +115,12 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     """
     group = {f"__{k}": F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("lang", lang_col), ("source", source_col))}
     found = features(docs, text_col).withColumns(group)
-    measured = common.written(found if keep_text else found.drop(text_col), "quality")
+    measured = common.written(found.select(*group, "n_words", *[f"__{m}" for m in METRICS]) if keep_text else found.drop(text_col), "quality")
     limits = common.written(thresholds(sketch(measured, list(group))), "quality-limits")
     passes = F.lit(True)
     for m in METRICS:
         passes = passes & (F.col(f"__{m}") <= F.coalesce(F.col(f"t_{m}"), F.col(f"__{m}")))
-    return measured.join(limits, list(group), "left").withColumn("kept", ~F.col("base_failed") & passes)
+    return (found if keep_text else measured).join(limits, list(group), "left").withColumn("kept", ~F.col("base_failed") & passes)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
