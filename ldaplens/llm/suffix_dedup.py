@@ -181,15 +181,15 @@ def _scan(rows: DataFrame, low: int | None, keep_new: bool) -> DataFrame:
             if goes_on:
                 several[0] = state[2] or state[3] is not None and bodies[0] > 0
             held = state[3] if state else None
-            if held is not None and (not goes_on or several[0]):
-                kind = (0 if held[3] else new) | (EDGE if goes_on else 0)
+            end = group[-1]
+            if held is not None and (not goes_on or several[0] or end > 0):  # its gram has ended or has several
+                kind = (0 if held[3] else new) | (EDGE if goes_on and several[0] else 0)
                 if kind:
                     yield done(([kind], [state[0]], [held[0]], [held[1]], [held[2]]))
                 held = None
             at = (int(doc[-1]), int(place[-1]))
             twice = ~new_body & np.r_[state is not None and state[4] == (doc[0], place[0]), (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]
             kind = np.where(new_body, np.where(old, 0, new) | np.where(several[group], EDGE, 0), np.where(old | twice, 0, REPEAT)).astype(np.int32)
-            end = group[-1]
             if not several[end] and (lone := np.flatnonzero(new_body & (group == end))).size:
                 i = int(lone[0])  # the last gram's only body so far: what it is turns out later
                 held = (int(body[i]), int(doc[i]), int(place[i]), bool(old[i]))

@@ -213,6 +213,32 @@ def test_suffix_dedup(spark, length, batches):
     assert got == removed(rows, length)
 
 
+@pytest.mark.parametrize("rows_at_a_time", [2, 3, 7])
+def test_suffix_dedup_across_arrow_batches(spark, monkeypatch, rows_at_a_time):
+    from ldaplens.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SCAN_ROWS", rows_at_a_time)
+    rng = random.Random(rows_at_a_time)
+    passages = ["".join(rng.choices("abcdefgh ", k=rng.randint(30, 60))) for _ in range(12)]
+    rows = [(i, "".join(f"{rng.random()}"[: rng.randint(0, 12)] + p for p in rng.sample(passages, 3))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(df, 24).collect()}
+    assert got == removed(rows, 24)
+
+
+def test_scan_tells_entries_held_at_a_batch_boundary(spark, monkeypatch):
+    from ldaplens.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SCAN_ROWS", 2)
+    # gram 2 goes on in the second batch with a repeat only, then other grams come
+    entries = [(1, 1, 4, 0), (2, 2, 5, 0), (2, 2, 7, 0), (3, 3, 2, 0), (3, 4, 3, 0), (5, 5, 6, 0)]
+    df = spark.createDataFrame(entries, suffix_dedup.ROWS).coalesce(1)
+    monkeypatch.setattr(type(df), "repartition", lambda self, *_: self)  # all grams in one task
+    got = sorted(map(tuple, suffix_dedup._scan(df, None, True).collect()))
+    new, edge = suffix_dedup.NEW, suffix_dedup.NEW | suffix_dedup.EDGE
+    assert got == sorted([(new, 1, 1, 4, 0), (new, 2, 2, 5, 0), (suffix_dedup.REPEAT, 2, 2, 7, 0), (edge, 3, 3, 2, 0), (edge, 3, 4, 3, 0), (new, 5, 5, 6, 0)])
+
+
 def test_suffix_dedup_of_a_large_group(spark, monkeypatch):
     from ldaplens.llm import suffix_dedup
 
