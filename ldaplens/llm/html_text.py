@@ -37,12 +37,35 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb b
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
 
+# words of readers' discussions, which may well hold more text than the article
+DISCUSSION = frozenset("comment comments reply replies responses".split())
+# elements that their words don't make asides: a body "right-sidebar" is no sidebar
+WHOLE = frozenset(("", "html", "body", "main", "article"))
+
+
 def words_of(label: str) -> set[str]:
     return set(re.split(r"[^a-z]+", label.partition("@")[2]))
 
 
+def discussion(label: str) -> bool:
+    """Whether the words tell of a discussion, and no name ("post", not "post-comments") of an article."""
+    if DISCUSSION.isdisjoint(words_of(label)):
+        return False
+    names = [words_of("@" + name) for name in label.partition("@")[2].split()]
+    return not any(ASIDE_WORDS.isdisjoint(n) and not MAIN_WORDS.isdisjoint(n) for n in names)
+
+
 def aside(label: str) -> bool:
-    return label.partition("@")[0] in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words_of(label))
+    tag = label.partition("@")[0]
+    if tag in WHOLE:
+        return tag == "article" and discussion(label)
+    return tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words_of(label))
+
+
+def never(label: str) -> bool:
+    """Asides that are so whatever they hold; a form may wrap the page, a class may tell of its layout."""
+    tag = label.partition("@")[0]
+    return tag in ASIDE_TAGS and tag != "form"
 
 
 def parse(page: str) -> list:
@@ -200,41 +223,114 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def main_path(node: list) -> list[str]:
-    """Labels from the root to the article's element in a wrapper.
+def measures(node: list) -> tuple[dict, dict, dict]:
+    """By the ``id`` of each node: the slot text directly in it or in its inline children; all its slot
+    text but that of links, asides by tag and discussions; whether it holds an article or a main."""
+    own: dict[int, float] = {}
+    slots: dict[int, float] = {}
+    holds: dict[int, bool] = {}
+    todo = [(node, False)]
+    while todo:
+        n, done = todo.pop()
+        if n[0] == "#":
+            own[id(n)] = slots[id(n)] = n[3] if n[2] is None else 0
+            holds[id(n)] = False
+        elif not done:
+            todo.append((n, True))
+            todo += [(k, False) for k in n[2]]
+        else:
+            a = b = 0
+            c = False
+            for k in n[2]:
+                tag = k[0].partition("@")[0]
+                if tag in ("#", "()") or tag in INLINE and tag != "a":
+                    a += own[id(k)]
+                if tag != "a" and not never(k[0]) and not (tag != "main" and discussion(k[0])):
+                    b += slots[id(k)]
+                    c = c or holds[id(k)] or tag in ("article", "main")
+            own[id(n)], slots[id(n)], holds[id(n)] = a, b, c
+    return own, slots, holds
+
+
+def labels(link: tuple | None) -> list[str]:
+    out = []
+    while link:
+        out.append(link[0])
+        link = link[1]
+    return out[::-1]
+
+
+def spared_in(node: list, slots: dict, whatever: bool = False) -> list[list[str]]:
+    """Labels from ``node`` to each element in it that is named like an aside, but holds over half of
+    its slot text; or to each but those that are asides whatever they hold."""
+    out: list = []
+    todo: list = [(k, None) for k in reversed(node[2])]
+    while todo:
+        n, path = todo.pop()
+        if n[0] == "#":
+            continue
+        here = path if n[0] == "()" else (n[0], path)
+        if aside(n[0]):
+            if never(n[0]) or not (whatever or 2 * slots[id(n)] > slots[id(node)] and not discussion(n[0])):
+                continue
+            out.append(labels(here))
+        todo += [(k, here) for k in reversed(n[2])]
+    return out
+
+
+def chosen(node: list) -> tuple[list[str], list[list[str]]]:
+    """Labels from the root to the article's element in a wrapper, and the labels from there to each
+    element in it that is named like an aside (or a form) but is none.
 
     First choice: an ``article``, else a ``main``, else an element named like one; of several the one
     with the most text. Without any: the element whose own slots and paragraphs hold the most text,
-    other than links and asides. Constant text, the same on all pages, does not count there."""
-    found: dict[int, tuple[float, list[str]]] = {}
+    other than links and asides. Constant text, the same on all pages, does not count there.
+
+    An element named like an aside is none if it holds over half of the slot text; or if it holds an
+    article with more text than is to be had outside; or, discussions too, if there is no other text."""
+    own, slots, holds = measures(node)
+
+    def most(n) -> bool:
+        return 2 * slots[id(n)] > slots[id(node)] and not discussion(n[0])
+
+    def walk(spared) -> tuple[int, list, tuple] | None:
+        """Rank, node and labels (each with those before) of the best element."""
+        found: dict[int, tuple[float, list, tuple]] = {}
+        todo: list = [(node, None)]
+        while todo:
+            n, path = todo.pop()
+            if n[0] == "#" or path and aside(n[0]) and (never(n[0]) or not spared(n)):
+                continue
+            name = n[0].partition("@")[0]
+            here = path if n[0] == "()" else (n[0], path)
+            if n[0] != "()":
+                rank = 3 if name == "article" else 2 if name == "main" else 1 if not MAIN_WORDS.isdisjoint(words_of(n[0])) else 0
+                if name in ("html", "body", ""):
+                    rank = 0
+                inner = [k for c in n[2] for k in (c[2] if c[0] == "()" else [c])]
+                score = float(n[3]) if rank else sum(own[id(k)] for k in inner if k[0] == "#" or k[0].partition("@")[0] in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol", "br") or k[0].partition("@")[0] in INLINE)
+                if rank not in found or score > found[rank][0]:
+                    found[rank] = (score, n, here)
+            todo += [(k, here) for k in reversed(n[2])]
+        return next(((r, *found[r][1:]) for r in (3, 2, 1, 0) if r in found and found[r][0] > 0), None)
+
+    best = walk(most)
+    if (best is None or best[0] < 2) and holds[id(node)]:
+        other = walk(lambda n: most(n) or holds[id(n)])
+        if other and other[0] >= 2 and (best is None or slots[id(other[1])] > slots[id(best[1])]):
+            best = other
+    last = best is None
+    if last:
+        best = walk(lambda n: True)
+    if best is None:
+        return [""], []
+
+    return labels(best[2]), spared_in(best[1], slots, last)
 
-    def own(n) -> float:
-        """Slot text of a node that is directly in it or in its inline and paragraph children."""
-        if n[0] == "#":
-            return n[3] if n[2] is None else 0.0
-        return sum(own(k) for k in n[2] if k[0] in ("#", "()") or k[0].partition("@")[0] in INLINE and k[0].partition("@")[0] != "a")
-
-    def walk(n, path):
-        if n[0] == "#" or aside(n[0]) and path:
-            return
-        name = n[0].partition("@")[0]
-        here = path if n[0] == "()" else [*path, n[0]]
-        if n[0] != "()":
-            rank = 3 if name == "article" else 2 if name == "main" else 1 if not MAIN_WORDS.isdisjoint(words_of(n[0])) else 0
-            if name in ("html", "body", ""):
-                rank = 0
-            inner = [k for c in n[2] for k in (c[2] if c[0] == "()" else [c])]
-            score = float(n[3]) if rank else sum(own(k) for k in inner if k[0] == "#" or k[0].partition("@")[0] in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol", "br") or k[0].partition("@")[0] in INLINE)
-            if rank not in found or score > found[rank][0]:
-                found[rank] = (score, here)
-        for k in n[2]:
-            walk(k, here)
-
-    walk(node, [])
-    for rank in (3, 2, 1, 0):
-        if rank in found and found[rank][0] > 0:
-            return found[rank][1]
-    return [""]
+
+def main_path(node: list) -> list[str]:
+    """Labels from the root to the article's element in a wrapper."""
+    return chosen(node)[0]
 
 
 def elements(node: list, path: list[str]) -> list:
@@ -245,8 +341,9 @@ def elements(node: list, path: list[str]) -> list:
     return level
 
 
-def blocks(node: list) -> list[str]:
-    """The texts of the element's blocks; asides within it are left out."""
+def blocks(node: list, spared: list | tuple = ()) -> list[str]:
+    """The texts of the element's blocks; asides within it are left out, but for those at the labels
+    of ``spared``."""
     out: list[str] = []
     now: list[str] = []
 
@@ -256,35 +353,41 @@ def blocks(node: list) -> list[str]:
             out.append(words)
         now.clear()
 
-    todo: list = [(k, False) for k in reversed(node[1])]
+    todo: list = [(k, False, spared) for k in reversed(node[1])]
     while todo:
-        n, closing = todo.pop()
+        n, closing, spare = todo.pop()
         if closing:
             end()
         elif n[0] == "#":
             now.append(n[1])
         elif n[0].partition("@")[0] in ("br", "wbr", "img"):
             now.append(" " if n[0].startswith("br") else "")
-        elif not aside(n[0]):
+        else:
+            below = [s[1:] for s in spare if s and s[0] == n[0]] if spare else ()
+            if aside(n[0]) and [] not in below:
+                continue
             block = n[0].partition("@")[0] not in INLINE
             if block:
                 end()
-                todo.append((n, True))
-            todo += [(k, False) for k in reversed(n[1])]
+                todo.append((n, True, ()))
+            todo += [(k, False, below) for k in reversed(n[1])]
     end()
     return out
 
 
-def main_text(page: str, path: list[str] | None) -> str:
+def main_text(page: str, path: list[str] | None, spared: list | tuple = ()) -> str:
     """The main text of a page by its host's path; a page without it chooses its own."""
     if not page:
         return ""
     tree = parse(page)
     found = elements(tree, path) if path else []
     if not found:
-        own = wrapper(tree)
-        found = elements(tree, main_path(slotted(own)))
-    return "\n\n".join(b for n in found for b in blocks(n))
+        path, spared = chosen(slotted(wrapper(tree)))
+        found = elements(tree, path)
+    out = [b for n in found for b in blocks(n, spared)]
+    if not out:  # nothing but what this page alone names like asides
+        out = [b for n in found for b in blocks(n, within(n))]
+    return "\n\n".join(out)
 
 
 def slotted(node: list) -> list:
@@ -292,6 +395,12 @@ def slotted(node: list) -> list:
     return ["#", node[1], None, node[3]] if node[0] == "#" else [node[0], node[1], [slotted(k) for k in node[2]], node[3]]
 
 
+def within(node: list) -> list[list[str]]:
+    """``spared_in`` of an element of one page."""
+    w = slotted(wrapper(node))
+    return spared_in(w, measures(w)[1])
+
+
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
@@ -370,13 +479,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     found = wrappers(pages, id_col, url_col, html_col)
 
     def choose(batches):
-        from ldaplens.llm.html_text import main_path, slotted
+        from ldaplens.llm.html_text import chosen, slotted
 
         for b in batches:
             out = []
             for n, w in zip(b.column("pages").to_pylist(), b.column("wrapper").to_pylist()):
                 w = json.loads(w)
-                out.append(json.dumps(main_path(slotted(w) if n < 2 else w)))
+                out.append(json.dumps(chosen(slotted(w) if n < 2 else w)))
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], names=["host", "path"])
 
     paths = common.written(found.mapInArrow(choose, "host string, path string"), "paths")
@@ -386,7 +495,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         from ldaplens.llm.html_text import main_text
 
         for b in batches:
-            out = [main_text(h, json.loads(p) if p else None) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            out = [main_text(h, *(json.loads(p) if p else (None,))) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return slim.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInArrow(apply, "page_id long, url string, text string, n_chars long")

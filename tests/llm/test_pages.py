@@ -41,6 +41,41 @@ def test_extracts_articles(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+LAYOUTS = [  # what the body is made of, around an article's paragraphs
+    '<body class="right-sidebar"><div class="sidebar"><p>{other}</p></div>{article}</body>',
+    '<body><div id="content" class="with-sidebar">{article}</div><div class="sidebar"><p>{other}</p></div></body>',
+    '<body><nav>menu</nav><article class="post category-social">{article}</article><footer>{other}</footer></body>',
+    '<body><form id="aspnet"><div id="top">{other}</div><div class="x">{article}</div></form></body>',
+    '<body><div class="no-sidebar"><main>{article}</main></div><div class="y">{other}</div></body>',
+    '<body><article><h1>News</h1><div class="text social-0">{article}</div><div class="share">{other}</div></article></body>',
+    '<body><div class="widget blog">{article}</div><div class="widget">{other}</div></body>',
+    # these are asides, whatever they hold
+    '<body><div id="x">{article}</div><section id="comments"><div class="comment-content"><p>{long}</p></div></section></body>',
+    '<body><article>{article}</article><ol class="comment-list"><li><article class="comment-body"><p>{long}</p></article></li></ol></body>',
+    '<body><div id="content">{article}</div><div class="related"><article class="card"><p>{other}</p></article></div></body>',
+]
+
+
+@pytest.mark.parametrize("pages", [1, 4])
+def test_layout_words_and_page_wide_forms(spark, pages):
+    rng = random.Random(7)
+    text = lambda k: " ".join("".join(rng.choices("abcdef", k=6)) for _ in range(k))
+    rows, expected = [], {}
+    for h, layout in enumerate(LAYOUTS):
+        for i in range(pages):
+            lines = [text(rng.randint(40, 60)) for _ in range(3)]
+            html = layout.format(article="".join(f"<p>{x}</p>" for x in lines), other=text(5), long=text(1000))
+            rows.append((100 * h + i, f"http://h{h}.example/{i}", f"<html>{html}</html>"))
+            expected[100 * h + i] = "\n\n".join((["News"] if "News" in layout else []) + lines)
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
+def test_a_page_of_comments_only():
+    assert main_text('<div class="comments"><div class="comment"><p>one</p></div><div class="comment"><p>two</p></div></div>', None) == "one\n\ntwo"
+    assert main_text("<nav>a</nav><footer>b</footer>", None) == ""
+
+
 def test_wrapper_rounds_see_every_page(spark, monkeypatch):
     from ldaplens.llm import html_text
 
