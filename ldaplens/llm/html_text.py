@@ -130,13 +130,36 @@ def parse(page: str) -> list:
 # several labels is ["()", "+", members].
 
 
+def stepped(call):
+    """The value of a generator that yields the generators whose values it needs: nested calls on a
+    stack of their own, since pages nest as deep as they like."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
 def wrapper(node: list) -> list:
     """A page (or part of one) as a wrapper: repeated siblings fold into groups."""
-    if node[0] == "#":
-        words = " ".join(node[1].split())
-        return ["#", "", words, len(words)]
-    kids = [wrapper(k) for k in node[1] if k[0] != "#" or k[1].strip()]
-    return [node[0], "", fold([(k, -1) for k in kids]), sum(k[3] for k in kids)]
+    top: list = []
+    todo: list = [(node, top, None)]  # a node, where its wrapper goes, those of its children
+    while todo:
+        n, out, kids = todo.pop()
+        if n[0] == "#":
+            words = " ".join(n[1].split())
+            out.append(["#", "", words, len(words)])
+        elif kids is None:
+            kids = []
+            todo.append((n, out, kids))
+            todo += [(k, kids, None) for k in reversed(n[1]) if k[0] != "#" or k[1].strip()]
+        else:
+            out.append([n[0], "", fold([(k, -1) for k in kids]), sum(k[3] for k in kids)])
+    return top[0]
 
 
 def marks(a: str, b: str) -> str:
@@ -145,17 +168,34 @@ def marks(a: str, b: str) -> str:
     return "*" if plus and maybe else "+" if plus else "?" if maybe else ""
 
 
-def joined(a: list, b: list, mark: str | None = None) -> list:
+def joined(a: list, b: list) -> list:
     """Two nodes with the same label as one."""
-    mark = marks(a[1], b[1]) if mark is None else mark
-    if a[0] == "#":
-        return ["#", mark, a[2] if a[2] == b[2] else None, a[3] + b[3]]
-    return [a[0], mark, align(a[2], b[2]), a[3] + b[3]]
+    return stepped(_joined(a, b))
 
 
 def fold(items: list) -> list:
     """``(node, group)`` in order, group -1 for none, as children: what lies between two nodes with
     the same label, and what shares a group, becomes one repeated group."""
+    return stepped(_fold(items))
+
+
+def align(a: list, b: list) -> list:
+    """Two lists of children as one: labels in the longest common order match, the others become
+    optional, and a label that so comes twice makes a repeated group."""
+    return stepped(_align(a, b))
+
+
+def _text(a: list, b: list) -> list:
+    return ["#", marks(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3]]
+
+
+def _joined(a: list, b: list):
+    if a[0] == "#":
+        return _text(a, b)
+    return [a[0], marks(a[1], b[1]), (yield _align(a[2], b[2])), a[3] + b[3]]
+
+
+def _fold(items: list):
     spans: dict = {}
     for i, (node, group) in enumerate(items):
         for key in {("label", node[0]), ("group", group) if group >= 0 else ("label", node[0])}:
@@ -171,7 +211,12 @@ def fold(items: list) -> list:
         part = items[i : end + 1]
         members: dict = {}
         for node, _ in part:
-            members[node[0]] = joined(members[node[0]], node) if node[0] in members else node
+            if node[0] not in members:
+                members[node[0]] = node
+            elif node[0] == "#":
+                members["#"] = _text(members["#"], node)
+            else:
+                members[node[0]] = yield _joined(members[node[0]], node)
         if len(part) == 1 and part[0][1] < 0:
             out.append(part[0][0])
         elif len(members) == 1:
@@ -184,9 +229,7 @@ def fold(items: list) -> list:
     return out
 
 
-def align(a: list, b: list) -> list:
-    """Two lists of children as one: labels in the longest common order match, the others become
-    optional, and a label that so comes twice makes a repeated group."""
+def _align(a: list, b: list):
     def spread(kids, base):
         out = []
         for i, k in enumerate(kids):
@@ -218,9 +261,9 @@ def align(a: list, b: list) -> list:
         out += [(alone(n), g) for n, g in x[i:p]] + [(alone(n), g) for n, g in y[j:q]]
         if p < len(x):
             g = x[p][1] if x[p][1] >= 0 else y[q][1]
-            out.append((joined(x[p][0], y[q][0]), g))
+            out.append((_text(x[p][0], y[q][0]) if x[p][0][0] == "#" else (yield _joined(x[p][0], y[q][0])), g))
         i, j = p + 1, q + 1
-    return fold(out)
+    return (yield _fold(out))
 
 
 def measures(node: list) -> tuple[dict, dict, dict]:
@@ -392,7 +435,28 @@ def main_text(page: str, path: list[str] | None, spared: list | tuple = ()) -> s
 
 def slotted(node: list) -> list:
     """A wrapper of one page with every text as a slot (one page can't tell constants)."""
-    return ["#", node[1], None, node[3]] if node[0] == "#" else [node[0], node[1], [slotted(k) for k in node[2]], node[3]]
+    return built([["#", n[1], None, n[3]] if n[0] == "#" else n for n in flat(node)])
+
+
+def flat(node: list) -> list:
+    """The nodes of a wrapper from the first to the last, each with the number of its children."""
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if n[0] == "#":
+            out.append(n)
+        else:
+            out.append([n[0], n[1], len(n[2]), n[3]])
+            todo += reversed(n[2])
+    return out
+
+
+def built(nodes: list) -> list:
+    """The wrapper of ``flat``'s nodes."""
+    stack: list = []
+    for n in reversed(nodes):
+        stack.append(n if n[0] == "#" else [n[0], n[1], [stack.pop() for _ in range(n[2])], n[3]])
+    return stack[0]
 
 
 def within(node: list) -> list[list[str]]:
@@ -412,7 +476,7 @@ FAN_IN = 16
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, pages, wrapper`` (JSON): every page of ``pages`` is aligned into its host's wrapper.
+    """``host, pages, wrapper`` (JSON of ``flat``): every page of ``pages`` is aligned into its host's wrapper.
 
     Each task aligns its own pages, so a host that holds a third of all pages is worked on by all
     tasks; their wrappers merge in rounds of ``FAN_IN``, and no task ever gets more of a host.
@@ -425,12 +489,12 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     def infer(batches):
         from pyspark import TaskContext
 
-        from ldaplens.llm.html_text import joined, parse, wrapper
+        from ldaplens.llm.html_text import flat, joined, parse, wrapper
 
         part, held = TaskContext.get().partitionId(), {}
 
         def sent():
-            rows = [(h, n, json.dumps(w), part) for h, (n, w) in held.items()]
+            rows = [(h, n, json.dumps(flat(w)), part) for h, (n, w) in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["host", "pages", "wrapper", "number"])
 
@@ -447,11 +511,11 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     def merge(pdf):
         from functools import reduce
 
-        from ldaplens.llm.html_text import joined
+        from ldaplens.llm.html_text import built, flat, joined
 
         pdf = pdf.sort_values("number")
-        w = reduce(joined, map(json.loads, pdf["wrapper"]))
-        return pdf.iloc[:1].assign(pages=int(pdf["pages"].sum()), wrapper=json.dumps(w))
+        w = reduce(joined, (built(json.loads(w)) for w in pdf["wrapper"]))
+        return pdf.iloc[:1].assign(pages=int(pdf["pages"].sum()), wrapper=json.dumps(flat(w)))
 
     found = common.written(slim.mapInArrow(infer, schema), "wrappers")
     number = F.row_number().over(_by_host()) - 1
@@ -479,12 +543,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     found = wrappers(pages, id_col, url_col, html_col)
 
     def choose(batches):
-        from ldaplens.llm.html_text import chosen, slotted
+        from ldaplens.llm.html_text import built, chosen, slotted
 
         for b in batches:
             out = []
             for n, w in zip(b.column("pages").to_pylist(), b.column("wrapper").to_pylist()):
-                w = json.loads(w)
+                w = built(json.loads(w))
                 out.append(json.dumps(chosen(slotted(w) if n < 2 else w)))
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], names=["host", "path"])
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from conftest import rows_of  # noqa: F401
 
-from ldaplens.llm.html_text import align, blocks, extract_text, fold, main_path, main_text, parse, wrapper, wrappers
+from ldaplens.llm.html_text import align, blocks, built, extract_text, flat, fold, main_path, main_text, parse, wrapper, wrappers
 from ldaplens.llm.warc import load, read_archives, save, write_archives
 
 
@@ -76,6 +76,24 @@ def test_a_page_of_comments_only():
     assert main_text("<nav>a</nav><footer>b</footer>", None) == ""
 
 
+def test_pages_nest_as_deep_as_they_like(spark):
+    rows, expected = [], {}
+    deep = ["<font>" * 5000 + "{}", "<blockquote>" * 5000 + "{}" + "</blockquote>" * 5000, "<article>" + "<div><span>" * 2500 + "{}", "<p>a</p><ul>" + "<li><ul>" * 2500 + "{}"]
+    for h, html in enumerate(deep):
+        for i in range(3):
+            rows.append((10 * h + i, f"http://h{h}.example/{i}", html.format(f"text {'abc'[i]}")))
+            expected[10 * h + i] = f"text {'abc'[i]}"
+    rows += [(90, "http://lone.example/", deep[1].format("alone"))]
+    expected[90] = "alone"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in extract_text(df).collect()} == expected
+
+
+def test_wrappers_are_kept_flat():
+    w = wrapper(parse("<h1>a</h1><p>b<i>c</i></p><p>d</p><ul><li>e</li></ul><p>f</p>"))
+    assert built(flat(w)) == w and flat(w)[0][:2] == ["", ""]
+
+
 def test_wrapper_rounds_see_every_page(spark, monkeypatch):
     from ldaplens.llm import html_text
 
