@@ -32,9 +32,10 @@ SEEN = 100_000
 FLUSH = 30_000
 #: Rows in an Arrow batch of entries.
 SCAN_ROWS = 2000
-#: Segments with the same gram whose windows one task compares, about 100 MB of windows at most;
-#: those of larger groups are shuffled one by one.
+#: Segments with the same gram whose windows a task compares in memory, about 100 MB of windows at
+#: most; those of larger groups go through files, by their hashes, in as many classes.
 GROUP = 8192
+CLASSES = 64
 
 #: ``place`` holds a run of windows in a document: the first one, then how many follow it.
 ROWS = "gram long, body long, doc_id long, place long"
@@ -269,21 +270,85 @@ def _edge_rows(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(run, "gram long, doc_id long, first int, content binary")
 
 
+class Spool:
+    """The windows of a group of any size: their hashes lie in the task's temporary folder, in classes
+    by hash that are sorted one at a time; of a segment only its place is held."""
+
+    def __init__(self, length: int):
+        from array import array
+        from tempfile import TemporaryFile
+
+        self.length, self.n, self.hashes = length, 0, []
+        self.places = tuple(array("q") for _ in range(3))  # of segments: document, first window, number of the first
+        self.files = [TemporaryFile() for _ in range(CLASSES)]
+
+    def add(self, doc: int, first: int, content: bytes) -> None:
+        from xxhash import xxh3_64_intdigest
+
+        for column, v in zip(self.places, (doc, first, self.n + len(self.hashes))):
+            column.append(v)
+        self.hashes += [xxh3_64_intdigest(content[i : i + self.length]) for i in range(len(content) - self.length + 1)]
+        if len(self.hashes) >= FLUSH:
+            self.flush()
+
+    def flush(self) -> None:
+        import numpy as np
+
+        h = np.array(self.hashes, np.uint64)
+        rows = np.stack([h, np.arange(self.n, self.n + len(h), dtype=np.uint64)], axis=1)
+        kind = h % np.uint64(CLASSES)
+        rows = rows[np.argsort(kind, kind="stable")]
+        cuts = np.cumsum(np.bincount(kind.astype(np.int64), minlength=CLASSES))[:-1]
+        for f, part in zip(self.files, np.split(rows, cuts)):
+            f.write(part.tobytes())
+        self.n += len(h)
+        self.hashes.clear()
+
+    def runs(self):
+        """``doc_id, first, last`` of the runs of windows that also come earlier, as arrays."""
+        import numpy as np
+
+        self.flush()
+        doc, first, start = (np.frombuffer(c, np.int64) for c in self.places)
+        told = np.zeros(self.n + 1, bool)
+        for f in self.files:
+            f.seek(0)
+            h, number = np.frombuffer(f.read(), np.uint64).reshape(-1, 2).T
+            f.close()
+            if not len(h):
+                continue
+            number = number.astype(np.int64)
+            segment = np.searchsorted(start, number, "right") - 1
+            docs, at = doc[segment], first[segment] + number - start[segment]
+            order = np.lexsort((at, docs, h))
+            h, number, docs, at = h[order], number[order], docs[order], at[order]
+            least = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            least = np.repeat(least, np.diff(np.r_[least, len(h)]))
+            told[number[(docs != docs[least]) | (at != at[least])]] = True  # the same place is a repeated row
+        begins = np.zeros(self.n + 1, bool)
+        begins[start] = begins[-1] = True
+        a = np.flatnonzero(told & (begins | ~np.r_[False, told[:-1]]))
+        z = np.flatnonzero(told[:-1] & (begins[1:] | ~told[1:]))
+        segment = np.searchsorted(start, a, "right") - 1
+        at = first[segment] - start[segment]
+        return doc[segment], at + a, at + z
+
+
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated windows among segments with the same gram: ``doc_id, first, last, gram, body``.
+    """Runs of repeated windows among segments with the same gram: ``doc_id, first, last``.
 
-    A group of up to ``GROUP`` segments is compared here, by its bytes, in order of place (``gram``
-    null in the result). The windows of larger groups go on as rows with the hash of their bytes in
-    ``body``, for a shuffle by gram and hash."""
+    A group of up to ``GROUP`` segments is compared by its bytes, in order of place, the windows of a
+    larger one by their hashes. Either way a task gives the runs, no rows of single windows."""
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest
+        from ldaplens.llm.suffix_dedup import Spool
 
-        out: tuple[list, ...] = ([], [], [], [], [])
+        names = ["doc_id", "first", "last"]
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        out: tuple[list, ...] = ([], [], [])
 
         def flush():
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "first", "last", "gram", "body"])
+            b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
             for column in out:
                 column.clear()
             return b
@@ -292,10 +357,6 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             for column, v in zip(out, row):
                 column.append(v)
 
-        def single(gram, doc, first, content):
-            for i in range(len(content) - length + 1):
-                put(doc, first + i, first + i, gram, xxh3_64_intdigest(content[i : i + length]) - (1 << 63))
-
         def compared(group):
             seen: dict = {}
             for _, doc, first, content in group:  # sorted by place
@@ -304,60 +365,42 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                     if seen.setdefault(content[i : i + length], (doc, first + i)) != (doc, first + i):
                         start = i if start is None else start
                     elif start is not None:
-                        put(doc, first + start, first + i - 1, None, None)
+                        put(doc, first + start, first + i - 1)
                         start = None
                 if start is not None:
-                    put(doc, first + start, first + len(content) - length, None, None)
+                    put(doc, first + start, first + len(content) - length)
+
+        def ended():
+            if not spool:
+                compared(group)
+                return
+            found = spool.runs()
+            for i in range(0, len(found[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], k) for c, k in zip(found, kinds)], names=names)
 
-        group, large = [], False
+        group, spool = [], None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if group and group[0][0] != row[0]:
-                    if not large:
-                        compared(group)
-                    group, large = [], False
-                if large:
-                    single(*row)
+                    yield from ended()
+                    group, spool = [], None
+                if spool:
+                    spool.add(*row[1:])
                     continue
                 group.append(row)
                 if len(group) > GROUP:
-                    large = True
+                    spool = Spool(length)
                     for r in group:
-                        single(*r)
+                        spool.add(*r[1:])
                     group = group[:1]
                 if len(out[0]) >= 20_000:
                     yield flush()
-            if len(out[0]) >= 20_000:
-                yield flush()
-        if group and not large:
-            compared(group)
+        if group:
+            yield from ended()
         if out[0]:
             yield flush()
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "doc_id", "first").mapInArrow(run, "doc_id long, first int, last int, gram long, body long")
-
-
-def _later(windows: DataFrame) -> DataFrame:
-    """``doc_id, first, last`` of all windows but the first of each gram and hash."""
-
-    def run(batches):
-        import numpy as np
-
-        state = None
-        for b in batches:
-            gram, body, doc, first = (c.to_numpy() for c in b.columns[:4])
-            if not len(gram):
-                continue
-            start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (body[1:] != body[:-1])])
-            at = np.repeat(start, np.diff(np.r_[start, len(gram)]))
-            least_doc, least_first = doc[at], first[at]  # of the row's group
-            if state and state[:2] == (gram[0], body[0]):
-                least_doc[at == 0], least_first[at == 0] = state[2:]
-            state = (gram[-1], body[-1], least_doc[-1], least_first[-1])
-            yield b.filter(pa.array((doc != least_doc) | (first != least_first))).select([2, 3, 4])
-
-    sent = windows.select("gram", "body", "doc_id", "first", "last").repartition("gram", "body").sortWithinPartitions("gram", "body", "doc_id", "first")
-    return sent.mapInArrow(run, "doc_id long, first int, last int")
+    return rows.repartition("gram").sortWithinPartitions("gram", "doc_id", "first").mapInArrow(run, "doc_id long, first int, last int")
 
 
 def repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES) -> DataFrame:
@@ -377,7 +420,7 @@ def repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES) -> DataF
     content = common.written(_edge_rows(docs, edges, length), "suffix-edges")
     common.forget(spark)
     windows = common.written(_windows(content, length), "suffix-windows")
-    return found.union(windows.where("gram is null").select("doc_id", "first", "last")).union(_later(windows.where("gram is not null")))
+    return found.union(windows)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:

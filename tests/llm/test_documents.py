@@ -251,6 +251,21 @@ def test_suffix_dedup_of_a_large_group(spark, monkeypatch):
     assert got == removed(rows, 100)
 
 
+def test_large_groups_give_runs_and_no_single_windows(spark, monkeypatch):
+    from ldaplens.llm import suffix_dedup
+
+    rng = random.Random(10)
+    passage = bytes(rng.choices(b"abcdefgh ", k=110))
+    content = [(i % 3, i // 2, 10 * (i % 2), bytes(rng.choices(b"ab", k=i % 2)) + passage[: rng.randint(100, 110)] + bytes(rng.choices(b"ab", k=5))) for i in range(120)]
+    df = spark.createDataFrame(content, "gram long, doc_id long, first int, content binary")
+    found = []
+    for group in (8192, 5):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        found.append(sorted(map(tuple, suffix_dedup._windows(df, 100).collect())))
+    assert found[0] == found[1] and len(found[0][0]) == 3
+    assert len(found[1]) < 2 * len(content) < sum(last - first + 1 for _, first, last in found[1])
+
+
 def test_suffix_dedup_without_ids(spark):
     df = spark.createDataFrame([(None, "a" * 300), (None, None), (1, "b" * 300), (1, "b" * 300)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in remove_repeats(df).collect()), key=str)
