@@ -68,17 +68,20 @@ def shingles(text: str, words: int):
 
 class Bands:
     """Size bands for a similarity of ``percent``: band s holds pairs whose larger set has
-    ``low[s] <= size <= high[s]``; they differ in at most ``differ[s]`` shingles."""
+    ``low[s] <= size <= high[s]``; they differ in at most ``differ[s]`` shingles. There are as many as
+    ``largest`` takes, more shingles than a text can have; ``bits`` hold a band's number and one bit. At
+    100 percent there are none, as only equal sets are linked."""
 
-    def __init__(self, percent: int, count: int = 127):
+    def __init__(self, percent: int, largest: int = 1 << 30):
         self.percent, self.low, self.high, self.differ = percent, [], [], []
         low = 1
-        for _ in range(count):
+        while low <= largest and percent < 100:
             high = max(low, low * 100 // percent)
             self.low.append(low)
             self.high.append(high)
             self.differ.append(2 * high * (100 - percent) // (100 + percent))
             low = high + 1
+        self.bits = max(8, len(self.low).bit_length() + 1)
 
     def of(self, size: int) -> list[int]:
         """The bands in which a set of ``size`` can be part of a pair."""
@@ -99,7 +102,7 @@ def bands(percent: int) -> Bands:
 
 
 def part_keys(tokens, s: int, b: Bands):
-    """``(keys, spare)`` of a set in band s. A key is the content of a part; its low byte holds the
+    """``(keys, spare)`` of a set in band s. A key is the content of a part; its low ``b.bits`` hold the
     band and whether the part is full, that is has the least bits. Full parts alone are given if
     they outnumber the differences (by ``spare`` and one), else all parts, empty ones too, and -1."""
     import numpy as np
@@ -116,7 +119,7 @@ def part_keys(tokens, s: int, b: Bands):
         content[part[first]] = np.add.reduceat(mix(at + np.uint64(1)), first)
     full = bits >= least
     spare = int(full.sum()) - (b.differ[s] + 1)
-    keys = mix(content + np.arange(parts, dtype=np.uint64)) & ~np.uint64(0xFF) | np.uint64(s << 1) | full.astype(np.uint64)
+    keys = mix(content + np.arange(parts, dtype=np.uint64)) & ~np.uint64((1 << b.bits) - 1) | np.uint64(s << 1) | full.astype(np.uint64)
     return (keys[full], spare) if spare >= 0 else (keys, -1)
 
 
@@ -284,7 +287,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     # 1: parts of parity sketches
     first = _groups(_part_rows(slim, words, percent), "parts")
-    band, full = F.shiftright(F.col("key").bitwiseAND(F.lit(0xFF)), 1), F.col("key").bitwiseAND(F.lit(1))
+    band, full = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << bands(percent).bits) - 1)), 1), F.col("key").bitwiseAND(F.lit(1))
     counted = first.where("not pair").groupBy(F.col("a").alias("sig"), band.alias("band")).agg(F.sum(full).alias("n"), F.max("spare").alias("spare"))
     counted = common.written(counted, "common-parts")
     unsettled = common.written(counted.where("n > spare").select("sig").distinct(), "unsettled")

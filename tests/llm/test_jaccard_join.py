@@ -79,6 +79,24 @@ def test_bands_cover_all_pairs():
                 assert any(b.differ[s] >= differ for s in set(b.of(larger)) & set(b.of(smaller)))
 
 
+def test_bands_reach_every_size(spark):
+    for percent in (1, 50, 80, 85, 95, 99):
+        b = Bands(percent)
+        assert b.high[-1] >= 1 << 30 and b.of(1 << 29) and len(b.low) << 1 < 1 << b.bits
+    assert Bands(100).of(5) == []
+    rng = random.Random(6)
+    rows = []
+    for n in (60, 300, 2500, 9000):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+        for edits in (0, 1, 1, n // 300, n // 60):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(n)] = f"w{rng.randrange(100_000)}"
+            rows.append((len(rows), " ".join(w)))
+    for percent in (95, 99, 100):
+        check(spark, rows, 4, percent)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (200, 200), (300, 100)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect())
