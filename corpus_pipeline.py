@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ldaplens.llm.common import written
-from ldaplens.llm.exact_dedup import keep_one
+from ldaplens.llm.exact_dedup import drop_indexes, keep_one
 from ldaplens.llm.jaccard_join import keep_one_of_similar
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import keep_good
@@ -24,12 +24,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays."""
+    """Of equal texts, the row with the largest id stays. The index is written to shared files, which the
+    next stage deletes."""
     return keep_one(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words at a similarity of 0.8, the smallest id stays."""
+    drop_indexes()  # the stage before is written
     return keep_one_of_similar(docs, words=5, percent=80)
 
 

@@ -105,14 +105,13 @@ class Directory:
         return out
 
 
-def new_index(docs: DataFrame, text_col: str = "text", capacity: int = BUCKET, range_bytes: int = RANGE_BYTES, keep: bool = True) -> dict:
+def new_index(docs: DataFrame, text_col: str = "text", capacity: int = BUCKET, range_bytes: int = RANGE_BYTES) -> dict:
     """An empty index: a folder in the shared folder, and as many ranges as the texts of ``docs``
-    need for ``range_bytes`` each, at least two for each core. Without ``keep`` its files are not
-    written: it serves one batch."""
+    need for ``range_bytes`` each, at least two for each core."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-size // range_bytes))
-    return {"root": scratch_path(spark, "index") if keep else None, "bits": (ranges - 1).bit_length(), "capacity": capacity, "version": 0}
+    return {"root": scratch_path(spark, "index"), "bits": (ranges - 1).bit_length(), "capacity": capacity, "version": 0}
 
 
 def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str = "text", key=F.xxhash64) -> tuple[DataFrame, dict]:
@@ -150,12 +149,11 @@ def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str =
 
         def finish(number, parts):
             uri = f"{number:08x}.parquet"
-            index = Directory.load(f"{before}/{uri}", capacity) if root else Directory(capacity)
+            index = Directory.load(f"{before}/{uri}", capacity)
             for p, b in enumerate(parts):
                 for i, (one, text, k, n) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 5)))):
                     index.put(k, text, one, n, (p, i))
-            if root:
-                index.save(f"{after}/{uri}")
+            index.save(f"{after}/{uri}")
             stay: dict[int, list] = {}
             for bucket in index.buckets():
                 for chain in bucket[1].values():
@@ -204,9 +202,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first")).alias("kept"), "text_sha256")
 
 
+#: Index folders of ``keep_one`` whose results may not be written yet.
+_KEPT: list[str] = []
+
+
+def drop_indexes() -> None:
+    """Delete the index files behind the results of ``keep_one``, once these are written. A result that
+    is computed later, or again, writes its files anew."""
+    from pyarrow import fs
+
+    from ldaplens.llm.store import opened
+
+    while _KEPT:
+        place, path = opened(_KEPT.pop())
+        if place.get_file_info(path).type == fs.FileType.Directory:
+            place.delete_dir(path)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each distinct text (the largest id), with exactly its columns. The
     surviving rows come from the owner tasks, so the texts are shuffled once. A null text that
-    stays comes back empty."""
-    survivors, _ = insert(docs, new_index(docs, text_col, keep=False), id_col, text_col)
+    stays comes back empty. The index files stay until ``drop_indexes``."""
+    index = new_index(docs, text_col)
+    _KEPT.append(index["root"])
+    survivors, _ = insert(docs, index, id_col, text_col)
     return survivors.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -90,6 +90,28 @@ def test_stages_one_by_one(spark, table, tmp_path):
         assert {r["doc_id"] for r in docs.collect()} == want, name
 
 
+def test_exact_dedup_writes_its_index(spark, table, tmp_path):
+    from ldaplens.llm import exact_dedup
+    from ldaplens.llm.store import opened
+
+    exact_dedup.drop_indexes()
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    kept = corpus_pipeline.exact_dedup(spark, docs, table)
+    kept.write.parquet(f"{tmp_path}/kept")
+    (root,) = exact_dedup._KEPT
+    place, path = opened(f"{root}/v1")
+    from pyarrow.fs import FileSelector, FileType
+
+    files = place.get_file_info(FileSelector(path))
+    texts = [k for f in files for b in exact_dedup.Directory.load(f"{root}/v1/{f.base_name}").buckets() for chain in b[1].values() for k, *_ in chain]
+    assert sorted(texts) == sorted(r["text"] for r in spark.read.parquet(f"{tmp_path}/kept").collect())
+    exact_dedup.drop_indexes()
+    assert place.get_file_info(path).type == FileType.NotFound and not exact_dedup._KEPT
+    assert kept.count() == len(texts)  # computed again, it writes its files anew
+    exact_dedup._KEPT.append(root)
+    exact_dedup.drop_indexes()
+
+
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
