@@ -11,6 +11,7 @@ from ldaplens.llm.common import tables
 from ldaplens.llm.exact_dedup import exact_dedup
 from ldaplens.llm.html_text import extract_text
 from ldaplens.llm.jaccard_join import similar_components
+from ldaplens.llm.lm_scoring import score_texts
 from ldaplens.llm.oracles import ORACLE
 from ldaplens.llm.packing import pack_documents
 from ldaplens.llm.quality import quality_rules
@@ -61,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op8_suffix_dedup, op9_jaccard_join, op10_packing)}
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op8_suffix_dedup, op9_jaccard_join, op10_packing, op11_lm_scoring)}
 
 __all__ = ["ORACLE", "QUERIES"]
