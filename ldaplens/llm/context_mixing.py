@@ -20,7 +20,7 @@ from functools import cache
 
 import numpy as np
 
-BITS = 22
+BITS = 21
 CHUNK = 1 << BITS  # positions of one chunk, pads and ends included
 PAD = 4  # zero bytes before a piece: the context of its first byte
 PIECE = CHUNK - PAD - 1  # a longer text goes on in the next chunk, with its state and fresh contexts
@@ -71,10 +71,10 @@ class Chunk:
             window <<= np.uint64(8)
             window |= b[PAD - back:len(b) - back]
         before = np.cumsum(sizes) - sizes
-        place = np.arange(n, dtype=np.int64)
-        self.windows = window[place + np.repeat(np.arange(len(sizes)) * PAD, sizes)]
-        self.doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        self.offset = place - np.repeat(before, sizes)
+        place = np.arange(n, dtype=np.int32)
+        self.windows = window[place + np.repeat(np.arange(len(sizes), dtype=np.int32) * np.int32(PAD), sizes)]
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        self.offset = place - np.repeat(before.astype(np.int32), sizes)
 
     def distinct(self, train: np.ndarray | None = None):
         """Sorted distinct windows, with their counts over ``train`` positions or each position's number."""
@@ -98,29 +98,54 @@ class Chunk:
         return packed[firsts], row
 
 
-def log_odds(windows: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each predictor's log odds in favour of the eight decisions of each window, and the window's gate.
+class Predictors:
+    """What the predictors say of windows, looked up once per window of a part.
 
-    ``keys`` are the counted keys of all predictors, sorted; the count of a node of the byte's tree is a
-    difference of running sums over its range of bytes.
+    ``keys`` are the counted keys of all predictors, sorted, with their ``counts``; the count of a node
+    of the byte's tree is a difference of running sums over its range of bytes.
     """
-    run = np.concatenate([np.zeros(1), np.cumsum(counts, dtype=np.float64)])
-    out, gate = [], None
-    for k in range(len(CONTEXTS)):
-        pairs, back = np.unique(contexts(windows, k), return_inverse=True)
-        x = np.empty((len(pairs), 8), np.float32)
-        above = None
-        for level in range(9):
-            shift = np.uint64(8 - level)
-            low = pairs >> shift << shift
-            n = run[np.searchsorted(keys, low + (np.uint64(1) << shift))] - run[np.searchsorted(keys, low)]
-            if level:
-                x[:, level - 1] = np.log((n + DELTA) / (above - n + DELTA))
-            elif k == LONGEST:
-                gate = np.searchsorted(SEEN, n).astype(np.uint64)[back]
-            above = n
-        out.append(x[back])
-    return out, gate
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys = keys
+        self.run = np.concatenate([np.zeros(1), np.cumsum(counts, dtype=np.float64)])
+        self.windows = np.zeros(0, np.uint64)
+        self.odds = [np.zeros((0, 8), np.float32) for _ in CONTEXTS]
+        self.gate = np.zeros(0, np.uint64)
+
+    def _look_up(self, windows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each predictor's log odds in favour of the eight decisions of each window, and its gate."""
+        out, gate, keys, run = [], None, self.keys, self.run
+        for k in range(len(CONTEXTS)):
+            pairs, back = np.unique(contexts(windows, k), return_inverse=True)
+            x = np.empty((len(pairs), 8), np.float32)
+            above = None
+            for level in range(9):
+                shift = np.uint64(8 - level)
+                low = pairs >> shift << shift
+                n = run[np.searchsorted(keys, low + (np.uint64(1) << shift))] - run[np.searchsorted(keys, low)]
+                if level:
+                    x[:, level - 1] = np.log((n + DELTA) / (above - n + DELTA))
+                elif k == LONGEST:
+                    gate = np.searchsorted(SEEN, n).astype(np.uint64)[back]
+                above = n
+            out.append(x[back])
+        return out, gate
+
+    def rows(self, windows: np.ndarray) -> np.ndarray:
+        """Rows of ``odds`` and ``gate`` that hold these sorted distinct windows."""
+        at = np.searchsorted(self.windows, windows)
+        known = np.zeros(len(windows), bool)
+        inside = at < len(self.windows)
+        known[inside] = self.windows[at[inside]] == windows[inside]
+        new = windows[~known]
+        if len(new):
+            odds, gate = self._look_up(new)
+            whole = np.concatenate([self.windows, new])
+            order = np.argsort(whole)
+            self.windows, self.gate = whole[order], np.concatenate([self.gate, gate])[order]
+            self.odds = [np.concatenate([a, b])[order] for a, b in zip(self.odds, odds)]
+            at = np.searchsorted(self.windows, windows)
+        return at.astype(np.int32)
 
 
 class State:
@@ -148,13 +173,15 @@ class State:
         self.right[:n], self.seen[:n], self.edge[:n] = kept[1:]
 
 
-def score(chunk: Chunk, keys: np.ndarray, counts: np.ndarray, state: State) -> np.ndarray:
-    """Natural log probability of every piece; ``keys`` and ``counts`` as for ``log_odds``."""
+def score(chunk: Chunk, predictors: Predictors, state: State) -> np.ndarray:
+    """Natural log probability of every piece."""
     result = np.zeros(len(chunk.sizes))
     if not chunk.n:
         return result
     windows, row = chunk.distinct()
-    odds, gate = log_odds(windows, keys, counts)
+    chunk.windows = None  # not needed any more
+    row = predictors.rows(windows)[row]
+    odds, gate = predictors.odds, predictors.gate
     # within a block the order of bytes is free: equal texts and gates go together
     packed = ((_block_of()[chunk.offset] << np.uint64(13) | chunk.doc) << np.uint64(2) | gate[row]) << np.uint64(BITS)
     packed |= np.arange(chunk.n, dtype=np.uint64)

@@ -18,10 +18,10 @@ whatever part they were read in, so copies never gather in one task.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +46,43 @@ def _arrow(schema: str) -> pa.Schema:
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def words_of(raw: bytes, size: int = 1 << 20):
-    """Lists of the words of a text, about ``size`` bytes of it at a time."""
+def segments(raw: bytes, size: int = 1 << 20):
+    """A text in segments of about ``size`` bytes that end where a word does."""
     start = 0
     while len(raw) - start > size:
         gap = _GAP.search(raw, start + size)
         if gap is None:
             break
-        yield raw[start:gap.start()].split()
+        yield raw[start:gap.start()]
         start = gap.end()
-    yield raw[start:].split() if start else raw.split()
+    yield raw[start:] if start else raw
+
+
+def words_of(texts: list[bytes]):
+    """The words of some texts, a few megabytes at a time: an Arrow array of distinct words, the number
+    of each word's entry in it, and the number of its text."""
+    some, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        for seg in segments(t):
+            some.append(seg)
+            of.append(i)
+            size += len(seg)
+            if size > 1 << 21:
+                yield _words(some, of)
+                some, of, size = [], [], 0
+    yield _words(some, of)
+
+
+def _words(some: list[bytes], of: list[int]):
+    b = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    first = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    ends = np.cumsum([len(x) + 1 for x in some])
+    inside = np.cumsum(~gap, dtype=np.int32)
+    offsets = np.append(inside[first] - 1, inside[-1]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(b[~gap])])
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.array(of, np.int64)[np.searchsorted(ends, first, "right")]
 
 
 def _cut(rows):
@@ -80,21 +107,21 @@ class _Part:
     def __init__(self, number: int):
         self.number, self.blocks, self.bytes = number, 0, 0
         self.windows: list = []
-        self.words: Counter = Counter()
+        self.words: list = []
 
     def _batch(self, kind: int, rows: int, **columns) -> pa.RecordBatch:
         schema = _arrow(TABLES)
         columns |= {"part": np.full(rows, self.number), "kind": np.full(rows, kind, np.int32)}
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+            [columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns
+             else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def add(self, chunk: list) -> pa.RecordBatch:
         from zstandard import ZstdCompressor
 
         ids, held, pieces, last, whole = map(list, zip(*chunk))
-        for text, out in zip(whole, held):
-            for found in words_of(text) if text is not None else ():
-                self.words.update(dict.fromkeys(found, 0) if out else found)
+        for words, at, of in words_of([t or b"" for t in whole]):
+            self.words.append((words, np.bincount(at, weights=~np.array(held, bool)[of], minlength=len(words))))
         coded = cm.Chunk(pieces, last)
         self.windows.append(coded.distinct(np.repeat(~np.array(held, bool), coded.sizes)))
         raw = b"".join(pieces)
@@ -113,10 +140,10 @@ class _Part:
             for i in range(0, len(keys), 1 << 16):
                 t = slice(i, i + (1 << 16))
                 yield self._batch(PAIR, len(keys[t]), key=keys[t].astype(np.int64), n=total[t], lead=lead[t])
-        found = list(self.words.items())
-        for i in range(0, len(found), 1 << 14):
-            some = found[i:i + (1 << 14)]
-            yield self._batch(WORD, len(some), word=[w for w, _ in some], n=[c for _, c in some])
+        coded = pa.chunked_array([w for w, _ in self.words], pa.binary()).combine_chunks().dictionary_encode()
+        n = np.bincount(coded.indices, weights=np.concatenate([c for _, c in self.words]), minlength=len(coded.dictionary)).astype(np.int64)
+        for i in range(0, len(n), 1 << 16):
+            yield self._batch(WORD, len(n[i:i + (1 << 16)]), word=coded.dictionary[i:i + (1 << 16)], n=n[i:i + (1 << 16)])
 
 
 def _gather(batches):
@@ -146,7 +173,7 @@ def _score(train_tokens: int, distinct: int, end_count: int):
     def score(blocks: pa.Table, pulled: pa.Table) -> pa.Table:
         from zstandard import ZstdDecompressor
 
-        keys, counts, logs = _pulled(pulled)
+        predictors, vocabulary, logs = _pulled(pulled)
         end = np.log10(end_count + 1.0)
         floor = np.log10(train_tokens + distinct + 1.0)
         out, open_text = [], None  # a text that goes on: raw pieces, score so far, kept state
@@ -154,40 +181,43 @@ def _score(train_tokens: int, distinct: int, end_count: int):
             raw = ZstdDecompressor().decompress(row["data"])
             stops = np.cumsum(row["sizes"])
             pieces = [raw[e - n:e] for e, n in zip(stops, row["sizes"])]
+            del raw
             state = cm.State(len(pieces))
             if open_text:
                 state.put(open_text[2])
-            logp = cm.score(cm.Chunk(pieces, row["last"]), keys, counts, state)
-            for i, (key, held, piece, last) in enumerate(zip(row["ids"], row["held"], pieces, row["last"])):
-                total = float(logp[i])
-                if open_text:
-                    piece, total, open_text = open_text[0] + piece, open_text[1] + total, None
-                if not last:
-                    open_text = piece, total, state.take(i)
-                    continue
-                n, known, base = 1, int(end_count > 0), end
-                for found in words_of(piece):
-                    hits = np.fromiter((logs.get(w, 0.0) for w in found), np.float64, len(found))
-                    n, known, base = n + len(found), known + int(np.count_nonzero(hits)), base + float(hits.sum())
-                out.append((key, held, n, known, train_tokens, base - n * floor, total / np.log(10), -total / np.log(2) / (len(piece) + 1)))
+            logp = cm.score(cm.Chunk(pieces, row["last"]), predictors, state)
+            if open_text:
+                pieces[0] = open_text[0] + pieces[0]
+                logp[0] += open_text[1]
+            open_text = None
+            if not row["last"][-1]:
+                open_text = pieces.pop(), logp[-1], state.take(len(pieces))
+            sums = np.zeros((3, len(pieces)))  # words, known words, logarithms
+            for words, at, of in words_of(pieces):
+                log = logs[pc.index_in(words, vocabulary).fill_null(len(logs) - 1).to_numpy()][at]
+                for i, weights in enumerate((None, log > 0, log)):
+                    sums[i] += np.bincount(of, weights, len(pieces))
+            total = logp[:len(pieces)]
+            sizes = np.array([len(p) + 1 for p in pieces])
+            out.append([pa.array(row["ids"][:len(pieces)], pa.int64()), pa.array(row["held"][:len(pieces)]), *map(pa.array, (
+                (sums[0] + 1).astype(np.int64), (sums[1] + (end_count > 0)).astype(np.int64), np.full(len(pieces), train_tokens),
+                sums[2] + end - (sums[0] + 1) * floor, total / np.log(10), -total / np.log(2) / sizes))])
         schema = _arrow(SCHEMA)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(c, schema=schema) for c in out], schema)
     return score
 
 
 def _pulled(pulled: pa.Table):
-    """Sorted keys with counts, and ``word -> log10(count + 1)``, from the pulled rows of a part."""
-    table = pulled.combine_chunks()
-    is_word = table["ctx"].is_null().to_numpy(zero_copy_only=False)
-    c = table.filter(pa.array(~is_word))
+    """Predictors, words and ``log10(count + 1)`` of each (0 for a word past the end), from a part's pulled rows."""
+    is_word = pulled["ctx"].is_null()
+    c, w = pulled.filter(pc.invert(is_word)), pulled.filter(is_word)
     following = c["following"].combine_chunks()
     flat = following.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    lens = following.value_lengths().to_numpy(zero_copy_only=False)
-    keys = np.repeat(c["ctx"].to_numpy().astype(np.int64), lens).astype(np.uint64) << np.uint64(8) | (flat & 255).astype(np.uint64)
+    keys = np.repeat(c["ctx"].to_numpy().astype(np.int64), following.value_lengths().to_numpy(zero_copy_only=False)).astype(np.uint64)
+    keys = keys << np.uint64(8) | (flat & 255).astype(np.uint64)
     order = np.argsort(keys)
-    w = table.filter(pa.array(is_word))
-    logs = dict(zip(w["word"].to_pylist(), np.log10(w["n"].to_numpy().astype(np.float64) + 1).tolist()))
-    return keys[order], (flat >> 8)[order], logs
+    logs = np.append(np.log10(w["n"].to_numpy().astype(np.float64) + 1), 0.0)
+    return cm.Predictors(keys[order], (flat >> 8)[order]), w["word"].combine_chunks(), logs
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +226,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text is empty: one token, the end. A null id stays null and counts as the empty text for
     the split (a training row). Repeated rows are rows: each counts, each comes back. An empty table
     gives no rows. Other columns are ignored, whatever their names. A text of any length is read
-    whole, 4 MB at a time; where it is cut, contexts start anew and weights go on. Without training rows
+    whole, 2 MB at a time; where it is cut, contexts start anew and weights go on. Without training rows
     every count is 0.
     """
     spark = docs.sparkSession

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 
 from ldaplens.llm import context_mixing as cm
 from ldaplens.llm import lm_scoring
-from ldaplens.llm.lm_scoring import score_texts, words_of
+from ldaplens.llm.lm_scoring import score_texts, segments, words_of
 
 
 def held_out(i):
@@ -136,12 +137,12 @@ def test_a_long_text_goes_on_in_the_next_chunk(monkeypatch):
     windows = np.concatenate([np.repeat(w, n) for w, n in (cm.Chunk([p for _, _, p, _, _ in c], [e for *_, e, _ in c]).distinct(
         np.ones(sum(len(p) + e for _, _, p, e, _ in c), bool)) for c in chunks)])
     keys, counts = np.unique(np.concatenate([cm.contexts(windows, k) for k in range(3)]), return_counts=True)
-    totals, kept = defaultdict(float), None
+    predictors, totals, kept = cm.Predictors(keys, counts), defaultdict(float), None
     for c in chunks:
         state = cm.State(len(c))
         if kept:
             state.put(kept)
-        lp = cm.score(cm.Chunk([x[2] for x in c], [x[3] for x in c]), keys, counts, state)
+        lp = cm.score(cm.Chunk([x[2] for x in c], [x[3] for x in c]), predictors, state)
         for x, s in zip(c, lp):
             totals[x[0]] += s / math.log(10)
         kept = None if c[-1][3] else state.take(len(c) - 1)
@@ -151,5 +152,10 @@ def test_a_long_text_goes_on_in_the_next_chunk(monkeypatch):
 
 def test_words_across_segments():
     raw = b"ab  cd\tef" * 50 + b"x" * 300 + b" y"
-    assert [w for found in words_of(raw, 16) for w in found] == raw.split()
-    assert list(words_of(b"")) == [[]]
+    assert b" ".join(segments(raw, 16)).split() == raw.split() and len(list(segments(raw, 16))) > 10
+    texts = [b"", raw, b" \n ", b"one \xc3\xa9\x1ctwo ab", b"x" * 5, raw * 9000]
+    got = defaultdict(list)
+    for words, at, of in words_of(texts):
+        for w, i in zip(np.array(words.to_pylist(), object)[at], of):
+            got[i].append(w)
+    assert [got[i] for i in range(len(texts))] == [re.split(rb"[ \t-\r]+", t.strip(b" \t\n\v\f\r")) if t.strip() else [] for t in texts]
