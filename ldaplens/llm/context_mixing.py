@@ -20,7 +20,7 @@ from functools import cache
 
 import numpy as np
 
-BITS = 21
+BITS = 20
 CHUNK = 1 << BITS  # positions of one chunk, pads and ends included
 PAD = 4  # zero bytes before a piece: the context of its first byte
 PIECE = CHUNK - PAD - 1  # a longer text goes on in the next chunk, with its state and fresh contexts

@@ -67,7 +67,7 @@ def words_of(texts: list[bytes]):
             some.append(seg)
             of.append(i)
             size += len(seg)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield _words(some, of)
                 some, of, size = [], [], 0
     yield _words(some, of)
@@ -101,6 +101,18 @@ def _cut(rows):
         yield chunk
 
 
+def _summed(found: list):
+    """Sorted distinct windows and their counts, summed."""
+    windows, back = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+    return windows, np.bincount(back, weights=np.concatenate([n for _, n in found]), minlength=len(windows))
+
+
+def _summed_words(found: list):
+    """Distinct words and their counts, summed."""
+    coded = pa.chunked_array([w for w, _ in found], pa.binary()).combine_chunks().dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices, weights=np.concatenate([n for _, n in found]), minlength=len(coded.dictionary))
+
+
 class _Part:
     """Blocks, pair counts and word counts of one part, as Arrow batches of ``TABLES``."""
 
@@ -122,16 +134,19 @@ class _Part:
         ids, held, pieces, last, whole = map(list, zip(*chunk))
         for words, at, of in words_of([t or b"" for t in whole]):
             self.words.append((words, np.bincount(at, weights=~np.array(held, bool)[of], minlength=len(words))))
+        if len(self.words) >= 8:
+            self.words = [_summed_words(self.words)]
         coded = cm.Chunk(pieces, last)
         self.windows.append(coded.distinct(np.repeat(~np.array(held, bool), coded.sizes)))
+        if len(self.windows) == 8:
+            self.windows = [_summed(self.windows)]
         raw = b"".join(pieces)
         self.blocks, self.bytes = self.blocks + 1, self.bytes + len(raw)
         return self._batch(BLOCK, 1, block=[self.blocks], ids=[ids], held=[held], sizes=[[len(p) for p in pieces]], last=[last],
                            data=[ZstdCompressor(level=1).compress(raw)])
 
     def counts(self):
-        windows, back = np.unique(np.concatenate([w for w, _ in self.windows]), return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate([c for _, c in self.windows]), minlength=len(windows))
+        windows, n = _summed(self.windows)
         for k in range(len(cm.CONTEXTS)):
             keys, back = np.unique(cm.contexts(windows, k), return_inverse=True)
             lead = np.ones(len(keys), bool)
@@ -140,10 +155,9 @@ class _Part:
             for i in range(0, len(keys), 1 << 16):
                 t = slice(i, i + (1 << 16))
                 yield self._batch(PAIR, len(keys[t]), key=keys[t].astype(np.int64), n=total[t], lead=lead[t])
-        coded = pa.chunked_array([w for w, _ in self.words], pa.binary()).combine_chunks().dictionary_encode()
-        n = np.bincount(coded.indices, weights=np.concatenate([c for _, c in self.words]), minlength=len(coded.dictionary)).astype(np.int64)
+        words, n = _summed_words(self.words)
         for i in range(0, len(n), 1 << 16):
-            yield self._batch(WORD, len(n[i:i + (1 << 16)]), word=coded.dictionary[i:i + (1 << 16)], n=n[i:i + (1 << 16)])
+            yield self._batch(WORD, len(n[i:i + (1 << 16)]), word=words[i:i + (1 << 16)], n=n[i:i + (1 << 16)].astype(np.int64))
 
 
 def _gather(batches):
@@ -226,7 +240,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text is empty: one token, the end. A null id stays null and counts as the empty text for
     the split (a training row). Repeated rows are rows: each counts, each comes back. An empty table
     gives no rows. Other columns are ignored, whatever their names. A text of any length is read
-    whole, 2 MB at a time; where it is cut, contexts start anew and weights go on. Without training rows
+    whole, 1 MB at a time; where it is cut, contexts start anew and weights go on. Without training rows
     every count is 0.
     """
     spark = docs.sparkSession

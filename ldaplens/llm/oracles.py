@@ -95,4 +95,42 @@ SELECT page_id, strlen(h) AS payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM (SELECT *, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p) q"""
 
-ORACLE = {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op6_exact_dedup": OP6, "op7_warc": OP7}
+OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(0, 4)] AS hs FROM d),
+f AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100 THEN 'plain'
+         WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM g"""
+
+
+def _nearest(name: str, centroids: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(k, CAST(d AS HUGEINT) * 100 + k) AS k, min(d) AS d
+  FROM (SELECT rid, vec_id, x, k, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d
+        FROM v, {centroids}) s GROUP BY rid)"""
+
+
+def _means(name: str, assigned: str, before: str) -> str:
+    """Floors of exact means; an empty cluster keeps its centroid."""
+    return f"""{name} AS MATERIALIZED (SELECT b.k, coalesce(m.c, b.c) AS c FROM {before} b LEFT JOIN (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM (
+    SELECT k, i, sum(CAST(y AS HUGEINT)) AS s, CAST(count(*) AS HUGEINT) AS n
+    FROM (SELECT k, unnest(x) AS y, unnest(range(1, 65)) AS i FROM {assigned}) u GROUP BY k, i) t GROUP BY k) m ON m.k = b.k)"""
+
+
+OP13 = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [floor(256 * CAST(e AS DOUBLE)) for e in embedding] AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len([e for e in embedding if e IS NOT NULL AND isfinite(e)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (
+  SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 40) s),
+{", ".join(_nearest(f"a{i}", f"c{i}") + ", " + _means(f"c{i + 1}", f"a{i}", f"c{i}") for i in range(5))},
+{_nearest("z", "c5")},
+w AS (SELECT k, sum(CAST(d AS HUGEINT)) AS i FROM z GROUP BY k)
+SELECT vec_id, CAST(z.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(w.i AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(i) FROM w) AS BIGINT) AS inertia, sha256(array_to_string([CAST(CAST(e AS BIGINT) AS VARCHAR) for e in c5.c], ',')) AS centroid_sha256
+FROM z JOIN w ON w.k = z.k JOIN c5 ON c5.k = z.k"""
+
+ORACLE = {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op6_exact_dedup": OP6, "op7_warc": OP7, "op12_fill_in_middle": OP12, "op13_centroids": OP13}

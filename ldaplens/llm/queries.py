@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldaplens.llm.byte_bpe import round_trip
+from ldaplens.llm.centroids import cluster_vectors
 from ldaplens.llm.common import tables
 from ldaplens.llm.exact_dedup import exact_dedup
+from ldaplens.llm.fill_in_middle import fill_in_middle
 from ldaplens.llm.html_text import extract_text
 from ldaplens.llm.jaccard_join import similar_components
 from ldaplens.llm.lm_scoring import score_texts
@@ -66,6 +68,14 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op8_suffix_dedup, op9_jaccard_join, op10_packing, op11_lm_scoring)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(tables(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(tables(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_html_text, op5_byte_bpe, op6_exact_dedup, op7_warc, op8_suffix_dedup, op9_jaccard_join, op10_packing, op11_lm_scoring, op12_fill_in_middle, op13_centroids)}
 
 __all__ = ["ORACLE", "QUERIES"]
