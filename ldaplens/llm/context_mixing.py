@@ -108,9 +108,10 @@ class Predictors:
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys = keys
         self.run = np.concatenate([np.zeros(1), np.cumsum(counts, dtype=np.float64)])
-        self.windows = np.zeros(0, np.uint64)
-        self.odds = [np.zeros((0, 8), np.float32) for _ in CONTEXTS]
-        self.gate = np.zeros(0, np.uint64)
+        # known windows, sorted, and the row of each in the arrays below, which grow by doubling
+        self.windows, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.odds = [np.empty((1 << 17, 8), np.float32) for _ in CONTEXTS]
+        self.gate = np.empty(1 << 17, np.uint64)
 
     def _look_up(self, windows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Each predictor's log odds in favour of the eight decisions of each window, and its gate."""
@@ -140,12 +141,17 @@ class Predictors:
         new = windows[~known]
         if len(new):
             odds, gate = self._look_up(new)
+            n = len(self.windows)
+            while n + len(new) > len(self.gate):
+                self.odds, self.gate = [np.concatenate([o, np.empty_like(o)]) for o in self.odds], np.concatenate([self.gate, self.gate])
+            for old, more in zip([*self.odds, self.gate], [*odds, gate]):
+                old[n:n + len(new)] = more
             whole = np.concatenate([self.windows, new])
-            order = np.argsort(whole)
-            self.windows, self.gate = whole[order], np.concatenate([self.gate, gate])[order]
-            self.odds = [np.concatenate([a, b])[order] for a, b in zip(self.odds, odds)]
+            order = np.argsort(whole, kind="stable")  # two sorted runs
+            self.windows = whole[order]
+            self.at = np.concatenate([self.at, np.arange(n, n + len(new), dtype=np.int32)])[order]
             at = np.searchsorted(self.windows, windows)
-        return at.astype(np.int32)
+        return self.at[at]
 
 
 class State:
