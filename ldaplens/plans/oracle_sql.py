@@ -272,6 +272,12 @@ ORACLE.update({
         (f"line_no >= {_N} * 3 // 5", 0, f"line_no < {_N} * 4 // 5", False),
         ("true", 1, f"line_no >= {_N} * 4 // 5", False),
     ]),
+    # generation 0: last 10 lines of the first fifth; generation 1: new files that begin with
+    # the same fifth, from their first line
+    "follow_same_head": _follow_sql([
+        ("true", 0, f"line_no < {_N} // 5", True),
+        ("true", 1, "true", False),
+    ]),
     "stream_parse": f"SELECT file, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
     "stream_filter": (f"SELECT file, conn_id, raw FROM {P} p WHERE error_code = '{ERR}' "
                       f"AND contains(raw, 'SEARCH')"),

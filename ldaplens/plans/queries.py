@@ -611,6 +611,26 @@ def q_follow_rename(spark, sf):
     return _followed(spark, sink)
 
 
+def q_follow_same_head(spark, sf):
+    """The followed files are moved away and new ones under their names begin with the very lines
+    that were read: every line of the new generation comes, those of the head included."""
+    from pyarrow import fs as pafs
+
+    ensure_utc(spark)
+    lines = event_logs(spark, sf, "mixed")
+    (head,) = _phase_bounds(lines, 1)
+    folder, sink, ckpt = _follow_paths(spark, "head")
+    write_log_files(lines.where(F.col("line_no") < head), folder)
+    _follow_run(spark, folder, sink, ckpt)
+    place, root = pafs.FileSystem.from_uri("file:///" + folder.removeprefix("file:").lstrip("/"))
+    place.create_dir(f"{root}-gone")
+    for f in place.get_file_info(pafs.FileSelector(root)):
+        place.move(f.path, f"{root}-gone/{f.base_name}")
+    write_log_files(lines, folder)
+    _follow_run(spark, folder, sink, ckpt)
+    return _followed(spark, sink)
+
+
 def q_follow_table(spark, sf):
     """A parsed table kept up to date; the last refresh tells how many lines it added."""
     ensure_utc(spark)
@@ -656,6 +676,7 @@ QUERIES.update({
     "follow_append": q_follow_append,
     "follow_rotate": q_follow_rotate,
     "follow_rename": q_follow_rename,
+    "follow_same_head": q_follow_same_head,
     "follow_table": q_follow_table,
     "stream_parse": q_stream_parse,
     "stream_filter": q_stream_filter,

@@ -12,12 +12,14 @@ is a Python streaming data source:
   shows the last lines first), every later batch reads
   ``[previous pos, latest pos)`` -- each completed line exactly once, also
   across restarts, since Spark logs both offsets before the batch runs;
-* an entry is found again by identity (device and inode, and a digest of its
-  first bytes, which covers more of them as the file grows). A renamed file is
-  read on where it is now, and its new name is not taken for a new file; a
-  file that was copied and truncated is read on in the copy;
-* what then stands under the name starts a new generation, read from byte 0;
-  a missing file keeps its offset until it is back.
+* an entry is found again by identity (inode and birth, and a chain of digests of what
+  was read, see ``identity``). A renamed file is read on where it is now, and its
+  new name is not taken for a new file; a file that was copied and truncated is
+  read on in the copy;
+* what then stands under the name starts a new generation, read from byte 0, also
+  when it begins like the old file; a missing file keeps its offset until it is back;
+* a file untouched since the last look (same size and time of change) costs one
+  ``stat``: nothing of it is read.
 
 Each batch has input partitions of at most ``SPLIT_BYTES`` new bytes; executors
 read them as Arrow batches of ``(file, generation, byte_pos, value)`` with one
@@ -27,7 +29,6 @@ trailing CR removed per line.
 from __future__ import annotations
 
 import glob
-import hashlib
 import json
 import os
 
@@ -35,11 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ldaplens.sources.codec import codec_of
+from ldaplens.streaming.identity import COPY, SAME, decide, extend, look
 
 SCHEMA = "file string, generation int, byte_pos bigint, value string"
 DEFAULT_TAIL = 10
-# Bytes of a file's head that its identity covers at most.
-_HEAD_BYTES = 1 << 16
 _CHUNK = 1 << 16
 BATCH_LINES = 8192
 
@@ -53,25 +53,6 @@ def _local(path: str) -> str:
     return path
 
 
-def _stat(path: str):
-    """``(identity, size)`` of a regular file, None when it is not there."""
-    try:
-        st = os.stat(path)
-    except OSError:
-        return None
-    return (f"{st.st_dev}:{st.st_ino}", st.st_size) if os.path.isfile(path) else None
-
-
-def _head(path: str, n: int) -> str | None:
-    """Digest of the first ``n`` bytes; None when there are fewer."""
-    try:
-        with open(path, "rb") as f:
-            data = f.read(n)
-    except OSError:
-        return None
-    return hashlib.sha1(data).hexdigest() if len(data) == n else None
-
-
 def _last_newline_end(path: str, size: int, floor: int) -> int:
     """Position just after the last newline in ``[floor, size)``, else ``floor``."""
     with open(path, "rb") as f:
@@ -144,9 +125,9 @@ def _logged_offset(checkpoint: str | None) -> dict | None:
 
 
 class FollowReader(DataSourceStreamReader):
-    """Offsets: ``{"files": {"<name>#<gen>": {"name", "gen", "at", "id", "n", "head", "pos",
-    "from"}}}``; ``n`` and ``head`` are length and digest of the identified head,
-    ``from`` is where the entry's output begins."""
+    """Offsets: ``{"files": {"<name>#<gen>": {"name", "gen", "at", "id", "size", "mtime", "chain",
+    "pos", "from"}}}``; ``id``, ``size`` and ``mtime`` are as last seen, ``chain`` holds the digests of
+    the bytes before ``pos``, ``from`` is where the entry's output begins."""
 
     def __init__(self, options):
         self.pattern = _local(options["path"])
@@ -170,13 +151,11 @@ class FollowReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         out = {}
         for f in self._files():
-            found = _stat(f)
-            if found and self._plain(f):
-                end = _last_newline_end(f, found[1], 0)
+            seen = look(f)
+            if seen and self._plain(f):
+                end = _last_newline_end(f, seen["size"], 0)
                 start = _tail_start(f, end, self.tail)  # the first batch reads the tail
-                n = min(end, _HEAD_BYTES)
-                out[f"{f}#0"] = {"name": f, "gen": 0, "at": f, "id": found[0], "n": n, "head": _head(f, n),
-                                 "pos": start, "from": start}
+                out[f"{f}#0"] = {"name": f, "gen": 0, "at": f, **seen, "chain": extend({}, f, end), "pos": start, "from": start}
         return {"files": out}
 
     def latestOffset(self) -> dict:
@@ -185,37 +164,35 @@ class FollowReader(DataSourceStreamReader):
         followed = self._files()
         folders = {os.path.dirname(p) for p in [*followed, *(e["at"] for e in entries.values())]}
         paths = sorted({*followed, *(f for d in folders for f in glob.glob(os.path.join(glob.escape(d), "*")))})
-        stats = {p: s for p in paths if (s := _stat(p))}
-        by_id = {s[0]: p for p, s in stats.items()}
+        seen = {p: x for p in paths if (x := look(p))}
+        by_id = {x["id"]: p for p, x in seen.items()}
         claimed: dict[str, str] = {}
-
-        def holds(path: str, e: dict) -> bool:
-            return stats[path][1] >= e["pos"] and _head(path, e["n"]) == e["head"]
-
         for key, e in entries.items():  # the same file, wherever it is now
             p = by_id.get(e["id"])
-            if p is not None and holds(p, e):
+            if p is not None and decide(e, p, seen[p]) == SAME:
                 claimed[p] = key
         for key, e in entries.items():  # else a copy of it
-            if key not in claimed.values() and e["n"] > 0:
-                p = next((p for p in stats if p not in claimed and stats[p][0] != e["id"] and holds(p, e)), None)
+            if key not in claimed.values():
+                p = next((p for p in seen if p not in claimed and decide(e, p, seen[p]) == COPY), None)
                 if p is not None:
                     claimed[p] = key
         for p in followed:
-            if p in stats and p not in claimed and self._plain(p):
+            if p in seen and p not in claimed and self._plain(p):
                 gens = [e["gen"] for e in entries.values() if e["name"] == p]
                 gen = max(gens) + 1 if gens else 0
                 key = f"{p}#{gen}"
-                entries[key] = {"name": p, "gen": gen, "at": p, "id": stats[p][0], "n": 0, "head": _head(p, 0),
-                                "pos": 0, "from": 0}
+                entries[key] = {"name": p, "gen": gen, "at": p, "id": seen[p]["id"], "size": -1, "mtime": -1,
+                                "chain": extend({}, p, 0), "pos": 0, "from": 0}
                 claimed[p] = key
         for p, key in claimed.items():
-            e = entries[key]
-            e["at"], e["id"] = p, stats[p][0]
-            e["pos"] = _last_newline_end(p, stats[p][1], e["pos"])
-            n = min(e["pos"], _HEAD_BYTES)
-            if n > e["n"]:
-                e["n"], e["head"] = n, _head(p, n)
+            e, x = entries[key], seen[p]
+            if (e["id"], e["size"], e["mtime"]) != (x["id"], x["size"], x["mtime"]):
+                e["pos"] = _last_newline_end(p, x["size"], max(e["pos"], e["chain"]["pos"]))
+                if e["pos"] != e["chain"]["pos"]:
+                    e["chain"] = extend(e["chain"], p, e["pos"])
+            else:
+                e["pos"] = max(e["pos"], e["chain"]["pos"])  # the first look starts a tail before the chain's end
+            e.update(x, at=p)
         newest = {}
         for e in entries.values():
             newest[e["name"]] = max(e["gen"], newest.get(e["name"], 0))
@@ -238,9 +215,9 @@ class FollowReader(DataSourceStreamReader):
 
         r = partition
         path = r.at
-        if (_stat(path) or ("",))[0] != r.id:  # renamed since the batch was planned
+        if (look(path) or {}).get("id") != r.id:  # renamed since the batch was planned
             near = glob.glob(os.path.join(glob.escape(os.path.dirname(path)), "*"))
-            path = next((p for p in near if (_stat(p) or ("",))[0] == r.id), None)
+            path = next((p for p in near if (look(p) or {}).get("id") == r.id), None)
             if path is None:
                 raise FileNotFoundError(f"{r.at} is gone before it was read")
 

@@ -198,6 +198,71 @@ def test_follow_copy_and_truncate(spark):
     assert [(g, v) for _, g, _, v in rows()] == [(0, f"a{i}") for i in range(10, 20)] + [(0, "unread"), (1, "x")]
 
 
+def test_follow_new_file_with_the_old_head(spark):
+    d = _dir()
+    log = f"{d}/logs/a.log"
+    run, rows = _follower(spark, d, f"{d}/logs")
+    open(log, "w").write("slapd starting\n")
+    run()
+    os.rename(log, f"{d}/away.log")
+    open(log, "w").write("slapd starting\nnew 1\nnew 2\n")
+    run()
+    assert [(g, p, v) for _, g, p, v in rows()] == [(0, 0, "slapd starting"), (1, 0, "slapd starting"), (1, 15, "new 1"), (1, 21, "new 2")]
+
+
+def test_follow_deleted_and_made_anew(spark):
+    d = _dir()
+    log = f"{d}/logs/a.log"
+    run, rows = _follower(spark, d, f"{d}/logs")
+    for n in range(3):  # a small file system gives the same inode again
+        if n:
+            os.remove(log)
+        open(log, "w").write("banner\n" + "".join(f"{n}.{i}\n" for i in range(n)))
+        run()
+    assert [(g, v) for _, g, _, v in rows()] == [(0, "banner"), (1, "banner"), (1, "1.0"), (2, "banner"), (2, "2.0"), (2, "2.1")]
+
+
+def test_follow_second_log_with_the_same_banner_is_no_copy(spark):
+    d = _dir()
+    run, rows = _follower(spark, d, f"{d}/logs")
+    open(f"{d}/logs/a.log", "w").write("banner\n")
+    run()
+    os.remove(f"{d}/logs/a.log")
+    open(f"{d}/logs/b.log", "w").write("banner\nb\n")
+    run()
+    assert [(f, g, v) for f, g, _, v in rows()] == [("a.log", 0, "banner"), ("b.log", 0, "banner"), ("b.log", 0, "b")]
+
+
+def test_identity_chain(tmp_path, monkeypatch):
+    from ldaplens.streaming import identity
+
+    log, other = str(tmp_path / "s.log"), str(tmp_path / "t.log")
+    block = identity.BLOCK
+    data = os.urandom(9 * block + 77)
+    open(log, "wb").write(data)
+    chain = identity.extend({}, log, 0)
+    for pos in (10, block, 3 * block + 5, 9 * block):
+        chain = identity.extend(chain, log, pos)
+    assert chain == identity.extend({}, log, 9 * block) and set(chain["blocks"]) == {"0", "1", "3", "7"}
+    entry = {"name": log, "chain": chain, **identity.look(log)}
+    assert identity.decide(entry, log, identity.look(log)) == identity.SAME
+    for at, grown, expected in ((-1, b"more", identity.COPY), (0, b"", identity.NEW), (3 * block + 9, b"", identity.NEW), (9 * block - 1, b"", identity.NEW),
+                                (9 * block + 1, b"", identity.COPY)):
+        copy = bytearray(data)
+        if at >= 0:
+            copy[at] ^= 1
+        open(other, "wb").write(bytes(copy) + grown)
+        assert identity.decide(entry, other, identity.look(other)) == expected
+    open(other, "wb").write(data[:8 * block])
+    assert identity.decide(entry, other, identity.look(other)) == identity.NEW  # shorter than what was read
+    os.truncate(log, block)
+    assert identity.decide(entry, log, identity.look(log)) == identity.NEW
+    # an untouched file is not opened
+    entry.update(identity.look(log))
+    monkeypatch.setattr(identity, "_digest", lambda *a: 1 / 0)
+    assert identity.decide(entry, log, identity.look(log)) == identity.SAME
+
+
 def test_follow_file_first_seen_empty(spark):
     d = _dir()
     log = f"{d}/logs/s.log"
