@@ -52,6 +52,7 @@ def main() -> None:
     from ldaplens.session import get_spark
     from ldaplens.session import scratch_path
     from ldaplens.sources.derived import SYSLOG_AS_OF, doc_logs, event_logs, write_log_files
+    from ldaplens.sources.line_index import read_indexed, refresh_index
     from ldaplens.sources.text import read_logs
 
     spark = get_spark(f"local[{cpus}]", app="ldaplens-bench", shuffle_partitions=int(cpus))
@@ -90,8 +91,13 @@ def main() -> None:
         timed_("tokens", lambda: run(with_tokens(Q._parsed(spark, sf).select("file", "line_no", "raw"))))
         timed_("search_docs", lambda: run(search_numbered(doc_logs(spark, sf), Q.DOC_QUERY)))
         timed_("ordinals", lambda: run(Q.q_ordinals(spark, sf)))
-        timed_("index_build", lambda: read_logs(spark, log).agg(F.max("line_no")).collect())
+        index = scratch_path(spark, "bench-index")
+        timed_("index_build", lambda: refresh_index(spark, log, index))
+        timed_("index_refresh", lambda: refresh_index(spark, log, index))
+        timed_("slice_raw", lambda: read_indexed(spark, index).where("line_no between 10000 and 10049").collect())
         timed_("filter_conn_log", lambda: run(apply_filters(
+            read_indexed(spark, index), stack, lambda d: parse_logs(d, as_of=SYSLOG_AS_OF))))
+        timed_("filter_conn_text", lambda: run(apply_filters(
             read_logs(spark, log), stack, lambda d: parse_logs(d, as_of=SYSLOG_AS_OF))))
         timed_("follow_stream", lambda: follow_rows.update({sf: Q.q_follow_append(spark, sf).count()}))
 

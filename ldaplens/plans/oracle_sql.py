@@ -282,5 +282,11 @@ ORACLE.update({
     "stream_filter": (f"SELECT file, conn_id, raw FROM {P} p WHERE error_code = '{ERR}' "
                       f"AND contains(raw, 'SEARCH')"),
 })
+_POS = f"SELECT *, {_bytes_before('l')} AS byte_pos, count(*) OVER (PARTITION BY file) AS n_lines FROM {_L} l"
+ORACLE.update({
+    "index_lines": f"SELECT file, line_no, byte_pos, value, (SELECT count(*) FROM {_L} k WHERE line_no >= {_N} // 2) AS n_added FROM ({_POS}) x",
+    "slice_raw": f"SELECT file, line_no, value, line_no + 1 AS number, n_lines FROM ({_POS}) x WHERE line_no >= 100 AND line_no < 150",
+    "tail_numbered": f"SELECT file, line_no, byte_pos, value FROM ({_POS}) x WHERE line_no >= n_lines - 10",
+})
 ORACLE["follow_table"] = (f"SELECT f.*, (SELECT count(*) FROM {_L} l WHERE line_no >= {_N} // 2) AS n_added "
                           f"FROM ({ORACLE['follow_append']}) f")

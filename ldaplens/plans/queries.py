@@ -26,6 +26,7 @@ from ldaplens.plans import oracle as O
 from ldaplens.session import ensure_utc, scratch_path
 from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed, write_clustered
 from ldaplens.sources.derived import SYSLOG_AS_OF, _create, basename, doc_logs, event_logs, write_log_files
+from ldaplens.sources.line_index import indexed_counts, read_indexed, refresh_index, tail_indexed
 from ldaplens.sources.text import line_counts, read_logs, slice_lines, tail_lines
 from ldaplens.streaming.follow import follow_into_table, follow_logs, new_line_count
 from ldaplens.streaming.stream import drain, parse_stream, run_to_parquet, stream_lines
@@ -494,6 +495,37 @@ def q_tail_lines(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _grown_index(spark, sf) -> tuple[str, int]:
+    """An index built over the first half of each log and refreshed after the second was appended."""
+    lines = event_logs(spark, sf, "mixed")
+    half = (lines.agg(F.max("line_no")).first()[0] + 1) // 2
+    folder, index = scratch_path(spark, "index-logs"), scratch_path(spark, "index")
+    write_log_files(lines.where(F.col("line_no") < half), folder)
+    refresh_index(spark, folder, index)
+    write_log_files(lines.where(F.col("line_no") >= half), folder, append=True)
+    return index, refresh_index(spark, folder, index)
+
+
+def q_index_lines(spark, sf):
+    """All lines through a kept index that was extended as the files grew; ``n_added`` is what the
+    last refresh found new."""
+    index, added = _grown_index(spark, sf)
+    return read_indexed(spark, index).select(basename("file").alias("file"), "line_no", "byte_pos", "value", F.lit(added).cast("bigint").alias("n_added"))
+
+
+def q_slice_raw(spark, sf):
+    """Lines of the raw files by number; only their blocks are read."""
+    index, _ = _grown_index(spark, sf)
+    lines = slice_lines(read_indexed(spark, index), 100, 50).join(indexed_counts(spark, index), "file")
+    return lines.select(basename("file").alias("file"), "line_no", "value", (F.col("line_no") + 1).alias("number"), "n_lines")
+
+
+def q_tail_numbered(spark, sf):
+    """The last lines of every file with their numbers."""
+    index, _ = _grown_index(spark, sf)
+    return tail_indexed(spark, index, 10).select(basename("file").alias("file"), "line_no", "byte_pos", "value")
+
+
 def q_codec_detect(spark, sf):
     return detect_codec(spark, _files(spark, sf, "compressed")).select(basename("file").alias("file"), "codec")
 
@@ -531,6 +563,9 @@ QUERIES.update({
     "line_counts": q_line_counts,
     "slice_lines": q_slice_lines,
     "tail_lines": q_tail_lines,
+    "index_lines": q_index_lines,
+    "slice_raw": q_slice_raw,
+    "tail_numbered": q_tail_numbered,
     "codec_detect": q_codec_detect,
     "scan_compressed": q_scan_compressed,
     "ingest_roundtrip": q_ingest_roundtrip,
