@@ -25,9 +25,9 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains
 
 from ldaplens.session import ship_package
 from ldaplens.sources.codec import _open, codec_of
@@ -77,14 +77,17 @@ def _valid(rows: DataFrame) -> DataFrame:
 
 def load_index(spark: SparkSession, index: str) -> DataFrame:
     """The valid rows of an index, one for each block; none when there is no index yet."""
-    paths = [v[2] for v in _versions(index)]
-    return _valid(spark.read.schema(ROWS).parquet(*paths)) if paths else spark.createDataFrame([], ROWS)
+    return _valid(_rows(spark, _versions(index)))
 
 
 def _facts(rows: DataFrame) -> DataFrame:
-    """One row a file: its last block, and size, time and print as of the version that wrote it."""
-    return rows.groupBy("file").agg(F.max_by(F.struct("epoch", "start", "stop", "lines", "before", "size", "mtime", "print"), "start").alias("r")).select(
-        "file", "r.*", (F.col("r.before") + F.col("r.lines")).alias("n_lines"))
+    """One row a file from all rows of an index: its last valid block, and size, time and print with it."""
+    last = F.max_by(F.struct("epoch", "start", "stop", "lines", "before", "size", "mtime", "print"), F.struct("epoch", "start", "ver"))
+    return rows.groupBy("file").agg(last.alias("r")).select("file", "r.*", (F.col("r.before") + F.col("r.lines")).alias("n_lines"))
+
+
+def _rows(spark: SparkSession, versions) -> DataFrame:
+    return spark.read.schema(ROWS).parquet(*[v[2] for v in versions]) if versions else spark.createDataFrame([], ROWS)
 
 
 # ------------------------------------------------------------------ building
@@ -103,13 +106,16 @@ def _resume(batches):
                 with _open(r["file"]) as f:
                     old = r["old_size"]
                     grown = hashlib.blake2b(_read(f, max(0, old - _PRINT), old), digest_size=8).hexdigest() == r["print"]
-            if grown:
-                out.append((r["file"], r["size"], r["mtime"], r["epoch"], *((r["start"], r["before"]) if r["stop"] - r["start"] < BLOCK else (r["stop"], r["n_lines"]))))
+            if grown and r["stop"] - r["start"] < BLOCK:  # the last block was not full
+                begin = r["epoch"], r["start"], r["before"], r["lines"]
+            elif grown:
+                begin = r["epoch"], r["stop"], r["n_lines"], 0
             else:
-                out.append((r["file"], r["size"], r["mtime"], 0 if r["epoch"] is None else r["epoch"] + 1, 0, 0))
-        columns = zip(*out) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-                                         names=["file", "size", "mtime", "epoch", "begin", "base"])
+                begin = 0 if r["epoch"] is None else r["epoch"] + 1, 0, 0, 0
+            out.append((r["file"], r["size"], r["mtime"], *begin))
+        columns = zip(*out) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(columns)],
+                                         names=["file", "size", "mtime", "epoch", "begin", "base", "again"])
 
 
 def _count(batches):
@@ -144,32 +150,33 @@ def refresh_index(spark: SparkSession, paths, index: str) -> int:
     paths = [paths] if isinstance(paths, str) else list(paths)
     versions = _versions(index)
     number = versions[-1][0] + 1 if versions else 0
-    facts = _facts(load_index(spark, index))
-    listing = spark.read.format("binaryFile").load(paths).where("length > 0").select(
+    files = spark.read.format("binaryFile").load(paths).where("length > 0").select(
         F.col("path").alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
-    known = facts.select("file", "epoch", "start", "stop", "before", "n_lines", "print", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"))
-    changed = listing.join(known, "file", "left").where(~(F.col("size").eqNullSafe(F.col("old_size")) & F.col("mtime").eqNullSafe(F.col("old_mtime"))))
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    blocks = changed.drop("old_mtime").mapInArrow(_resume, "file string, size bigint, mtime bigint, epoch int, begin bigint, base bigint").select(
-        "*", F.explode(F.sequence("begin", F.col("size") - 1, F.lit(BLOCK))).alias("start")).withColumn("stop", F.least(F.col("start") + BLOCK, F.col("size")))
-    counted = blocks.repartition(tasks).mapInArrow(
-        _count, "file string, size bigint, mtime bigint, epoch int, begin bigint, base bigint, start bigint, stop bigint, lines bigint, print string")
+    if versions:
+        known = _facts(_rows(spark, versions)).select("file", "epoch", "start", "stop", "lines", "before", "n_lines", "print",
+                                                      F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"))
+        same = F.col("size").eqNullSafe(F.col("old_size")) & F.col("mtime").eqNullSafe(F.col("old_mtime"))
+        changed = files.join(known, "file", "left").where(~same).drop("old_mtime")
+        if changed.isEmpty():
+            return 0
+        files = changed.mapInArrow(_resume, "file string, size bigint, mtime bigint, epoch int, begin bigint, base bigint, again bigint")
+    else:
+        zero = F.lit(0).cast("bigint")
+        files = files.select("*", F.lit(0).alias("epoch"), zero.alias("begin"), zero.alias("base"), zero.alias("again"))
+    blocks = files.select("*", F.explode(F.sequence("begin", F.col("size") - 1, F.lit(BLOCK))).alias("start")).withColumn(
+        "stop", F.least(F.col("start") + BLOCK, F.col("size")))
+    counted = blocks.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(
+        _count, "file string, size bigint, mtime bigint, epoch int, begin bigint, base bigint, again bigint, start bigint, stop bigint, lines bigint, print string")
     # the window sorts one small row a block
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counted.withColumn("before", F.col("base") + F.coalesce(F.sum("lines").over(earlier), F.lit(0))).select(
-        "file", "epoch", "start", "stop", "lines", "before", "size", "mtime", "print", F.lit(number).alias("ver"))
-    path = f"{index.rstrip('/')}/{'add' if versions else 'full'}-{number:09d}"
-    rows.sort("file", "start").write.mode("overwrite").parquet(path)
-    added = spark.read.schema(ROWS).parquet(path)
-    new = _facts(added).select("file", "epoch", "n_lines")
-    old = facts.select("file", "epoch", F.col("n_lines").alias("old_lines"))
-    n = new.join(old, ["file", "epoch"], "left").agg(F.sum(F.col("n_lines") - F.coalesce("old_lines", F.lit(0)))).first()[0]
-    if n is None and versions:
-        place, inner = _place(path)
-        place.delete_dir(inner)  # nothing changed: no version
-    elif len(versions) >= MERGE_AFTER:
+    new = Observation()
+    rows = counted.withColumn("before", F.col("base") + F.coalesce(F.sum("lines").over(earlier), F.lit(0))).observe(
+        new, F.coalesce(F.sum(F.col("lines") - F.when(F.col("start") == F.col("begin"), F.col("again")).otherwise(0)), F.lit(0)).alias("lines"))
+    rows.select("file", "epoch", "start", "stop", "lines", "before", "size", "mtime", "print", F.lit(number).alias("ver")).write.mode("overwrite").parquet(
+        f"{index.rstrip('/')}/{'add' if versions else 'full'}-{number:09d}")
+    if len(versions) >= MERGE_AFTER:
         merge_index(spark, index)
-    return int(n or 0)
+    return int(new.get["lines"])
 
 
 def merge_index(spark: SparkSession, index: str) -> None:
@@ -189,22 +196,33 @@ def merge_index(spark: SparkSession, index: str) -> None:
 
 def indexed_counts(spark: SparkSession, index: str) -> DataFrame:
     """S6 from the index alone: ``(file, n_lines)`` of every file with lines."""
-    return _facts(load_index(spark, index)).select("file", "n_lines")
+    return _facts(_rows(spark, _versions(index))).select("file", "n_lines")
 
 
 # ------------------------------------------------------------------ reading
 class _Blocks(InputPartition):
     """Runs ``(file, start, stop, before, size)`` of blocks for one task, and the asked line numbers."""
 
-    def __init__(self, runs: list, low: int, high: int | None):
+    def __init__(self, runs: list, low: int, high: int | None, needle: bytes):
         super().__init__(len(runs))
-        self.runs, self.low, self.high = runs, low, high
+        self.runs, self.low, self.high, self.needle = runs, low, high, needle
+
 
+def _hits(data: bytes, cut: int, needle: bytes, starts: np.ndarray) -> np.ndarray:
+    """Indices of the lines that contain ``needle``, by one search of the bytes."""
+    found, at = [], data.find(needle, 0, cut)
+    while at >= 0:
+        found.append(at)
+        end = data.find(b"\n", at, cut)
+        at = data.find(needle, end, cut) if end >= 0 else -1
+    return np.searchsorted(starts, np.array(found, np.int64), "right") - 1
 
-def lines_of(f, start: int, stop: int, before: int, size: int, low: int = 0, high: int | None = None):
+
+def lines_of(f, start: int, stop: int, before: int, size: int, low: int = 0, high: int | None = None, needle: bytes = b""):
     """Arrow columns ``line_no, byte_pos, value`` of the lines that start in ``[start, stop)``, in batches.
 
-    One trailing CR is dropped; the last line may lack its newline; bytes are passed on as they are.
+    One trailing CR is dropped; the last line may lack its newline; bytes are passed on as they are. With a
+    ``needle`` (no line break in it) only lines that contain it come.
     """
     at, number = start, before
     f.seek(max(start - 1, 0))
@@ -231,19 +249,25 @@ def lines_of(f, start: int, stop: int, before: int, size: int, low: int = 0, hig
         if not len(ends) or ends[-1] != cut - 1:
             ends = np.append(ends, cut)
         starts = np.concatenate([[0], ends[:-1] + 1])
-        keep = starts < stop - at
-        first, last = max(low - number, 0), int(keep.sum()) if high is None else min(int(keep.sum()), high - number)
-        if first < last:
-            s, e = starts[first:last], ends[first:last]
-            body = b[s[0]:e[-1]]
-            mask = body != 10
-            crs = e[(e > s) & (b[np.maximum(e - 1, 0)] == 13)] - 1 - s[0]
-            mask[crs] = False
-            sizes = e - s
-            sizes[(e > s) & (b[np.maximum(e - 1, 0)] == 13)] -= 1
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            value = pa.StringArray.from_buffers(len(s), pa.py_buffer(offsets), pa.py_buffer(body[mask]))
-            yield pa.array(number + first + np.arange(len(s))), pa.array(at + s), value
+        n = int(np.searchsorted(starts, stop - at))
+        first, last = max(low - number, 0), n if high is None else min(n, high - number)
+        if needle:
+            chosen = _hits(held, cut, needle, starts)
+            chosen = chosen[(chosen >= first) & (chosen < last)]
+        else:
+            chosen = np.arange(first, max(first, last))
+        if len(chosen):
+            s, e = starts[chosen], ends[chosen]
+            stops = e - ((e > s) & (b[np.maximum(e - 1, 0)] == 13))
+            if needle:
+                body = b"".join([held[i:j] for i, j in zip(s.tolist(), stops.tolist())])
+            else:
+                body = b[s[0]:e[-1]]
+                mask = body != 10
+                mask[(stops - s[0])[stops < e]] = False
+                body = body[mask]
+            offsets = np.concatenate([[0], np.cumsum(stops - s)]).astype(np.int32)
+            yield pa.array(number + chosen), pa.array(at + s), pa.StringArray.from_buffers(len(s), pa.py_buffer(offsets), pa.py_buffer(body))
         number += len(starts)
         at, held = at + cut, held[cut:]
 
@@ -252,7 +276,7 @@ class LineReader(DataSourceReader):
     def __init__(self, options):
         self.index, self.files = options["index"], set(json.loads(options.get("files", "[]")))
         self.tail, self.parallel = int(options.get("tail", 0)), int(options.get("parallel", 8))
-        self.low, self.high = 0, None
+        self.low, self.high, self.needle = 0, None, b""
 
     def pushFilters(self, filters):
         """Conditions on file and line number choose blocks; Spark still applies them to the rows."""
@@ -268,6 +292,8 @@ class LineReader(DataSourceReader):
                 asked = set(f.value) if isinstance(f, In) else {value}
                 self.files = self.files & asked if self.files else asked or {None}
                 self.files = self.files or {None}
+            elif column == ("value",) and isinstance(f, StringContains) and not {"\n", "\r"} & set(value):
+                self.needle = max(self.needle, value.encode(), key=len)
             yield f
 
     def blocks(self):
@@ -309,12 +335,12 @@ class LineReader(DataSourceReader):
             weight += stop - start
         if runs:
             tasks.append(runs)
-        return [_Blocks([tuple(r) for r in t], self.low, self.high) for t in tasks] or [_Blocks([], 0, 0)]
+        return [_Blocks([tuple(r) for r in t], self.low, self.high, self.needle) for t in tasks] or [_Blocks([], 0, 0, b"")]
 
     def read(self, partition):
         for file, start, stop, before, size in partition.runs:
             with _open(file) as f:
-                for number, pos, value in lines_of(f, start, stop, before, size, partition.low, partition.high):
+                for number, pos, value in lines_of(f, start, stop, before, size, partition.low, partition.high, partition.needle):
                     yield pa.RecordBatch.from_arrays([pa.array([file] * len(value), pa.string()), number, pos, value],
                                                      names=["file", "line_no", "byte_pos", "value"])
 
@@ -351,7 +377,7 @@ def tail_indexed(spark: SparkSession, index: str, n: int = 10) -> DataFrame:
     """S8 with numbers: ``(file, line_no, byte_pos, value)`` of the last ``n`` newline-terminated lines of
     every file; only last blocks are read. An unterminated last line is not part of a tail."""
     lines = read_indexed(spark, index, tail=n)
-    whole = _facts(load_index(spark, index)).select("file", F.col("stop").alias("size"), "n_lines")
+    whole = _facts(_rows(spark, _versions(index))).select("file", F.col("stop").alias("size"), "n_lines")
     end = F.col("byte_pos") + F.octet_length("value")  # less than the size when a newline follows
     last = lines.join(whole, "file").withColumn("open", (F.col("line_no") == F.col("n_lines") - 1) & (end >= F.col("size")))
     back = F.col("n_lines") - F.col("line_no") - F.max("open").over(Window.partitionBy("file")).cast("int")

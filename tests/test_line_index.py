@@ -111,6 +111,25 @@ def test_slices_read_their_blocks_only(spark, place, monkeypatch):
     assert read_indexed(spark, index, files=[]).collect() == []
 
 
+def test_texts_are_searched_in_bytes(spark, place):
+    write(place, "a.log", "".join(f"conn={i % 7} é{i}\r\n" for i in range(3000)).encode())
+    index = f"{place}/index"
+    refresh_index(spark, f"{place}/logs", index)
+    whole = model(place)
+    for needle in ("conn=3 ", "é299", "none", ""):
+        assert got(read_indexed(spark, index).where(F.col("value").contains(needle))) == {k: v for k, v in whole.items() if needle in v[1]}
+    both = read_indexed(spark, index).where("contains(value, 'conn=3') and line_no between 100 and 400 and contains(value, 'é2')")
+    assert got(both) == {k: v for k, v in whole.items() if 100 <= k[1] <= 400 and "conn=3" in v[1] and "é2" in v[1]}
+    from pyspark.sql.datasource import StringContains
+
+    reader = li.LineReader({"index": index})
+    list(reader.pushFilters([StringContains(("value",), "conn=3")]))
+    from contextlib import closing
+
+    with closing(open(f"{place}/logs/a.log", "rb")) as f:
+        assert sum(len(v) for p in reader.partitions() for r in p.runs for *_, v in lines_of(f, *r[1:4], r[4], needle=p.needle)) == 3000 // 7 + 1
+
+
 def test_tails_have_numbers(spark, place):
     write(place, "a.log", b"".join(b"line %d\n" % i for i in range(100)) + b"open")
     write(place, "b.log", b"\n\n")
@@ -144,4 +163,8 @@ def test_lines_of_any_cut(chunk, monkeypatch, tmp_path):
                 before = data[:start - 1].count(b"\n") + 1 if start else 0
                 for number, pos, value in lines_of(f, start, min(start + size, len(data)), before, len(data)):
                     out += zip(number.to_pylist(), pos.to_pylist(), value.to_pylist())
+            for needle in (b"l", b"x", b"e h", b"absent"):
+                some = [row for start in range(0, len(data), size) for c in lines_of(f, start, min(start + size, len(data)), data[:start - 1].count(b"\n") + 1 if start else 0,
+                                                                                      len(data), needle=needle) for row in zip(*(x.to_pylist() for x in c))]
+                assert some == [row for row in out if needle.decode() in row[2]]
         assert out == [(0, 0, "a"), (1, 3, ""), (2, 4, "\r"), (3, 7, "long line here"), (4, 22, "x")]
