@@ -9,7 +9,7 @@ a hot connection by its seed count.
 
 Key -> lines is one equi-join for conn / op / thread / err / base (D1-D6): each
 line gives the keys it answers to. Filter bodies and attribute lists (D7, D8)
-are a substring join, by equal pieces of needle and line. The key side is
+are a substring join by a filter of pieces (see ``pieces``). The key side is
 written first, so the planner broadcasts it by its true size; above the limit
 the join is a shuffle join, where AQE splits a hot key (one connection may hold
 a third of a file).
@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 from ldaplens.functions.tokens import token_at, with_tokens
 from ldaplens.operators.filters import FilterStack
 from ldaplens.operators.joins import sized
-
-# Characters of the piece of a needle that lines are looked up by.
-GRAM = 8
+from ldaplens.operators.pieces import substring_join
 
 KEY_SCHEMA = "file string, kind string, key_conn string, key_value string"
 
@@ -198,37 +196,6 @@ def drill_text(logs: DataFrame, keys: DataFrame) -> DataFrame:
                         F.col("_needle").alias("key_value"), *logs.columns)
 
 
-def _grams(text: Column, n: Column) -> Column:
-    """Distinct pieces of ``n`` characters."""
-    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, n)))
-
-
-def substring_join(logs: DataFrame, needles: DataFrame, column: str) -> DataFrame:
-    """Rows of ``logs`` (plus ``_needle``) whose ``column`` contains a needle of the same file;
-    ``needles`` is ``(file, _needle)``. An empty needle finds nothing.
-
-    One equi-join whatever the number of needles: of its pieces of ``GRAM``
-    characters (a shorter needle is its own piece) each needle picks the one that
-    fewest needles have, each line gives its distinct pieces, and ``contains``
-    decides on the pairs that meet. Only the line's key and text take part; the
-    needles are written first, so the planner broadcasts them by their true size.
-    """
-    needles = needles.where(F.col("_needle") != "").distinct()
-    size = F.least(F.length("_needle"), F.lit(GRAM))
-    pieces = needles.select("file", "_needle", F.explode(_grams(F.col("_needle"), size)).alias("_gram"))
-    often = pieces.groupBy("file", "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    picked = pieces.join(often, ["file", "_gram"]).groupBy("file", "_needle").agg(
-        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    picked = sized(picked.withColumnsRenamed({"file": "_file", "_gram": "_piece"}), "needles")
-    sizes = sorted(r[0] for r in picked.select(F.length("_piece")).distinct().collect())  # GRAM numbers at most
-    text = F.col(column)
-    grams = F.flatten(F.array(*[_grams(text, F.lit(n)) for n in sizes])) if sizes else F.array().cast("array<string>")
-    each = logs.withColumn("_gram", F.explode(grams))
-    met = each.join(picked, (F.col("file") == F.col("_file")) & (F.col("_gram") == F.col("_piece")))
-    return met.where(text.contains(F.col("_needle"))).select(*logs.columns, "_needle")
-
-
 def drill(logs: DataFrame, seeds: DataFrame, kinds=None, stack: FilterStack | None = None) -> DataFrame:
     """Resolve every seed to its drill key and return the matching lines.
 

@@ -130,7 +130,7 @@ def search_many(visible: DataFrame, queries: DataFrame, value: str = "value") ->
     """Q6 in bulk: ``queries`` is ``(file, query)`` (e.g. ``query_from_token`` of many
     seeds); returns the visible lines containing a query of their file, with
     the ``query``: one row per (line, matching query), see ``substring_join``."""
-    from ldaplens.operators.drill import substring_join
+    from ldaplens.operators.pieces import substring_join
 
     needles = queries.select("file", F.col("query").alias("_needle"))
     return substring_join(visible, needles, value).withColumnRenamed("_needle", "query")

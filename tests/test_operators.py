@@ -1,13 +1,17 @@
 """Drill-down, connection ranges, search and paging against brute force."""
 
 import random
+import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import parse_logs
-from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_linked, drill_text, substring_join
+from ldaplens.operators import pieces
+from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_linked, drill_text
 from ldaplens.operators.paging import first_last, goto, page, with_ordinal
+from ldaplens.operators.pieces import substring_join
 from ldaplens.operators.search import first_match_pos, search, search_many, search_numbered, search_span_rows, search_spans
 
 LOG = [
@@ -86,6 +90,32 @@ def test_substring_join_against_brute_force(spark):
     assert substring_join(spark.createDataFrame(logs, "file string, line_no long, value string"), none, "value").count() == 0
 
 
+@pytest.mark.parametrize("step", [5, 1 << 20])
+def test_substring_join_with_a_full_bitmap(spark, monkeypatch, step):
+    monkeypatch.setattr(pieces, "LEAST_BITS", 64)
+    monkeypatch.setattr(pieces, "MOST_BITS", 64)  # nearly every window passes: the joins must decide
+    monkeypatch.setattr(pieces, "_STEP", step)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcé", k=n))
+    logs = [("f", i, text(rng.randint(0, 30))) for i in range(60)]
+    needles = [("f", text(rng.choice([1, 2, 8, 10]))) for _ in range(80)]
+    got = sorted((r.line_no, r._needle) for r in substring_join(
+        spark.createDataFrame(logs, "file string, line_no long, value string"), spark.createDataFrame(needles, "file string, _needle string"), "value").collect())
+    assert got == sorted((i, n) for f, i, v in logs for _, n in {*needles} if n in v)
+
+
+def test_substring_join_of_a_very_long_line(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choices("abcdefgh(=)", k=1_600_000))
+    logs = spark.createDataFrame([("f", 0, long), ("f", 1, "short"), ("f", 2, long[:200_000])], "file string, line_no long, value string")
+    needles = spark.createDataFrame([("f", long[1_500_000:1_500_030]), ("f", "short"), ("f", long[150_000:150_400]), ("f", "not there at all")], "file string, _needle string")
+    join = lambda: sorted((r.line_no, len(r._needle)) for r in substring_join(logs, needles, "value").collect())
+    assert join() == [(0, 30), (0, 400), (1, 5), (2, 400)]
+    start = time.perf_counter()
+    assert len(join()) == 4
+    assert time.perf_counter() - start < 20  # walking from the line's start for each piece would take hours
+
+
 def test_drill_op_of_a_line_without_connection(spark, lines):
     logs = parse_logs(lines(["op=5 a", "conn=1 op=5 b", "conn=2 op=5 c", "op=6"]), fmt="rfc3339")
     got = {r.key_conn for r in drill(logs, _seed(spark, 0, 1)).collect()}
