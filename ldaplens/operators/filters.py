@@ -168,6 +168,10 @@ def apply_filters(df: DataFrame, stack: FilterStack, parse=None) -> DataFrame:
     narrowed = df.where(pre)
     if parse is not None:
         narrowed = parse(narrowed)
+    else:  # bare equalities reach the scan, where a row group's dictionary or Bloom filter may rule it out
+        for f in stack.filters:
+            if f.kind != "text":
+                narrowed = narrowed.where(F.col(FILTER_COLUMNS[f.kind]) == F.lit(f.value))
     return narrowed.where(stack.predicate())
 
 

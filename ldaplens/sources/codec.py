@@ -208,10 +208,15 @@ def write_clustered(parsed: DataFrame, out: str, partitions: int | None = None)
     Runs of ``INGEST_LINES`` lines of a file go to one output file and are sorted
     there: a huge file is spread over many, and the row groups' line ranges are
     narrow. The runs are a rule on the line number, so no sampling pass is needed.
+    Connections and threads get Bloom filters sized by what a row group holds, so a
+    filter on one of them skips the row groups without it.
     """
     run = F.floor(F.col("line_no") / INGEST_LINES)
     spread = parsed.repartition(partitions, "file", run) if partitions else parsed.repartition("file", run)
-    spread.sortWithinPartitions("file", "line_no").write.mode("overwrite").parquet(out)
+    writer = spread.sortWithinPartitions("file", "line_no").write.mode("overwrite").option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in {"conn_id", "thread_id"} & set(parsed.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(out)
     return parsed.sparkSession.read.parquet(out)
 
 

@@ -94,3 +94,16 @@ def test_labels():
     assert Filter("err", "68").label() == "err=68"
     assert Filter("text", "fox").label() == "text:fox"
     assert one("err", "68").push(Filter("text", "fox")).label() == "err=68 > text:fox"
+
+
+def test_equalities_reach_the_scan(spark, tmp_path):
+    from ldaplens.sources.codec import write_clustered
+
+    lines = spark.range(20_000).selectExpr("'f' as file", "id as line_no", "concat('conn=', id div 4, ' op=', id % 4, ' x') as value")
+    t = write_clustered(parse_logs(lines, fmt="rfc3339"), str(tmp_path / "t"))
+    stack = FilterStack().push(Filter("conn", "17")).push(Filter("op", "2"))
+    out = apply_filters(t, stack)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(conn_id,17)" in plan and "EqualTo(op_id,2)" in plan
+    assert [r.line_no for r in out.collect()] == [70]
+    assert apply_filters(t, FilterStack().push(Filter("err", "0"))).count() == 0
