@@ -36,7 +36,7 @@ KEY_ROWS = 2000
 def word_hashes() -> Bounded:
     from xxhash import xxh64_intdigest
 
-    return Bounded(xxh64_intdigest, limit=400_000)
+    return Bounded(xxh64_intdigest, limit=100_000)
 
 
 def mix(x):
@@ -157,7 +157,7 @@ def _part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 tokens = shingles(text, words)
                 if not len(tokens) or (sig := signature(tokens)) in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(sig)
                 for s in b.of(len(tokens)):
@@ -315,7 +315,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                 found = shingles(text, words)
                 # another row with the same id may hold another set; of repeated rows a task gives one
                 if sig not in seen and len(found) and signature(found) == sig:
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(sig)
                     for column, v in zip(out, (sig, found.tobytes(), open_)):
