@@ -103,6 +103,7 @@ def test_equalities_reach_the_scan(spark, tmp_path):
     t = write_clustered(parse_logs(lines, fmt="rfc3339"), str(tmp_path / "t"))
     stack = FilterStack().push(Filter("conn", "17")).push(Filter("op", "2"))
     out = apply_filters(t, stack)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(conn_id,17)" in plan and "EqualTo(op_id,2)" in plan
     assert [r.line_no for r in out.collect()] == [70]
