@@ -7,7 +7,8 @@ one task): rows are cut into buckets of ``bucket`` line numbers, bucket
 sizes are counted (a small table), a running sum over buckets gives each
 bucket's first ordinal, and ``row_number`` runs within a bucket only.
 The window and the join back share the ``(file, _bucket)`` partitioning,
-so the large side is shuffled once.
+so the large side is shuffled once. ``page_at`` and ``goto_at`` number only the
+buckets that hold the asked rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ldaplens.operators.joins import sized
 
 DEFAULT_BUCKET = 1 << 20
+PAGE_BUCKET = 1 << 16  # line numbers of a bucket of the page directory
 
 
 def bucket_of(order: str, bucket: int = DEFAULT_BUCKET) -> Column:
@@ -50,6 +52,34 @@ def goto(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
     return df.where(F.col(ord_col) == n - 1)
 
 
+def page_at(df: DataFrame, offset: int, height: int, name: str = "ord", order: str = "line_no", bucket: int = PAGE_BUCKET) -> DataFrame:
+    """V2 without numbering the whole visible set: its rows ``[offset, offset + height)`` with their ordinal, per file.
+
+    A directory of visible rows per ``(file, bucket)`` (one narrow read, partial counts) tells which buckets
+    hold the asked ordinals; only their range of line numbers is read again, so row groups outside it are
+    skipped, and only their rows are sorted and numbered. The directory is written, so the join
+    with the few chosen buckets is planned by their true size.
+    """
+    if height <= 0 or offset < 0:
+        return df.where(F.lit(False)).withColumn(name, F.lit(None).cast("bigint"))
+    sizes = df.groupBy("file", bucket_of(order, bucket).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    chosen = sized(starts.where((F.col("_first") < offset + height) & (F.col("_first") + F.col("_n") > offset)).select("file", "_bucket", "_first"), "page")
+    low, high = chosen.agg(F.min("_bucket"), F.max("_bucket")).first()
+    if low is None:
+        return df.where(F.lit(False)).withColumn(name, F.lit(None).cast("bigint"))
+    near = df.where((F.col(order) >= low * bucket) & (F.col(order) < (high + 1) * bucket)).withColumn("_bucket", bucket_of(order, bucket))
+    at = F.row_number().over(Window.partitionBy("file", "_bucket").orderBy(order))
+    numbered = near.join(chosen, ["file", "_bucket"]).withColumn(name, F.col("_first") + at - 1)
+    return numbered.where((F.col(name) >= offset) & (F.col(name) < offset + height)).select(*df.columns, name)
+
+
+def goto_at(df: DataFrame, n: int, **how) -> DataFrame:
+    """V3 by ``page_at``: the n-th (1-based) visible row of every file; 0 or past the end gives no row."""
+    return page_at(df, n - 1, 1, **how)
+
+
 def first_last(df: DataFrame, value: str = "value") -> DataFrame:
     """V4: first and last visible rows of each file (partial aggregates, no sort)."""
     return df.groupBy("file").agg(

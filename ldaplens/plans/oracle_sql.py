@@ -187,6 +187,8 @@ FROM (SELECT file, line_no, pcs, unnest(range(0, len(pcs) - 1)) AS i
   FROM {_token_at(f"(SELECT file, line_no, raw FROM {P} p)", '(line_no * 7) % 80')} z) y""",
     "ordinals": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v",
     "page": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v WHERE ord >= 20 AND ord < 45",
+    "page_at": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v WHERE ord >= 20 AND ord < 45",
+    "goto_at": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v WHERE ord = 14",
     "goto": f"SELECT file, line_no, ord FROM {_VISIBLE_ERR} v WHERE ord = 14",
     "first_last": (f"SELECT file, min(line_no) AS first_line_no, arg_min(value, line_no) AS first_value, "
                    f"max(line_no) AS last_line_no, arg_max(value, line_no) AS last_value FROM {_VISIBLE_ERR} v GROUP BY file"),

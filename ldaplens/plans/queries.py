@@ -18,7 +18,7 @@ from ldaplens.operators.drill import (
 )
 from ldaplens.operators.filters import Filter, FilterStack, apply_filters
 from ldaplens.operators.joins import sized
-from ldaplens.operators.paging import first_last, goto, line_status, page, with_ordinal
+from ldaplens.operators.paging import first_last, goto, goto_at, line_status, page, page_at, with_ordinal
 from ldaplens.operators.search import (
     first_match_pos, match_count, query_from_token, search, search_many, search_numbered, search_span_rows,
 )
@@ -350,6 +350,20 @@ def q_goto(spark, sf):
     return goto(_visible(spark, sf), 15).select("file", "line_no", "ord")
 
 
+def _failed_lines(spark, sf):
+    return apply_filters(_parsed(spark, sf), FilterStack().push(Filter("err", ERR))).select("file", "line_no", "value")
+
+
+def q_page_at(spark, sf):
+    """V2 by a directory of buckets: only the buckets of the page are numbered."""
+    return page_at(_failed_lines(spark, sf), 20, 25, bucket=256).select("file", "line_no", "ord")
+
+
+def q_goto_at(spark, sf):
+    """V3 by the same directory."""
+    return goto_at(_failed_lines(spark, sf), 15, bucket=256).select("file", "line_no", "ord")
+
+
 def q_first_last(spark, sf):
     return first_last(_visible(spark, sf))
 
@@ -407,6 +421,8 @@ QUERIES = {
     "ordinals": q_ordinals,
     "page": q_page,
     "goto": q_goto,
+    "page_at": q_page_at,
+    "goto_at": q_goto_at,
     "first_last": q_first_last,
     "line_status": q_line_status,
 }

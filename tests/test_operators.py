@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ldaplens.functions.fields import parse_logs
 from ldaplens.operators import pieces
 from ldaplens.operators.drill import conn_ranges, drill, drill_keys, drill_linked, drill_text
-from ldaplens.operators.paging import first_last, goto, page, with_ordinal
+from ldaplens.operators.paging import first_last, goto, goto_at, page, page_at, with_ordinal
 from ldaplens.operators.pieces import substring_join
 from ldaplens.operators.search import first_match_pos, search, search_many, search_numbered, search_span_rows, search_spans
 
@@ -209,3 +209,25 @@ def test_span_rows_equal_span_arrays(lines):
                     for r in df.select("line_no", search_spans("é").alias("s")).collect() for i, s in enumerate(r.s))
     rows = sorted((r.line_no, r.span_idx, r.start_pos, r.end_pos) for r in search_span_rows(df, "é").collect())
     assert rows == arrays and len(rows) == 52
+
+
+def test_pages_by_directory(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(f"f{i % 3}", rng.randrange(10_000), f"v{i}") for i in range(600)]
+    df = spark.createDataFrame(sorted({(f, n): (f, n, v) for f, n, v in rows}.values()), "file string, line_no long, value string")
+    whole = with_ordinal(df)
+    for offset, height in ((0, 5), (37, 20), (150, 200), (195, 9), (9999, 5), (3, 0), (-1, 5)):
+        for bucket in (1, 64, 1 << 16):
+            got = sorted(map(tuple, page_at(df, offset, height, bucket=bucket).collect()))
+            assert got == sorted(map(tuple, page(whole, offset, height).collect() if offset >= 0 else []))
+    assert sorted(map(tuple, goto_at(df, 12).collect())) == sorted(map(tuple, goto(whole, 12).collect()))
+    assert goto_at(df, 0).collect() == [] and goto_at(df.limit(0), 1).collect() == []
+
+
+def test_a_page_reads_its_buckets_only(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    spark.range(50_000).selectExpr("'f' as file", "id as line_no", "'v' as value").write.parquet(str(tmp_path / "t"))
+    found = page_at(spark.read.parquet(str(tmp_path / "t")), 30_000, 10, bucket=1024)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(line_no,29696)" in plan and "LessThan(line_no,30720)" in plan
+    assert [r.ord for r in found.orderBy("ord").collect()] == list(range(30_000, 30_010))
