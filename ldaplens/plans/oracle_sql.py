@@ -230,6 +230,7 @@ ORACLE.update({
                   + "\nUNION ALL\n" + _tail_sql("compressed", "1", "0"),
     "codec_detect": f"SELECT DISTINCT file, {_CODEC_CASE} AS codec FROM {_L} l",
     "scan_compressed": f"SELECT file, line_no, value, {_CODEC_CASE} AS codec FROM {_L} l",
+    "scan_pieces": f"SELECT file, line_no, value, {_CODEC_CASE} AS codec FROM {_L} l",
     "ingest_roundtrip": f"SELECT file, line_no, ts_text, conn_id, op_id, error_code, raw FROM {P} p",
 })
 

@@ -551,6 +551,12 @@ def q_scan_compressed(spark, sf):
         basename("file").alias("file"), "line_no", "value", "codec")
 
 
+def q_scan_pieces(spark, sf):
+    """S3: the same files decoded piece by piece: members, blocks and ranges, line edges stitched."""
+    return read_compressed(spark, _files(spark, sf, "compressed"), whole_bytes=0).select(
+        basename("file").alias("file"), "line_no", "value", "codec")
+
+
 def _ingested_files(spark, sf):
     ensure_utc(spark)
     key = (spark.sparkContext.applicationId, sf, "ingested")
@@ -584,6 +590,7 @@ QUERIES.update({
     "tail_numbered": q_tail_numbered,
     "codec_detect": q_codec_detect,
     "scan_compressed": q_scan_compressed,
+    "scan_pieces": q_scan_pieces,
     "ingest_roundtrip": q_ingest_roundtrip,
 })
 

@@ -12,8 +12,9 @@ whose content does not match their name are decoded in Python tasks: Spark's
 binary file scan (metadata only) lists the files and packs small ones into one
 task, and each task streams its files through the stdlib decoder -- whole
 multi-member gzip, multi-stream bzip2 and concatenated xz -- and emits Arrow
-batches of ``(file, line_no, value)``; nothing is held beyond one batch. All
-other files, plain ones above all, are read by Spark's own reader in splits.
+batches of ``(file, line_no, value)``; nothing is held beyond one batch. Large
+ones are decoded in parallel by their blocks (``blocks``). All other files,
+plain ones above all, are read by Spark's own reader in splits.
 """
 
 from __future__ import annotations
@@ -67,11 +68,53 @@ def _decoded(raw, codec: str):
         import bz2
         return bz2.BZ2File(raw)
     if codec == "xz":
-        import lzma
-        return lzma.LZMAFile(raw)
+        return _XzStreams(raw)
     return raw
 
 
+class _XzStreams(io.RawIOBase):
+    """Decoded bytes of concatenated xz streams with padding between them, which ``LZMAFile`` takes for
+    the end. What is no stream after the first one is ignored, as there."""
+
+    def __init__(self, raw):
+        self.raw, self.dec, self.ahead = raw, None, b""
+
+    def readable(self):
+        return True
+
+    def _begin(self) -> bool:
+        import lzma
+
+        data = self.ahead
+        while self.dec is not None and not data.lstrip(b"\0"):  # padding
+            data = self.raw.read(1 << 16)
+            if not data:
+                return False
+        if self.dec is not None:
+            data = data.lstrip(b"\0")
+            data += self.raw.read(6) if len(data) < 6 else b""
+            if not data.startswith(XZ_MAGIC):
+                return False
+        self.ahead, self.dec = data, lzma.LZMADecompressor(format=lzma.FORMAT_XZ)
+        return True
+
+    def readinto(self, into):
+        while True:
+            if self.dec is None or self.dec.eof:
+                if self.dec is not None:
+                    self.ahead = self.dec.unused_data
+                if not self._begin():
+                    return 0
+            data = (self.ahead or self.raw.read(1 << 16)) if self.dec.needs_input else b""
+            if self.dec.needs_input and not data:
+                raise EOFError("an xz stream ends early")
+            self.ahead = b""
+            out = self.dec.decompress(data, len(into))
+            if out:
+                into[: len(out)] = out
+                return len(out)
+
+
 def _peek(path: str) -> bytes:
     try:
         with _open(path) as f:
@@ -101,11 +144,33 @@ def detect_codec(spark: SparkSession, paths) -> DataFrame:
     return list_files(spark, paths).select("path").mapInArrow(peek, "file string, codec string")
 
 
-def read_compressed(spark: SparkSession, paths) -> DataFrame:
-    """S3: ``(file, line_no, value, codec)`` from files of any codec, by content. Each file is one
-    stream for one task; ``read_logs(codec="auto")`` reads what it can in splits."""
+#: Files of at least so many bytes are decoded piece by piece; smaller ones whole, packed together.
+WHOLE_BYTES = 8 << 20
+
+
+def read_compressed(spark: SparkSession, paths, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """S3: ``(file, line_no, value, codec)`` from files of any codec, by content.
+
+    Files below ``whole_bytes`` are one stream each, small ones packed into one task.
+    Larger ones are decoded piece by piece in parallel (``blocks.directory``): xz and
+    bzip2 blocks, gzip members, ranges of plain files; only a file that is one piece
+    stays one task's. Rows are the same either way.
+    """
     ship_package(spark)
+    files = list_files(spark, paths)
+    largest = files.agg(F.max("length")).first()[0]
+    if largest is None or largest < whole_bytes:
+        return _read_whole(files.select("path"))
+    from ldaplens.sources import blocks
+
+    large = blocks.codecs(files.where(F.col("length") >= whole_bytes))
+    pieces, alone = blocks.directory(spark, large)
+    rest = files.where(F.col("length") < whole_bytes).select("path").union(alone)
+    return _read_whole(rest).union(blocks.read_pieces(spark, pieces))
+
 
+def _read_whole(files: DataFrame) -> DataFrame:
+    """Every file of ``(path)`` as one stream for one task."""
     def decode(batches):
         import pyarrow as pa
 
@@ -129,7 +194,7 @@ def read_compressed(spark: SparkSession, paths) -> DataFrame:
                 if values:
                     yield batch(path, codec, first, values)
 
-    return list_files(spark, paths).select("path").mapInArrow(decode, "file string, line_no bigint, value string, codec string")
+    return files.mapInArrow(decode, "file string, line_no bigint, value string, codec string")
 
 
 def _text(line: bytes) -> str:
