@@ -18,6 +18,7 @@ from ldaplens.operators.paging import with_ordinal, page, goto, first_last, line
 from ldaplens.sources.text import read_logs, with_line_no, line_counts, slice_lines, tail_lines
 from ldaplens.sources.codec import detect_codec, read_compressed, ingest_logs
 from ldaplens.streaming.follow import follow_logs, follow_into_table, new_line_count
+from ldaplens.streaming.table import compact, read_table
 from ldaplens.streaming.stream import stream_lines, parse_stream, run_to_parquet
 
 __all__ = [
@@ -30,5 +31,6 @@ __all__ = [
     "with_ordinal", "page", "goto", "first_last", "line_status",
     "read_logs", "with_line_no", "line_counts", "slice_lines", "tail_lines",
     "detect_codec", "read_compressed", "ingest_logs",
-    "follow_logs", "follow_into_table", "new_line_count", "stream_lines", "parse_stream", "run_to_parquet",
+    "follow_logs", "follow_into_table", "new_line_count", "compact", "read_table",
+    "stream_lines", "parse_stream", "run_to_parquet",
 ]

@@ -291,5 +291,6 @@ ORACLE.update({
     "slice_raw": f"SELECT file, line_no, value, line_no + 1 AS number, n_lines FROM ({_POS}) x WHERE line_no >= 100 AND line_no < 150",
     "tail_numbered": f"SELECT file, line_no, byte_pos, value FROM ({_POS}) x WHERE line_no >= n_lines - 10",
 })
+ORACLE["follow_compacted"] = ORACLE["follow_append"]
 ORACLE["follow_table"] = (f"SELECT f.*, (SELECT count(*) FROM {_L} l WHERE line_no >= {_N} // 2) AS n_added "
                           f"FROM ({ORACLE['follow_append']}) f")

@@ -29,6 +29,7 @@ from ldaplens.sources.derived import SYSLOG_AS_OF, _create, basename, doc_logs,
 from ldaplens.sources.line_index import indexed_counts, read_indexed, refresh_index, tail_indexed
 from ldaplens.sources.text import line_counts, read_logs, slice_lines, tail_lines
 from ldaplens.streaming.follow import follow_into_table, follow_logs, new_line_count
+from ldaplens.streaming.table import read_table
 from ldaplens.streaming.stream import drain, parse_stream, run_to_parquet, stream_lines
 
 LOCAL_TZ = O.LOCAL_TZ
@@ -705,6 +706,19 @@ def q_follow_table(spark, sf):
         basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id", F.lit(added[1]).cast("bigint").alias("n_added"))
 
 
+def q_follow_compacted(spark, sf):
+    """The table of several refreshes, each merged into the runs before it."""
+    ensure_utc(spark)
+    lines = event_logs(spark, sf, "mixed")
+    n = lines.agg(F.max("line_no")).first()[0] + 1
+    folder, table, ckpt = _follow_paths(spark, "compacted")
+    cuts = [0, n // 2, n * 3 // 4, n]
+    for low, high in zip(cuts, cuts[1:]):
+        write_log_files(lines.where((F.col("line_no") >= low) & (F.col("line_no") < high)), folder, append=low > 0)
+        drain(follow_into_table(spark, folder, table, ckpt, as_of=SYSLOG_AS_OF, compact_after=2 if high < n else 1))
+    return read_table(spark, table).select(basename("file").alias("file"), "generation", "byte_pos", "value", "conn_id")
+
+
 def _stream_folder(spark, sf) -> str:
     return _files(spark, sf, "text")
 
@@ -736,6 +750,7 @@ QUERIES.update({
     "follow_rename": q_follow_rename,
     "follow_same_head": q_follow_same_head,
     "follow_table": q_follow_table,
+    "follow_compacted": q_follow_compacted,
     "stream_parse": q_stream_parse,
     "stream_filter": q_stream_filter,
 })

@@ -267,6 +267,14 @@ INGEST_BYTES = 128 << 20
 INGEST_LINES = 1 << 18
 
 
+def with_blooms(df: DataFrame):
+    """A writer that adds Bloom filters of connections and threads, sized by what a row group holds."""
+    writer = df.write.mode("overwrite").option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in {"conn_id", "thread_id"} & set(df.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    return writer
+
+
 def write_clustered(parsed: DataFrame, out: str, partitions: int | None = None) -> DataFrame:
     """Write parsed lines as Parquet clustered by ``(file, line_no)`` and read them back.
 
@@ -278,10 +286,7 @@ def write_clustered(parsed: DataFrame, out: str, partitions: int | None = None)
     """
     run = F.floor(F.col("line_no") / INGEST_LINES)
     spread = parsed.repartition(partitions, "file", run) if partitions else parsed.repartition("file", run)
-    writer = spread.sortWithinPartitions("file", "line_no").write.mode("overwrite").option("parquet.bloom.filter.adaptive.enabled", "true")
-    for column in {"conn_id", "thread_id"} & set(parsed.columns):
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(out)
+    with_blooms(spread.sortWithinPartitions("file", "line_no")).parquet(out)
     return parsed.sparkSession.read.parquet(out)
 
 

@@ -289,19 +289,26 @@ def new_line_count(query) -> int:
 
 
 def follow_into_table(spark: SparkSession, path: str, table: str, checkpoint: str, fmt: str = "auto",
-                      as_of=None, tz=None, tail: int = DEFAULT_TAIL, trigger_seconds: float | None = None):
+                      as_of=None, tz=None, tail: int = DEFAULT_TAIL, trigger_seconds: float | None = None,
+                      compact_after: int | None = None):
     """Keep a parsed Parquet table up to date with the followed files.
 
     Each micro-batch is parsed and written to ``table/batch_id=<id>`` with
     overwrite, so a batch retried after a failure replaces its own output
     instead of duplicating lines (exactly-once on top of the logged offsets).
     ``new_line_count(query)`` gives the lines the last refresh added.
+
+    With ``compact_after``, every so many batches are merged into a clustered run, and the
+    table is read by ``read_table``; see ``table``.
     """
     from ldaplens.functions.fields import parse_logs
+    from ldaplens.streaming.table import compact
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         parse_logs(batch, fmt=fmt, as_of=as_of, tz=tz).write.mode("overwrite").parquet(
             f"{table.rstrip('/')}/batch_id={batch_id}")
+        if compact_after:
+            compact(batch.sparkSession, table, compact_after)
 
     stream = follow_logs(spark, path, tail=tail, checkpoint=checkpoint)
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
