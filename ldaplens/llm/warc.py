@@ -1,7 +1,7 @@
 """Operator 7: WARC archives compressed record by record with a dictionary of their own records.
 
-An archive starts with a skippable frame that holds a Zstandard dictionary trained on the archive's
-first records; every record is one frame compressed with it. Payloads that occur several times are
+Every archive with a record starts with a skippable frame that holds a Zstandard dictionary built from
+the archive's first records; every record is one frame compressed with it. Payloads that occur several times are
 written once, as the response with the largest page id; the other pages revisit it.
 """
 
@@ -28,6 +28,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Sample for the dictionary: an archive's first records, up to so many bytes; and its size.
 SAMPLE_BYTES = 2 << 20
 DICT_BYTES = 64 << 10
+#: Stretches that fewer records than this are cut into for training.
+PIECE_BYTES = 256
+PIECE_RECORDS = 64
 #: Uncompressed bytes of an archive, after which the next one is begun.
 ARCHIVE_BYTES = 64 << 20
 
@@ -55,13 +58,19 @@ def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
 
 
 def dictionary(sample: list[bytes]):
-    """A dictionary trained on the sample, or None where there is too little of it."""
+    """A dictionary from the sample, None only where there are no records: trained on the records, or on
+    stretches of them where they are too few, or else the first of their bytes as they are."""
     import zstandard
 
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, sample)) // 8), sample, dict_id=1)
-    except (zstandard.ZstdError, ValueError):
-        return None
+    size = sum(map(len, sample)) // 8
+    pieces = [r[i : i + PIECE_BYTES] for r in sample for i in range(0, len(r), PIECE_BYTES)] if len(sample) < PIECE_RECORDS else sample
+    for part in (sample, pieces):
+        try:
+            return zstandard.train_dictionary(min(DICT_BYTES, size), part, dict_id=1)
+        except (zstandard.ZstdError, ValueError):
+            continue
+    content = b"".join(sample)[: max(8, min(DICT_BYTES, size))]  # begins as a record does, not as a trained dictionary
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
 
 
 def save(uri: str, records) -> tuple[int, int]:

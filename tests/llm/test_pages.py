@@ -171,5 +171,9 @@ def test_archive_has_its_dictionary(tmp_path):
     data = (tmp_path / "a.warc.zst").read_bytes()
     assert (n, size) == (500, len(data)) and data[:4] == bytes.fromhex("5d2a4d18")
     assert [b for _, b in load(f"file:{tmp_path}/a.warc.zst")] == [r.partition(b"\r\n\r\n")[2][:300] for r in records]
-    save(f"{tmp_path}/b.warc.zst", iter(records[:1]))  # too little for a dictionary
-    assert len(list(load(f"{tmp_path}/b.warc.zst"))) == 1
+    for few in (1, 2, 5, 40):  # an archive of any size
+        save(f"{tmp_path}/b.warc.zst", iter(records[:few]))
+        assert (tmp_path / "b.warc.zst").read_bytes()[:4] == bytes.fromhex("5d2a4d18")
+        assert len(list(load(f"{tmp_path}/b.warc.zst"))) == few
+    save(f"{tmp_path}/c.warc.zst", iter([]))
+    assert (tmp_path / "c.warc.zst").read_bytes() == b""
