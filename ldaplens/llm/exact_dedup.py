@@ -24,6 +24,10 @@ from ldaplens.session import scratch_path
 BUCKET = 256
 RANGE_BYTES = 32 << 20
 
+#: Bytes of repeated texts that a task holds to send each once, and replaced rows an owner lets stay.
+HOT_BYTES = 16 << 20
+SLACK = 1000
+
 #: No bucket is split on more bits; more equal low bits than that chain.
 DEEPEST = 40
 
@@ -61,16 +65,21 @@ class Directory:
     def buckets(self) -> list[list]:
         return list({id(b): b for b in self.slots}.values())
 
-    def put(self, key: int, text: str, entry_id, n: int, place) -> None:
-        """Add ``n`` copies of a text whose largest id is ``entry_id``; equal bytes share an entry."""
+    def put(self, key: int, text: str, entry_id, n: int, place) -> list:
+        """Add ``n`` copies of a text whose largest id is ``entry_id``; equal bytes share an entry, which
+        is returned."""
         chain = self.chain(key)
         for entry in chain:
             if entry[0] == text:
                 entry[2] += n
                 if entry[1] is None or entry_id is not None and entry_id > entry[1]:
                     entry[1], entry[3] = entry_id, place
-                return
+                return entry
         chain.append([text, entry_id, n, place])
+        return chain[-1]
+
+    def entries(self):
+        return (e for b in self.buckets() for chain in b[1].values() for e in chain)
 
     def save(self, uri: str) -> None:
         import pyarrow.parquet as pq
@@ -119,8 +128,10 @@ def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str =
 
     ``survivors`` has one row for each distinct text of the batch, unless an earlier batch holds the
     text under a larger id: ``row`` (the other columns of the row that stays, as a struct), ``text``,
-    ``text_sha256, keep_id, group_size`` (earlier batches included). Equal texts inside an Arrow
-    batch meet before the shuffle, so a group that holds a third of all rows costs a row a batch.
+    ``text_sha256, keep_id, group_size`` (earlier batches included). A text that occurs twice in an
+    Arrow batch is held by the task and sent once (once a batch where the held ones outgrow
+    ``HOT_BYTES``), so a group that holds a third of all rows costs a row a task; its owner holds the one
+    row that stays.
     """
     spark = docs.sparkSession
     common.python_ready(spark)
@@ -132,6 +143,8 @@ def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str =
     slim = slim.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")).withColumn("n", F.lit(1).cast("long"))
 
     def combine(batches):
+        hot: dict[str, list] = {}  # text -> its row with the largest id so far, that id, copies
+        room = HOT_BYTES
         for b in batches:
             ids, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
             best: dict[str, int] = {}
@@ -141,45 +154,81 @@ def insert(docs: DataFrame, index: dict, id_col: str = "doc_id", text_col: str =
                 count[t] = count.get(t, 0) + 1
                 if ids[i] is not None and (ids[j] is None or ids[i] > ids[j]):
                     best[t] = i
+            for t in [t for t, n in count.items() if n > 1 or t in hot]:
+                i, n = best[t], count[t]
+                held = hot.get(t)
+                if held is None:
+                    if 4 * len(t) > room:
+                        continue
+                    room -= 4 * len(t)
+                    hot[t] = [b.take(pa.array([i], pa.int64())), ids[i], n]
+                else:
+                    held[2] += n
+                    if ids[i] is not None and (held[1] is None or ids[i] > held[1]):
+                        held[0], held[1] = b.take(pa.array([i], pa.int64())), ids[i]
+                del best[t]
             kept = b.take(pa.array(best.values(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns[:5], pa.array([count[t] for t in best], pa.int64())], schema=kept.schema)
+        for one, _, n in hot.values():
+            yield pa.RecordBatch.from_arrays([*one.columns[:5], pa.array([n], pa.int64())], schema=one.schema)
 
     def own(batches):
         from ldaplens.llm.exact_dedup import Directory
 
-        def finish(number, parts):
-            uri = f"{number:08x}.parquet"
-            index = Directory.load(f"{before}/{uri}", capacity)
-            for p, b in enumerate(parts):
-                for i, (one, text, k, n) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 5)))):
-                    index.put(k, text, one, n, (p, i))
-            index.save(f"{after}/{uri}")
+        def kept(rows, places, number):
+            """The rows at ``places`` (entries in ``rows``), copied; the entries point to them."""
+            out = rows.take(pa.array([e[3][1] for e in places], pa.int64()))
+            for i, e in enumerate(places):
+                e[3] = number, i
+            return out
+
+        def shrunk(directory, held):
+            """Without the rows that a larger id has replaced."""
+            live: dict[int, list] = {}
+            for e in directory.entries():
+                if e[3]:
+                    live.setdefault(e[3][0], []).append(e)
+            return [kept(held[p], es, i) for i, (p, es) in enumerate(live.items())]
+
+        def finish(number, directory, held):
+            directory.save(f"{after}/{number:08x}.parquet")
             stay: dict[int, list] = {}
-            for bucket in index.buckets():
-                for chain in bucket[1].values():
-                    for text, keep, n, place in chain:
-                        if place:
-                            stay.setdefault(place[0], []).append((place[1], sha256(text.encode()).hexdigest(), keep, n))
-            for p, rows in stay.items():
-                at, digest, keep, n = zip(*rows)
-                b = parts[p].take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest), pa.array(keep, pa.int64()), pa.array(n, pa.int64())],
-                                                 names=["row", "text", "text_sha256", "keep_id", "group_size"])
-
-        number, parts = None, []
+            for e in directory.entries():
+                if e[3]:
+                    stay.setdefault(e[3][0], []).append(e)
+            for p, es in stay.items():
+                columns = [pa.array(c, kind) for c, kind in (([e[0] for e in es], pa.string()), ([sha256(e[0].encode()).hexdigest() for e in es], pa.string()),
+                                                             ([e[1] for e in es], pa.int64()), ([e[2] for e in es], pa.int64()))]
+                rows = held[p].take(pa.array([e[3][1] for e in es], pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows, *columns], names=["row", "text", "text_sha256", "keep_id", "group_size"])
+
+        number, directory, held = None, None, []
         for b in batches:
             owner = b.column(4).to_pylist()
             start = 0
             for i in range(1, len(owner) + 1):  # the rows come sorted by range
-                if i == len(owner) or owner[i] != owner[start]:
-                    if owner[start] != number and parts:
-                        yield from finish(number, parts)
-                        parts = []
-                    number = owner[start]
-                    parts.append(b.slice(start, i - start))
-                    start = i
-        if parts:
-            yield from finish(number, parts)
+                if i < len(owner) and owner[i] == owner[start]:
+                    continue
+                if owner[start] != number:
+                    if directory is not None:
+                        yield from finish(number, directory, held)
+                    number, held, rows, texts = owner[start], [], 0, set()
+                    directory = Directory.load(f"{before}/{number:08x}.parquet", capacity)
+                part = b.slice(start, i - start)
+                touched = {}
+                for at, (one, text, k, n) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 5)))):
+                    entry = directory.put(k, text, one, n, (len(held), at))
+                    if entry[3] and entry[3][0] == len(held):
+                        touched[id(entry)] = entry
+                if touched:
+                    texts |= touched.keys()
+                    rows += len(touched)
+                    held.append(kept(part.column(0), list(touched.values()), len(held)))
+                    if rows > 2 * len(texts) + SLACK:
+                        held, rows = shrunk(directory, held), len(texts)
+                start = i
+        if directory is not None:
+            yield from finish(number, directory, held)
 
     sent = slim.mapInArrow(combine, slim.schema).repartition("range").sortWithinPartitions("range")
     schema = slim.select("row", "text").schema.add("text_sha256", "string").add("keep_id", "long").add("group_size", "long")

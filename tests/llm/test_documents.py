@@ -6,6 +6,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
+import ldaplens.llm.exact_dedup as exact
 from ldaplens.llm.exact_dedup import Directory, exact_dedup, insert, keep_one, new_index
 from ldaplens.llm.quality import keep_good, quality_rules, sketch, thresholds
 from ldaplens.llm.secret_scans import RULES, digest, findings, redact, scan_new, scan_secrets
@@ -282,3 +283,21 @@ def test_segments_cover_all_windows_by_content():
         gram, f2, l2 = segments(data[700:1700], length)
         inner = {(a + 700, b + 700) for a, b in zip(f2[1:-1].tolist(), l2[1:-1].tolist())}
         assert inner <= set(zip(first.tolist(), last.tolist()))
+
+
+def test_a_third_of_all_rows_equal(spark, monkeypatch):
+    """One text over many Arrow batches of a task and of its owner; room for held texts or none."""
+    rows = [(i, "the same text" if i % 3 == 0 else f"pair {i % 400}" if i % 3 == 1 else f"text {i}", f"x{i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    last, size = {}, {}
+    for i, t, _ in rows:
+        last[t], size[t] = max(i, last.get(t, -1)), size.get(t, 0) + 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for room, slack in ((0, 1), (60, 1), (1 << 20, 1000)):
+        monkeypatch.setattr(exact, "HOT_BYTES", room)
+        monkeypatch.setattr(exact, "SLACK", slack)
+        monkeypatch.setattr(exact.common, "python_ready", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50"))
+        got = insert(docs, new_index(docs, capacity=4, range_bytes=1 << 30))[0].collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted((r["text"], r["keep_id"], r["group_size"], r["row"]["doc_id"], r["row"]["source"]) for r in got) == sorted(
+            (t, i, size[t], i, f"x{i}") for t, i in last.items())
