@@ -2,12 +2,15 @@
 
 Every version of a document is addressed by the SHA-256 of its text. A blob is scanned once per rule
 version, however many paths or times it comes; pairs of blob and rule version that the ledger already
-has are left out. Findings are joined back to all paths. All steps are DataFrame functions.
+has are left out. The ledger is a folder with a part for each batch (``record``); findings are joined back
+to all paths (``join_back``). All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ MATCHES = "array<struct<rank:int,i:int,gap:int,len:int,value:int>>"
 #: start first, so that it sorts; code points, end exclusive; ``reach``: the largest end so far.
 SPANS = "array<struct<start:int,rank:int,end:int,reach:int>>"
 
+LEDGER = f"blob string, versions array<string>, matches {MATCHES}"
+
 
 def matches(text: Column, pattern: str, rank: int) -> Column:
     """All leftmost, non-overlapping matches. The gaps between them come from ``split`` on the same
@@ -68,10 +73,13 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: dict | Non
 
 
 def findings(ledger: DataFrame, rules: dict | None = None) -> DataFrame:
-    """``blob, found`` for blobs with findings: running sums of gaps and lengths give the places,
-    then matches with a short value are dropped. Linear in the number of matches."""
+    """``blob, found`` for blobs with findings under ``rules``' versions; those of other versions are
+    passed over, and a pair that is in the ledger twice counts once. Running sums of gaps and lengths give
+    the places, then matches with a short value are dropped. Linear in the number of matches."""
     rules = RULES if rules is None else rules
-    each = ledger.select("blob", F.explode("matches").alias("m")).select("blob", "m.*")
+    version = F.array(*[F.lit(v) for v, _, _ in rules.values()])
+    each = ledger.select("blob", "versions", F.explode("matches").alias("m")).where(F.array_contains("versions", F.get(version, F.col("m.rank")))).select("blob", "m.*")
+    each = each.dropDuplicates(["blob", "rank", "i"])
     by_kind = W.partitionBy("blob", "rank").orderBy("i")
     least = F.create_map(*[x for rank, (_, _, n) in enumerate(rules.values()) for x in (F.lit(rank), F.lit(n))])
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(by_kind).cast("int")).where(F.col("value") >= least[F.col("rank")]).withColumn("start", F.col("end") - F.col("len"))
@@ -91,9 +99,40 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
     paths = common.texts(docs, id_col, text_col)
     new = common.written(scan_new(paths, ledger), "ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    found = common.written(findings(whole), "findings")
-    joined = paths.select("doc_id", F.sha2("text", 256).alias("blob")).join(found, "blob", "left")
-    return joined.select("doc_id", "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found")), whole
+    return join_back(docs, whole, id_col=id_col, text_col=text_col), whole
+
+
+def join_back(docs: DataFrame, ledger: DataFrame, rules: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, blob, found`` of every row, from a ledger that has all its texts; nothing is scanned."""
+    found = common.written(findings(ledger, rules), "findings")
+    joined = common.texts(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("blob")).join(found, "blob", "left")
+    return joined.select("doc_id", "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+
+
+def read_ledger(spark: SparkSession, place: str) -> DataFrame:
+    """All finished parts of the ledger in the shared folder ``place``; no rows before the first one."""
+    from pyarrow import fs
+
+    from ldaplens.llm.store import opened
+
+    files, root = opened(place)
+    parts = [f.base_name for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("part-")]
+    done = [p for p, mark in zip(parts, files.get_file_info([f"{root}/{p}/_SUCCESS" for p in parts])) if mark.type == fs.FileType.File]
+    if not done:
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(*[f"{place.rstrip('/')}/{p}" for p in sorted(done)])
+
+
+def record(docs: DataFrame, place: str, rules: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan what the ledger in ``place`` lacks of ``docs``, add it there as one part, and return the whole ledger.
+
+    A part counts once it is whole, so a batch that failed is simply recorded again; two batches at a time
+    may both scan a blob, which ``findings`` counts once. Null text is empty, an empty table adds no rows.
+    """
+    spark = docs.sparkSession
+    new = scan_new(common.texts(docs, id_col, text_col), read_ledger(spark, place), rules)
+    new.write.parquet(f"{place.rstrip('/')}/part-{uuid.uuid4().hex}")
+    return read_ledger(spark, place)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import ldaplens.llm.exact_dedup as exact
 from ldaplens.llm.exact_dedup import Directory, exact_dedup, insert, keep_one, new_index
 from ldaplens.llm.quality import keep_good, quality_rules, sketch, thresholds
-from ldaplens.llm.secret_scans import RULES, digest, findings, redact, scan_new, scan_secrets
+from ldaplens.llm.secret_scans import RULES, digest, findings, join_back, read_ledger, record, redact, scan_new, scan_secrets
 from ldaplens.llm.suffix_dedup import remove_repeats, segments
 
 # the rules' base patterns, in words of their own
@@ -58,6 +58,25 @@ def test_ledger_scans_unseen_pairs_only(secrets):
     assert findings(ledger.limit(0)).count() == 0
 
 
+def test_ledger_in_its_place(spark, secrets, tmp_path):
+    """Batches, restarts, two recorders at a time and new rule versions leave one finding each."""
+    place, want = f"file:{tmp_path}/ledger", sorted(map(tuple, digest(scan_secrets(secrets)[0]).collect()), key=str)
+    assert read_ledger(spark, place).count() == 0
+    half = secrets.where("doc_id % 2 = 0")
+    first = record(half, place).count()
+    whole = record(secrets, place)
+    n = secrets.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert 0 < first < n and whole.count() == n == record(secrets, place).count()
+    assert sorted(map(tuple, digest(join_back(secrets, read_ledger(spark, place))).collect()), key=str) == want
+    newer = {**RULES, "hex": ("hex/2", r"([0-9a-f]{24,})", 24)}
+    both = record(secrets, place, newer)
+    assert both.count() == 2 * n
+    assert sorted(map(tuple, digest(join_back(secrets, both.union(both), newer)).collect()), key=str) == want
+    assert sorted(map(tuple, digest(join_back(secrets, both)).collect()), key=str) == want
+    (tmp_path / "ledger" / "part-dead").mkdir()
+    assert read_ledger(spark, place).count() == 2 * n and record(secrets.limit(0), place).count() == 2 * n
+
+
 def test_redaction(secrets):
     got = redact(secrets)
     assert got.schema == secrets.schema or got.columns == secrets.columns
