@@ -28,6 +28,8 @@ from ldaplens.llm.wordsplit import Bounded
 FEW = 4
 #: Bits of a part of the sketch.
 PART_BITS = 1 << 16
+#: Bytes of the sets that one task holds to verify pairs, but for a single pair of larger sets.
+HOME_BYTES = 16_000_000
 #: Rows in an Arrow batch of keys.
 KEY_ROWS = 2000
 
@@ -234,24 +236,49 @@ def _groups(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _placed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, home, cut``: where each pair of sets that may be similar by their sizes is verified. Pairs meet at
+    the least signature that their sets' partners have, so the sets of a group of copies are sent once, not once
+    a pair; what would hold more than ``HOME_BYTES`` at a home is cut by the pair's hash."""
+    size = lambda side: sets.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"))
+    near = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    pairs = common.written(pairs.join(size("a"), "a").join(size("b"), "b").where(near), "sized-pairs")
+    reach = pairs.select(F.col("a").alias("sig"), "a").union(pairs.select("b", "a")).groupBy("sig").agg(F.min("a").alias("least"))
+    for side in ("a", "b"):
+        pairs = pairs.join(reach.select(F.col("sig").alias(side), F.col("least").alias(f"least_{side}")), side)
+    pairs = pairs.select("a", "b", F.least("least_a", "least_b").alias("home"), (8 * (F.col("n_a") + F.col("n_b"))).alias("bytes"))
+    cuts = pairs.groupBy("home").agg(F.ceil(F.sum("bytes") / HOME_BYTES).alias("cuts"))
+    return pairs.join(cuts, "home").select("a", "b", "home", F.pmod(F.xxhash64("a", "b"), "cuts").alias("cut"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, by their exact intersection."""
+    """The pairs ``a < b`` whose sets are similar enough, by their exact intersection."""
 
     def run(batches):
         import numpy as np
 
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+        at, held = None, {}
+        for batch in batches:
+            a, b, keep = [], [], []
+            for home, cut, one, other, tokens in zip(*(c if i == 4 else c.to_pylist() for i, c in enumerate(batch.columns))):
+                if (home, cut) != at:
+                    at, held = (home, cut), {}
+                if other is None:
+                    held[one] = np.frombuffer(tokens.as_py(), np.uint64)
+                    continue
+                x, y = held[one], held[other]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                a.append(one)
+                b.append(other)
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    size = F.octet_length
-    near = (100 * size("x") >= percent * size("y")) & (100 * size("y") >= percent * size("x"))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    placed = common.written(_placed(pairs, sets, percent), "placed")
+    at = ["home", "cut"]
+    needed = placed.select(*at, F.col("a").alias("sig")).union(placed.select(*at, "b")).distinct()
+    rows = needed.join(sets, "sig").select(*at, F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    rows = rows.union(placed.select(*at, "a", "b", F.lit(None).cast("binary")))  # the sets come first: their b is null
+    return rows.repartition(*at).sortWithinPartitions(*at, F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _token_rows(sets: DataFrame) -> DataFrame:
@@ -281,6 +308,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     """
     spark = docs.sparkSession
     common.python_ready(spark)
+    common.forget(spark)  # the shuffle files of what came before
     slim = common.texts(docs, id_col, text_col)
     ids = common.written(_sets(slim, words), "sets-ids")
     nodes = ids.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("node"))
@@ -298,6 +326,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         met = met.join(counted.select(F.col("sig").alias(side), "band", F.col("n").alias(f"common_{side}")), [side, "band"], "left")
     likely = met.where("n > spare or (common_a is not null and common_b is not null)")
     pairs = common.written(likely.select("a", "b").distinct(), "pairs")
+    common.remove(first)
     common.forget(spark)
 
     # the exact sets of those that take part in pairs or are unsettled
@@ -310,7 +339,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
         seen = set()
         for b in batches:
-            out: tuple[list, ...] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for text, sig, open_ in zip(*(c.to_pylist() for c in b.columns)):
                 found = shingles(text, words)
                 # another row with the same id may hold another set; of repeated rows a task gives one
@@ -318,13 +347,13 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                     if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(sig)
-                    for column, v in zip(out, (sig, found.tobytes(), open_)):
+                    for column, v in zip(out, (sig, found.tobytes(), open_, len(found))):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.bool_()))], names=["sig", "tokens", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.bool_(), pa.int64()))], names=["sig", "tokens", "open", "n"])
 
     # the wanted ids grow with the corpus: a shuffle join at every size, no broadcast of the small ones
     texts = slim.join(chosen.hint("merge"), "doc_id").select("text", "sig", "open")
-    sets = common.written(texts.mapInArrow(tokens, "sig long, tokens binary, open boolean"), "sets")
+    sets = common.written(texts.mapInArrow(tokens, "sig long, tokens binary, open boolean, n long"), "sets")
     common.forget(spark)
 
     # 2: single shingles of the unsettled
@@ -342,6 +371,8 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     stars = tops.select("sig", F.explode(F.array(F.col("best.sig"), F.col("any.top.sig"))).alias("centre")).where("sig <> centre")
     stars = stars.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
     tried = common.written(more.union(stars).distinct().join(pairs, ["a", "b"], "left_anti").union(pairs), "tried")
+    common.remove(second)
+    common.forget(spark)
     links = common.written(_linked(tried, sets, percent), "links")
     common.forget(spark)
     roots = components(links, "a", "b")

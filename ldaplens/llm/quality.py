@@ -105,8 +105,9 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """``docs`` with the rules' counts, ``base_failed`` and ``kept``.
 
-    The measured table is written once (without the text unless ``keep_text``) and the sketches are
-    read from there. The table of thresholds is written too, so the planner broadcasts it only if
+    The measured table is written once, without the text, and the sketches are read from there. With
+    ``keep_text`` only the sketches are written and the texts are measured a second time, in a narrow pass: no
+    copy of the texts is made. The table of thresholds is written too, so the planner broadcasts it only if
     its true size is under the session's broadcast limit and otherwise joins by language and source
     with skew splitting. Null text: no words, base failed. A null language or source is a group of
     its own. Ids are not used: null or repeated ids and repeated rows are judged row by row. An
@@ -114,8 +115,9 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     """
     group = {f"__{k}": F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("lang", lang_col), ("source", source_col))}
     found = features(docs, text_col).withColumns(group)
-    measured = common.written(found if keep_text else found.drop(text_col), "quality")
-    limits = common.written(thresholds(sketch(measured, list(group))), "quality-limits")
+    measured = found if keep_text else common.written(found.drop(text_col), "quality")
+    sketches = sketch(measured, list(group))
+    limits = common.written(thresholds(common.written(sketches, "quality-sketches") if keep_text else sketches), "quality-limits")
     passes = F.lit(True)
     for m in METRICS:
         passes = passes & (F.col(f"__{m}") <= F.coalesce(F.col(f"t_{m}"), F.col(f"__{m}")))
@@ -136,4 +138,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     # the operator's own columns must not meet columns of the same name: carry the input in a struct
     held = docs.select(F.struct(*columns).alias("__row"), "text", "lang", "source")
-    return judged(held.select("__row", F.col("text").alias("__text"), "lang", "source"), "__text").where("kept").select(*[F.col("__row")[c].alias(c) for c in columns])
+    found = judged(held.select("__row", F.col("text").alias("__text"), "lang", "source"), "__text")
+    # no plain conjunction: its half on the counts would be pushed below them and count everything twice
+    return found.where(F.when(F.col("kept"), 1).otherwise(0) * F.size(F.array("n_words")) == 1).select(*[F.col("__row")[c].alias(c) for c in columns])
