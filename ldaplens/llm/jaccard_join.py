@@ -28,7 +28,7 @@ from ldaplens.llm.wordsplit import Bounded
 FEW = 4
 #: Bits of a part of the sketch.
 PART_BITS = 1 << 16
-#: Bytes of the sets that one task holds to verify pairs, but for a single pair of larger sets.
+#: About the bytes of sets that one task holds at a time to verify pairs; a single pair may have more.
 HOME_BYTES = 16_000_000
 #: Rows in an Arrow batch of keys.
 KEY_ROWS = 2000
@@ -240,7 +240,7 @@ def _placed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, home, cut``: where each pair of sets that may be similar by their sizes is verified. Pairs meet at
     the least signature that their sets' partners have, so the sets of a group of copies are sent once, not once
     a pair; what would hold more than ``HOME_BYTES`` at a home is cut by the pair's hash."""
-    size = lambda side: sets.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"))
+    size = lambda side: sets.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}")).distinct()
     near = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     pairs = common.written(pairs.join(size("a"), "a").join(size("b"), "b").where(near), "sized-pairs")
     reach = pairs.select(F.col("a").alias("sig"), "a").union(pairs.select("b", "a")).groupBy("sig").agg(F.min("a").alias("least"))
