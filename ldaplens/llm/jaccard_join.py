@@ -92,6 +92,12 @@ class Bands:
             s += 1
         return [x for x in range(first, s) if self.differ[x] > 0]
 
+    def lacks(self, size: int, s: int) -> int:
+        """The most shingles in which a set of ``size`` differs from a partner in band s, no larger than the
+        band and the similarity allow. It is less than ``differ[s]`` for all but the band's largest sets."""
+        partner = min(self.high[s], size * 100 // self.percent)
+        return (size + partner) * (100 - self.percent) // (100 + self.percent)
+
     def cut(self, s: int) -> tuple[int, int]:
         """Parts of band s's sketch, and the set bits a part has to have to be worth joining."""
         need = self.differ[s] + 1
@@ -106,7 +112,7 @@ def bands(percent: int) -> Bands:
 def part_keys(tokens, s: int, b: Bands):
     """``(keys, spare)`` of a set in band s. A key is the content of a part; its low ``b.bits`` hold the
     band and whether the part is full, that is has the least bits. Full parts alone are given if
-    they outnumber the differences (by ``spare`` and one), else all parts, empty ones too, and -1."""
+    they outnumber what this set can differ in (by ``spare`` and one), else all parts, empty ones too, and -1."""
     import numpy as np
 
     parts, least = b.cut(s)
@@ -120,7 +126,7 @@ def part_keys(tokens, s: int, b: Bands):
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         content[part[first]] = np.add.reduceat(mix(at + np.uint64(1)), first)
     full = bits >= least
-    spare = int(full.sum()) - (b.differ[s] + 1)
+    spare = int(full.sum()) - (b.lacks(len(tokens), s) + 1)
     keys = mix(content + np.arange(parts, dtype=np.uint64)) & ~np.uint64((1 << b.bits) - 1) | np.uint64(s << 1) | full.astype(np.uint64)
     return (keys[full], spare) if spare >= 0 else (keys, -1)
 

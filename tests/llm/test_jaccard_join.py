@@ -1,7 +1,7 @@
 import random
 
 from ldaplens.llm.components import components
-from ldaplens.llm.jaccard_join import Bands, similar_components
+from ldaplens.llm.jaccard_join import Bands, part_keys, similar_components
 
 
 def brute(rows, words, percent):
@@ -79,6 +79,30 @@ def test_bands_cover_all_pairs():
                 assert any(b.differ[s] >= differ for s in set(b.of(larger)) & set(b.of(smaller)))
 
 
+def test_what_a_set_lacks_covers_all_its_partners():
+    for percent in (80, 85):
+        b = Bands(percent)
+        for larger in range(7, 400):
+            for smaller in range(-(-percent * larger // 100), larger + 1):
+                both = -(-percent * (larger + smaller) // (100 + percent))
+                differ = larger + smaller - 2 * both
+                if both <= smaller and differ > 0:
+                    s = next(s for s in range(len(b.high)) if b.low[s] <= larger <= b.high[s])
+                    assert differ <= b.lacks(larger, s) <= b.differ[s] and differ <= b.lacks(smaller, s) <= b.differ[s]
+
+
+def test_sets_of_every_size_settle_by_their_full_parts():
+    """A set that has to give its empty parts, too, meets all others of its band and is never settled."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        b = Bands(percent)
+        for size in range(60, 2000, 37):
+            tokens = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            assert all(part_keys(tokens, s, b)[1] >= 0 for s in b.of(size)), (percent, size)
+
+
 def test_bands_reach_every_size(spark):
     for percent in (1, 50, 80, 85, 95, 99):
         b = Bands(percent)
