@@ -723,11 +723,15 @@ def _stream_folder(spark, sf) -> str:
     return _files(spark, sf, "text")
 
 
+# Batches that the files waiting at the start may take; more files make larger batches.
+STREAM_BATCHES = 24
+
+
 def q_stream_parse(spark, sf):
     """S11 + S13: a stock file stream of new log files, parsed, to a parquet sink."""
     ensure_utc(spark)
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
-    parsed = parse_stream(stream_lines(spark, _stream_folder(spark, sf), max_files_per_trigger=2),
+    parsed = parse_stream(stream_lines(spark, _stream_folder(spark, sf), max_files_per_trigger=2, max_batches=STREAM_BATCHES),
                           as_of=SYSLOG_AS_OF)
     drain(run_to_parquet(parsed.select("file", "ts_text", "conn_id", "op_id", "error_code", "raw"), sink, ckpt))
     return spark.read.parquet(sink).select(basename("file").alias("file"), "ts_text", "conn_id", "op_id",

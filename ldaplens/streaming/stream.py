@@ -15,8 +15,17 @@ from ldaplens.functions.fields import parse_logs, strip_cr
 from ldaplens.operators.filters import FilterStack, apply_filters_stream
 
 
-def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """``(file, value)`` from every new file dropped into ``folder``."""
+def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None,
+                 max_batches: int | None = None) -> DataFrame:
+    """``(file, value)`` from every new file dropped into ``folder``.
+
+    A batch has a fixed cost (listing, logs, planning), so a fixed number of files a batch makes a
+    backlog of small files cost by their number. ``max_batches`` bounds the batches of the files
+    that lie in ``folder`` now: where ``max_files_per_trigger`` would need more, it is raised.
+    """
+    if max_files_per_trigger and max_batches:
+        waiting = len(spark.read.text(folder).inputFiles())
+        max_files_per_trigger = max(max_files_per_trigger, -(-waiting // max_batches))
     reader = spark.readStream.option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
