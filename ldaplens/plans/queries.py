@@ -27,7 +27,7 @@ from ldaplens.session import ensure_utc, scratch_path
 from ldaplens.sources.codec import detect_codec, ingest_logs, read_compressed, write_clustered
 from ldaplens.sources.derived import SYSLOG_AS_OF, _create, basename, doc_logs, event_logs, write_log_files
 from ldaplens.sources.line_index import indexed_counts, read_indexed, refresh_index, tail_indexed
-from ldaplens.sources.text import line_counts, read_logs, slice_lines, tail_lines
+from ldaplens.sources.text import line_counts, read_logs, slice_lines, small_splits, tail_lines
 from ldaplens.streaming.follow import follow_into_table, follow_logs, new_line_count
 from ldaplens.streaming.table import read_table
 from ldaplens.streaming.stream import drain, parse_stream, run_to_parquet, stream_lines
@@ -490,13 +490,10 @@ def q_line_counts(spark, sf):
 
 def q_scan_splits(spark, sf):
     """S5 over files of many splits, which get smaller between definition and action."""
-    logs = read_logs(spark, _files(spark, sf, "text"))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SMALL_SPLIT))
+    folder = _files(spark, sf, "text")
+    logs = read_logs(spark, folder)
+    with small_splits(spark, folder, SMALL_SPLIT):
         out = sized(logs, "split-scan")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return out.select(basename("file").alias("file"), "line_no", "value")
 
 

@@ -8,6 +8,8 @@ splits instead of one task per file (see ``with_line_no``).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,26 @@ def _read_by_content(spark: SparkSession, paths, line_numbers: bool) -> DataFram
     return read_logs(spark, rest, line_numbers).select(*columns).union(decoded) if rest else decoded
 
 
+@contextmanager
+def small_splits(spark: SparkSession, paths, split_bytes: int):
+    """Scans of ``paths`` planned inside read splits of ``split_bytes``, many to a task.
+
+    By itself a small split size gives every split a task of its own, so scheduling outgrows the
+    reading. The tasks are held to what the session's own split size gives (four a core at least);
+    the splits stay as small as asked, and each lies in one task.
+    """
+    tasks = max(4 * spark.sparkContext.defaultParallelism, _scan(spark, paths).rdd.getNumPartitions())
+    keys = {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _split_bound(scan: DataFrame) -> int:
     """Upper bound on the splits of a text scan: every partition adds one cut at most to its files."""
     return len(scan.inputFiles()) + 2 * scan.rdd.getNumPartitions()

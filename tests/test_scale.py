@@ -1,5 +1,6 @@
 """Costs that may not outgrow the input: batches, tasks, regex walks, compiled code."""
 
+from ldaplens.sources.text import read_logs, small_splits
 from ldaplens.streaming.stream import drain, run_to_parquet, stream_lines
 
 
@@ -13,3 +14,18 @@ def test_many_waiting_files_take_few_batches(spark, tmp_path):
     drain(query)
     assert 1 < len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) <= 5
     assert sorted(r["value"] for r in spark.read.parquet(sink).collect()) == sorted(f"{w} {i}" for i in range(30) for w in ("line", "last"))
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"s{n}.log").write_text("".join(f"{n} line {i} of the file\n" for i in range(40_000)))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum")
+    before = [spark.conf.get(k, None) for k in keys]
+    logs = read_logs(spark, str(tmp_path))
+    with small_splits(spark, str(tmp_path), 4096):
+        raw = spark.read.text(str(tmp_path))
+        splits = raw.selectExpr("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert splits > 600 and raw.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 8
+        got = {(r["line_no"], r["value"]) for r in logs.collect()}
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert got == {(i, f"{n} line {i} of the file") for n in range(3) for i in range(40_000)}
