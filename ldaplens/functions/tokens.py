@@ -192,8 +192,12 @@ def with_tokens(df: DataFrame, raw: str = "raw", keywords: bool = True) -> DataF
 
 
 def explode_tokens(df: DataFrame, keep=("file", "line_no")) -> DataFrame:
-    """K4: one row per token with its index in the sorted token list."""
-    return df.select(*keep, F.posexplode("tokens").alias("token_idx", "token")).select(
+    """K4: one row per token with its index in the sorted token list.
+
+    The outer form, its empty rows dropped: for the plain one Catalyst infers a test of the
+    array and pushes it below the projection, where the walks run again for it, twice.
+    """
+    return df.select(*keep, F.posexplode_outer("tokens").alias("token_idx", "token")).where("token_idx is not null").select(
         *keep,
         "token_idx",
         F.col("token.start_pos").alias("start_pos"),

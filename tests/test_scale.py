@@ -1,5 +1,6 @@
 """Costs that may not outgrow the input: batches, tasks, regex walks, compiled code."""
 
+from ldaplens.functions.tokens import explode_tokens, with_tokens
 from ldaplens.sources.text import read_logs, small_splits
 from ldaplens.streaming.stream import drain, run_to_parquet, stream_lines
 
@@ -29,3 +30,12 @@ def test_small_splits_share_tasks(spark, tmp_path):
         got = {(r["line_no"], r["value"]) for r in logs.collect()}
     assert [spark.conf.get(k, None) for k in keys] == before
     assert got == {(i, f"{n} line {i} of the file") for n in range(3) for i in range(40_000)}
+
+
+def test_tokens_are_walked_once_for_their_rows(spark, lines):
+    p = with_tokens(lines(['2024-01-15T10:30:00.123Z 0x7f0000000001 conn=1 op=2 SRCH base="x" attr=cn uid', "", None]), "value", keywords=False)
+    walks = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    rows = explode_tokens(p)
+    assert walks(rows) == walks(p.select("file", "line_no", "tokens"))
+    assert [(r["token_idx"], r["type"]) for r in rows.orderBy("line_no", "token_idx").collect()] == list(enumerate(
+        ["TIMESTAMP", "THREAD_ID", "CONN_ID", "OP_ID", "KEYWORD", "BASE", "ATTR", "ATTR_LIST"]))
