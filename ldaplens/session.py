@@ -39,6 +39,17 @@ def get_spark(master: str | None = None, app: str = "ldaplens", shuffle_partitio
 
 def ensure_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_compiled(spark)
+
+
+def ensure_compiled(spark: SparkSession) -> None:
+    """Keep generated code where the JVM compiles it.
+
+    A JVM interprets methods of over 8000 bytes of code for good. The long projections of this
+    library (line shapes, head normalisation, 16 fields) make such methods when fused into one
+    stage; below this limit Spark generates them per operator, in small methods.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ldaplens.functions.fields import strip_cr
 from ldaplens.operators.joins import sized
-from ldaplens.session import ensure_parallelism
+from ldaplens.session import ensure_compiled, ensure_parallelism
 
 FILE_LINES = 2500
 # Fixed "now" for syslog year inference, so derived syslog lines are reproducible.
@@ -101,6 +101,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
 
 
 def event_logs(spark: SparkSession, sf_dir: str, head: str = "debug") -> DataFrame:
+    ensure_compiled(spark)
     return ensure_parallelism(event_log_lines(load(spark, sf_dir, "events"), head))
 
 

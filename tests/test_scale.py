@@ -1,6 +1,7 @@
 """Costs that may not outgrow the input: batches, tasks, regex walks, compiled code."""
 
 from ldaplens.functions.tokens import explode_tokens, with_tokens
+from ldaplens.session import ensure_utc
 from ldaplens.sources.text import read_logs, small_splits
 from ldaplens.streaming.stream import drain, run_to_parquet, stream_lines
 
@@ -39,3 +40,8 @@ def test_tokens_are_walked_once_for_their_rows(spark, lines):
     assert walks(rows) == walks(p.select("file", "line_no", "tokens"))
     assert [(r["token_idx"], r["type"]) for r in rows.orderBy("line_no", "token_idx").collect()] == list(enumerate(
         ["TIMESTAMP", "THREAD_ID", "CONN_ID", "OP_ID", "KEYWORD", "BASE", "ATTR", "ATTR_LIST"]))
+
+
+def test_generated_methods_stay_within_what_the_jvm_compiles(spark):
+    ensure_utc(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
