@@ -72,6 +72,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A literal every match of a type contains; a line without it is not walked.
+TOKEN_ANCHORS = {
+    "DN_VALUE": 'dn="', "FILTER_VALUE": 'filter="', "BASE": 'base="', "KEYWORD": "SEARCH RESULT",
+}
+
 # Matches whose ends are gathered in one array before the next one is begun.
 SPAN_CHUNK = 128
 
@@ -115,22 +120,35 @@ def _tok(start: Column, end: Column, kind, value: Column, type_col: Column | Non
     )
 
 
-def _whole(raw: Column, kind: str, pattern: str) -> Column:
+def _spans_with(text: Column, pattern: str, anchor: str | None) -> Column:
+    """``match_spans`` for a pattern whose every match contains ``anchor``: without it there is no walk."""
+    if anchor is None:
+        return match_spans(text, pattern)
+    none = F.array().cast("array<struct<s:int,m:string>>")
+    return F.when(~text.contains(anchor), none).otherwise(match_spans(text, pattern))
+
+
+def _first_span(text: Column, pattern: str) -> Column:
+    """The first span of ``match_spans`` alone: the rest of the text is not searched."""
+    hit = F.regexp_extract(text, pattern, 0)
+    walked = F.regexp_extract(text, "\\A(?s:.*?)(?:" + pattern + ")", 0)
+    none = F.array().cast("array<struct<s:int,m:string>>")
+    first = F.array(F.struct((F.octet_length(walked) - F.octet_length(hit)).alias("s"), hit.alias("m")))
+    return F.when(hit == "", none).otherwise(first)
+
+
+def _whole(raw: Column, kind: str, pattern: str, anchor: str | None = None) -> Column:
     return F.transform(
-        match_spans(raw, pattern), lambda x: _tok(x["s"], x["s"] + F.octet_length(x["m"]), kind, x["m"])
+        _spans_with(raw, pattern, anchor), lambda x: _tok(x["s"], x["s"] + F.octet_length(x["m"]), kind, x["m"])
     )
 
 
 def token_parts(raw="raw") -> tuple[Column, Column]:
     """(non-keyword tokens, keyword candidates) of the normalised line."""
     r = _col(raw)
-    stamp = F.slice(
-        F.transform(
-            match_spans(r, RFC3339_STAMP),
-            lambda x: _tok(x["s"], x["s"] + F.octet_length(x["m"]), "TIMESTAMP", x["m"]),
-        ),
-        1,
-        1,
+    stamp = F.transform(
+        _first_span(r, RFC3339_STAMP),
+        lambda x: _tok(x["s"], x["s"] + F.octet_length(x["m"]), "TIMESTAMP", x["m"]),
     )
 
     def thread_tok(x):
@@ -138,8 +156,8 @@ def token_parts(raw="raw") -> tuple[Column, Column]:
         end = x["s"] + F.octet_length(x["m"])
         return _tok(end - F.octet_length(tid), end, "THREAD_ID", tid)
 
-    threads = F.transform(match_spans(r, THREAD_TOKEN), thread_tok)
-    attr_spans = match_spans(r, ATTR_TOKEN)
+    threads = F.transform(_spans_with(r, THREAD_TOKEN, "0x"), thread_tok)
+    attr_spans = _spans_with(r, ATTR_TOKEN, "attr=")
     attrs = F.transform(attr_spans, lambda x: _tok(x["s"], x["s"] + 5, "ATTR", F.lit("attr=")))
     attr_lists = F.transform(
         attr_spans,
@@ -147,11 +165,11 @@ def token_parts(raw="raw") -> tuple[Column, Column]:
     )
     key_type = F.create_map(*[x for k, t in KEYED_TOKENS.items() for x in (F.lit(k), F.lit(t))])
     keyed = F.transform(
-        match_spans(r, KEYED_PATTERN),
+        _spans_with(r, KEYED_PATTERN, "="),
         lambda x: _tok(x["s"], x["s"] + F.octet_length(x["m"]),
                        None, x["m"], type_col=F.element_at(key_type, F.substring_index(x["m"], "=", 1))),
     )
-    others = F.concat(stamp, threads, keyed, *[_whole(r, k, p) for k, p in SEPARATE_TOKENS], attrs, attr_lists)
+    others = F.concat(stamp, threads, keyed, *[_whole(r, k, p, TOKEN_ANCHORS[k]) for k, p in SEPARATE_TOKENS], attrs, attr_lists)
     return others, _whole(r, "KEYWORD", KEYWORD_PATTERN)
 
 

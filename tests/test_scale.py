@@ -42,6 +42,14 @@ def test_tokens_are_walked_once_for_their_rows(spark, lines):
         ["TIMESTAMP", "THREAD_ID", "CONN_ID", "OP_ID", "KEYWORD", "BASE", "ATTR", "ATTR_LIST"]))
 
 
+def test_types_without_their_anchor_are_not_walked(spark, lines):
+    p = with_tokens(lines(["é 2024-01-15T10:30:00.1Z then 2024-01-15T10:30:00.2Z x", None]), "value", keywords=False)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"Contains(value" in plan and a in plan for a in ('dn="', 'filter="', 'base="', "SEARCH RESULT", "attr=", "0x"))
+    first, null = p.orderBy("line_no").collect()
+    assert [tuple(t) for t in first["tokens"]] == [(3, 25, "TIMESTAMP", "2024-01-15T10:30:00.1Z")] and null["tokens"] is None
+
+
 def test_generated_methods_stay_within_what_the_jvm_compiles(spark):
     ensure_utc(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
