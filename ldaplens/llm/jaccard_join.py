@@ -14,7 +14,9 @@ shingles only are linked to the centre of their group. Pairs across what is then
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ldaplens.llm import common
 from ldaplens.llm.components import components
-from ldaplens.llm.wordsplit import Bounded
 
 #: Sets in a group whose pairs are all made.
 FEW = 4
@@ -32,13 +33,10 @@ PART_BITS = 1 << 16
 HOME_BYTES = 16_000_000
 #: Rows in an Arrow batch of keys.
 KEY_ROWS = 2000
-
-
-@cache
-def word_hashes() -> Bounded:
-    from xxhash import xxh64_intdigest
-
-    return Bounded(xxh64_intdigest, limit=100_000)
+#: About the bytes of texts that are shingled together; a single text may have more.
+GROUP_BYTES = 1 << 19
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 64
 
 
 def mix(x):
@@ -52,20 +50,68 @@ def mix(x):
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str, words: int):
-    """The sorted distinct 64-bit hashes of a text's shingles of ``words`` words; a shorter text is
-    one shingle, a text without words none."""
+def word_hashes(raw: bytes):
+    """64-bit hashes of the words of ``raw``, lowered bytes, and the place of each. All words are hashed
+    together, eight bytes at a time; those over ``LONG_WORD`` one by one."""
     import numpy as np
+    from xxhash import xxh64_intdigest
 
-    found = text.encode().lower().split()  # of bytes: A-Z only, and the six ASCII white spaces
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, found), np.uint64, len(found))
-    n = min(words, len(found))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(total)
+    padded = b"\n" + raw + b"\n" * 8
+    b = np.frombuffer(padded, np.uint8)
+    gap = (b == 32) | (b - np.uint8(9) <= 4)  # the six ASCII white spaces
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(b) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    rows = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        left = size[rows] - at
+        inside = eight[first[rows] + at] << (64 - 8 * np.minimum(left, 8)).astype(np.uint64)
+        h[rows] = mix(h[rows] * np.uint64(0x9E3779B97F4A7C15) + inside)
+        rows = rows[left > 8]
+        if not len(rows):
+            break
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxh64_intdigest(padded[first[i] : first[i] + size[i]])
+    return h, first - 1
+
+
+def shingle_sets(texts, words: int):
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``words`` words; a shorter text is
+    one shingle, a text without words none. Gives lists, each of the next texts of about ``GROUP_BYTES``."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.encode())
+        size += len(some[-1])
+        if size >= GROUP_BYTES:
+            yield _shingled(some, words)
+            some, size = [], 0
+    if some:
+        yield _shingled(some, words)
+
+
+def _shingled(texts: list[bytes], words: int) -> list:
+    import numpy as np
+
+    h, place = word_hashes(b"\n".join(texts).lower())  # of bytes: A-Z only
+    upto = np.searchsorted(place, np.cumsum([len(t) + 1 for t in texts]))
+    count = np.diff(upto, prepend=0)
+    each = np.where(count < words, np.minimum(count, 1), count - words + 1)
+    stop = np.cumsum(each)
+    at = np.arange(stop[-1]) + np.repeat(upto - count - (stop - each), each)  # the first word of every shingle
+    n = np.repeat(np.minimum(count, words), each)
+    total, short = n.astype(np.uint64), (count < words).any()
+    for k in range(words):
+        more = mix(total * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + k, len(h) - 1)])
+        total = np.where(k < n, more, total) if short else more
+    for i, j in zip(stop - each, stop):
+        total[i:j].sort()
+    new = np.ones(len(total) + 1, bool)
+    np.not_equal(total[1:], total[:-1], out=new[1:-1])
+    new[stop] = True
+    upto = np.concatenate([[0], np.cumsum(new[:-1])])
+    total = total[new[:-1]]
+    return [total[i:j] for i, j in zip(upto[stop - each], upto[stop])]
 
 
 class Bands:
@@ -110,25 +156,40 @@ def bands(percent: int) -> Bands:
 
 
 def part_keys(tokens, s: int, b: Bands):
-    """``(keys, spare)`` of a set in band s. A key is the content of a part; its low ``b.bits`` hold the
-    band and whether the part is full, that is has the least bits. Full parts alone are given if
-    they outnumber what this set can differ in (by ``spare`` and one), else all parts, empty ones too, and -1."""
+    """``(keys, spare)`` of a set in band s: see ``band_keys``."""
+    keys, _, spare = band_keys([tokens], s, b)
+    return keys, int(spare[0])
+
+
+def band_keys(sets: list, s: int, b: Bands):
+    """The keys of some sets in band s, how many each has, and each one's ``spare``. A key is the content of a
+    part; its low ``b.bits`` hold the band and whether the part is full, that is has the least bits. Full parts
+    alone are given if they outnumber what the set can differ in (by ``spare`` and one), else all parts, empty
+    ones too, and -1."""
     import numpy as np
 
     parts, least = b.cut(s)
-    h = mix(tokens + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    at = (h >> np.uint64(20)) % np.uint64(parts) * np.uint64(PART_BITS) + (h & np.uint64(PART_BITS - 1))
-    at, flips = np.unique(at, return_counts=True)
-    at = at[flips & 1 == 1]  # bits flipped an even number of times are off
+    sizes = [len(x) for x in sets]
+    h = mix(np.concatenate(sets) + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    bit = h & np.uint64(PART_BITS - 1)
+    h >>= np.uint64(20)
+    h -= h // np.uint64(parts) * np.uint64(parts)
+    at = (h + np.repeat(np.arange(len(sets), dtype=np.uint64) * np.uint64(parts), sizes)) * np.uint64(PART_BITS) + bit
+    at.sort()
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at = at[first[np.diff(first, append=len(at)) & 1 == 1]]  # bits flipped an even number of times are off
     part = (at // np.uint64(PART_BITS)).astype(np.int64)
-    content, bits = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
+    content, bits = np.zeros(len(sets) * parts, np.uint64), np.bincount(part, minlength=len(sets) * parts)
     if len(at):
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        content[part[first]] = np.add.reduceat(mix(at + np.uint64(1)), first)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        own = at - (part // parts * (parts * PART_BITS)).astype(np.uint64)
+        content[part[first]] = np.add.reduceat(mix(own + np.uint64(1)), first)
     full = bits >= least
-    spare = int(full.sum()) - (b.lacks(len(tokens), s) + 1)
-    keys = mix(content + np.arange(parts, dtype=np.uint64)) & ~np.uint64((1 << b.bits) - 1) | np.uint64(s << 1) | full.astype(np.uint64)
-    return (keys[full], spare) if spare >= 0 else (keys, -1)
+    spare = full.reshape(-1, parts).sum(1) - np.array([b.lacks(n, s) + 1 for n in sizes])
+    content += np.tile(np.arange(parts, dtype=np.uint64), len(sets))
+    keys = mix(content) & ~np.uint64((1 << b.bits) - 1) | np.uint64(s << 1) | full.astype(np.uint64)
+    given = full | np.repeat(spare < 0, parts)
+    return keys[given], given.reshape(-1, parts).sum(1), np.maximum(spare, -1)
 
 
 def signature(tokens) -> int:
@@ -141,11 +202,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, sig, n``: the signature and the size of each document's set."""
 
     def run(batches):
-        from ldaplens.llm.jaccard_join import shingles, signature
+        from ldaplens.llm.jaccard_join import shingle_sets, signature
 
         for b in batches:
-            found = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(x) if len(x) else None for x in found], pa.int64()), pa.array(map(len, found), pa.int64())], names=["doc_id", "sig", "n"])
+            sigs, sizes = [], []
+            for found in shingle_sets(b.column(1).to_pylist(), words):
+                sigs += [signature(x) if len(x) else None for x in found]
+                sizes += map(len, found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "sig", "n"])
 
     return docs.mapInArrow(run, "doc_id long, sig long, n long")
 
@@ -156,26 +220,27 @@ def _part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        from ldaplens.llm.jaccard_join import bands, part_keys, shingles, signature
+        from ldaplens.llm.jaccard_join import band_keys, bands, shingle_sets, signature
 
         b, seen = bands(percent), set()
-        for batch in batches:
-            keys, sigs, spares, sizes = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, words)
+        for found in chain.from_iterable(shingle_sets(batch.column(0).to_pylist(), words) for batch in batches):
+            of = defaultdict(list)  # sets of each band, with their signatures
+            for tokens in found:
                 if not len(tokens) or (sig := signature(tokens)) in seen:
                     continue
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(sig)
                 for s in b.of(len(tokens)):
-                    k, spare = part_keys(tokens, s, b)
+                    of[s].append((sig, tokens))
+            if of:
+                keys, sigs, spares = [], [], []
+                for s, members in of.items():
+                    k, n, spare = band_keys([tokens for _, tokens in members], s, b)
                     keys.append(k.view(np.int64))
-                    sigs.append(sig)
-                    spares.append(spare)
-                    sizes.append(len(k))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sigs, np.int64), sizes)), pa.array(np.repeat(np.array(spares, np.int32), sizes))], names=["key", "sig", "spare"])
+                    sigs.append(np.repeat(np.array([sig for sig, _ in members], np.int64), n))
+                    spares.append(np.repeat(spare.astype(np.int32), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, sigs, spares)], names=["key", "sig", "spare"])
 
     return docs.select("text").mapInArrow(run, "key long, sig long, spare int")
 
@@ -341,13 +406,13 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     chosen = common.written(wanted.join(nodes, "sig").select(F.col("node").alias("doc_id"), "sig", "open"), "wanted")
 
     def tokens(batches):
-        from ldaplens.llm.jaccard_join import shingles, signature
+        from ldaplens.llm.jaccard_join import shingle_sets, signature
 
         seen = set()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for text, sig, open_ in zip(*(c.to_pylist() for c in b.columns)):
-                found = shingles(text, words)
+            texts, *others = (c.to_pylist() for c in b.columns)
+            for found, sig, open_ in zip(chain.from_iterable(shingle_sets(texts, words)), *others):
                 # another row with the same id may hold another set; of repeated rows a task gives one
                 if sig not in seen and len(found) and signature(found) == sig:
                     if len(seen) >= 100_000:

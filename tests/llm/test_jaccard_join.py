@@ -121,6 +121,44 @@ def test_bands_reach_every_size(spark):
         check(spark, rows, 4, percent)
 
 
+def test_texts_are_hashed_in_groups(monkeypatch):
+    """The steps of a group do not grow with its texts, and its sets and keys are those of each text alone."""
+    from ldaplens.llm import jaccard_join as jj
+
+    rng = random.Random(8)
+    texts = ["", " \n\t", "a", "a\0", "a\0\0 \x1c\x85", "É B  c\td\x0be", " ".join("q" * i for i in range(90)), "one two one two one two"]
+    texts += [" ".join(rng.choice("abcdefgh") * rng.randint(1, 20) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    calls, mix = [], jj.mix
+    monkeypatch.setattr(jj, "mix", lambda x: calls.append(len(x)) or mix(x))
+    for words in (1, 4, 5):
+        calls.clear()
+        (found,) = jj.shingle_sets(texts, words)
+        assert len(calls) <= words + jj.LONG_WORD // 8
+        alone = [x for t in texts for (x,) in jj.shingle_sets([t], words)]
+        assert [x.tolist() for x in found] == [x.tolist() for x in alone]
+        sets = []
+        for t in texts:
+            w = t.encode().lower().split()
+            sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+        assert [len(x) for x in found] == [len(x) for x in sets]
+        assert len({x for f in found for x in f.tolist()}) == len(set().union(*sets))
+        for i in rng.choices(range(len(texts)), k=200):
+            assert len(set(found[i].tolist()) & set(found[i - 1].tolist())) == len(sets[i] & sets[i - 1])
+    b = Bands(80)
+    for s in range(len(b.low)):
+        members = [x for x in found if s in b.of(len(x))]
+        if members:
+            calls.clear()
+            keys, n, spare = jj.band_keys(members, s, b)
+            assert len(calls) <= 3
+            alone = [part_keys(x, s, b) for x in members]
+            assert keys.tolist() == [k for x, _ in alone for k in x.tolist()]
+            assert [(len(x), y) for x, y in alone] == list(zip(n.tolist(), spare.tolist()))
+    monkeypatch.setattr(jj, "GROUP_BYTES", 100)
+    groups = list(jj.shingle_sets(texts, 5))
+    assert len(groups) > 50 and [x.tolist() for g in groups for x in g] == [x.tolist() for x in found]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (200, 200), (300, 100)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect())
