@@ -119,15 +119,20 @@ class Predictors:
         for k in range(len(CONTEXTS)):
             pairs, back = np.unique(contexts(windows, k), return_inverse=True)
             x = np.empty((len(pairs), 8), np.float32)
-            above = None
-            for level in range(9):
-                shift = np.uint64(8 - level)
-                low = pairs >> shift << shift
-                n = run[np.searchsorted(keys, low + (np.uint64(1) << shift))] - run[np.searchsorted(keys, low)]
-                if level:
-                    x[:, level - 1] = np.log((n + DELTA) / (above - n + DELTA))
-                elif k == LONGEST:
-                    gate = np.searchsorted(SEEN, n).astype(np.uint64)[back]
+            low = pairs & ~np.uint64(255)
+            start, stop = run[np.searchsorted(keys, low)], run[np.searchsorted(keys, low + np.uint64(256))]
+            above = stop - start
+            if k == LONGEST:
+                gate = np.searchsorted(SEEN, above).astype(np.uint64)[back]
+            for level in range(8):  # a decision halves its node, so one bound is new
+                half = np.uint64(128 >> level)
+                high = pairs & half != 0
+                low |= half
+                middle = run[np.searchsorted(keys, low)]
+                low &= pairs | ~half
+                start, stop = np.where(high, middle, start), np.where(high, stop, middle)
+                n = stop - start
+                x[:, level] = np.log((n + DELTA) / (above - n + DELTA))
                 above = n
             out.append(x[back])
         return out, gate
@@ -160,23 +165,30 @@ class State:
     def __init__(self, docs: int):
         self.w = [np.full((docs * GATES, 8), x, np.float32) for x in START]
         sure = 1 / (1 + np.exp(-(np.arange(STEPS) + 0.5) / 2))
-        self.right = np.tile((TRUST * (sure - 0.5)).astype(np.float32), docs * 8)
-        self.seen = np.full(docs * 8 * STEPS, TRUST, np.float32)
-        self.edge = self.right / self.seen  # rate of coming true, less a half
-        #: first cell of each text's eight tables
-        self.cells = np.arange(docs * 8, dtype=np.int32).reshape(docs, 8) * np.int32(STEPS)
+        self.right = np.tile((TRUST * (sure - 0.5)).astype(np.float32), (docs, 8, 1))
+        self.seen = np.full((docs, 8, STEPS), TRUST, np.float32)
+        #: rate of coming true, less a half, by signed sureness: negated and reversed, 0 for undecided, as it is
+        self.edge = np.zeros((docs, 8, 2 * STEPS + 1), np.float32)
+        self.update(0, docs)
+        #: the undecided cell of each text's eight tables
+        self.cells = np.arange(docs * 8).reshape(docs, 8) * (2 * STEPS + 1) + STEPS
+
+    def update(self, i: int, j: int) -> None:
+        """Make the edges of texts i to j - 1 anew."""
+        rate = self.right[i:j] / self.seen[i:j]
+        self.edge[i:j, :, STEPS + 1:] = rate
+        np.negative(rate[:, :, ::-1], out=self.edge[i:j, :, :STEPS])
 
     def take(self, i: int) -> tuple:
         """The state of one text, to go on with in a later chunk."""
-        t = slice(i * 8 * STEPS, (i + 1) * 8 * STEPS)
-        return [w[i * GATES:(i + 1) * GATES].copy() for w in self.w], self.right[t].copy(), self.seen[t].copy(), self.edge[t].copy()
+        return [w[i * GATES:(i + 1) * GATES].copy() for w in self.w], self.right[i].copy(), self.seen[i].copy()
 
     def put(self, kept: tuple) -> None:
         """Go on with a kept state as text 0."""
-        n = 8 * STEPS
         for w, old in zip(self.w, kept[0]):
             w[:GATES] = old
-        self.right[:n], self.seen[:n], self.edge[:n] = kept[1:]
+        self.right[0], self.seen[0] = kept[1:]
+        self.update(0, 1)
 
 
 def score(chunk: Chunk, predictors: Predictors, state: State) -> np.ndarray:
@@ -204,7 +216,7 @@ def score(chunk: Chunk, predictors: Predictors, state: State) -> np.ndarray:
         j = int(np.searchsorted(firsts, firsts[i] + SLICE, "right")) - 1
         j = max(i + 1, min(j, int(np.searchsorted(step, step[i], "right"))))
         s, e = int(firsts[i]), int(firsts[j])
-        bounds = edges[np.searchsorted(edges, s):np.searchsorted(edges, e)] - s
+        bounds = edges[np.searchsorted(edges, s):np.searchsorted(edges, e) + 1] - s
         _advance([o.take(row[s:e], 0, mode="clip") for o in odds], group[s:e], bounds, state, result)
         i = j
     return result
@@ -213,41 +225,50 @@ def score(chunk: Chunk, predictors: Predictors, state: State) -> np.ndarray:
 _ROW = np.ones(8, np.float32)
 
 
-def _advance(x, group, edges, state, result) -> None:
+def _advance(x, group, bounds, state, result) -> None:
     """Code one block of some texts from the predictors' log odds ``x``, then learn from it."""
+    edges = bounds[:-1]
     heads = group[edges]
     text = group >> 2
-    z = x[0] * state.w[0].take(group, 0, mode="clip")
+    first, stop = int(text[0]), int(text[-1]) + 1
+    z = state.w[0].take(group, 0, mode="clip")
+    z *= x[0]
     for k in range(1, len(x)):
         part = state.w[k].take(group, 0, mode="clip")
         part *= x[k]
         z += part
-    p = np.clip(z, -60, 60)
+    p = np.minimum(z, 60)
+    np.maximum(p, -60, out=p)
     np.negative(p, out=p)
     np.exp(p, out=p)
     p += 1
     np.reciprocal(p, out=p)
     # refinement: how often predictions as sure as this one came true so far
-    side = np.sign(z)
-    np.abs(z, out=z)
+    side = (z > 0).view(np.int8) - (z < 0).view(np.int8)
     z *= 2
-    cell = np.clip(z, 0, STEPS - 1, out=z).astype(np.int32)
-    cell += state.cells.take(text, 0, mode="clip")
-    q = state.edge.take(cell, mode="clip")
-    q *= side
+    np.minimum(z, STEPS - 1, out=z)
+    np.maximum(z, 1 - STEPS, out=z)
+    cell = z.astype(np.intp)
+    cell += side
+    cell += (state.cells[first:stop] - int(state.cells[first, 0]) + STEPS).take(text - first, 0, mode="clip")
+    q = state.edge[first:stop].ravel().take(cell, mode="clip")
     q += p
     q += np.float32(0.5)
     q *= np.float32(0.5)
     np.log(q, out=q)
     np.add.at(result, text[edges], np.add.reduceat(q @ _ROW, edges, dtype=np.float64))
     np.subtract(1, p, out=p)
-    rate = (RATE / (np.diff(np.append(edges, len(group))) + DAMP)).astype(np.float32)[:, None]
+    rate = (RATE / (bounds[1:] - edges + DAMP)).astype(np.float32)[:, None]
     for k in range(len(x)):
         x[k] *= p
-        state.w[k][heads] += rate * np.add.reduceat(x[k], edges, 0)
-    low, high = int(text[0]) * 8 * STEPS, (int(text[-1]) + 1) * 8 * STEPS
-    cell -= np.int32(low)
-    cell, side = cell.ravel(), side.ravel()
-    state.seen[low:high] += np.bincount(cell, minlength=high - low)
-    state.right[low:high] += 0.5 * np.bincount(cell, weights=side, minlength=high - low)
-    state.edge[low:high] = state.right[low:high] / state.seen[low:high]
+        step = np.add.reduceat(x[k], edges, 0)
+        step *= rate
+        state.w[k][heads] += step
+    shape = stop - first, 8, 2 * STEPS + 1
+    found = np.bincount(cell.ravel(), minlength=shape[0] * shape[1] * shape[2]).reshape(shape)
+    wrong, right = found[:, :, STEPS - 1::-1], found[:, :, STEPS + 1:]
+    seen = wrong + right
+    seen[:, :, 0] += found[:, :, STEPS]
+    state.seen[first:stop] += seen
+    state.right[first:stop] += 0.5 * (right - wrong)
+    state.update(first, stop)

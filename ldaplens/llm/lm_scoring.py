@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ldaplens.llm import common
 from ldaplens.llm import context_mixing as cm
+from ldaplens.llm.jaccard_join import word_hashes
 
 PART = 32_000_000
 BLOCK, PAIR, WORD = 0, 1, 2
@@ -187,7 +188,7 @@ def _score(train_tokens: int, distinct: int, end_count: int):
     def score(blocks: pa.Table, pulled: pa.Table) -> pa.Table:
         from zstandard import ZstdDecompressor
 
-        predictors, vocabulary, logs = _pulled(pulled)
+        predictors, known = _pulled(pulled)
         end = np.log10(end_count + 1.0)
         floor = np.log10(train_tokens + distinct + 1.0)
         out, open_text = [], None  # a text that goes on: raw pieces, score so far, kept state
@@ -208,7 +209,7 @@ def _score(train_tokens: int, distinct: int, end_count: int):
                 open_text = pieces.pop(), logp[-1], state.take(len(pieces))
             sums = np.zeros((3, len(pieces)))  # words, known words, logarithms
             for words, at, of in words_of(pieces):
-                log = logs[pc.index_in(words, vocabulary).fill_null(len(logs) - 1).to_numpy()][at]
+                log = known.logs_of(words)[at]
                 for i, weights in enumerate((None, log > 0, log)):
                     sums[i] += np.bincount(of, weights, len(pieces))
             total = logp[:len(pieces)]
@@ -221,8 +222,33 @@ def _score(train_tokens: int, distinct: int, end_count: int):
     return score
 
 
+class Known:
+    """``log10(count + 1)`` of a part's words, found by their hashes and held against the words themselves, so
+    the words are hashed once a part."""
+
+    def __init__(self, words: pa.BinaryArray, n: np.ndarray):
+        hashes = self._hashes(words)
+        order = np.argsort(hashes)
+        self.hashes, self.words = hashes[order], words.take(pa.array(order))
+        self.logs = np.append(np.log10(n[order].astype(np.float64) + 1), 0.0)
+        self.shared = bool((self.hashes[1:] == self.hashes[:-1]).any())  # two words with one hash: never seen
+
+    @staticmethod
+    def _hashes(words: pa.BinaryArray) -> np.ndarray:
+        return word_hashes(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b"\n")[0].as_py())[0]
+
+    def logs_of(self, words: pa.BinaryArray) -> np.ndarray:
+        """The logarithm of each of some words, 0 for an unknown one."""
+        none = len(self.words)
+        if self.shared or not none:
+            return self.logs[pc.index_in(words, self.words).fill_null(none).to_numpy()]
+        at = np.minimum(np.searchsorted(self.hashes, self._hashes(words)), none - 1)
+        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return self.logs[np.where(same, at, none)]
+
+
 def _pulled(pulled: pa.Table):
-    """Predictors, words and ``log10(count + 1)`` of each (0 for a word past the end), from a part's pulled rows."""
+    """Predictors and known words from a part's pulled rows."""
     is_word = pulled["ctx"].is_null()
     c, w = pulled.filter(pc.invert(is_word)), pulled.filter(is_word)
     following = c["following"].combine_chunks()
@@ -230,8 +256,7 @@ def _pulled(pulled: pa.Table):
     keys = np.repeat(c["ctx"].to_numpy().astype(np.int64), following.value_lengths().to_numpy(zero_copy_only=False)).astype(np.uint64)
     keys = keys << np.uint64(8) | (flat & 255).astype(np.uint64)
     order = np.argsort(keys)
-    logs = np.append(np.log10(w["n"].to_numpy().astype(np.float64) + 1), 0.0)
-    return cm.Predictors(keys[order], (flat >> 8)[order]), w["word"].combine_chunks(), logs
+    return cm.Predictors(keys[order], (flat >> 8)[order]), Known(w["word"].combine_chunks(), w["n"].to_numpy())
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

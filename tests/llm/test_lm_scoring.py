@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ldaplens.llm import context_mixing as cm
@@ -150,6 +151,42 @@ def test_a_long_text_goes_on_in_the_next_chunk(monkeypatch):
         assert totals[i] == pytest.approx(model.score(t), rel=2e-4)
 
 
+def test_known_words_are_hashed_once(monkeypatch):
+    rnd = random.Random(9)
+    words = list({bytes(rnd.choices(b"abcde\x00\xc3\x1c", k=rnd.randint(1, 90))) for _ in range(3000)})
+    counts = np.array([rnd.randint(1, 9) for _ in words])
+    asked = rnd.choices(words, k=500) + [w + b"?" for w in words[:50]] + [b"a" * 200]
+    want = [math.log10(n + 1) for n in (dict(zip(words[::2], counts[::2])).get(w, 0) for w in asked)]
+    known = lm_scoring.Known(pa.array(words[::2], pa.binary()), counts[::2])
+    with monkeypatch.context() as m:
+        m.setattr(lm_scoring.pc, "index_in", None)  # it would hash all known words a call
+        assert known.logs_of(pa.array(asked, pa.binary())).tolist() == pytest.approx(want)
+        assert known.logs_of(pa.array([], pa.binary())).tolist() == []
+    none = lm_scoring.Known(pa.array([], pa.binary()), np.zeros(0, np.int64))
+    assert none.logs_of(pa.array(asked, pa.binary())).tolist() == [0.0] * len(asked)
+    monkeypatch.setattr(lm_scoring.Known, "_hashes", staticmethod(lambda w: np.zeros(len(w), np.uint64)))
+    alike = lm_scoring.Known(pa.array(words[::2], pa.binary()), counts[::2])
+    assert alike.logs_of(pa.array(asked, pa.binary())).tolist() == pytest.approx(want)
+
+
+def test_a_decision_needs_one_search(monkeypatch):
+    rnd = random.Random(4)
+    windows = np.unique(np.array([rnd.randrange(1 << 40) & 0x0303030303 for _ in range(500)], np.uint64))
+    keys, counts = np.unique(np.concatenate([cm.contexts(windows[::2], k) for k in range(3)]), return_counts=True)
+    searches, search = [], np.searchsorted
+    monkeypatch.setattr(cm.np, "searchsorted", lambda a, *rest: searches.append(a is keys) or search(a, *rest))
+    odds, gate = cm.Predictors(keys, counts)._look_up(windows)
+    monkeypatch.undo()
+    assert sum(searches) == 3 * 10
+    seen = dict(zip(keys.tolist(), counts.tolist()))
+    for k in range(3):
+        for i, key in enumerate(cm.contexts(windows, k).tolist()):
+            total = lambda shift: sum(seen.get((key >> shift << shift) + b, 0) for b in range(1 << shift))
+            n = [total(shift) for shift in range(8, -1, -1)]
+            assert odds[k][i].tolist() == pytest.approx([math.log((b + cm.DELTA) / (a - b + cm.DELTA)) for a, b in zip(n, n[1:])], rel=1e-6)
+            assert k != cm.LONGEST or gate[i] == sum(n[0] >= s for s in (1, 3, 16))
+
+
 def test_words_across_segments():
     raw = b"ab  cd\tef" * 50 + b"x" * 300 + b" y"
     assert b" ".join(segments(raw, 16)).split() == raw.split() and len(list(segments(raw, 16))) > 10
